@@ -103,3 +103,295 @@ def q_wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_wide_features_line_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     from huddle.plans.features import line_only_features
     return line_only_features(driver_frames(spark, sf_dir), DRIVER, event_value=None)
+
+
+# --------------------------------------------------------------------------
+# projections and labels
+# --------------------------------------------------------------------------
+def _frames(spark, sf_dir):
+    return driver_frames(spark, sf_dir)
+
+
+@register("classify_play", with_frames("""
+o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority,
+        CASE WHEN o_orderstatus = 'P' THEN o_orderstatus END AS pass_result FROM orders)
+SELECT o_orderkey, CASE WHEN pass_result IS NOT NULL THEN 'pass'
+                        WHEN o_orderpriority IS NOT NULL THEN 'run' END AS playType
+FROM o"""))
+def q_classify_play(spark, sf_dir):
+    """P2 on orders: a pending order stands for a pass result, the priority
+    text for a run location; pass wins when both are set."""
+    from huddle.functions.expressions import classify_play
+    from huddle.sources.readers import read_table
+    o = read_table(spark, sf_dir, "orders")
+    pass_result = F.when(F.col("o_orderstatus") == "P", F.col("o_orderstatus"))
+    return o.select("o_orderkey", classify_play(pass_result, "o_orderpriority").alias("playType"))
+
+
+@register("direction_label", """
+SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '%URGENT%' OR o_orderpriority LIKE '%HIGH%' THEN 'left'
+                        WHEN o_orderpriority LIKE '%LOW%' OR o_orderpriority LIKE '%NOT%' THEN 'right' END AS run_dir
+FROM orders""")
+def q_direction_label(spark, sf_dir):
+    from huddle.functions.expressions import direction_label
+    from huddle.sources.readers import read_table
+    o = read_table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", direction_label("o_orderpriority", DRIVER.left_tokens,
+                                                  DRIVER.right_tokens).alias("run_dir"))
+
+
+@register("relative_offset", with_frames("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_tax - l_discount AS x_rel_los FROM frames"""))
+def q_relative_offset(spark, sf_dir):
+    from huddle.functions.expressions import relative_offset
+    f = _frames(spark, sf_dir)
+    return f.select("l_orderkey", "l_linenumber", "l_partkey",
+                    relative_offset(DRIVER.x, DRIVER.line_of_scrimmage).alias("x_rel_los"))
+
+
+@register("rename_columns", """
+SELECT p_partkey AS player_p_partkey, p_name, p_brand FROM part""")
+def q_rename_columns(spark, sf_dir):
+    from huddle.sources.readers import read_table
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    return p.withColumnRenamed("p_partkey", "player_p_partkey")
+
+
+@register("interaction_features", _wide_sql(FULL_SLOTS, True).replace(
+    "SELECT * FROM o WHERE", "SELECT *, " + ", ".join(f"{s.name}_dir * {s.name}_o AS {s.name}_dir_o"
+                                                     for s in FULL_SLOTS) + " FROM o WHERE"))
+def q_interaction_features(spark, sf_dir):
+    from huddle.operators.pivot import interaction_features
+    return interaction_features(q_wide_features(spark, sf_dir), FULL_SLOTS)
+
+
+@register("map_lookup_default", """
+SELECT c_custkey, c_mktsegment,
+  coalesce(CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'ARI' WHEN 'BUILDING' THEN 'BAL'
+                             WHEN 'FURNITURE' THEN 'DAL' WHEN 'HOUSEHOLD' THEN 'NO' END, '?') AS team,
+  coalesce(CASE coalesce(CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'ARI' WHEN 'BUILDING' THEN 'BAL'
+                             WHEN 'FURNITURE' THEN 'DAL' WHEN 'HOUSEHOLD' THEN 'NO' END, '?')
+           WHEN 'ARI' THEN '#97233F' WHEN 'BAL' THEN '#241773' WHEN 'DAL' THEN '#041E42'
+           WHEN 'NO' THEN '#D3BC8D' END, '#333333') AS color
+FROM customer""")
+def q_map_lookup_default(spark, sf_dir):
+    """Segment -> a team code (a stand-in table; MACHINERY has none),
+    then team -> colour with the default colour for unknown teams."""
+    from huddle.functions.expressions import DEFAULT_COLOR, TEAM_COLORS, map_lookup
+    from huddle.sources.readers import read_table
+    segment_team = {"AUTOMOBILE": "ARI", "BUILDING": "BAL", "FURNITURE": "DAL", "HOUSEHOLD": "NO"}
+    c = read_table(spark, sf_dir, "customer")
+    team = map_lookup("c_mktsegment", segment_team, "?")
+    return c.select("c_custkey", "c_mktsegment", team.alias("team"),
+                    map_lookup(team, TEAM_COLORS, DEFAULT_COLOR).alias("color"))
+
+
+@register("fill_numeric_nulls", """
+WITH c AS (SELECT c_custkey, count(*) AS n_orders, max(o_totalprice) AS max_total
+           FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
+SELECT c.c_custkey, cu.c_mktsegment, CASE WHEN max_total IS NULL THEN 0 ELSE n_orders END AS n_orders,
+       coalesce(max_total, 0) AS max_total
+FROM c JOIN customer cu ON c.c_custkey = cu.c_custkey""")
+def q_fill_numeric_nulls(spark, sf_dir):
+    """P10: customers without orders get null counts after a left join;
+    ``fillna(0, subset)`` fills the named numeric columns only."""
+    from huddle.sources.readers import read_table
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    o = read_table(spark, sf_dir, "orders")
+    per = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.max("o_totalprice").alias("max_total"))
+    j = c.join(per, c.c_custkey == per.o_custkey, "left").drop("o_custkey")
+    return j.fillna(0, subset=["n_orders", "max_total"])
+
+
+# --------------------------------------------------------------------------
+# filters
+# --------------------------------------------------------------------------
+_REQ_SQL = ("l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL AND l_discount IS NOT NULL "
+            "AND l_tax IS NOT NULL")
+_ROW_ID = ["l_orderkey", "l_linenumber", "l_partkey"]
+
+
+@register("event_frame_filter", with_frames(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, pos, run_dir FROM frames
+WHERE o_orderpriority IS NOT NULL AND pos IN ('T','G','C','TE') AND {_REQ_SQL}"""))
+def q_event_frame_filter(spark, sf_dir):
+    from huddle.operators.frames import event_frame_filter
+    return event_frame_filter(_frames(spark, sf_dir), DRIVER, None).select(*_ROW_ID, "pos", "run_dir")
+
+
+@register("event_frame_filter_alt", with_frames(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, pos FROM frames
+WHERE o_orderpriority IS NOT NULL AND pos IN ('T','G','C') AND {_REQ_SQL}"""))
+def q_event_frame_filter_alt(spark, sf_dir):
+    """the same filter with another role set (line only)."""
+    from huddle.operators.frames import event_frame_filter
+    return event_frame_filter(_frames(spark, sf_dir), DRIVER, None, roles=["T", "G", "C"]).select(*_ROW_ID, "pos")
+
+
+@register("regex_filter", with_frames(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, pos FROM frames
+WHERE o_orderpriority IS NOT NULL AND regexp_matches(o_orderpriority, 'URGENT|HIGH|LOW|NOT')
+  AND pos IN ('T','G','C','TE') AND {_REQ_SQL}"""))
+def q_regex_filter(spark, sf_dir):
+    from huddle.operators.frames import regex_filter
+    return regex_filter(_frames(spark, sf_dir), DRIVER, None).select(*_ROW_ID, "pos")
+
+
+@register("substring_or_filter", with_frames("""
+SELECT l_orderkey, l_linenumber, l_partkey, o_orderstatus FROM frames
+WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderstatus IS NOT NULL
+  AND (o_orderpriority LIKE '%URGENT%' OR o_orderpriority LIKE '%HIGH%'
+       OR o_orderpriority LIKE '%LOW%' OR o_orderpriority LIKE '%NOT%')"""))
+def q_substring_or_filter(spark, sf_dir):
+    from huddle.operators.frames import substring_or_filter
+    return substring_or_filter(_frames(spark, sf_dir), DRIVER).select(*_ROW_ID, "o_orderstatus")
+
+
+@register("complete_rows", with_frames("""
+SELECT l_orderkey, l_linenumber, l_partkey, run_dir, c_mktsegment FROM frames
+WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL AND l_partkey IS NOT NULL
+  AND run_dir IS NOT NULL AND c_mktsegment IS NOT NULL"""))
+def q_complete_rows(spark, sf_dir):
+    """any-null drop; the side label is null on MEDIUM priority."""
+    from huddle.operators.frames import complete_rows
+    return complete_rows(_frames(spark, sf_dir).select(*_ROW_ID, "run_dir", "c_mktsegment"))
+
+
+@register("complete_rows_subset", """
+WITH c AS (SELECT c_custkey, c_mktsegment, avg(o_totalprice) AS avg_total
+           FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment)
+SELECT c_custkey, c_mktsegment, round(avg_total, 6) AS avg_total FROM c WHERE avg_total IS NOT NULL""")
+def q_complete_rows_subset(spark, sf_dir):
+    """drop rows null in a subset (customers with no orders)."""
+    from huddle.operators.frames import complete_rows
+    from huddle.sources.readers import read_table
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    o = read_table(spark, sf_dir, "orders")
+    per = o.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("avg_total"))
+    j = c.join(per, c.c_custkey == per.o_custkey, "left").select("c_custkey", "c_mktsegment",
+                                                                 rnd("avg_total").alias("avg_total"))
+    return complete_rows(j, ["avg_total"])
+
+
+@register("min_group_size", with_frames("""
+g AS (SELECT l_partkey, count(*) AS num_samples FROM frames GROUP BY l_partkey HAVING count(*) >= 40)
+SELECT f.l_orderkey, f.l_linenumber, f.l_partkey, g.num_samples FROM frames f JOIN g ON f.l_partkey = g.l_partkey"""))
+def q_min_group_size(spark, sf_dir):
+    """Rows of players with at least 40 rows, with the group size."""
+    from huddle.operators.tendencies import min_group_size
+    f = _frames(spark, sf_dir).select(*_ROW_ID)
+    return min_group_size(f, ["l_partkey"], 40)
+
+
+# --------------------------------------------------------------------------
+# slots, counts, center
+# --------------------------------------------------------------------------
+_RR_PREFIX = RUN_ROWS_SQL + ","
+
+
+@register("rank_in_role", with_frames(_RR_PREFIX + f"""
+r AS (SELECT {KEYS_SQL}, l_linenumber, l_partkey, pos,
+        row_number() OVER (PARTITION BY {KEYS_SQL}, pos ORDER BY {ORDER_SQL}) AS position_index FROM rr)
+SELECT * FROM r WHERE position_index <= 2"""))
+def q_rank_in_role(spark, sf_dir):
+    """W1 with the slot rule's limit (only ranks 1 and 2 name a slot)."""
+    from huddle.operators.frames import event_frame_filter
+    from huddle.operators.slots import rank_in_role
+    rows = event_frame_filter(_frames(spark, sf_dir), DRIVER, None)
+    return rank_in_role(rows, DRIVER, 2).select(*DRIVER.keys, "l_linenumber", "l_partkey", "pos", "position_index")
+
+
+def _slot_sql(slots) -> str:
+    whens = []
+    for s in slots:
+        cond = f"pos = '{s.role}'" + (f" AND position_index = {s.index}" if s.index is not None else "")
+        whens.append(f"WHEN {cond} THEN '{s.name}'")
+    roles = ", ".join(f"'{r}'" for r in sorted({s.role for s in slots}))
+    return with_frames(_RR_PREFIX + f"""
+r AS (SELECT {KEYS_SQL}, l_linenumber, l_partkey, pos,
+        row_number() OVER (PARTITION BY {KEYS_SQL}, pos ORDER BY {ORDER_SQL}) AS position_index
+      FROM rr WHERE pos IN ({roles})),
+s AS (SELECT *, CASE {" ".join(whens)} END AS true_position FROM r)
+SELECT {KEYS_SQL}, l_linenumber, l_partkey, pos, true_position FROM s WHERE true_position IS NOT NULL""")
+
+
+@register("slot_assign", _slot_sql(FULL_SLOTS))
+def q_slot_assign(spark, sf_dir):
+    from huddle.operators.frames import event_frame_filter
+    from huddle.operators.slots import slot_assign
+    rows = event_frame_filter(_frames(spark, sf_dir), DRIVER, None)
+    return slot_assign(rows, DRIVER, FULL_SLOTS).select(*DRIVER.keys, "l_linenumber", "l_partkey", "pos",
+                                                        "true_position")
+
+
+@register("slot_assign_line_only", _slot_sql(LINE_SLOTS))
+def q_slot_assign_line_only(spark, sf_dir):
+    from huddle.operators.frames import event_frame_filter
+    from huddle.operators.slots import slot_assign
+    rows = event_frame_filter(_frames(spark, sf_dir), DRIVER, None)
+    return slot_assign(rows, DRIVER, LINE_SLOTS).select(*DRIVER.keys, "l_linenumber", "l_partkey", "pos",
+                                                        "true_position")
+
+
+@register("role_counts", with_frames(_RR_PREFIX + f"""
+SELECT {KEYS_SQL}, count(*) AS num_TEs FROM rr WHERE pos = 'TE' GROUP BY {KEYS_SQL}"""))
+def q_role_counts(spark, sf_dir):
+    from huddle.operators.frames import event_frame_filter
+    from huddle.operators.slots import role_counts
+    rows = event_frame_filter(_frames(spark, sf_dir), DRIVER, None)
+    return role_counts(rows, DRIVER, "TE", "num_TEs")
+
+
+@register("slot_counts", with_frames(_RR_PREFIX + f"""
+SELECT {KEYS_SQL}, count(CASE WHEN pos = 'TE' THEN 1 END) AS num_TEs FROM rr GROUP BY {KEYS_SQL}"""))
+def q_slot_counts(spark, sf_dir):
+    """The role count for every play (0 when absent), as joined back."""
+    from huddle.operators.frames import event_frame_filter
+    from huddle.operators.slots import role_counts
+    rows = event_frame_filter(_frames(spark, sf_dir), DRIVER, None)
+    return role_counts(rows, DRIVER, "TE", "num_TEs", only_present=False)
+
+
+@register("center_reference", with_frames(_RR_PREFIX + f"""
+SELECT {KEYS_SQL}, min(l_extendedprice) AS center_y FROM rr WHERE pos = 'C' GROUP BY {KEYS_SQL}"""))
+def q_center_reference(spark, sf_dir):
+    from huddle.operators.frames import event_frame_filter
+    from huddle.operators.slots import center_reference
+    rows = event_frame_filter(_frames(spark, sf_dir), DRIVER, None)
+    return center_reference(rows, DRIVER)
+
+
+def _center_offset_sql(inner: bool, mode: str) -> str:
+    expr = ("CASE WHEN true_position = 'C' THEN lat ELSE lat - c.center_y END"
+            if mode == "absolute" else "lat - c.center_y")
+    whens = " ".join(f"WHEN pos = '{s.role}' AND position_index = {s.index} THEN '{s.name}'" for s in FULL_SLOTS)
+    join = "JOIN" if inner else "LEFT JOIN"
+    return with_frames(_RR_PREFIX + f"""
+r AS (SELECT {KEYS_SQL}, l_linenumber, l_partkey, pos, l_extendedprice AS lat,
+        row_number() OVER (PARTITION BY {KEYS_SQL}, pos ORDER BY {ORDER_SQL}) AS position_index FROM rr),
+s AS (SELECT *, CASE {whens} END AS true_position FROM r),
+c AS (SELECT {KEYS_SQL}, min(l_extendedprice) AS center_y FROM rr WHERE pos = 'C' GROUP BY {KEYS_SQL})
+SELECT s.o_custkey, s.l_orderkey, s.l_linenumber, s.l_partkey, s.true_position, {expr} AS y_rel_C
+FROM s {join} c ON s.o_custkey = c.o_custkey AND s.l_orderkey = c.l_orderkey
+WHERE s.true_position IS NOT NULL""")
+
+
+def _center_offset_q(spark, sf_dir, inner, mode):
+    from huddle.operators.frames import event_frame_filter
+    from huddle.operators.slots import slot_assign, with_center_offset
+    rows = event_frame_filter(_frames(spark, sf_dir), DRIVER, None)
+    slotted = slot_assign(rows, DRIVER, FULL_SLOTS)
+    out = with_center_offset(slotted, DRIVER, inner=inner, mode=mode)
+    return out.select(*DRIVER.keys, "l_linenumber", "l_partkey", "true_position", "y_rel_C")
+
+
+@register("center_offset_abs", _center_offset_sql(True, "absolute"))
+def q_center_offset_abs(spark, sf_dir):
+    """P7 + J6 inner: the center keeps its absolute coordinate."""
+    return _center_offset_q(spark, sf_dir, True, "absolute")
+
+
+@register("center_offset_zero", _center_offset_sql(False, "zero"))
+def q_center_offset_zero(spark, sf_dir):
+    """P8 + J6 left: plain difference (center = 0); plays without a center keep a null."""
+    return _center_offset_q(spark, sf_dir, False, "zero")
