@@ -395,3 +395,137 @@ def q_center_offset_abs(spark, sf_dir):
 def q_center_offset_zero(spark, sf_dir):
     """P8 + J6 left: plain difference (center = 0); plays without a center keep a null."""
     return _center_offset_q(spark, sf_dir, False, "zero")
+
+
+# --------------------------------------------------------------------------
+# joins
+# --------------------------------------------------------------------------
+@register("join_left_composite", """
+SELECT l_orderkey, l_linenumber, l_partkey, o_custkey, o_orderstatus
+FROM lineitem l LEFT JOIN orders o ON l_orderkey = o_orderkey""")
+def q_join_left_composite(spark, sf_dir):
+    """Frame rows LEFT play rows on the play key."""
+    from huddle.operators.joins import join_left
+    from huddle.sources.readers import read_table
+    l = read_table(spark, sf_dir, "lineitem")
+    o = read_table(spark, sf_dir, "orders")
+    return join_left(l, o, [("l_orderkey", "o_orderkey")]).select(*_ROW_ID, "o_custkey", "o_orderstatus")
+
+
+@register("join_left_dim", """
+SELECT o_orderkey, o_custkey, c_mktsegment, c_nationkey
+FROM orders o LEFT JOIN customer c ON o_custkey = c_custkey""")
+def q_join_left_dim(spark, sf_dir):
+    """Plays LEFT games (a dimension, broadcast when it fits)."""
+    from huddle.operators.joins import join_left
+    from huddle.sources.readers import read_table
+    o = read_table(spark, sf_dir, "orders")
+    c = read_table(spark, sf_dir, "customer")
+    return join_left(o, c, [("o_custkey", "c_custkey")]).select("o_orderkey", "o_custkey", "c_mktsegment",
+                                                                "c_nationkey")
+
+
+@register("merge_frames", FRAMES_SQL.replace("frames AS (", "", 1).rstrip().rstrip(")").replace(
+    "SELECT l.*, o.*, c.*, p.p_name, p.p_brand,",
+    "SELECT l_orderkey, l_linenumber, l_partkey, o_custkey, c_mktsegment, p_name, p_brand,"))
+def q_merge_frames(spark, sf_dir):
+    """J1-J3 together: the stand-in of the tracking merge."""
+    return _frames(spark, sf_dir).select(*_ROW_ID, "o_custkey", "c_mktsegment", "p_name", "p_brand",
+                                         "pos", "run_dir")
+
+
+@register("join_fanout_report", """
+SELECT p_name, count(*) AS n_rows, min(p_partkey) AS min_id, max(p_partkey) AS max_id
+FROM part GROUP BY p_name HAVING count(*) > 1""")
+def q_join_fanout_report(spark, sf_dir):
+    """Player names that match several player rows (each would duplicate
+    every tracking row of that name in a name join, B9)."""
+    from huddle.operators.joins import fanout_report
+    from huddle.sources.readers import read_table
+    return fanout_report(read_table(spark, sf_dir, "part"), "p_name", "p_partkey")
+
+
+@register("join_left_name", """
+WITH f AS (SELECT p.p_name AS name, count(*) AS fact_rows FROM lineitem l JOIN part p ON l_partkey = p_partkey
+           GROUP BY p.p_name),
+d AS (SELECT p_name, count(*) AS dim_rows FROM part GROUP BY p_name)
+SELECT name, fact_rows, CAST(coalesce(dim_rows, 0) AS BIGINT) AS dim_rows,
+       CAST(fact_rows * greatest(coalesce(dim_rows, 0), 1) AS BIGINT) AS joined_rows
+FROM f LEFT JOIN d ON f.name = d.p_name""")
+def q_join_left_name(spark, sf_dir):
+    """J3 on a name, pre-aggregated: per name, the rows a left join on the
+    name would produce.  The dimension is reduced to one row per name before
+    joining, so nothing fans out."""
+    from huddle.operators.joins import fanout_join_summary
+    from huddle.sources.readers import read_table
+    l = read_table(spark, sf_dir, "lineitem")
+    p = read_table(spark, sf_dir, "part")
+    facts = l.join(p.select("p_partkey", F.col("p_name").alias("name")), l.l_partkey == p.p_partkey)
+    return fanout_join_summary(facts, p, "name", "p_name").drop("p_name")
+
+
+# --------------------------------------------------------------------------
+# aggregates
+# --------------------------------------------------------------------------
+@register("avg_by_team", with_frames("""
+SELECT c_mktsegment, round(avg(o_totalprice), 6) AS avg_yards FROM frames
+WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY c_mktsegment"""))
+def q_avg_by_team(spark, sf_dir):
+    from huddle.operators.tendencies import avg_by_team
+    return avg_by_team(_frames(spark, sf_dir), DRIVER).withColumn("avg_yards", rnd("avg_yards"))
+
+
+@register("avg_by_team_per_play", with_frames(f"""
+p AS (SELECT {KEYS_SQL}, max(c_mktsegment) AS c_mktsegment, max(o_totalprice) AS o_totalprice FROM frames
+      WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY {KEYS_SQL})
+SELECT c_mktsegment, round(avg(o_totalprice), 6) AS avg_yards FROM p GROUP BY c_mktsegment"""))
+def q_avg_by_team_per_play(spark, sf_dir):
+    from huddle.operators.tendencies import avg_by_team_per_play
+    return avg_by_team_per_play(_frames(spark, sf_dir), DRIVER).withColumn("avg_yards", rnd("avg_yards"))
+
+
+@register("avg_by_formation", with_frames("""
+SELECT o_orderstatus, round(avg(o_totalprice), 6) AS avg_yards_lr FROM frames
+WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderstatus IS NOT NULL
+  AND (o_orderpriority LIKE '%URGENT%' OR o_orderpriority LIKE '%HIGH%'
+       OR o_orderpriority LIKE '%LOW%' OR o_orderpriority LIKE '%NOT%')
+GROUP BY o_orderstatus"""))
+def q_avg_by_formation(spark, sf_dir):
+    from huddle.operators.frames import substring_or_filter
+    from huddle.operators.tendencies import avg_by_formation
+    rows = substring_or_filter(_frames(spark, sf_dir), DRIVER)
+    return avg_by_formation(rows, DRIVER).withColumn("avg_yards_lr", rnd("avg_yards_lr"))
+
+
+_ENTITY_ROWS_SQL = """
+er AS (SELECT * FROM frames WHERE o_orderpriority IS NOT NULL
+       AND regexp_matches(o_orderpriority, 'URGENT|HIGH|LOW|NOT') AND pos IN ('T','G','C','TE')
+       AND o_totalprice IS NOT NULL)"""
+
+
+@register("avg_by_entity", with_frames(_ENTITY_ROWS_SQL + """
+SELECT l_partkey, round(avg(o_totalprice), 6) AS avg_yards FROM er GROUP BY l_partkey"""))
+def q_avg_by_entity(spark, sf_dir):
+    """Mean outcome per player over left/right run rows."""
+    from huddle.operators.frames import regex_filter
+    from huddle.operators.tendencies import avg_by
+    rows = regex_filter(_frames(spark, sf_dir), DRIVER, None, required=[DRIVER.outcome])
+    return avg_by(rows, [DRIVER.entity], DRIVER.outcome).withColumn("avg_yards", rnd("avg_yards"))
+
+
+@register("distinct_segments", with_frames("""
+SELECT DISTINCT c_mktsegment FROM frames"""))
+def q_distinct_segments(spark, sf_dir):
+    from huddle.operators.tendencies import distinct_segments
+    return distinct_segments(_frames(spark, sf_dir), DRIVER.team)
+
+
+@register("first_attribute", with_frames("""
+SELECT l_partkey, arg_min(p_name, (l_orderkey, l_linenumber)) AS p_name,
+       arg_min(pos, (l_orderkey, l_linenumber)) AS pos, count(*) AS num_samples
+FROM frames GROUP BY l_partkey"""))
+def q_first_attribute(spark, sf_dir):
+    """Name and role of each player's first row (by play, then line)."""
+    from huddle.operators.tendencies import first_attribute
+    return first_attribute(_frames(spark, sf_dir), [DRIVER.entity], [DRIVER.entity_name, "pos"],
+                           ["l_orderkey", "l_linenumber"])
