@@ -529,3 +529,184 @@ def q_first_attribute(spark, sf_dir):
     from huddle.operators.tendencies import first_attribute
     return first_attribute(_frames(spark, sf_dir), [DRIVER.entity], [DRIVER.entity_name, "pos"],
                            ["l_orderkey", "l_linenumber"])
+
+
+# --------------------------------------------------------------------------
+# per-player side study and leaderboards
+# --------------------------------------------------------------------------
+_STUDY_SQL = f"""
+sr AS (SELECT * FROM frames WHERE o_orderpriority IS NOT NULL
+       AND regexp_matches(o_orderpriority, 'URGENT|HIGH|LOW|NOT') AND pos IN ('T','G','C','TE')
+       AND {_REQ_SQL}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {KEYS_SQL}, pos ORDER BY {ORDER_SQL}) AS position_index FROM sr),
+sl AS (SELECT *, CASE WHEN pos = 'T' AND position_index = 1 THEN 'LT' WHEN pos = 'T' AND position_index = 2 THEN 'RT'
+                      WHEN pos = 'G' AND position_index = 1 THEN 'LG' WHEN pos = 'G' AND position_index = 2 THEN 'RG'
+                      WHEN pos = 'C' THEN 'C' WHEN pos = 'TE' THEN 'TE' END AS true_position FROM rk),
+cy AS (SELECT {KEYS_SQL}, min(l_extendedprice) AS center_y FROM sl WHERE pos = 'C' GROUP BY {KEYS_SQL}),
+st AS (SELECT sl.*, sl.l_extendedprice - cy.center_y AS y_rel_C FROM sl
+       LEFT JOIN cy ON sl.o_custkey = cy.o_custkey AND sl.l_orderkey = cy.l_orderkey
+       WHERE sl.true_position IS NOT NULL),
+pv AS (SELECT l_partkey, p_name, true_position,
+         avg(CASE WHEN run_dir = 'left' THEN l_quantity END) AS left_dir,
+         avg(CASE WHEN run_dir = 'left' THEN l_discount END) AS left_o,
+         avg(CASE WHEN run_dir = 'left' THEN y_rel_C END) AS left_yrel,
+         avg(CASE WHEN run_dir = 'right' THEN l_quantity END) AS right_dir,
+         avg(CASE WHEN run_dir = 'right' THEN l_discount END) AS right_o,
+         avg(CASE WHEN run_dir = 'right' THEN y_rel_C END) AS right_yrel
+       FROM st GROUP BY l_partkey, p_name, true_position),
+df AS (SELECT *, abs(left_dir - right_dir) AS dir_diff, abs(left_o - right_o) AS o_diff,
+              abs(left_yrel - right_yrel) AS yrel_diff FROM pv),
+dt AS (SELECT *, dir_diff + o_diff + yrel_diff AS total_diff FROM df)"""
+
+_SIDE_COLS = ["left_dir", "left_o", "left_yrel", "right_dir", "right_o", "right_yrel"]
+_DIFF_COLS = ["dir_diff", "o_diff", "yrel_diff", "total_diff"]
+
+
+def _study_diff(spark, sf_dir):
+    from huddle.plans.study import side_tendencies, study_rows
+    return side_tendencies(study_rows(_frames(spark, sf_dir), DRIVER, None), DRIVER)
+
+
+def _round_all(df, cols):
+    return df.select(*[rnd(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@register("pivot_sides", with_frames(_STUDY_SQL + """
+SELECT l_partkey, p_name, true_position, """ + ", ".join(f"round({c}, 6) AS {c}" for c in _SIDE_COLS) + " FROM pv"))
+def q_pivot_sides(spark, sf_dir):
+    """G7 + G10: per player and slot, mean measures on left and right runs."""
+    from huddle.operators.pivot import pivot_sides
+    from huddle.plans.study import study_rows
+    rows = study_rows(_frames(spark, sf_dir), DRIVER, None)
+    piv = pivot_sides(rows, [DRIVER.entity, DRIVER.entity_name, "true_position"], DRIVER.label,
+                      {"dir": DRIVER.heading, "o": DRIVER.facing, "yrel": "y_rel_C"})
+    return _round_all(piv, _SIDE_COLS)
+
+
+@register("avg_by_entity_side", with_frames(_STUDY_SQL + f"""
+SELECT l_partkey, p_name, true_position, run_dir, round(avg(l_quantity), 6) AS avg_dir,
+       round(avg(l_discount), 6) AS avg_o, round(avg(y_rel_C), 6) AS avg_yrel
+FROM st GROUP BY l_partkey, p_name, true_position, run_dir"""))
+def q_avg_by_entity_side(spark, sf_dir):
+    """G7 as its own table: one row per player, slot and side."""
+    from huddle.operators.tendencies import avg_by
+    from huddle.plans.study import study_rows
+    rows = study_rows(_frames(spark, sf_dir), DRIVER, None)
+    g = [DRIVER.entity, DRIVER.entity_name, "true_position", DRIVER.label]
+    out = rows.groupBy(*g).agg(F.avg(DRIVER.heading).alias("avg_dir"), F.avg(DRIVER.facing).alias("avg_o"),
+                               F.avg("y_rel_C").alias("avg_yrel"))
+    return _round_all(out, ["avg_dir", "avg_o", "avg_yrel"])
+
+
+@register("side_difference", with_frames(_STUDY_SQL + """
+SELECT l_partkey, p_name, true_position, """ + ", ".join(f"round({c}, 6) AS {c}" for c in _SIDE_COLS + _DIFF_COLS)
+    + " FROM dt"))
+def q_side_difference(spark, sf_dir):
+    return _round_all(_study_diff(spark, sf_dir), _SIDE_COLS + _DIFF_COLS)
+
+
+@register("leaderboard_total", with_frames(_STUDY_SQL + """
+SELECT l_partkey, p_name, true_position, """ + ", ".join(f"round({c}, 6) AS {c}" for c in _DIFF_COLS)
+    + " FROM dt ORDER BY total_diff DESC NULLS LAST, l_partkey, true_position LIMIT 20"))
+def q_leaderboard_total(spark, sf_dir):
+    """The 20 players with the largest total side difference."""
+    from huddle.operators.tendencies import leaderboard_total
+    top = leaderboard_total(_study_diff(spark, sf_dir), [DRIVER.entity, "true_position"], 20)
+    return _round_all(top.select(DRIVER.entity, DRIVER.entity_name, "true_position", *_DIFF_COLS), _DIFF_COLS)
+
+
+@register("leaderboard_by_feature", with_frames(_STUDY_SQL + """,
+lg AS (SELECT l_partkey, p_name, true_position, 'dir_diff' AS feature, dir_diff AS value FROM dt
+       UNION ALL SELECT l_partkey, p_name, true_position, 'o_diff', o_diff FROM dt
+       UNION ALL SELECT l_partkey, p_name, true_position, 'yrel_diff', yrel_diff FROM dt),
+rkd AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value DESC NULLS LAST,
+                                     l_partkey, p_name, true_position) AS rank FROM lg)
+SELECT l_partkey, p_name, true_position, feature, round(value, 6) AS value, rank FROM rkd WHERE rank <= 10"""))
+def q_leaderboard_by_feature(spark, sf_dir):
+    """Top 10 players of each difference feature."""
+    from huddle.operators.tendencies import leaderboard_by_feature
+    from huddle.plans.study import DIFF_FEATURES
+    d = _study_diff(spark, sf_dir).select(DRIVER.entity, DRIVER.entity_name, "true_position", *DIFF_FEATURES)
+    out = leaderboard_by_feature(d, [DRIVER.entity, DRIVER.entity_name, "true_position"], DIFF_FEATURES, 10)
+    return out.withColumn("value", rnd("value"))
+
+
+# --------------------------------------------------------------------------
+# ordered frames: the frame before an event
+# --------------------------------------------------------------------------
+@register("frame_before_event", """
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame_no FROM events),
+s AS (SELECT user_id, max(frame_no) AS m FROM n WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT n.user_id, n.frame_no, n.event_id, n.event_type, n.value
+FROM n JOIN s ON n.user_id = s.user_id AND n.frame_no = s.m - 1""")
+def q_frame_before_event(spark, sf_dir):
+    """J7 on the events stream: each user's row just before their last
+    purchase, with its 1-based position in the user's order."""
+    from huddle.operators.frames import previous_row_before_last
+    from huddle.sources.standin import driver_events
+    ev = driver_events(spark, sf_dir)
+    out = previous_row_before_last(ev, "user_id", ["ts", "event_id"], "event_type", "purchase",
+                                   carry=["event_type", "value"])
+    return out.select("user_id", "frame_no", "event_id", "event_type", "value")
+
+
+@register("frame_before_event_offset", """
+WITH s AS (SELECT l_orderkey, max(l_linenumber) - 1 AS w FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_returnflag
+FROM lineitem l JOIN s ON l.l_orderkey = s.l_orderkey AND l.l_linenumber = s.w""")
+def q_frame_before_event_offset(spark, sf_dir):
+    """J7 with integer frames, the reference's ``frame == last event frame - 1``
+    equi-join: play = order, frame = line number, event = a returned line."""
+    from huddle.operators.frames import frame_before_event
+    from huddle.sources.readers import read_table
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    return frame_before_event(li, ["l_orderkey"], "l_linenumber", "l_returnflag", "R")
+
+
+# --------------------------------------------------------------------------
+# sources
+# --------------------------------------------------------------------------
+@register("scan_parquet", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem WHERE l_quantity > 45""")
+def q_scan_parquet(spark, sf_dir):
+    """S4 with a projection and a filter that reach the scan (ReadSchema,
+    PushedFilters)."""
+    from huddle.sources.readers import read_table
+    return (read_table(spark, sf_dir, "lineitem")
+            .select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+            .filter(F.col("l_quantity") > 45))
+
+
+@register("scan_union_parts", """
+SELECT o_orderkey, o_custkey, o_totalprice, NULL::VARCHAR AS c_mktsegment FROM orders
+UNION ALL SELECT NULL::BIGINT, c_custkey, NULL::DOUBLE, c_mktsegment FROM customer""")
+def q_scan_union_parts(spark, sf_dir):
+    """Parts with different columns unioned by name (missing -> null)."""
+    from huddle.sources.readers import read_table, union_parts
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return union_parts([o, c]).select("o_orderkey", "o_custkey", "o_totalprice", "c_mktsegment")
+
+
+@register("normalize_nulls", """
+SELECT event_id, CASE WHEN event_type IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan',
+  '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null', 'error') THEN NULL
+  ELSE event_type END AS event_type,
+  CASE WHEN isnan(value) THEN NULL ELSE value END AS value FROM events""")
+def q_normalize_nulls(spark, sf_dir):
+    """Missing-value tokens (pandas' list plus a table-specific one,
+    'error') become null; NaN becomes null."""
+    from huddle.functions.expressions import PANDAS_NA_TOKENS
+    from huddle.sources.readers import normalize_nulls, read_table
+    ev = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return normalize_nulls(ev, tuple(PANDAS_NA_TOKENS) + ("error",))
+
+
+@register("repartition_preserves_rows", with_frames(f"""
+SELECT {KEYS_SQL}, count(*) AS n_rows, count(DISTINCT l_partkey) AS n_players FROM frames GROUP BY {KEYS_SQL}"""))
+def q_repartition_preserves_rows(spark, sf_dir):
+    """The merged rows clustered by play (hash on the play keys instead
+    of round-robin); rows per play are unchanged."""
+    f = _frames(spark, sf_dir).repartition(*DRIVER.keys)
+    return f.groupBy(*DRIVER.keys).agg(F.count(F.lit(1)).alias("n_rows"),
+                                       F.countDistinct("l_partkey").alias("n_players"))
