@@ -710,3 +710,259 @@ def q_repartition_preserves_rows(spark, sf_dir):
     f = _frames(spark, sf_dir).repartition(*DRIVER.keys)
     return f.groupBy(*DRIVER.keys).agg(F.count(F.lit(1)).alias("n_rows"),
                                        F.countDistinct("l_partkey").alias("n_players"))
+
+
+# --------------------------------------------------------------------------
+# evaluation on the scored fixture
+# --------------------------------------------------------------------------
+_SCORED_SQL = """
+sc AS (SELECT *, run_dir AS label, CASE WHEN l_quantity <= 25.0 THEN 'left' ELSE 'right' END AS prediction
+       FROM frames WHERE run_dir IN ('left', 'right'))"""
+
+
+def _scored(spark, sf_dir):
+    from huddle.plans.scored import scored_rows
+    return scored_rows(_frames(spark, sf_dir), DRIVER)
+
+
+def _acc_sql(seg: str, min_rows: int = 0) -> str:
+    having = f" HAVING count(*) >= {min_rows}" if min_rows else ""
+    return (f"SELECT {seg}, count(*) AS n, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) "
+            f"AS accuracy FROM sc GROUP BY {seg}{having}")
+
+
+@register("accuracy_by_segment", with_frames(_SCORED_SQL + "\n" + _acc_sql("c_mktsegment")))
+def q_accuracy_by_segment(spark, sf_dir):
+    from huddle.operators.evaluate import accuracy_by_segment
+    return accuracy_by_segment(_scored(spark, sf_dir), DRIVER.team).withColumn("accuracy", rnd("accuracy"))
+
+
+@register("rank_segments", with_frames(_SCORED_SQL + "\n" + _acc_sql("o_orderstatus") + " ORDER BY accuracy DESC"))
+def q_rank_segments(spark, sf_dir):
+    from huddle.operators.evaluate import accuracy_by_segment, rank_segments
+    acc = accuracy_by_segment(_scored(spark, sf_dir), DRIVER.formation).withColumn("accuracy", rnd("accuracy"))
+    return rank_segments(acc, "accuracy", [DRIVER.formation])
+
+
+@register("confusion_matrix", with_frames(_SCORED_SQL + """
+SELECT label, count(CASE WHEN prediction = 'left' THEN 1 END) AS pred_left,
+       count(CASE WHEN prediction = 'right' THEN 1 END) AS pred_right FROM sc GROUP BY label"""))
+def q_confusion_matrix(spark, sf_dir):
+    from huddle.operators.evaluate import confusion_matrix
+    return confusion_matrix(_scored(spark, sf_dir), ["left", "right"])
+
+
+@register("classification_report", with_frames(_SCORED_SQL + """,
+c AS (SELECT count(*) AS n, sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS hits,
+        count(CASE WHEN label = 'left' AND prediction = 'left' THEN 1 END) AS tp0,
+        count(CASE WHEN prediction = 'left' THEN 1 END) AS pp0, count(CASE WHEN label = 'left' THEN 1 END) AS s0,
+        count(CASE WHEN label = 'right' AND prediction = 'right' THEN 1 END) AS tp1,
+        count(CASE WHEN prediction = 'right' THEN 1 END) AS pp1, count(CASE WHEN label = 'right' THEN 1 END) AS s1
+      FROM sc),
+pc AS (SELECT 'left' AS class, tp0 / pp0 AS precision, tp0 / s0 AS recall, s0 AS support FROM c
+       UNION ALL SELECT 'right', tp1 / pp1, tp1 / s1, s1 FROM c),
+pf AS (SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM pc),
+al AS (SELECT class, precision, recall, f1, CAST(support AS BIGINT) AS support FROM pf
+       UNION ALL SELECT 'accuracy', NULL, NULL, (SELECT hits / n FROM c), (SELECT n FROM c)
+       UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM pf
+       UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                        sum(f1 * support) / sum(support), sum(support) FROM pf)
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM al"""))
+def q_classification_report(spark, sf_dir):
+    from huddle.operators.evaluate import classification_report
+    rep = classification_report(_scored(spark, sf_dir), ["left", "right"])
+    return _round_all(rep, ["precision", "recall", "f1"])
+
+
+_ENTITY_ACC_SQL = _SCORED_SQL + """,
+ea AS (SELECT l_partkey, count(*) AS n, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy
+       FROM sc GROUP BY l_partkey HAVING count(*) >= 20)"""
+
+
+@register("top_bottom_entities", with_frames(_ENTITY_ACC_SQL + """,
+t AS (SELECT l_partkey, n, accuracy, 'top' AS "end" FROM ea ORDER BY accuracy DESC, l_partkey LIMIT 10),
+b AS (SELECT l_partkey, n, accuracy, 'bottom' AS "end" FROM ea ORDER BY accuracy ASC, l_partkey LIMIT 10)
+SELECT l_partkey, n, round(accuracy, 6) AS accuracy, "end" FROM (SELECT * FROM t UNION ALL SELECT * FROM b)"""))
+def q_top_bottom_entities(spark, sf_dir):
+    """T5: the ten most and ten least predictable players (20+ rows)."""
+    from huddle.operators.evaluate import accuracy_by_segment
+    from huddle.operators.tendencies import top_bottom
+    acc = accuracy_by_segment(_scored(spark, sf_dir), DRIVER.entity, min_rows=20)
+    return top_bottom(acc, "accuracy", [DRIVER.entity], 10).withColumn("accuracy", rnd("accuracy"))
+
+
+@register("top_bottom_union", with_frames(_SCORED_SQL + """,
+ta AS (SELECT c_mktsegment, count(*) AS n, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy
+       FROM sc GROUP BY c_mktsegment),
+t AS (SELECT *, 'top' AS "end" FROM ta ORDER BY accuracy DESC, c_mktsegment LIMIT 3),
+b AS (SELECT *, 'bottom' AS "end" FROM ta ORDER BY accuracy ASC, c_mktsegment LIMIT 3)
+SELECT c_mktsegment, n, round(accuracy, 6) AS accuracy, "end" FROM (SELECT * FROM t UNION ALL SELECT * FROM b)"""))
+def q_top_bottom_union(spark, sf_dir):
+    """Top 3 and bottom 3 teams concatenated (5 teams: one repeats)."""
+    from huddle.operators.evaluate import accuracy_by_segment
+    from huddle.operators.tendencies import top_bottom
+    acc = accuracy_by_segment(_scored(spark, sf_dir), DRIVER.team)
+    return top_bottom(acc, "accuracy", [DRIVER.team], 3).withColumn("accuracy", rnd("accuracy"))
+
+
+def _rules_sql() -> str:
+    from huddle.plans.scored import RULES
+    parts = [f"SELECT '{n}' AS family, {i} AS order_idx, avg(CASE WHEN (CASE WHEN l_quantity <= {t} THEN 'left' "
+             f"ELSE 'right' END) = run_dir THEN 1.0 ELSE 0.0 END) AS accuracy FROM frames "
+             f"WHERE run_dir IN ('left', 'right')" for i, (n, t) in enumerate(RULES)]
+    return " UNION ALL ".join(parts)
+
+
+@register("best_model", with_frames(f"""
+r AS ({_rules_sql()})
+SELECT family, order_idx, round(accuracy, 6) AS accuracy FROM r
+ORDER BY accuracy DESC, order_idx ASC LIMIT 1"""))
+def q_best_model(spark, sf_dir):
+    """The best of several candidate predictors by accuracy, earlier
+    wins ties; the candidates are fixed threshold rules scored on the data."""
+    from huddle.operators.evaluate import best_of, hit
+    from huddle.plans.scored import RULES
+    f = _frames(spark, sf_dir).filter(F.col(DRIVER.label).isin("left", "right"))
+    aggs = [F.avg(F.when((F.when(F.col(DRIVER.heading) <= t, "left").otherwise("right")) == F.col(DRIVER.label),
+                         1.0).otherwise(0.0)).alias(n) for n, t in RULES]
+    wide = f.agg(*aggs)
+    stacked = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("family"), F.lit(i).alias("order_idx"), F.col(n).alias("accuracy"))
+        for i, (n, _) in enumerate(RULES)])).alias("r")).select("r.*")
+    return best_of(stacked, "family", "accuracy", "order_idx").withColumn("accuracy", rnd("accuracy"))
+
+
+# --------------------------------------------------------------------------
+# regression of outcome on predictability
+# --------------------------------------------------------------------------
+_OLS_COLS = ["intercept", "slope", "se_intercept", "se_slope", "t_intercept", "t_slope", "r2", "adj_r2", "f_stat"]
+
+
+def _ols_select_sql(src: str, x: str, y: str, group: str = "", min_rows: int = 0) -> str:
+    g = f"{group}, " if group else ""
+    having = f" HAVING regr_count({y}, {x}) >= {min_rows}" if min_rows else ""
+    gb = f" GROUP BY {group}" if group else ""
+    return f"""
+agg AS (SELECT {g}regr_count({y}, {x}) AS n, regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept,
+          regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy, regr_sxy({y}, {x}) AS sxy, regr_avgx({y}, {x}) AS avgx
+        FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL{gb}{having}),
+d AS (SELECT *, CASE WHEN n > 2 THEN (syy - sxy * sxy / sxx) / (n - 2) END AS s2,
+             CASE WHEN syy > 0 THEN sxy * sxy / (sxx * syy) END AS r2 FROM agg),
+e AS (SELECT *, sqrt(s2 / sxx) AS se_slope, sqrt(s2 * (1.0 / n + avgx * avgx / sxx)) AS se_intercept FROM d)
+SELECT {g}CAST(n AS BIGINT) AS n, round(intercept, 4) AS intercept, round(slope, 4) AS slope,
+  round(se_intercept, 4) AS se_intercept, round(se_slope, 4) AS se_slope,
+  round(intercept / se_intercept, 4) AS t_intercept, round(slope / se_slope, 4) AS t_slope,
+  round(r2, 4) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 4) AS adj_r2,
+  round(r2 / (1 - r2) * (n - 2), 4) AS f_stat FROM e"""
+
+
+_TEAM_METRICS_SQL = _SCORED_SQL + """,
+ay AS (SELECT c_mktsegment, avg(o_totalprice) AS avg_yards FROM frames
+       WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY c_mktsegment),
+ac AS (SELECT c_mktsegment, count(*) AS n, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy
+       FROM sc GROUP BY c_mktsegment),
+tm AS (SELECT ay.c_mktsegment, ay.avg_yards, ac.accuracy, ac.n FROM ay JOIN ac ON ay.c_mktsegment = ac.c_mktsegment)"""
+
+
+def _team_metrics(spark, sf_dir):
+    from huddle.operators.evaluate import accuracy_by_segment
+    from huddle.operators.joins import join_metrics
+    from huddle.operators.tendencies import avg_by_team
+    f = _frames(spark, sf_dir)
+    from huddle.plans.scored import scored_rows
+    acc = accuracy_by_segment(scored_rows(f, DRIVER), DRIVER.team)
+    return join_metrics(avg_by_team(f, DRIVER), acc, DRIVER.team)
+
+
+@register("join_metric_accuracy", with_frames(_TEAM_METRICS_SQL + """
+SELECT c_mktsegment, round(avg_yards, 6) AS avg_yards, round(accuracy, 6) AS accuracy, n FROM tm"""))
+def q_join_metric_accuracy(spark, sf_dir):
+    """Per team, mean outcome beside model accuracy."""
+    return _round_all(_team_metrics(spark, sf_dir), ["avg_yards", "accuracy"])
+
+
+@register("ols_overall", with_frames(_TEAM_METRICS_SQL + "," + _ols_select_sql("tm", "accuracy", "avg_yards")))
+def q_ols_overall(spark, sf_dir):
+    """OLS of mean outcome on accuracy over teams."""
+    from huddle.operators.regress import ols
+    out = ols(_team_metrics(spark, sf_dir), "accuracy", "avg_yards")
+    return out.select("n", *[F.round(F.col(c), 4).alias(c) for c in _OLS_COLS])
+
+
+_ENTITY_TABLE_SQL = _ENTITY_ACC_SQL + """,
+""" + _ENTITY_ROWS_SQL.strip() + """,
+ey AS (SELECT l_partkey, avg(o_totalprice) AS avg_yards FROM er GROUP BY l_partkey),
+ep AS (SELECT l_partkey, arg_min(pos, (l_orderkey, l_linenumber)) AS pos FROM sc GROUP BY l_partkey),
+et AS (SELECT ea.l_partkey, ep.pos, ea.accuracy, ey.avg_yards FROM ea JOIN ey ON ea.l_partkey = ey.l_partkey
+       JOIN ep ON ea.l_partkey = ep.l_partkey)"""
+
+
+def _entity_table(spark, sf_dir):
+    from huddle.operators.evaluate import accuracy_by_segment
+    from huddle.operators.frames import regex_filter
+    from huddle.operators.joins import join_metrics
+    from huddle.operators.tendencies import avg_by, first_attribute
+    f = _frames(spark, sf_dir)
+    from huddle.plans.scored import scored_rows
+    sc = scored_rows(f, DRIVER)
+    acc = accuracy_by_segment(sc, DRIVER.entity, min_rows=20).drop("n")
+    yards = avg_by(regex_filter(f, DRIVER, None, required=[DRIVER.outcome]), [DRIVER.entity], DRIVER.outcome)
+    pos = first_attribute(sc, [DRIVER.entity], ["pos"], ["l_orderkey", "l_linenumber"]).drop("num_samples")
+    return acc.join(yards, DRIVER.entity).join(pos, DRIVER.entity)
+
+
+@register("ols_by_group", with_frames(_ENTITY_TABLE_SQL + "," + _ols_select_sql("et", "accuracy", "avg_yards",
+                                                                                "pos", 10)))
+def q_ols_by_group(spark, sf_dir):
+    """OLS over players, one fit per role (groups of 10+), all in one
+    aggregate job."""
+    from huddle.operators.regress import ols
+    out = ols(_entity_table(spark, sf_dir), "accuracy", "avg_yards", ["pos"], min_rows=10)
+    return out.select("pos", "n", *[F.round(F.col(c), 4).alias(c) for c in _OLS_COLS])
+
+
+@register("ols_summary")
+def q_ols_summary(spark, sf_dir):
+    """The OLS table with two-sided p-values (no SQL twin: SQL has no
+    Student-t distribution)."""
+    from huddle.operators.regress import ols_summary
+    return ols_summary(_entity_table(spark, sf_dir), "accuracy", "avg_yards", ["pos"], min_rows=10)
+
+
+@register("fitted_values", with_frames(_TEAM_METRICS_SQL + """,
+cf AS (SELECT regr_intercept(avg_yards, accuracy) AS a, regr_slope(avg_yards, accuracy) AS b FROM tm)
+SELECT c_mktsegment, round(accuracy, 6) AS accuracy, round(avg_yards, 6) AS avg_yards,
+       round(a + b * accuracy, 4) AS fitted FROM tm, cf"""))
+def q_fitted_values(spark, sf_dir):
+    """The fitted line at every team's accuracy."""
+    from huddle.operators.regress import fitted_values, ols
+    tm = _team_metrics(spark, sf_dir)
+    fit = fitted_values(tm, ols(tm, "accuracy", "avg_yards"), "accuracy")
+    return fit.select(DRIVER.team, rnd("accuracy").alias("accuracy"), rnd("avg_yards").alias("avg_yards"),
+                      F.round("fitted", 4).alias("fitted"))
+
+
+# --------------------------------------------------------------------------
+# encoding and split
+# --------------------------------------------------------------------------
+@register("label_encode", _wide_sql(FULL_SLOTS, True).replace(
+    "SELECT * FROM o WHERE",
+    "SELECT o_custkey, l_orderkey, run_dir, CAST(dense_rank() OVER (ORDER BY run_dir) - 1 AS DOUBLE) AS label_idx "
+    "FROM o WHERE"))
+def q_label_encode(spark, sf_dir):
+    """M1: alphabetical label codes (left 0, right 1) on the wide rows."""
+    from huddle.operators.models import label_encoder
+    wide = q_wide_features(spark, sf_dir)
+    enc = label_encoder("run_dir").fit(wide)
+    return enc.transform(wide).select("o_custkey", "l_orderkey", "run_dir", "label_idx")
+
+
+@register("train_test_split", _wide_sql(FULL_SLOTS, True).replace(
+    "SELECT * FROM o WHERE",
+    "SELECT o_custkey, l_orderkey, CASE WHEN CAST('0x' || substr(md5('42:' || o_custkey || ':' || l_orderkey), 1, 8) "
+    "AS UBIGINT) % 100 < 75 THEN 'train' ELSE 'test' END AS split FROM o WHERE"))
+def q_train_test_split(spark, sf_dir):
+    """M2: 75/25 split by a hash of the play key, seed 42."""
+    from huddle.operators.models import with_split
+    return with_split(q_wide_features(spark, sf_dir), DRIVER.keys).select("o_custkey", "l_orderkey", "split")
