@@ -163,7 +163,7 @@ FAMILIES = ("RandomForest", "GradientBoosting", "LogReg")
 
 
 def grid_search(spark: SparkSession, data: DataFrame, features: Sequence[str], label: str, keys: Sequence[str],
-                families: Sequence[str] = FAMILIES, folds: int = 3, parallelism: int = 4,
+                families: Sequence[str] = FAMILIES, folds: int = 3, parallelism: int = 8,
                 grids: dict | None = None) -> DataFrame:
     """3-fold grid search per model family on the training side, scored on
     the held-out side (M11-M13).  Folds come from a key hash (``foldCol``)."""
@@ -193,7 +193,7 @@ SEARCH_SPACE = dict(numTrees=(50, 300), maxDepth=(3, 20), minInstancesPerNode=(1
 
 
 def random_search(spark: SparkSession, data: DataFrame, features: Sequence[str], label: str,
-                  keys: Sequence[str], trials: int = 50, seed: int = SEED, parallelism: int = 4) -> DataFrame:
+                  keys: Sequence[str], trials: int = 50, seed: int = SEED, parallelism: int = 8) -> DataFrame:
     """Seeded random search over the tuned-forest space (M15): every trial is
     an MLlib fit on the training side, scored on a validation fold carved
     from training (not on the test side, B22); the best trial's test

@@ -966,3 +966,92 @@ def q_train_test_split(spark, sf_dir):
     """M2: 75/25 split by a hash of the play key, seed 42."""
     from huddle.operators.models import with_split
     return with_split(q_wide_features(spark, sf_dir), DRIVER.keys).select("o_custkey", "l_orderkey", "split")
+
+
+# --------------------------------------------------------------------------
+# learning operators (rows-only checks: fitted models have no SQL twin)
+# --------------------------------------------------------------------------
+# Segment minimum for the stand-in: the driver tables give a few hundred
+# complete plays at sf0.01, so the reference's 100 (teams) would leave no
+# segment; 50 keeps every segment of that scale in play.
+STANDIN_MIN_SEGMENT = 50
+STANDIN_MIN_PLAYER = 20
+
+
+def _model_table(spark, sf_dir):
+    from huddle.plans.modeling import model_table
+    return model_table(q_wide_features(spark, sf_dir), DRIVER)
+
+
+@register("assemble_features")
+def q_assemble_features(spark, sf_dir):
+    """Feature vectors of the wide rows (keys, label, attributes dropped)."""
+    from huddle.plans.modeling import assembled
+    return assembled(_model_table(spark, sf_dir), DRIVER)
+
+
+@register("segment_model_role_count")
+def q_segment_model_role_count(spark, sf_dir):
+    """M3: forest per TE count (1, 2)."""
+    from huddle.plans.modeling import by_role_count
+    return by_role_count(spark, _model_table(spark, sf_dir), DRIVER, STANDIN_MIN_SEGMENT)
+
+
+@register("segment_model_team")
+def q_segment_model_team(spark, sf_dir):
+    """M4: forest per team."""
+    from huddle.plans.modeling import by_segment
+    return by_segment(spark, _model_table(spark, sf_dir), DRIVER, DRIVER.team, STANDIN_MIN_SEGMENT)
+
+
+@register("segment_model_formation")
+def q_segment_model_formation(spark, sf_dir):
+    """M5: forest per formation."""
+    from huddle.plans.modeling import by_segment
+    return by_segment(spark, _model_table(spark, sf_dir), DRIVER, DRIVER.formation, STANDIN_MIN_SEGMENT)
+
+
+@register("grid_search_forest")
+def q_grid_search_forest(spark, sf_dir):
+    """3-fold grid over trees x depth."""
+    from huddle.plans.modeling import compare_families
+    return compare_families(spark, _model_table(spark, sf_dir), DRIVER, ["RandomForest"])
+
+
+@register("grid_search_boosted")
+def q_grid_search_boosted(spark, sf_dir):
+    """3-fold grid over rounds x rate x depth of boosted trees."""
+    from huddle.plans.modeling import compare_families
+    return compare_families(spark, _model_table(spark, sf_dir), DRIVER, ["GradientBoosting"])
+
+
+@register("grid_search_logistic")
+def q_grid_search_logistic(spark, sf_dir):
+    """3-fold grid over the inverse regularisation strength."""
+    from huddle.plans.modeling import compare_families
+    return compare_families(spark, _model_table(spark, sf_dir), DRIVER, ["LogReg"])
+
+
+@register("random_search")
+def q_random_search(spark, sf_dir):
+    """50 seeded random trials over the tuned-forest space."""
+    from huddle.plans.modeling import tune_forest
+    return tune_forest(spark, _model_table(spark, sf_dir), DRIVER, 50)
+
+
+@register("top_importances")
+def q_top_importances(spark, sf_dir):
+    """The ten largest feature importances of the forest."""
+    from huddle.plans.modeling import importances
+    return importances(spark, _model_table(spark, sf_dir), DRIVER, 10)
+
+
+@register("entity_model")
+def q_entity_model(spark, sf_dir):
+    """M6: a 100-tree depth-5 bagged classifier per player with 20+ rows, in one
+    grouped job."""
+    from huddle.operators.entity_models import entity_models
+    from huddle.plans.study import player_rows, study_rows
+    rows = player_rows(study_rows(_frames(spark, sf_dir), DRIVER, None), DRIVER)
+    return entity_models(spark, rows, DRIVER.entity, ["l_quantity", "l_discount", "y_rel_C", "dir_o"],
+                         DRIVER.label, [*DRIVER.keys, *DRIVER.tiebreak], min_rows=STANDIN_MIN_PLAYER)

@@ -46,7 +46,8 @@ def leaderboards(diff: DataFrame, layout: Layout, n_total: int = 20, n_feature:
 
 def player_rows(rows: DataFrame, layout: Layout) -> DataFrame:
     """Complete per-row inputs of the per-player models."""
-    return (rows.select(layout.entity, layout.entity_name, SLOT, layout.label, layout.heading,
+    ids = [c for c in (*layout.keys, *layout.tiebreak) if c != layout.entity]
+    return (rows.select(*ids, layout.entity, layout.entity_name, SLOT, layout.label, layout.heading,
                         layout.facing, "y_rel_C")
             .dropna()
             .withColumn("dir_o", F.col(layout.heading) * F.col(layout.facing)))
