@@ -136,8 +136,10 @@ def feature_importances(model: PipelineModel, features: Sequence[str], spark: Sp
     return df.limit(top) if top else df
 
 
-def grid(family: str, est):
-    """Parameter grids of the model comparison."""
+def grid(family: str, est, n_train: int = 1):
+    """Parameter grids of the model comparison (M11-M13).  The logistic
+    grid is over the inverse strength C of an L2 penalty on the summed loss;
+    MLlib's penalty is on the mean loss, so regParam = 1 / (C * n)."""
     b = ParamGridBuilder()
     if family == "RandomForest":
         # depth None (unbounded) becomes MLlib's cap of 30
@@ -145,7 +147,7 @@ def grid(family: str, est):
     elif family == "GradientBoosting":
         b = b.addGrid(est.maxIter, [100, 200]).addGrid(est.stepSize, [0.1, 0.3]).addGrid(est.maxDepth, [3, 5])
     elif family == "LogReg":
-        b = b.addGrid(est.regParam, [1.0 / c for c in (0.1, 1.0, 10.0)])
+        b = b.addGrid(est.regParam, [1.0 / (c * max(1, n_train)) for c in (0.1, 1.0, 10.0)])
     return b.build()
 
 
@@ -155,7 +157,7 @@ def family_estimator(family: str):
     if family == "GradientBoosting":
         return GBTClassifier(featuresCol=FEATURES, labelCol=LABEL_IDX, seed=SEED)
     if family == "LogReg":
-        return LogisticRegression(featuresCol=FEATURES, labelCol=LABEL_IDX, maxIter=1000)
+        return LogisticRegression(featuresCol=FEATURES, labelCol=LABEL_IDX, maxIter=1000, standardization=False)
     raise ValueError(family)
 
 
@@ -174,9 +176,10 @@ def grid_search(spark: SparkSession, data: DataFrame, features: Sequence[str], l
     test = coded.filter("split = 'test'")
     ev = MulticlassClassificationEvaluator(labelCol=LABEL_IDX, predictionCol="prediction", metricName="accuracy")
     rows = []
+    n_train = train.count() if "LogReg" in families else 1
     for order_idx, fam in enumerate(families):
         est = family_estimator(fam)
-        pg = (grids or {}).get(fam) or grid(fam, est)
+        pg = (grids or {}).get(fam) or grid(fam, est, n_train)
         cv = CrossValidator(estimator=est, estimatorParamMaps=pg, evaluator=ev, foldCol="fold",
                             parallelism=parallelism, seed=SEED)
         m = cv.fit(train)

@@ -44,8 +44,9 @@ def wide_features(rows: DataFrame, layout: Layout, slots: Sequence[Slot] = FULL_
     ranked = rank_in_role(base.filter(F.col(layout.role).isin(roles)), layout, limit)
 
     def pick(s: Slot, col: str):
-        cond = (F.col(layout.role) == F.lit(s.role)) & (F.col(INDEX) == F.lit(s.index or 1))
-        return F.max(F.when(cond, F.col(col)))
+        # one SQL expression per cell: a single call to the JVM instead of one per node
+        return F.expr(f"max(CASE WHEN `{layout.role}` = '{s.role}' AND `{INDEX}` = {s.index or 1} "
+                      f"THEN `{col}` END)")
 
     aggs = [F.max(a).alias(a) for a in attributes]
     center = next((s for s in slots if s.role == "C"), None)
@@ -90,7 +91,7 @@ def pivot_sides(rows: DataFrame, group: Sequence[str], side: str, measures: dict
     aggs = []
     for sv in sides:
         for alias, col in measures.items():
-            aggs.append(F.avg(F.when(F.col(side) == F.lit(sv), F.col(col))).alias(f"{sv}_{alias}"))
+            aggs.append(F.expr(f"avg(CASE WHEN `{side}` = '{sv}' THEN `{col}` END)").alias(f"{sv}_{alias}"))
     return rows.groupBy(*group).agg(*aggs)
 
 
