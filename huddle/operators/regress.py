@@ -117,7 +117,10 @@ def fitted_values(points: DataFrame, coefs: DataFrame, x: str, group: Sequence[s
     if group:
         j = points.join(bounded_broadcast(c), list(group), "inner")
     else:
-        # an ungrouped fit is one row (a global aggregate): equi-join on a constant
-        j = (points.withColumn("_fit", F.lit(0))
-             .join(F.broadcast(c.withColumn("_fit", F.lit(0))), "_fit", "inner").drop("_fit"))
+        # an ungrouped fit is exactly one row (a global aggregate): read its two
+        # numbers and apply them as literals, no join at all
+        row = c.first()
+        a = row["intercept"] if row else None
+        b = row["slope"] if row else None
+        j = points.withColumn("intercept", F.lit(a).cast("double")).withColumn("slope", F.lit(b).cast("double"))
     return j.withColumn(name, F.col("intercept") + F.col("slope") * F.col(x)).drop("intercept", "slope")
