@@ -79,7 +79,8 @@ def estimated_size(df: DataFrame) -> int:
     output: a side under the limit by this estimate is under it in fact.
     """
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else str(size.toString()))
     except Exception:  # noqa: BLE001 - no estimate means "do not broadcast"
         return 1 << 62
 

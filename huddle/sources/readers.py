@@ -12,9 +12,20 @@ from pyspark.sql import types as T
 from huddle.functions.expressions import PANDAS_NA_TOKENS, nan_to_null, null_tokens_to_null
 
 
+_SCANS: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table, ``<sf_dir>/<name>.parquet``."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table, ``<sf_dir>/<name>.parquet``.
+
+    The scan DataFrame is reused within a session (the inputs are read-only),
+    which saves a file listing and footer read per query."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    cached = _SCANS.get(key)
+    if cached is None or cached.sparkSession is not spark:
+        cached = _SCANS[key] = spark.read.parquet(path)
+    return cached
 
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
