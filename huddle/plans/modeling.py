@@ -19,7 +19,7 @@ def model_table(wide: DataFrame, layout: Layout, slots=FULL_SLOTS) -> DataFrame:
     """Wide rows with interactions, only left/right labels, lineage cut: many
     fits read this table, so it is checkpointed once into the shared
     checkpoint folder instead of recomputing the joins per fit."""
-    return cut_lineage(keep_label_sides(interaction_features(wide, slots), layout))
+    return cut_lineage(keep_label_sides(interaction_features(wide, slots), layout), "model_table")
 
 
 def by_role_count(spark: SparkSession, table: DataFrame, layout: Layout, min_rows: int = 100,
