@@ -100,3 +100,21 @@ def bounded_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
     if lim > 0 and estimated_size(df) <= lim:
         return F.broadcast(df)
     return df
+
+
+def cluster_conf(input_bytes: int, executors_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a large run, sized from the input: initial shuffle
+    partitions so a partition is about ``target_partition_bytes`` before AQE
+    coalesces them, scan splits of the same size, AQE skew-join splitting of
+    partitions over 4x the median, and at least two waves of tasks."""
+    parts = max(2 * executors_cores, input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.shuffle.partitions": str(int(parts)),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.parquet.filterPushdown": "true",
+    }
