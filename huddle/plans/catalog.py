@@ -1055,3 +1055,38 @@ def q_entity_model(spark, sf_dir):
     rows = player_rows(study_rows(_frames(spark, sf_dir), DRIVER, None), DRIVER)
     return entity_models(spark, rows, DRIVER.entity, ["l_quantity", "l_discount", "y_rel_C", "dir_o"],
                          DRIVER.label, [*DRIVER.keys, *DRIVER.tiebreak], min_rows=STANDIN_MIN_PLAYER)
+
+
+_FORM_METRICS_SQL = _SCORED_SQL + """,
+fy AS (SELECT o_orderstatus, avg(o_totalprice) AS avg_yards_lr FROM frames
+       WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderstatus IS NOT NULL
+         AND (o_orderpriority LIKE '%URGENT%' OR o_orderpriority LIKE '%HIGH%'
+              OR o_orderpriority LIKE '%LOW%' OR o_orderpriority LIKE '%NOT%')
+       GROUP BY o_orderstatus),
+fa AS (SELECT o_orderstatus, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy
+       FROM sc GROUP BY o_orderstatus),
+fm AS (SELECT fy.o_orderstatus, fy.avg_yards_lr, fa.accuracy FROM fy JOIN fa ON fy.o_orderstatus = fa.o_orderstatus)"""
+
+
+@register("ols_formation", with_frames(_FORM_METRICS_SQL + "," + _ols_select_sql("fm", "accuracy", "avg_yards_lr")))
+def q_ols_formation(spark, sf_dir):
+    """M17 (+ J9): OLS of mean outcome on left/right runs on accuracy, over formations."""
+    from huddle.operators.evaluate import accuracy_by_segment
+    from huddle.operators.frames import substring_or_filter
+    from huddle.operators.joins import join_metrics
+    from huddle.operators.regress import ols
+    from huddle.operators.tendencies import avg_by
+    from huddle.plans.scored import scored_rows
+    f = _frames(spark, sf_dir)
+    yards = avg_by(substring_or_filter(f, DRIVER), [DRIVER.formation], DRIVER.outcome, "avg_yards_lr")
+    acc = accuracy_by_segment(scored_rows(f, DRIVER), DRIVER.formation).drop("n")
+    out = ols(join_metrics(yards, acc, DRIVER.formation), "accuracy", "avg_yards_lr")
+    return out.select("n", *[F.round(F.col(c), 4).alias(c) for c in _OLS_COLS])
+
+
+@register("ols_players", with_frames(_ENTITY_TABLE_SQL + "," + _ols_select_sql("et", "accuracy", "avg_yards")))
+def q_ols_players(spark, sf_dir):
+    """M18 (+ J10): OLS of mean outcome on accuracy over all players (20+ rows)."""
+    from huddle.operators.regress import ols
+    out = ols(_entity_table(spark, sf_dir), "accuracy", "avg_yards")
+    return out.select("n", *[F.round(F.col(c), 4).alias(c) for c in _OLS_COLS])
