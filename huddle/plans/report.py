@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from huddle.layout import TRACKING, Layout
 from huddle.operators.entity_models import entity_models
-from huddle.operators.frames import substring_or_filter
+from huddle.operators.frames import regex_filter, substring_or_filter
 from huddle.operators.joins import join_metrics
 from huddle.operators.regress import ols_summary
-from huddle.operators.tendencies import avg_by_formation, avg_by_team, first_attribute, top_bottom
+from huddle.operators.tendencies import avg_by, avg_by_formation, avg_by_team, first_attribute, top_bottom
 from huddle.plans.features import snap_features
 from huddle.plans.modeling import by_role_count, by_segment, model_table
 from huddle.plans.study import leaderboards, player_rows, side_tendencies, study_rows
@@ -59,9 +59,9 @@ def tendency_report(spark: SparkSession, merged: DataFrame, layout: Layout = TRA
     pacc = entity_models(spark, pr, layout.entity, [layout.heading, layout.facing, "y_rel_C", "dir_o"],
                          layout.label, ids, min_rows=min_player).withColumnRenamed("entity", layout.entity)
     first = first_attribute(pr, [layout.entity], [layout.entity_name, "true_position"], ids)
-    player_yards = (merged.filter(F.col(layout.label_source).rlike(layout.label_regex)
-                                  & F.col(layout.outcome).isNotNull())
-                    .groupBy(layout.entity).agg(F.avg(layout.outcome).alias("avg_yards")))
+    # mean outcome over the player's left/right run rows at the event
+    player_yards = avg_by(regex_filter(merged, layout, event_value, required=[layout.outcome]),
+                          [layout.entity], layout.outcome)
     players = pacc.join(first.drop("num_samples"), layout.entity).join(player_yards, layout.entity)
     players = players.dropna(subset=["accuracy", "avg_yards"])
     out["player_metrics"] = players

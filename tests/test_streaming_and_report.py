@@ -84,3 +84,23 @@ def test_report_end_to_end(spark):
     assert out["position_ols"].count() >= 1
     before = tendency_report(spark, merged, TRACKING, before_event=True, min_segment=5, min_player=10)
     assert before["wide_features"].count() == 40
+
+
+def test_cli_load_merge_report(spark, tmp_path):
+    from huddle.__main__ import main
+    full = frame(spark, _season(12))
+    d = tmp_path / "csv"
+    d.mkdir()
+    cols = ["gameId", "playId", "nflId", "displayName", "frameId", "event", "x", "y", "s", "a", "dis", "o", "dir"]
+    full.select(*cols).filter("playId < 6").toPandas().to_csv(d / "tracking_week_1.csv", index=False)
+    full.select(*cols).filter("playId >= 6").toPandas().to_csv(d / "tracking_week_2.csv", index=False)
+    full.select("gameId", "playId", "passResult", "rushLocationType", "absoluteYardlineNumber", "yardsGained",
+                "offenseFormation", "possessionTeam").distinct().toPandas().to_csv(d / "plays.csv", index=False)
+    full.select("gameId").distinct().toPandas().to_csv(d / "games.csv", index=False)
+    full.select("nflId", "displayName", "position").distinct().toPandas().to_csv(d / "players.csv", index=False)
+    main(["load", "--csv-dir", str(d), "--out", str(tmp_path / "pq")])
+    main(["merge", "--parquet-dir", str(tmp_path / "pq"), "--out", str(tmp_path / "merged")])
+    main(["report", "--merged", str(tmp_path / "merged"), "--out", str(tmp_path / "report")])
+    wide = spark.read.parquet(str(tmp_path / "report" / "wide_features"))
+    assert wide.count() == 12
+    assert spark.read.parquet(str(tmp_path / "report" / "leaderboard")).count() == 6
