@@ -87,11 +87,15 @@ def center_reference(df: DataFrame, layout: Layout, center_role: str = "C", name
 
 
 def with_center_offset(df: DataFrame, layout: Layout, inner: bool = False, mode: str = "zero",
-                       name: str = "y_rel_C") -> DataFrame:
+                       name: str = "y_rel_C", center_rows: DataFrame | None = None) -> DataFrame:
     """Attach the center's coordinate and the offset from it.
     ``inner=False`` keeps plays without a center (offset null), as the player
-    study does; the per-play table is broadcast when it fits the limit."""
-    cy = bounded_broadcast(center_reference(df, layout))
+    study does; the per-play table is broadcast when it fits the limit.
+
+    ``center_rows``: the rows before slot ranking.  The center is the same
+    from either (every center row qualifies), but from these the center filter
+    reaches the scan, instead of re-running the ranking window."""
+    cy = bounded_broadcast(center_reference(center_rows if center_rows is not None else df, layout))
     out = df.join(cy, list(layout.keys), "inner" if inner else "left")
     slot_col = SLOT if SLOT in df.columns else None
     return out.withColumn(name, center_offset(layout.lateral, "center_y", slot_col, "C", mode))

@@ -381,7 +381,7 @@ def _center_offset_q(spark, sf_dir, inner, mode):
     from huddle.operators.slots import slot_assign, with_center_offset
     rows = event_frame_filter(_frames(spark, sf_dir), DRIVER, None)
     slotted = slot_assign(rows, DRIVER, FULL_SLOTS)
-    out = with_center_offset(slotted, DRIVER, inner=inner, mode=mode)
+    out = with_center_offset(slotted, DRIVER, inner=inner, mode=mode, center_rows=rows)
     return out.select(*DRIVER.keys, "l_linenumber", "l_partkey", "true_position", "y_rel_C")
 
 

@@ -26,7 +26,7 @@ def study_rows(frames: DataFrame, layout: Layout, event_value: str | None = "bal
     if layout.x and layout.line_of_scrimmage:
         rows = rows.withColumn("x_rel_los", relative_offset(layout.x, layout.line_of_scrimmage))
     slotted = slot_assign(rows, layout, STUDY_SLOTS)
-    return with_center_offset(slotted, layout, inner=False, mode="zero")
+    return with_center_offset(slotted, layout, inner=False, mode="zero", center_rows=rows)
 
 
 def side_tendencies(rows: DataFrame, layout: Layout) -> DataFrame:
