@@ -291,7 +291,7 @@ _RR_PREFIX = RUN_ROWS_SQL + ","
 
 @register("rank_in_role", with_frames(_RR_PREFIX + f"""
 r AS (SELECT {KEYS_SQL}, l_linenumber, l_partkey, pos,
-        row_number() OVER (PARTITION BY {KEYS_SQL}, pos ORDER BY {ORDER_SQL}) AS position_index FROM rr)
+        CAST(row_number() OVER (PARTITION BY {KEYS_SQL}, pos ORDER BY {ORDER_SQL}) AS INTEGER) AS position_index FROM rr)
 SELECT * FROM r WHERE position_index <= 2"""))
 def q_rank_in_role(spark, sf_dir):
     """W1 with the slot rule's limit (only ranks 1 and 2 name a slot)."""
@@ -309,7 +309,7 @@ def _slot_sql(slots) -> str:
     roles = ", ".join(f"'{r}'" for r in sorted({s.role for s in slots}))
     return with_frames(_RR_PREFIX + f"""
 r AS (SELECT {KEYS_SQL}, l_linenumber, l_partkey, pos,
-        row_number() OVER (PARTITION BY {KEYS_SQL}, pos ORDER BY {ORDER_SQL}) AS position_index
+        CAST(row_number() OVER (PARTITION BY {KEYS_SQL}, pos ORDER BY {ORDER_SQL}) AS INTEGER) AS position_index
       FROM rr WHERE pos IN ({roles})),
 s AS (SELECT *, CASE {" ".join(whens)} END AS true_position FROM r)
 SELECT {KEYS_SQL}, l_linenumber, l_partkey, pos, true_position FROM s WHERE true_position IS NOT NULL""")
@@ -368,7 +368,7 @@ def _center_offset_sql(inner: bool, mode: str) -> str:
     join = "JOIN" if inner else "LEFT JOIN"
     return with_frames(_RR_PREFIX + f"""
 r AS (SELECT {KEYS_SQL}, l_linenumber, l_partkey, pos, l_extendedprice AS lat,
-        row_number() OVER (PARTITION BY {KEYS_SQL}, pos ORDER BY {ORDER_SQL}) AS position_index FROM rr),
+        CAST(row_number() OVER (PARTITION BY {KEYS_SQL}, pos ORDER BY {ORDER_SQL}) AS INTEGER) AS position_index FROM rr),
 s AS (SELECT *, CASE {whens} END AS true_position FROM r),
 c AS (SELECT {KEYS_SQL}, min(l_extendedprice) AS center_y FROM rr WHERE pos = 'C' GROUP BY {KEYS_SQL})
 SELECT s.o_custkey, s.l_orderkey, s.l_linenumber, s.l_partkey, s.true_position, {expr} AS y_rel_C
@@ -538,7 +538,7 @@ _STUDY_SQL = f"""
 sr AS (SELECT * FROM frames WHERE o_orderpriority IS NOT NULL
        AND regexp_matches(o_orderpriority, 'URGENT|HIGH|LOW|NOT') AND pos IN ('T','G','C','TE')
        AND {_REQ_SQL}),
-rk AS (SELECT *, row_number() OVER (PARTITION BY {KEYS_SQL}, pos ORDER BY {ORDER_SQL}) AS position_index FROM sr),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY {KEYS_SQL}, pos ORDER BY {ORDER_SQL}) AS INTEGER) AS position_index FROM sr),
 sl AS (SELECT *, CASE WHEN pos = 'T' AND position_index = 1 THEN 'LT' WHEN pos = 'T' AND position_index = 2 THEN 'RT'
                       WHEN pos = 'G' AND position_index = 1 THEN 'LG' WHEN pos = 'G' AND position_index = 2 THEN 'RG'
                       WHEN pos = 'C' THEN 'C' WHEN pos = 'TE' THEN 'TE' END AS true_position FROM rk),
@@ -619,8 +619,8 @@ def q_leaderboard_total(spark, sf_dir):
 lg AS (SELECT l_partkey, p_name, true_position, 'dir_diff' AS feature, dir_diff AS value FROM dt
        UNION ALL SELECT l_partkey, p_name, true_position, 'o_diff', o_diff FROM dt
        UNION ALL SELECT l_partkey, p_name, true_position, 'yrel_diff', yrel_diff FROM dt),
-rkd AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value DESC NULLS LAST,
-                                     l_partkey, p_name, true_position) AS rank FROM lg)
+rkd AS (SELECT *, CAST(row_number() OVER (PARTITION BY feature ORDER BY value DESC NULLS LAST,
+                                     l_partkey, p_name, true_position) AS INTEGER) AS rank FROM lg)
 SELECT l_partkey, p_name, true_position, feature, round(value, 6) AS value, rank FROM rkd WHERE rank <= 10"""))
 def q_leaderboard_by_feature(spark, sf_dir):
     """Top 10 players of each difference feature."""

@@ -17,14 +17,19 @@ def con():
     return duck(SF)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     s_rows = [tuple(r) for r in df.collect()]
     res = con.execute(SQL[name])
     d_cols = [d[0] for d in res.description]
+    d_types = {d[0]: str(d[1]) for d in res.description}
     d_rows = res.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
+    assert {f.name: TYPES.get(f.dataType.simpleString()) for f in df.schema.fields} == d_types
     assert len(s_rows) == len(d_rows)
     assert canon(s_rows, df.columns) == canon(d_rows, d_cols)
 
