@@ -25,17 +25,56 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = scaled_rounds(sql)
         return fn
     return deco
 
 
+def scaled_rounds(sql: str) -> str:
+    """Rewrite every ``round(expr, k)`` as ``round((expr) * 10^k) / 10^k``,
+    the same arithmetic ``rnd`` does in Spark: one IEEE multiply, a round to
+    integer, one IEEE divide, so both engines give the same double (their
+    own ``round(x, k)`` differ on half-way values)."""
+    out, i = [], 0
+    low = sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 0, j + 5, -1
+        while True:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner = sql[j + 6:comma] if comma > 0 else sql[j + 6:k]
+        places = sql[comma + 1:k].strip() if comma > 0 else "0"
+        scale = "1" + "0" * int(places) + ".0"
+        out.append(sql[i:j] + f"(round(({scaled_rounds(inner)}) * {scale}) / {scale})")
+        i = k + 1
+
+
 def with_frames(body: str) -> str:
     return "WITH " + FRAMES_SQL.strip() + ",\n" + body
 
 
 def rnd(col, places: int = 6):
-    return F.round(F.col(col) if isinstance(col, str) else col, places)
+    """Round to ``places`` decimals as ``round(x * 10^k) / 10^k`` (see
+    ``scaled_rounds``: the SQL twins do the same arithmetic)."""
+    c = F.col(col) if isinstance(col, str) else col
+    scale = float(10 ** places)
+    return F.round(c * F.lit(scale)) / F.lit(scale)
 
 
 # --------------------------------------------------------------------------
@@ -503,14 +542,26 @@ er AS (SELECT * FROM frames WHERE o_orderpriority IS NOT NULL
        AND o_totalprice IS NOT NULL)"""
 
 
-@register("avg_by_entity", with_frames(_ENTITY_ROWS_SQL + """
-SELECT l_partkey, round(avg(o_totalprice), 6) AS avg_yards FROM er GROUP BY l_partkey"""))
+def money_avg_sql(col: str) -> str:
+    """Exact mean of a 2-decimal money column to 6 places, HALF_UP, as a
+    double: integer cents summed, then integer division with rounding.
+    Equals Spark's ``avg`` over ``decimal(18,2)`` (exact sum, HALF_UP)."""
+    s = f"CAST(sum(CAST({col} AS DECIMAL(18,2))) * 100 AS HUGEINT)"
+    return (f"(sign({s}) * ((2 * abs({s}) * 10000 + count({col})) // (2 * count({col}))) / 1000000.0)")
+
+
+@register("avg_by_entity", with_frames(_ENTITY_ROWS_SQL + f"""
+SELECT l_partkey, {money_avg_sql("o_totalprice")} AS avg_yards FROM er GROUP BY l_partkey"""))
 def q_avg_by_entity(spark, sf_dir):
-    """Mean outcome per player over left/right run rows."""
+    """Mean outcome per player over left/right run rows.  The price is
+    money: averaged as decimal(18,2), exact in any summation order."""
+    from pyspark.sql.types import DecimalType
+
     from huddle.operators.frames import regex_filter
     from huddle.operators.tendencies import avg_by
     rows = regex_filter(_frames(spark, sf_dir), DRIVER, None, required=[DRIVER.outcome])
-    return avg_by(rows, [DRIVER.entity], DRIVER.outcome).withColumn("avg_yards", rnd("avg_yards"))
+    rows = rows.withColumn(DRIVER.outcome, F.col(DRIVER.outcome).cast(DecimalType(18, 2)))
+    return avg_by(rows, [DRIVER.entity], DRIVER.outcome).withColumn("avg_yards", F.col("avg_yards").cast("double"))
 
 
 @register("distinct_segments", with_frames("""
@@ -887,7 +938,7 @@ def q_ols_overall(spark, sf_dir):
     """OLS of mean outcome on accuracy over teams."""
     from huddle.operators.regress import ols
     out = ols(_team_metrics(spark, sf_dir), "accuracy", "avg_yards")
-    return out.select("n", *[F.round(F.col(c), 4).alias(c) for c in _OLS_COLS])
+    return out.select("n", *[rnd(c, 4).alias(c) for c in _OLS_COLS])
 
 
 _ENTITY_TABLE_SQL = _ENTITY_ACC_SQL + """,
@@ -919,7 +970,7 @@ def q_ols_by_group(spark, sf_dir):
     aggregate job."""
     from huddle.operators.regress import ols
     out = ols(_entity_table(spark, sf_dir), "accuracy", "avg_yards", ["pos"], min_rows=10)
-    return out.select("pos", "n", *[F.round(F.col(c), 4).alias(c) for c in _OLS_COLS])
+    return out.select("pos", "n", *[rnd(c, 4).alias(c) for c in _OLS_COLS])
 
 
 @register("ols_summary")
@@ -940,7 +991,7 @@ def q_fitted_values(spark, sf_dir):
     tm = _team_metrics(spark, sf_dir)
     fit = fitted_values(tm, ols(tm, "accuracy", "avg_yards"), "accuracy")
     return fit.select(DRIVER.team, rnd("accuracy").alias("accuracy"), rnd("avg_yards").alias("avg_yards"),
-                      F.round("fitted", 4).alias("fitted"))
+                      rnd("fitted", 4).alias("fitted"))
 
 
 # --------------------------------------------------------------------------
@@ -1081,7 +1132,7 @@ def q_ols_formation(spark, sf_dir):
     yards = avg_by(substring_or_filter(f, DRIVER), [DRIVER.formation], DRIVER.outcome, "avg_yards_lr")
     acc = accuracy_by_segment(scored_rows(f, DRIVER), DRIVER.formation).drop("n")
     out = ols(join_metrics(yards, acc, DRIVER.formation), "accuracy", "avg_yards_lr")
-    return out.select("n", *[F.round(F.col(c), 4).alias(c) for c in _OLS_COLS])
+    return out.select("n", *[rnd(c, 4).alias(c) for c in _OLS_COLS])
 
 
 @register("ols_players", with_frames(_ENTITY_TABLE_SQL + "," + _ols_select_sql("et", "accuracy", "avg_yards")))
@@ -1089,4 +1140,4 @@ def q_ols_players(spark, sf_dir):
     """M18 (+ J10): OLS of mean outcome on accuracy over all players (20+ rows)."""
     from huddle.operators.regress import ols
     out = ols(_entity_table(spark, sf_dir), "accuracy", "avg_yards")
-    return out.select("n", *[F.round(F.col(c), 4).alias(c) for c in _OLS_COLS])
+    return out.select("n", *[rnd(c, 4).alias(c) for c in _OLS_COLS])
