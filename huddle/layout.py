@@ -9,7 +9,7 @@ uses the names of the stand-in view built from the driver tables
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -43,8 +43,6 @@ STUDY_SLOTS = (
     Slot("C", "C", None),
     Slot("TE", "TE", None),
 )
-# Measure aliases used in wide column names: <slot>_<alias>.
-MEASURE_ALIASES = ("y", "dir", "o")
 
 
 @dataclass(frozen=True)
@@ -74,12 +72,6 @@ class Layout:
     roles: tuple[str, ...] = ROLES
     entity_group: str | None = None
     label: str = "run_dir"
-    extra: dict = field(default_factory=dict)
-
-    @property
-    def measures(self) -> dict[str, str]:
-        """alias -> column for the three pivoted measures (lateral is offset)."""
-        return {"y": "y_rel", "dir": self.heading, "o": self.facing}
 
     @property
     def label_regex(self) -> str:

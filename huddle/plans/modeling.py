@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huddle.layout import FULL_SLOTS, LINE_SLOTS, Layout
+from huddle.layout import FULL_SLOTS, Layout
 from huddle.operators.models import (
     assembler, feature_importances, fit_and_score, forest, grid_search, random_search, segment_models, with_split,
 )
@@ -62,4 +62,4 @@ def assembled(table: DataFrame, layout: Layout) -> DataFrame:
 
 
 __all__ = ["model_table", "by_role_count", "by_segment", "compare_families", "tune_forest", "importances",
-           "assembled", "LINE_SLOTS"]
+           "assembled"]
