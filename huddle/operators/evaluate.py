@@ -53,7 +53,8 @@ def classification_report(df: DataFrame, classes: Sequence[str], label: str = "l
     counts = df.agg(*aggs)
 
     def safe_div(a, b):
-        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+        # no predicted (or no true) rows of a class: 0, as a report does
+        return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
     rows = []
     for i, c in enumerate(classes):
@@ -66,14 +67,14 @@ def classification_report(df: DataFrame, classes: Sequence[str], label: str = "l
     summary = per.groupBy().agg(
         F.first("n").alias("n"), F.first("hits").alias("hits"),
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"),
+        F.try_divide(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
+        F.try_divide(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
+        F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"),
         F.sum("support").alias("sup"),
     )
     tail = summary.select(F.explode(F.array(
         F.struct(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"), (F.col("hits") / F.col("n")).alias("f1"),
+                 F.lit(None).cast("double").alias("recall"), F.try_divide(F.col("hits"), F.col("n")).alias("f1"),
                  F.col("n").cast("bigint").alias("support")),
         F.struct(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
                  F.col("mf").alias("f1"), F.col("sup").cast("bigint").alias("support")),

@@ -31,19 +31,23 @@ def ols(df: DataFrame, x: str, y: str, group: Sequence[str] = (), min_rows: int
     )
     if min_rows:
         agg = agg.filter(F.col("n") >= min_rows)
+    # try_divide: a constant x, a perfect fit or n <= 2 give null, not an
+    # ANSI division-by-zero error
+    div = F.try_divide
     n = F.col("n").cast("double")
-    sse = F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.col("_sxx")
-    s2 = F.when(n > 2, sse / (n - 2))
-    se_slope = F.sqrt(s2 / F.col("_sxx"))
-    se_int = F.sqrt(s2 * (1.0 / n + F.col("_avgx") * F.col("_avgx") / F.col("_sxx")))
-    r2 = F.when(F.col("_syy") > 0, F.col("_sxy") * F.col("_sxy") / (F.col("_sxx") * F.col("_syy")))
+    sxx, syy, sxy, avgx = F.col("_sxx"), F.col("_syy"), F.col("_sxy"), F.col("_avgx")
+    sse = syy - div(sxy * sxy, sxx)
+    s2 = F.when(n > 2, div(sse, n - 2))
+    se_slope = F.sqrt(div(s2, sxx))
+    se_int = F.sqrt(s2 * (div(F.lit(1.0), n) + div(avgx * avgx, sxx)))
+    r2 = F.when(syy > 0, div(sxy * sxy, sxx * syy))
     return agg.select(
         *g, F.col("n").cast("bigint").alias("n"), "intercept", "slope",
         se_int.alias("se_intercept"), se_slope.alias("se_slope"),
-        (F.col("intercept") / se_int).alias("t_intercept"), (F.col("slope") / se_slope).alias("t_slope"),
+        div(F.col("intercept"), se_int).alias("t_intercept"), div(F.col("slope"), se_slope).alias("t_slope"),
         r2.alias("r2"),
-        (1 - (1 - r2) * (n - 1) / (n - 2)).alias("adj_r2"),
-        (r2 / (1 - r2) * (n - 2)).alias("f_stat"),
+        (1 - div((1 - r2) * (n - 1), n - 2)).alias("adj_r2"),
+        (div(r2, 1 - r2) * (n - 2)).alias("f_stat"),
     )
 
 

@@ -108,3 +108,17 @@ def test_write_clustered_keeps_rows(spark, tmp_path):
     write_clustered(df, out, ["gameId", "playId"], ["id"], num_partitions=4)
     back = spark.read.parquet(out)
     assert back.count() == 1000 and back.select("id").distinct().count() == 1000
+
+
+def test_degenerate_groups_give_nulls_not_errors(spark):
+    from huddle.operators.evaluate import classification_report
+    from huddle.operators.regress import ols_summary
+    const_x = spark.createDataFrame([(1.0, float(i)) for i in range(5)], "x double, y double")
+    r = ols_summary(const_x, "x", "y").collect()[0]
+    assert r.slope is None and r.se_slope is None
+    perfect = spark.createDataFrame([(float(i), 2.0 * i) for i in range(5)], "x double, y double")
+    r = ols_summary(perfect, "x", "y").collect()[0]
+    assert r.slope == 2.0 and r.t_slope is None
+    empty = spark.createDataFrame([], "label string, prediction string")
+    rep = {x["class"]: x for x in classification_report(empty, ["left", "right"]).collect()}
+    assert rep["left"].precision == 0.0 and rep["accuracy"].f1 is None
