@@ -95,7 +95,7 @@ _RESULT_SCHEMA = T.StructType([
 
 def segment_models(spark: SparkSession, data: DataFrame, segment: str, features: Sequence[str], label: str,
                    keys: Sequence[str], min_rows: int = 100, estimator_factory=None, parallelism: int = 4,
-                   segments: Sequence | None = None) -> DataFrame:
+                   segments: Sequence | None = None, max_segments: int = 1000) -> DataFrame:
     """One forest per segment value with at least ``min_rows`` rows (M3-M5):
     split by key hash, fit on train, accuracy on test.
 
@@ -103,8 +103,13 @@ def segment_models(spark: SparkSession, data: DataFrame, segment: str, features:
     segment values (a handful: teams, formations) reaches the driver."""
     split = with_split(data, keys)
     sizes = split.groupBy(segment).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
-    seg_rows = sizes.collect() if segments is None else [
-        r for r in sizes.collect() if r[segment] in set(segments)]
+    if segments is not None:
+        sizes = sizes.filter(F.col(segment).isin(list(segments)))
+    # one distributed fit per segment suits a handful of segments; many small
+    # segments (players) belong to entity_models' single grouped job
+    seg_rows = sizes.limit(max_segments + 1).collect()
+    if len(seg_rows) > max_segments:
+        raise ValueError(f"more than {max_segments} segments of {segment}: use entity_models")
 
     def run(row):
         value, n = row[segment], row["n"]
