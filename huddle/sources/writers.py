@@ -17,10 +17,15 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", compression
 
 def write_clustered(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = (),
                     num_partitions: int | None = None, mode: str = "overwrite") -> None:
-    """Write a keyed table so each play's rows sit in one file, sorted by
-    ``keys + order``: later key-range filters skip row groups by min/max, and
-    readers that group by the keys find the rows together.  Replaces a
-    round-robin repartition, which scatters each play over every file."""
-    parts = df.repartition(num_partitions, *keys) if num_partitions else df.repartition(*keys)
-    parts = parts.sortWithinPartitions(*keys, *order)
+    """Write a keyed table clustered by ``keys`` and sorted by ``keys + order``
+    within each file: later key filters skip row groups by min/max, and a
+    play's rows sit together.  Replaces a round-robin repartition, which
+    scatters each play over every file.
+
+    The shuffle is a REBALANCE on the keys, not a plain repartition: AQE
+    splits a partition that grows past the advisory size (a play holding a
+    third of all rows is written by several tasks) and merges small ones,
+    without an extra sampling pass over the input."""
+    args = ([num_partitions] if num_partitions else []) + list(keys)
+    parts = df.hint("rebalance", *args).sortWithinPartitions(*keys, *order)
     write_parquet(parts, path, mode=mode)
