@@ -122,3 +122,16 @@ def test_degenerate_groups_give_nulls_not_errors(spark):
     empty = spark.createDataFrame([], "label string, prediction string")
     rep = {x["class"]: x for x in classification_report(empty, ["left", "right"]).collect()}
     assert rep["left"].precision == 0.0 and rep["accuracy"].f1 is None
+
+
+def test_bagged_trees_learner():
+    from huddle.operators.entity_models import bagged_trees_accuracy
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 4))
+    y = (x[:, 1] > 0.2).astype(float)
+    assert bagged_trees_accuracy(x[:150], y[:150], x[150:], y[150:], n_trees=25, max_depth=3) >= 0.95
+    noise = rng.integers(0, 2, 200).astype(float)
+    acc = bagged_trees_accuracy(x[:150], noise[:150], x[150:], noise[150:], n_trees=25, max_depth=3)
+    assert 0.2 <= acc <= 0.8
+    # deterministic for a seed
+    assert acc == bagged_trees_accuracy(x[:150], noise[:150], x[150:], noise[150:], n_trees=25, max_depth=3)
