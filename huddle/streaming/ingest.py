@@ -56,3 +56,27 @@ def stream_event_rows(spark: SparkSession, merged_folder: str, schema: T.StructT
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
     return (stream.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", ckpt)
             .outputMode("append").trigger(availableNow=True).start())
+
+
+def stream_wide_features(spark: SparkSession, folder: str, schema: T.StructType, layout, out_path: str,
+                         name: str = "wide_features", event_value: str | None = "ball_snap",
+                         available_now: bool = True):
+    """Wide feature rows for every new part of the merged table.
+
+    Assumes a play's rows at the event frame arrive within one micro-batch
+    (parts are whole weeks of plays and no ``maxFilesPerTrigger`` split), so
+    each micro-batch is run through the same batch plan (``snap_features``)
+    in ``foreachBatch``.  Each batch writes its own
+    folder named by the batch id with overwrite, so a batch replayed after a
+    failure replaces its own output instead of duplicating it."""
+    from huddle.plans.features import snap_features
+
+    def write_batch(batch_df: DataFrame, batch_id: int) -> None:
+        wide = snap_features(batch_df, layout, event_value)
+        wide.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
+
+    stream = read_parts_stream(spark, folder, schema)
+    ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
+    w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()

@@ -104,3 +104,19 @@ def test_cli_load_merge_report(spark, tmp_path):
     wide = spark.read.parquet(str(tmp_path / "report" / "wide_features"))
     assert wide.count() == 12
     assert spark.read.parquet(str(tmp_path / "report" / "leaderboard")).count() == 6
+
+
+def test_stream_wide_features_equals_batch(spark, tmp_path):
+    from huddle.plans.features import snap_features
+    from huddle.streaming.ingest import stream_wide_features
+    merged = frame(spark, _season(30))
+    src = tmp_path / "merged"
+    for g in range(3):  # three weekly parts, whole plays each
+        merged.filter(f"gameId = {g}").write.parquet(str(src / f"week{g}"))
+    out = str(tmp_path / "wide")
+    q = stream_wide_features(spark, str(src / "*"), merged.schema, TRACKING, out, name=f"w{os.getpid()}")
+    q.awaitTermination()
+    got = spark.read.parquet(out).drop("batch")
+    want = snap_features(merged, TRACKING)
+    cols = sorted(want.columns)
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
