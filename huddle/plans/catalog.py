@@ -3,8 +3,11 @@
 Each query callable takes ``(spark, sf_dir)`` and returns a DataFrame over
 whole tables.  The SQL twin of a key runs on the same Parquet tables (views
 ``lineitem orders customer part events ...``).  Computed doubles that come
-from sums are rounded to 6 places on both sides (summation order differs
-between engines); differences of two values are exact and not rounded.
+from sums are rounded on both sides with the same arithmetic (``rnd`` and
+``scaled_rounds``: summation order differs between engines, and their own
+``round`` functions differ on half-way values); money means are exact
+decimals; differences and products of stored values are exact and not
+rounded.  Results agree bit for bit (``tools/check_oracle.py --exact``).
 """
 
 from __future__ import annotations
