@@ -33,7 +33,22 @@ def role_code(flag: str = "l_returnflag", status: str = "l_linestatus"):
             .otherwise("TE"))
 
 
+_FRAMES: dict = {}
+
+
 def driver_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in frames as a lazy DataFrame.  The plan object is reused
+    within a session (nothing is cached in memory; every query still reads
+    the tables), which spares rebuilding and re-analysing the joins."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    hit = _FRAMES.get(key)
+    if hit is not None and hit.sparkSession is spark:
+        return hit
+    _FRAMES[key] = out = _build_frames(spark, sf_dir)
+    return out
+
+
+def _build_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from huddle.operators.joins import merge_frames
 
     lineitem = read_table(spark, sf_dir, "lineitem")
