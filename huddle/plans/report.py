@@ -27,7 +27,11 @@ def _acc_as(df: DataFrame, name: str) -> DataFrame:
 
 def tendency_report(spark: SparkSession, merged: DataFrame, layout: Layout = TRACKING,
                     event_value: str | None = "ball_snap", before_event: bool = False,
-                    min_segment: int = 100, min_player: int = 50, min_position: int = 10) -> dict[str, DataFrame]:
+                    min_segment: int = 100, min_player: int = 50, min_position: int = 10,
+                    study_event: str | None = "ball_snap") -> dict[str, DataFrame]:
+    """All report tables.  ``event_value``/``before_event`` choose the frame of
+    the wide features; the player study and leaderboards always use
+    ``study_event`` (the snap), whichever frame the features use (B21)."""
     out: dict[str, DataFrame] = {}
     wide = snap_features(merged, layout, event_value, before_event)
     table = model_table(wide, layout)
@@ -49,7 +53,7 @@ def tendency_report(spark: SparkSession, merged: DataFrame, layout: Layout = TRA
     out["formation_metrics"] = form
     out["formation_ols"] = ols_summary(form, "accuracy", "avg_yards_lr")
 
-    rows = study_rows(merged, layout, event_value)
+    rows = study_rows(merged, layout, study_event)
     diff = side_tendencies(rows, layout)
     out["side_differences"] = diff
     out["leaderboard"], out["leaderboard_by_feature"] = leaderboards(diff, layout)
@@ -60,7 +64,7 @@ def tendency_report(spark: SparkSession, merged: DataFrame, layout: Layout = TRA
                          layout.label, ids, min_rows=min_player).withColumnRenamed("entity", layout.entity)
     first = first_attribute(pr, [layout.entity], [layout.entity_name, "true_position"], ids)
     # mean outcome over the player's left/right run rows at the event
-    player_yards = avg_by(regex_filter(merged, layout, event_value, required=[layout.outcome]),
+    player_yards = avg_by(regex_filter(merged, layout, study_event, required=[layout.outcome]),
                           [layout.entity], layout.outcome)
     players = pacc.join(first.drop("num_samples"), layout.entity).join(player_yards, layout.entity)
     players = players.dropna(subset=["accuracy", "avg_yards"])
