@@ -29,6 +29,7 @@ def main(argv=None) -> None:
     rp.add_argument("--out", required=True)
     rp.add_argument("--event", default="ball_snap")
     rp.add_argument("--before-event", action="store_true")
+    rp.add_argument("--one-frame", action="store_true", help="keep only the last tagged frame of a play")
     rp.add_argument("--master", default=None)
     a = ap.parse_args(argv)
 
@@ -55,7 +56,7 @@ def main(argv=None) -> None:
         from huddle.layout import TRACKING
         from huddle.plans.report import tendency_report
         merged = spark.read.parquet(a.merged)
-        out = tendency_report(spark, merged, TRACKING, a.event, a.before_event)
+        out = tendency_report(spark, merged, TRACKING, a.event, a.before_event, one_frame=a.one_frame)
         for name, df in out.items():
             df.write.mode("overwrite").parquet(f"{a.out.rstrip('/')}/{name}")
 

@@ -96,7 +96,7 @@ TRACKING = Layout(
     x="x",
     line_of_scrimmage="absoluteYardlineNumber",
     required=("absoluteYardlineNumber", "x", "y", "s", "dir", "o", "a", "dis"),
-    tiebreak=("nflId",),
+    tiebreak=("nflId", "frameId"),
 )
 
 # Stand-in on the driver tables (see huddle.sources.standin and FIXTURES.md):

@@ -16,13 +16,19 @@ from huddle.operators.pivot import wide_features
 
 
 def event_rows(frames: DataFrame, layout: Layout, event_value: str | None = "ball_snap",
-               before_event: bool = False) -> DataFrame:
+               before_event: bool = False, one_frame: bool = False) -> DataFrame:
     """Run-play rows of the line roles at the event frame (or the frame before
-    it), with x relative to the line and the side label attached."""
+    it), with x relative to the line and the side label attached.
+
+    ``one_frame``: when the tag is on several frames of a play, keep only the
+    last tagged frame (B10; otherwise every tagged frame's rows are kept, as
+    a plain event filter does)."""
     src = frames
     if before_event:
         src = frame_before_event(frames, layout.keys, layout.frame, layout.event, event_value)
         event_value = None
+    elif one_frame and event_value is not None:
+        src = frame_before_event(frames, layout.keys, layout.frame, layout.event, event_value, offset=0)
     rows = event_frame_filter(src, layout, event_value)
     if layout.x and layout.line_of_scrimmage:
         rows = rows.withColumn("x_rel_los", relative_offset(layout.x, layout.line_of_scrimmage))
@@ -31,9 +37,9 @@ def event_rows(frames: DataFrame, layout: Layout, event_value: str | None = "bal
 
 
 def snap_features(frames: DataFrame, layout: Layout, event_value: str | None = "ball_snap",
-                  before_event: bool = False) -> DataFrame:
+                  before_event: bool = False, one_frame: bool = False) -> DataFrame:
     """Six slots, label, team, formation, TE count (the flagship table)."""
-    rows = event_rows(frames, layout, event_value, before_event)
+    rows = event_rows(frames, layout, event_value, before_event, one_frame)
     return wide_features(rows, layout, FULL_SLOTS)
 
 

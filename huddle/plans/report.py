@@ -28,12 +28,12 @@ def _acc_as(df: DataFrame, name: str) -> DataFrame:
 def tendency_report(spark: SparkSession, merged: DataFrame, layout: Layout = TRACKING,
                     event_value: str | None = "ball_snap", before_event: bool = False,
                     min_segment: int = 100, min_player: int = 50, min_position: int = 10,
-                    study_event: str | None = "ball_snap") -> dict[str, DataFrame]:
+                    study_event: str | None = "ball_snap", one_frame: bool = False) -> dict[str, DataFrame]:
     """All report tables.  ``event_value``/``before_event`` choose the frame of
     the wide features; the player study and leaderboards always use
     ``study_event`` (the snap), whichever frame the features use (B21)."""
     out: dict[str, DataFrame] = {}
-    wide = snap_features(merged, layout, event_value, before_event)
+    wide = snap_features(merged, layout, event_value, before_event, one_frame)
     table = model_table(wide, layout)
     out["wide_features"] = table
 

@@ -149,3 +149,13 @@ def test_line_only_schema(spark):
     out = line_only_features(frame(spark, play(1, 30)), TRACKING)
     assert out.columns == ["gameId", "playId", "run_dir"] + [f"{s.name}_{m}" for s in LINE_SLOTS
                                                              for m in ("y", "dir", "o")]
+
+
+def test_event_twice_one_frame(spark):
+    rows = play(1, 40, frame=5, event="ball_snap") + play(1, 40, frame=8, event="ball_snap", dir_=7.0)
+    # without one_frame both frames' rows rank together: the tackles of the
+    # two frames fill LT and RT (the duplicate-player behaviour)
+    both = snap_features(frame(spark, rows), TRACKING).collect()
+    assert len(both) == 1 and both[0].num_TEs == 2
+    last = snap_features(frame(spark, rows), TRACKING, one_frame=True).collect()
+    assert len(last) == 1 and last[0].num_TEs == 1 and last[0].LT_dir == 7.0 and last[0].RT_y == 15.0
