@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from huddle.operators.joins import fanout_report, merge_frames
 from huddle.sources.readers import read_csv, read_parts
@@ -18,16 +19,26 @@ from huddle.sources.writers import write_clustered, write_parquet
 
 
 def load_csv_tables(spark: SparkSession, tables: dict[str, str | Sequence[str]], out_dir: str,
-                    schemas: dict | None = None) -> dict[str, DataFrame]:
+                    schemas: dict | None = None, part_column: str = "week",
+                    part_pattern: str = r"(\d+)\.csv$") -> dict[str, DataFrame]:
     """``tables``: name -> CSV path or list of part paths.  Each is written to
-    ``<out_dir>/<name>.parquet``; returns the written tables re-read."""
+    ``<out_dir>/<name>.parquet``; returns the written tables re-read.
+
+    A table given as parts (the weekly tracking files) is read in one scan,
+    each row tagged with its part number taken from the file name
+    (``_metadata.file_path``), and written partitioned by it: later reads
+    prune by week, and a new week is a new partition."""
     out = {}
     for name, src in tables.items():
         schema = (schemas or {}).get(name)
-        df = read_parts(spark, list(src), fmt="csv", schema=schema) if not isinstance(src, str) \
-            else read_csv(spark, src, schema=schema)
         path = f"{out_dir.rstrip('/')}/{name}.parquet"
-        write_parquet(df, path)
+        if isinstance(src, str):
+            write_parquet(read_csv(spark, src, schema=schema), path)
+        else:
+            df = read_parts(spark, list(src), fmt="csv", schema=schema)
+            df = df.withColumn(part_column, F.regexp_extract(F.col("_metadata.file_path"), part_pattern, 1)
+                               .cast("int"))
+            write_parquet(df, path, partition_by=[part_column])
         out[name] = spark.read.parquet(path)
     return out
 

@@ -68,6 +68,7 @@ def test_load_and_merge(spark, tmp_path):
                                   out_path=str(tmp_path / "merged.parquet"), num_partitions=3)
     back = spark.read.parquet(str(tmp_path / "merged.parquet"))
     assert back.count() == full.count() and "player_nflId" in back.columns
+    assert sorted(r.week for r in t["tracking"].select("week").distinct().collect()) == [1, 2]
     assert report.count() == 0
     # NA tokens in passResult came back as null, so the run plays survive
     assert back.filter(F.col("passResult").isNull()).count() == full.count()
