@@ -51,5 +51,7 @@ def merge_tables(tracking: DataFrame, plays: DataFrame, games: DataFrame, player
     merged = merge_frames(tracking, plays, games, players, rename={"nflId": "player_nflId"})
     report = fanout_report(players, "displayName", "nflId")
     if out_path:
-        write_clustered(merged, out_path, list(keys), list(order), num_partitions)
+        # keep the week partitions of the loaded tracking table, if any
+        weeks = ["week"] if "week" in tracking.columns else []
+        write_clustered(merged, out_path, list(keys), list(order), num_partitions, partition_by=weeks)
     return merged, report

@@ -16,7 +16,8 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", compression
 
 
 def write_clustered(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = (),
-                    num_partitions: int | None = None, mode: str = "overwrite") -> None:
+                    num_partitions: int | None = None, mode: str = "overwrite",
+                    partition_by: Sequence[str] = ()) -> None:
     """Write a keyed table clustered by ``keys`` and sorted by ``keys + order``
     within each file: later key filters skip row groups by min/max, and a
     play's rows sit together.  Replaces a round-robin repartition, which
@@ -27,5 +28,5 @@ def write_clustered(df: DataFrame, path: str, keys: Sequence[str], order: Sequen
     third of all rows is written by several tasks) and merges small ones,
     without an extra sampling pass over the input."""
     args = ([num_partitions] if num_partitions else []) + list(keys)
-    parts = df.hint("rebalance", *args).sortWithinPartitions(*keys, *order)
-    write_parquet(parts, path, mode=mode)
+    parts = df.hint("rebalance", *args).sortWithinPartitions(*partition_by, *keys, *order)
+    write_parquet(parts, path, mode=mode, partition_by=partition_by)
