@@ -135,3 +135,18 @@ def test_bagged_trees_learner():
     assert 0.2 <= acc <= 0.8
     # deterministic for a seed
     assert acc == bagged_trees_accuracy(x[:150], noise[:150], x[150:], noise[150:], n_trees=25, max_depth=3)
+
+
+def test_cluster_conf_sizes_from_input():
+    from huddle.session import cluster_conf
+    c = cluster_conf(100 << 40, 8000)  # 100 TB on 8000 cores
+    assert int(c["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert int(cluster_conf(1 << 20, 64)["spark.sql.shuffle.partitions"]) == 128
+
+
+def test_checkpoint_dir_is_read_not_replaced(spark):
+    from huddle.session import checkpoint_dir
+    first = checkpoint_dir(spark)
+    assert checkpoint_dir(spark) == first
+    assert spark.sparkContext.getCheckpointDir() is not None
