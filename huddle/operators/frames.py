@@ -107,7 +107,10 @@ def previous_row_before_last(df: DataFrame, key: str, order: Sequence[str], even
     order, as ``row_number`` would give), the order columns and ``carry``.
     Built from two partial aggregates and one equi-join, never a window over a
     whole key, so a key holding a third of all rows is still spread over all
-    tasks."""
+    tasks.  The order columns must identify a row within its key (a
+    timestamp plus an event id); rows with a null order value are not placed.
+    """
+    df = df.filter(not_null(order))
     ord_struct = F.struct(*[F.col(c) for c in order])
     snap = (df.filter(F.col(event) == F.lit(event_value))
             .groupBy(key).agg(F.max(ord_struct).alias("_snap")))
