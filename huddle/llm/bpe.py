@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huddle.llm.common import BLOCK_CHARS, blocks, id_and_text
+from huddle.llm.common import blocks, id_and_text
 
-TABLE_WORDS = 400_000
+TABLE_WORDS = 250_000
 WORD_VOCAB = "word_bpe_49k.json"
 
 ENCODED = "doc_id long, n_tokens long, ids binary"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from huddle.session import cut_lineage
 
 #: One Python call works on about this many characters at a time.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,8 +11,8 @@ distance is above the limit.  Short documents are not judged: below
 References are learned from the table itself, over all rows with a non-null
 ``lang``: class counts per language, and the ``top_words`` most frequent words
 per language by an exact count over all words.  They hold a few rows per
-language; the number of languages is checked against ``MAX_LANGS`` before
-they are broadcast.
+language, with the number of languages checked against ``MAX_LANGS``, and are
+constants of the plan.
 
 Defined results: null text has no words; a document without words fails the
 base rule; documents of a null or rare language are judged against all
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from huddle.llm.common import id_and_text, written
+from huddle.llm.common import written
 
 # White space of the word rule, symbols of the base rule.
 SPACES = " \t\n\x0b\x0c\r"
@@ -38,8 +38,8 @@ TOP_WORDS = 30
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.36
 MAX_LANGS = 200
 
-CLASSES = ("lower", "upper", "digit", "space", "stop", "other")
-_LOWER, _UPPER, _DIGIT, _STOP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:!?'\"()-"
+CLASSES = ("upper", "digit", "space", "stop", "n_symbols", "rest")
+_UPPER, _DIGIT, _STOP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:!?'\"()-"
 
 
 def words_of(text: Column) -> Column:
@@ -86,10 +86,11 @@ def character_counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(t.cast("string"), F.lit("")).alias("text"),
                        lang.alias("lang"), *([F.struct(*keep).alias("kept_columns")] if keep else []))
-    counts = {"lower": _count_of(t, _LOWER), "upper": _count_of(t, _UPPER), "digit": _count_of(t, _DIGIT),
-              "space": _count_of(t, SPACES), "stop": _count_of(t, _STOP)}
+    counts = {"upper": _count_of(t, _UPPER), "digit": _count_of(t, _DIGIT), "space": _count_of(t, SPACES),
+              "stop": _count_of(t, _STOP), "n_symbols": _count_of(t, SYMBOLS)}
     rows = rows.withColumns({"n_chars": F.length(t).cast("long")} | {k: c.cast("long") for k, c in counts.items()})
-    return rows.withColumn("other", F.col("n_chars") - sum((F.col(k) for k in counts), F.lit(0)))
+    # small letters of any alphabet, and whatever is in no other class
+    return rows.withColumn("rest", F.col("n_chars") - sum((F.col(k) for k in counts), F.lit(0)))
 
 
 def base_counts(docs: DataFrame, keep: tuple[str, ...] = (), reference_words: list[str] | None = None) -> DataFrame:
@@ -98,9 +99,8 @@ def base_counts(docs: DataFrame, keep: tuple[str, ...] = (), reference_words: li
     rows = character_counts(docs, keep).withColumn("words", words_of(t)).withColumn("lines", F.filter(
         F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
     return rows.select(
-        "doc_id", *(["kept_columns"] if keep else []), "n_chars", *CLASSES, F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-        _count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
+        "doc_id", *(["kept_columns"] if keep else ["lang"]), "n_chars", *CLASSES, F.size("words").cast("long").alias("n_words"),
+        (F.col("n_chars") - F.col("space")).alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         common_words(reference_words or [], F.col("words")).alias("common"))
@@ -132,15 +132,20 @@ def word_references(docs: DataFrame, top_words: int) -> DataFrame:
     return top.join(totals, "lang").select("lang", "word", (F.col("n") / F.col("total")).alias("q"))
 
 
-def references(docs: DataFrame, counts: DataFrame, top_words: int = TOP_WORDS) -> tuple[Column | None, list[str]]:
-    """All references as one constant array (a few rows per language), and
-    the words in them."""
+def common_by_language(docs: DataFrame, top_words: int = TOP_WORDS) -> dict[str, list[tuple[str, float]]]:
+    words: dict[str, list] = {}
+    for r in word_references(docs, top_words).limit(MAX_LANGS * top_words + 1).collect():
+        words.setdefault(r["lang"], []).append((r["word"], r["q"]))
+    if len(words) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    return words
+
+
+def references(counts: DataFrame, words: dict[str, list[tuple[str, float]]]) -> Column | None:
+    """All references as one constant array (a few rows per language)."""
     classes = {r["lang"]: r for r in class_references(counts).limit(MAX_LANGS + 1).collect()}
     if len(classes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    words: dict[str, list] = {}
-    for r in word_references(docs, top_words).collect():
-        words.setdefault(r["lang"], []).append((r["word"], r["q"]))
     refs = []
     for lang in sorted(classes):
         top = sorted(words.get(lang, []))
@@ -150,7 +155,7 @@ def references(docs: DataFrame, counts: DataFrame, top_words: int = TOP_WORDS) -
             F.map_from_arrays(F.array(*pairs[::2]), F.array(*pairs[1::2])).alias("q") if top
             else F.create_map().cast("map<string,double>").alias("q"),
             F.lit(float(sum(q for _, q in top))).alias("total")))
-    return F.array(*refs) if refs else None, sorted({w for top in words.values() for w, _ in top})
+    return F.array(*refs) if refs else None
 
 
 def common_words(refs_words: list[str], words: Column) -> Column:
@@ -181,10 +186,9 @@ def distances(refs: Column) -> Column:
     return F.array_min(F.transform(refs, one))
 
 
-def judged(docs: DataFrame, refs: Column | None, words: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, base counts, base_failed, kept,
-    the distances to the nearest language; ``keep`` in a struct kept_columns."""
-    rows = base_counts(docs, keep, words)
+def judged(rows: DataFrame, refs: Column | None) -> DataFrame:
+    """``rows`` (base counts) with base_failed, kept, and the distances to the
+    nearest language."""
     if refs is None:
         near = F.lit(None).cast("struct<sum:double,class_distance:double,word_distance:double,nearest:string>")
     else:
@@ -192,19 +196,28 @@ def judged(docs: DataFrame, refs: Column | None, words: list[str], keep: tuple[s
     rows = rows.withColumn("near", near)
     far = (F.col("near.class_distance") > MAX_CLASS_DISTANCE) | (F.col("near.word_distance") > MAX_WORD_DISTANCE)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return rows.select("doc_id", *(["kept_columns"] if keep else []), "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                       "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"),
-                       "near.class_distance", "near.word_distance", "near.nearest")
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(far, F.lit(False))})
+
+
+def _distinct_words(words: dict[str, list[tuple[str, float]]]) -> list[str]:
+    return sorted({w for top in words.values() for w, _ in top})
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """``judged`` by the references of ``docs`` itself."""
-    refs, words = references(docs, character_counts(docs))
-    return judged(docs, refs, words)
+    """One row per row of ``docs``, by the references of ``docs`` itself:
+    doc_id, base counts, base_failed, kept, distances.  The counts are one
+    pass over the texts, written as a table that the references of the
+    character classes and the verdicts are read from."""
+    words = common_by_language(docs)
+    rows = written(base_counts(docs, (), _distinct_words(words)), "quality-counts")
+    return judged(rows, references(rows, words)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "near.class_distance", "near.word_distance", "near.nearest")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, columns as they are."""
-    refs, top = references(docs, character_counts(docs))
-    rows = judged(docs, refs, top, tuple(docs.columns)).where("kept")
+    words = common_by_language(docs)
+    refs = references(character_counts(docs), words)
+    rows = judged(base_counts(docs, tuple(docs.columns), _distinct_words(words)), refs).where("kept")
     return rows.select(*[F.col(f"kept_columns.`{c}`").alias(c) for c in docs.columns])
