@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huddle.llm import bpe, langid, phrase_index, quality, secrets, simhash, token_files
+from huddle.llm import bpe, langid, phrase_index, quality, secrets, simhash, substring_dedup, suffix_dedup, token_files
 from huddle.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+@register("op1_suffix_array_dedup")
+def op1(spark, sf_dir):
+    return suffix_dedup.report(documents(spark, sf_dir))
+
+
 @register("op2_secret_scans")
 def op2(spark, sf_dir):
     return secrets.report(documents(spark, sf_dir))
@@ -62,3 +67,8 @@ def op8(spark, sf_dir):
 @register("op9_bpe_round_trip")
 def op9(spark, sf_dir):
     return bpe.round_trip_digests(documents(spark, sf_dir), bpe.vocabulary_path(bpe.WORD_VOCAB))
+
+
+@register("op10_substring_dedup")
+def op10(spark, sf_dir):
+    return substring_dedup.report(documents(spark, sf_dir))
