@@ -56,8 +56,8 @@ class Spec:
     group: int
 
 
-BYTES_400 = Spec(False, 400, 64, 169, 20_000)
-WORDS_50 = Spec(True, 50, 8, 22, 2_000)
+BYTES_400 = Spec(False, 400, 64, 169, 2_000)
+WORDS_50 = Spec(True, 50, 8, 22, 500)
 
 
 @lru_cache(maxsize=2)
@@ -293,6 +293,7 @@ def repeated(docs: DataFrame, spec: Spec, solve: Callable) -> tuple[DataFrame, D
     first in document ``least``; windows that occur once are left out."""
     rows = documents(docs)
     found = rows.select("doc", "text").mapInArrow(_find_spots(spec), "core long, doc long, spot long")
+    found = written(found, "window-found")
     shared = written(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "window-cores")
     by_doc = found.join(shared, "core", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("core", "spot")).alias("spots"))
     suspects = written(rows.join(by_doc, "doc"), "window-suspects")
