@@ -99,7 +99,7 @@ def base_counts(docs: DataFrame, keep: tuple[str, ...] = (), reference_words: li
     rows = character_counts(docs, keep).withColumn("words", words_of(t)).withColumn("lines", F.filter(
         F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
     return rows.select(
-        "doc_id", *(["kept_columns"] if keep else ["lang"]), "n_chars", *CLASSES, F.size("words").cast("long").alias("n_words"),
+        "doc_id", "lang", *(["kept_columns"] if keep else []), "n_chars", *CLASSES, F.size("words").cast("long").alias("n_words"),
         (F.col("n_chars") - F.col("space")).alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
@@ -216,8 +216,10 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, columns as they are."""
+    """The rows of ``docs`` that the rules keep, columns as they are.  The
+    counts are written with the rows, so that the verdict's filter is not
+    pushed below them and worked out again for every use."""
     words = common_by_language(docs)
-    refs = references(character_counts(docs), words)
-    rows = judged(base_counts(docs, tuple(docs.columns), _distinct_words(words)), refs).where("kept")
+    rows = written(base_counts(docs, tuple(docs.columns), _distinct_words(words)), "quality-counts")
+    rows = judged(rows, references(rows, words)).where("kept")
     return rows.select(*[F.col(f"kept_columns.`{c}`").alias(c) for c in docs.columns])
