@@ -65,6 +65,8 @@ class Layout:
     line_of_scrimmage: str | None = None
     # extra not-null requirements of the event-frame filter
     required: tuple[str, ...] = ()
+    # measures the player study needs instead (None: the same)
+    study_required: tuple[str, ...] | None = None
     # deterministic order after the lateral coordinate
     tiebreak: tuple[str, ...] = ()
     left_tokens: tuple[str, ...] = ("LEFT",)
@@ -96,6 +98,8 @@ TRACKING = Layout(
     x="x",
     line_of_scrimmage="absoluteYardlineNumber",
     required=("absoluteYardlineNumber", "x", "y", "s", "dir", "o", "a", "dis"),
+    # the study's rows may lack the speed
+    study_required=("absoluteYardlineNumber", "x", "y", "dir", "o", "a", "dis"),
     tiebreak=("nflId", "frameId"),
 )
 

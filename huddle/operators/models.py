@@ -36,7 +36,7 @@ SEED = 42
 def label_encoder(label: str) -> StringIndexer:
     """Alphabetical codes (left = 0, right = 1) like a label encoder (M1)."""
     return StringIndexer(inputCol=label, outputCol=LABEL_IDX, stringOrderType="alphabetAsc",
-                         handleInvalid="skip")
+                         handleInvalid="error")
 
 
 def label_decoder(model, input_col: str = "prediction", output_col: str = "predicted_label") -> IndexToString:
@@ -58,7 +58,7 @@ def with_folds(df: DataFrame, keys: Sequence[str], k: int = 3, seed: int = SEED,
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="skip")
+    return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="error")
 
 
 def forest(**overrides) -> RandomForestClassifier:
@@ -95,7 +95,7 @@ _RESULT_SCHEMA = T.StructType([
 
 def segment_models(spark: SparkSession, data: DataFrame, segment: str, features: Sequence[str], label: str,
                    keys: Sequence[str], min_rows: int = 100, estimator_factory=None, parallelism: int = 4,
-                   segments: Sequence | None = None, max_segments: int = 1000) -> DataFrame:
+                   segments: Sequence | None = None) -> DataFrame:
     """One forest per segment value with at least ``min_rows`` rows (M3-M5):
     split by key hash, fit on train, accuracy on test.
 
@@ -105,23 +105,23 @@ def segment_models(spark: SparkSession, data: DataFrame, segment: str, features:
     sizes = split.groupBy(segment).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
     if segments is not None:
         sizes = sizes.filter(F.col(segment).isin(list(segments)))
-    # one distributed fit per segment suits a handful of segments; many small
-    # segments (players) belong to entity_models' single grouped job
-    seg_rows = sizes.limit(max_segments + 1).collect()
-    if len(seg_rows) > max_segments:
-        raise ValueError(f"more than {max_segments} segments of {segment}: use entity_models")
+    # one distributed fit per segment; many small segments (players) are
+    # cheaper in entity_models' single grouped job
+    in_train = F.col("split") == "train"
+    classes = split.groupBy(segment).agg(
+        F.countDistinct(F.when(in_train, F.col(label))).alias("classes"), F.count(F.when(~in_train, 1)).alias("n_test"))
+    seg_rows = sizes.join(classes, segment).collect()
 
     def run(row):
         value, n = row[segment], row["n"]
         part = split.filter(F.col(segment) == F.lit(value))
         train, test = part.filter("split = 'train'"), part.filter("split = 'test'")
-        est = estimator_factory() if estimator_factory else forest()
-        try:
+        n_test, acc = row["n_test"], None
+        # one class cannot be fit, and nothing held out cannot be scored
+        if row["classes"] > 1 and n_test:
+            est = estimator_factory() if estimator_factory else forest()
             _, preds = fit_and_score(train, test, features, label, est)
-            n_test = preds.count()
-            acc = accuracy_of(preds) if n_test else None
-        except Exception:  # noqa: BLE001 - a segment with one class cannot be fit
-            n_test, acc = 0, None
+            acc = accuracy_of(preds)
         return (segment, str(value), int(n), int(n_test), acc)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:

@@ -334,13 +334,13 @@ _RR_PREFIX = RUN_ROWS_SQL + ","
 @register("rank_in_role", with_frames(_RR_PREFIX + f"""
 r AS (SELECT {KEYS_SQL}, l_linenumber, l_partkey, pos,
         CAST(row_number() OVER (PARTITION BY {KEYS_SQL}, pos ORDER BY {ORDER_SQL}) AS INTEGER) AS position_index FROM rr)
-SELECT * FROM r WHERE position_index <= 2"""))
+SELECT * FROM r"""))
 def q_rank_in_role(spark, sf_dir):
-    """W1 with the slot rule's limit (only ranks 1 and 2 name a slot)."""
+    """Every row's rank within its play and role."""
     from huddle.operators.frames import event_frame_filter
     from huddle.operators.slots import rank_in_role
     rows = event_frame_filter(_frames(spark, sf_dir), DRIVER, None)
-    return rank_in_role(rows, DRIVER, 2).select(*DRIVER.keys, "l_linenumber", "l_partkey", "pos", "position_index")
+    return rank_in_role(rows, DRIVER).select(*DRIVER.keys, "l_linenumber", "l_partkey", "pos", "position_index")
 
 
 def _slot_sql(slots) -> str:

@@ -19,7 +19,7 @@ from huddle.sources.writers import write_clustered, write_parquet
 
 
 def load_csv_tables(spark: SparkSession, tables: dict[str, str | Sequence[str]], out_dir: str,
-                    schemas: dict | None = None, part_column: str = "week",
+                    schemas: dict | None = None, part_column: str = "tracking_week",
                     part_pattern: str = r"(\d+)\.csv$") -> dict[str, DataFrame]:
     """``tables``: name -> CSV path or list of part paths.  Each is written to
     ``<out_dir>/<name>.parquet``; returns the written tables re-read.
@@ -52,6 +52,6 @@ def merge_tables(tracking: DataFrame, plays: DataFrame, games: DataFrame, player
     report = fanout_report(players, "displayName", "nflId")
     if out_path:
         # keep the week partitions of the loaded tracking table, if any
-        weeks = ["week"] if "week" in tracking.columns else []
+        weeks = ["tracking_week"] if "tracking_week" in tracking.columns else []
         write_clustered(merged, out_path, list(keys), list(order), num_partitions, partition_by=weeks)
     return merged, report

@@ -20,7 +20,7 @@ def study_rows(frames: DataFrame, layout: Layout, event_value: str | None = "bal
     """Left/right run rows with slots (every C and TE keeps its slot) and the
     offset from the play's center (center = 0; plays without a center keep
     their rows with a null offset)."""
-    rows = regex_filter(frames, layout, event_value)
+    rows = regex_filter(frames, layout, event_value, layout.study_required)
     rows = rows.withColumn(layout.label, direction_label(layout.label_source, layout.left_tokens,
                                                          layout.right_tokens))
     if layout.x and layout.line_of_scrimmage:

@@ -32,18 +32,32 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+# Numeric columns of the public tracking tables.
+KNOWN_TYPES = (dict.fromkeys(("gameId", "playId", "nflId", "frameId"), "bigint")
+               | dict.fromkeys(("quarter", "down", "yardsToGo", "yardsGained", "yardlineNumber", "week", "season",
+                                "weight", "jerseyNumber", "absoluteYardlineNumber"), "int")
+               | dict.fromkeys(("x", "y", "s", "a", "dis", "o", "dir"), "double"))
+
+
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None,
              normalize: bool = True) -> DataFrame:
-    """CSV with header.  Give a schema on large inputs: inference costs a full
-    extra pass.  ``normalize`` maps pandas' missing tokens and NaN to null, so
-    not-null filters mean what they mean after a pandas read."""
+    """CSV with header.  ``normalize`` reads every column as text, maps
+    pandas' missing tokens to null, and only then casts: by ``schema``, else by
+    ``KNOWN_TYPES``, else by inference (a further pass, taken only if some
+    column has neither).  So a numeric column with missing tokens stays
+    numeric, and not-null filters mean what they mean after a pandas read."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", True)
-    df = reader.csv(list(paths) if not isinstance(paths, str) else paths)
-    return normalize_nulls(df) if normalize else df
+    paths = list(paths) if not isinstance(paths, str) else paths
+    if not normalize:
+        return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(paths)
+    text = reader.csv(paths)
+    types = {f.name: f.dataType.simpleString() for f in schema.fields} if schema is not None else {
+        c: KNOWN_TYPES[c] for c in text.columns if c in KNOWN_TYPES}
+    if set(text.columns) - set(types):
+        inferred = dict(reader.option("inferSchema", True).csv(paths).dtypes)
+        types = inferred | types
+    text = normalize_nulls(text)
+    return normalize_nulls(text.select(*[F.col(c).try_cast(types[c]).alias(c) for c in text.columns]))
 
 
 def read_parts(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet",

@@ -85,51 +85,6 @@ def test_left_right_null_partition_rows(spark, locs):
     assert sum(counts.values()) == len(locs)
 
 
-def joinback_wide(df):
-    """The plain form: counts and center joined back, row_number over whole
-    groups, groupBy().pivot()."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    from huddle.operators.frames import event_frame_filter
-    from huddle.functions.expressions import direction_label
-    keys = ["gameId", "playId"]
-    rows = event_frame_filter(df, TRACKING).withColumn("run_dir", direction_label("rushLocationType"))
-    te = rows.filter(F.col("position") == "TE").groupBy(*keys).agg(F.count("*").alias("num_TEs"))
-    rows = rows.join(te, keys, "left").fillna(0, ["num_TEs"])
-    w = Window.partitionBy(*keys, "position").orderBy("y", "nflId")
-    rows = rows.withColumn("i", F.row_number().over(w))
-    slot = F.expr("CASE WHEN position = 'T' AND i = 1 THEN 'LT' WHEN position = 'T' AND i = 2 THEN 'RT' "
-                  "WHEN position = 'G' AND i = 1 THEN 'LG' WHEN position = 'G' AND i = 2 THEN 'RG' "
-                  "WHEN position = 'C' THEN 'C' WHEN position = 'TE' AND i = 1 THEN 'TE' END")
-    rows = rows.withColumn("slot", slot).filter(F.col("slot").isNotNull())
-    cy = rows.filter(F.col("slot") == "C").select(*keys, F.col("y").alias("cy"))
-    rows = rows.join(cy, keys).withColumn("yr", F.expr("CASE WHEN slot = 'C' THEN y ELSE y - cy END"))
-    return (rows.groupBy(*keys, "run_dir", "possessionTeam", "offenseFormation",
-                         F.col("num_TEs").cast("int").alias("num_TEs"))
-            .pivot("slot", ["LT", "LG", "C", "RG", "RT", "TE"])
-            .agg(F.first("yr").alias("y"), F.first("dir").alias("dir"), F.first("o").alias("o"))
-            .dropna())
-
-
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(players=st.lists(st.tuples(st.integers(0, 5), st.sampled_from(["T", "G", "TE", "QB"]), st.integers(0, 30)),
-                        min_size=1, max_size=60),
-       plays=plays_st)
-def test_single_scan_equals_joinback_form_one_center(spark, players, plays):
-    rows = []
-    for i, (p, role, y) in enumerate(players):
-        if p in plays:
-            rows.append(player(1, p, i, role, float(y), loc=plays[p], dir_=float(i)))
-    for p in plays:  # exactly one center per play
-        rows.append(player(1, p, 1000 + p, "C", 15.5, loc=plays[p], dir_=-1.0))
-    df = frame(spark, rows)
-    ours = snap_features(df, TRACKING)
-    theirs = joinback_wide(df)
-    cols = sorted(ours.columns)
-    assert sorted(map(tuple, ours.select(*cols).collect())) == sorted(map(tuple, theirs.select(*cols).collect()))
-
-
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 40), st.sampled_from(["view", "click", "purchase"])),
                 min_size=1, max_size=80, unique_by=lambda t: (t[0], t[1])))

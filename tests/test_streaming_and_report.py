@@ -59,7 +59,7 @@ def test_load_and_merge(spark, tmp_path):
                 "dir").filter("playId >= 3").toPandas().to_csv(d / "tracking_week_2.csv", index=False)
     full.select("gameId", "playId", "passResult", "rushLocationType", "absoluteYardlineNumber", "yardsGained",
                 "offenseFormation", "possessionTeam").distinct().toPandas().to_csv(d / "plays.csv", index=False)
-    full.select("gameId").distinct().toPandas().to_csv(d / "games.csv", index=False)
+    full.selectExpr("gameId", "2021 AS season", "7 AS week").distinct().toPandas().to_csv(d / "games.csv", index=False)
     full.select("nflId", "displayName", "position").distinct().toPandas().to_csv(d / "players.csv", index=False)
     t = load_csv_tables(spark, {"tracking": [str(d / "tracking_week_1.csv"), str(d / "tracking_week_2.csv")],
                                 "plays": str(d / "plays.csv"), "games": str(d / "games.csv"),
@@ -68,12 +68,20 @@ def test_load_and_merge(spark, tmp_path):
                                   out_path=str(tmp_path / "merged.parquet"), num_partitions=3)
     back = spark.read.parquet(str(tmp_path / "merged.parquet"))
     assert back.count() == full.count() and "player_nflId" in back.columns
-    assert sorted(r.week for r in t["tracking"].select("week").distinct().collect()) == [1, 2]
+    assert sorted(r.tracking_week for r in t["tracking"].select("tracking_week").distinct().collect()) == [1, 2]
     assert report.count() == 0
     # NA tokens in passResult came back as null, so the run plays survive
     assert back.filter(F.col("passResult").isNull()).count() == full.count()
 
 
+def test_csv_numeric_columns_keep_their_type_with_missing_tokens(spark, tmp_path):
+    from huddle.sources.readers import read_csv
+    (tmp_path / "t.csv").write_text("gameId,nflId,dir,o,note\n1,7,12.5,3,x\n1,NA,NA,NA,NA\n")
+    df = read_csv(spark, str(tmp_path / "t.csv"))
+    assert dict(df.dtypes) == {"gameId": "bigint", "nflId": "bigint", "dir": "double", "o": "double", "note": "string"}
+    assert [tuple(r) for r in df.orderBy(F.col("nflId").desc()).collect()] == [(1, 7, 12.5, 3.0, "x"), (1, None, None, None, None)]
+
+
 def test_report_end_to_end(spark):
     from huddle.plans.report import tendency_report
     merged = frame(spark, _season(40))
