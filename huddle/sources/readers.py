@@ -57,7 +57,14 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructTy
         inferred = dict(reader.option("inferSchema", True).csv(paths).dtypes)
         types = inferred | types
     text = normalize_nulls(text)
-    return normalize_nulls(text.select(*[F.col(c).try_cast(types[c]).alias(c) for c in text.columns]))
+
+    def cast(c: str):
+        value = F.col(c).try_cast(types[c])
+        if types[c] in ("int", "bigint"):  # whole numbers may be written as 3.0
+            value = F.coalesce(value, F.col(c).try_cast("double").try_cast(types[c]))
+        return value.alias(c)
+
+    return normalize_nulls(text.select(*[cast(c) for c in text.columns]))
 
 
 def read_parts(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet",
