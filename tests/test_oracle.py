@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from huddle.plans import catalog
 from tools.check_oracle import canon, duck
 
 SF = os.environ.get("HUDDLE_TEST_SF", "/root/testdata/sf0.001")
@@ -38,7 +39,7 @@ def test_every_query_has_twin_or_is_a_model():
     models = {"assemble_features", "segment_model_role_count", "segment_model_team", "segment_model_formation",
               "grid_search_forest", "grid_search_boosted", "grid_search_logistic", "random_search",
               "top_importances", "entity_model", "ols_summary"}
-    assert set(E.queries()) - set(SQL) == models
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == models
 
 
 def test_entry_smoke(spark):
