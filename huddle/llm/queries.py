@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huddle.llm import bpe, langid, phrase_index, quality, secrets, simhash, substring_dedup, suffix_dedup, token_files
+from huddle.llm import bpe, langid, licenses, phrase_index, quality, secrets, simhash, substring_dedup, suffix_dedup, token_files
 from huddle.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op3(spark, sf_dir):
     return langid.held_out_predictions(documents(spark, sf_dir))
 
 
+@register("op4_license_scans")
+def op4(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
 @register("op5_token_files")
 def op5(spark, sf_dir):
     return token_files.token_index(documents(spark, sf_dir), bpe.vocabulary_path(token_files.BYTE_VOCAB))
