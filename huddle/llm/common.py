@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huddle.session import cut_lineage
@@ -29,6 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, name)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_CHARS) -> Iterator[dict]:
     """Slices of Arrow batches with about ``size`` bytes of ``text`` each (one
     row at least), as Python lists by column; nulls in ``text`` become ''."""

@@ -1,13 +1,23 @@
-"""License scans: sparse TF-IDF cosine of licence lines to templates, then
+"""License scans: sparse TF-IDF cosine of notices to templates, then
 inheritance from the nearest ancestor directory.  Built-in functions only.
 
-Lines that speak of a licence are compared with every template that shares a
-term with them; the best above ``LEAST`` names the document's licence (ties by
-name).  ``inherit`` gives a path without one that of its nearest ancestor
-directory, by joining all its ancestors with the licensed directories.
+``scan`` compares every sentence and every paragraph of a text that speaks of
+a licence (``HINT``) with all templates.  Term weights are tf x idf, idf over
+the templates (a term of none has the largest idf, so foreign words cost
+similarity).  The best pair at ``LEAST`` or more names the document's licence
+(ties by name).  The templates are constants of the plan, so this is one pass
+over the texts without a shuffle.  A document is a licence file when its best
+notice holds at least half of its terms.
 
-Defined results: null or empty text has no licence; a null path inherits
-nothing; repeated rows give repeated rows; other columns are ignored.
+``inherit`` gives a file without a licence the one of its nearest ancestor
+directory that holds a licence file.  Distinct parent directories, not files,
+are joined with their ancestors, so a directory with very many files is one
+row there; files then look their parent up.
+
+Defined results: null or empty text has no licence and score 0; a null path
+inherits nothing and gives nothing; a directory with several licence files has
+the licence of the best score (ties by name); repeated rows give repeated
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,59 +26,131 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Names and opening words of common licence notices.
-TEMPLATES = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. MIT License",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted. BSD License",
-    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
-}
-LEAST = 0.45
-HINT = r"(?i)licen[sc]e|copyright|permission|redistribut"
-
-
-def template_weights() -> list[tuple[str, str, float]]:
-    """(template, term, weight): unit TF-IDF vectors, idf over the templates."""
-    tf = {n: Counter(re.findall("[a-z0-9]+", t.lower())) for n, t in TEMPLATES.items()}
-    df = Counter(w for c in tf.values() for w in c)
-    out = []
-    for name, counts in tf.items():
-        v = {w: c * (1 + math.log(len(tf) / df[w])) for w, c in counts.items()}
+from huddle.llm.common import let, small, written
+
+# Names and wording of common licence notices.
+TEMPLATES = (
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+            "associated documentation files, to deal in the Software without restriction"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
+                   "compliance with the License."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("BSD-3-Clause", "Released under the BSD License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+                     "provided that the following conditions are met"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0, Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
+)
+LEAST = 0.6
+#: Every template has a match; units of text without one are not compared.
+HINT = r"(?i)licen[sc]e|permission|redistribut|rights reserved"
+PARAGRAPH, SENTENCE, NO_TERM = r"\n[\x20\t\r]*\n", r"\n|(?<=[.;!?])[\x20\t\r]+", "[^a-z0-9]+"
+#: Directories with a licence that are broadcast at most; beyond, joins shuffle.
+MAX_DIRECTORIES = 200_000
+
+
+def template_weights() -> tuple[dict[str, float], list[dict[str, float]], float]:
+    """idf by term, the unit TF-IDF vector of each template, and the idf of a
+    term that no template has."""
+    tf = [Counter(re.findall("[a-z0-9]+", text.lower())) for _, text in TEMPLATES]
+    df = Counter(w for c in tf for w in c)
+    idf = {w: 1 + math.log(len(tf) / n) for w, n in sorted(df.items())}
+    vectors = []
+    for counts in tf:
+        v = {w: n * idf[w] for w, n in sorted(counts.items())}
         norm = math.sqrt(sum(x * x for x in v.values()))
-        out += [(name, w, 1 + math.log(len(tf) / df[w]), x / norm) for w, x in v.items()]
-    return out
-
-
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, license (null: none) and score of each row of ``docs``."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("doc")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, F.col("text").cast("string").alias("text"))
-    lines = rows.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.col("t").rlike(HINT))
-    terms = lines.select("doc", "line", F.explode(F.filter(F.split(F.lower("t"), "[^a-z0-9]+"), lambda w: w != "")).alias("term"))
-    counts = terms.groupBy("doc", "line", "term").agg(F.count("*").alias("n"))
-    # fixed size: the terms of the templates above
-    weights = F.broadcast(docs.sparkSession.createDataFrame(template_weights(), "license string, term string, idf double, w double"))
-    idf = weights.groupBy("term").agg(F.first("idf").alias("own"))
-    other = 1 + math.log(len(TEMPLATES))
-    x = counts.join(F.broadcast(idf), "term", "left").withColumn("x", F.col("n") * F.coalesce("own", F.lit(other)))
-    norm = x.groupBy("doc", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = x.join(weights, "term").groupBy("doc", "line", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    score = dot.join(norm, ["doc", "line"]).select("doc", "license", (F.col("dot") / F.col("norm")).alias("score"))
-    best = score.where(F.col("score") >= LEAST).groupBy("doc").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    return rows.select("doc_id", "doc").join(best, "doc", "left").select(
-        "doc_id", F.col("b.license").alias("license"), F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("score"))
+        vectors.append({w: x / norm for w, x in v.items()})
+    return idf, vectors, 1 + math.log(len(tf))
+
+
+def terms_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), NO_TERM), lambda w: w != "")
+
+
+def _best(terms: Column) -> Column:
+    """(-cosine, licence, number of terms) of the template nearest to
+    ``terms``, which are sorted and not empty."""
+    idf, vectors, other = template_weights()
+    names = F.array(*[F.lit(w) for w in idf])
+    own = F.map_from_arrays(names, F.array(*[F.lit(x) for x in idf.values()]))
+    # what one occurrence of a term adds to the product with each template
+    gain = F.map_from_arrays(names, F.array(*[F.array(*[F.lit(idf[w] * v.get(w, 0.0)) for v in vectors]) for w in idf]))
+    known = F.filter(F.transform(terms, lambda w: F.try_element_at(gain, w)), lambda g: g.isNotNull())
+    dots = F.aggregate(known, F.array(*[F.lit(0.0)] * len(vectors)), lambda a, g: F.zip_with(a, g, lambda x, y: x + y))
+
+    def count(a: Column, w: Column) -> Column:
+        n = F.when(w == a["term"], a["n"] + 1).otherwise(F.lit(1))
+        x = F.coalesce(F.try_element_at(own, w), F.lit(other))
+        # n * n - (n - 1) * (n - 1): the square grows with every occurrence
+        return F.struct(w.alias("term"), n.alias("n"), (a["squares"] + (2 * n - 1) * x * x).alias("squares"))
+
+    start = F.struct(F.lit("").alias("term"), F.lit(0).alias("n"), F.lit(0.0).alias("squares"))
+    norm = F.aggregate(terms, start, count, lambda a: F.sqrt(a["squares"]))
+    licenses = F.array(*[F.lit(n) for n, _ in TEMPLATES])
+    return let(F.struct(dots.alias("dots"), norm.alias("norm")), lambda v: F.array_min(F.zip_with(
+        v["dots"], licenses, lambda d, name: F.struct((-d / v["norm"]).alias("s"), name.alias("license"), F.size(terms).alias("n_terms")))))
+
+
+def scan(docs: DataFrame, path: Column | None = None) -> DataFrame:
+    """doc_id, path, license (null: none), score (of the nearest template) and
+    is_file of each row of ``docs``."""
+    path = F.lit(None).cast("string") if path is None else path
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.col("text")
+    units = F.filter(F.array_distinct(F.concat(F.split(text, PARAGRAPH), F.split(text, SENTENCE))), lambda u: u.rlike(HINT))
+    near = F.array_min(F.transform(units, lambda u: let(F.array_sort(terms_of(u)), _best)))
+    rows = rows.withColumn("near", F.when(text.rlike(HINT), near))
+    found = F.coalesce(-F.col("near.s"), F.lit(0.0))
+    named = found >= LEAST
+    return rows.select(
+        "doc_id", "path", F.when(named, F.col("near.license")).alias("license"), found.alias("score"),
+        F.when(named, 2 * F.col("near.n_terms") >= F.size(terms_of(text))).otherwise(F.lit(False)).alias("is_file"))
+
+
+def parent(path: Column) -> Column:
+    """The directory of a path; '' is the root."""
+    return F.regexp_replace(path, "(^|/)[^/]*$", "")
+
+
+def directory_licenses(files: DataFrame) -> DataFrame:
+    """(path, license) of the directories that hold a licence file; ``files``
+    as ``scan`` returns them."""
+    own = files.where("is_file and path is not null").groupBy(parent(F.col("path")).alias("directory"))
+    best = own.agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    return best.select(F.col("directory").alias("path"), F.col("b.license").alias("license"))
 
 
 def inherit(files: DataFrame, directories: DataFrame) -> DataFrame:
-    """``files`` (path, license), ``directories`` (path, license of its licence
-    file): path, license and inherited_from (null where the file has its own)."""
-    parts = F.split("path", "/")
-    ups = files.where("license is null").select("path", F.explode(F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("up")).distinct()
-    near = ups.join(directories.select(F.col("path").alias("up"), F.col("license").alias("from_up")), "up")
-    near = near.groupBy("path").agg(F.max(F.struct(F.length("up").alias("n"), "up", "from_up")).alias("m"))
-    return files.join(near, "path", "left").select(
-        "path", F.coalesce("license", "m.from_up").alias("license"), F.when(F.col("license").isNull(), F.col("m.up")).alias("inherited_from"))
+    """``files`` (path, license, more) with inherited_license and
+    inherited_from (null where the file has a licence of its own or no
+    ancestor has one); ``directories``: (path, license), a path once."""
+    files = files.withColumn("parent_directory", F.when(F.col("license").isNull(), parent(F.col("path"))))
+    parts = F.filter(F.split("parent_directory", "/"), lambda p: p != "")
+    ups = files.where("parent_directory is not null").select("parent_directory").distinct().select(
+        "parent_directory", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.concat(
+            F.when(F.col("parent_directory").startswith("/") & (k > 0), F.lit("/")).otherwise(F.lit("")),
+            F.array_join(F.slice(parts, F.lit(1), k), "/")))).alias("up"))
+    licensed = small(written(directories.select(F.col("path").alias("up"), F.col("license").alias("from_up")), "license-directories"), MAX_DIRECTORIES)
+    near = ups.join(licensed, "up").groupBy("parent_directory").agg(F.max(F.struct(F.length("up").alias("n"), "up", "from_up")).alias("m"))
+    near = near.select("parent_directory", F.col("m.from_up").alias("inherited_license"), F.col("m.up").alias("inherited_from"))
+    near = small(written(near, "license-parents"), MAX_DIRECTORIES)
+    return files.join(near, "parent_directory", "left").drop("parent_directory")
+
+
+def report(docs: DataFrame, path: Column) -> DataFrame:
+    """``scan`` with inherited licences: doc_id, license, score, is_file,
+    inherited_license, inherited_from."""
+    files = written(scan(docs, path), "license-files")
+    return inherit(files, directory_licenses(files)).drop("path")

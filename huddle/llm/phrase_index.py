@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from huddle.llm.common import written
+from huddle.llm.common import small, written
 
 WINDOW = 10
 MAX_TERMS = 200_000
@@ -45,11 +45,6 @@ def doc_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` (a written table) marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def item_words(items: DataFrame, window: int) -> DataFrame:
     """(item, item_id, n, at, word): the words of each item with their place."""
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.xxhash64("item_id", "text").alias("item"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from huddle.llm import bpe, langid, licenses, phrase_index, quality, secrets, simhash, substring_dedup, suffix_dedup, token_files
 from huddle.llm.common import read_table
@@ -46,7 +47,9 @@ def op3(spark, sf_dir):
 
 @register("op4_license_scans")
 def op4(spark, sf_dir):
-    return licenses.scan(documents(spark, sf_dir))
+    # the table has no file paths: a source stands for a directory of documents
+    docs = documents(spark, sf_dir)
+    return licenses.report(docs, F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
 
 
 @register("op5_token_files")
