@@ -8,8 +8,8 @@ from ids to text through an id-to-piece table.
 
 The word table lives in the task, not in a Spark table: joining ids back by
 position across the cluster would shuffle one row per word occurrence, about
-2.5 times the compressed input.  It is bounded (``TABLE_WORDS``) and emptied
-when full, which costs time only.
+2.5 times the compressed input.  It is bounded (``TABLE_WORDS``); when full, it
+keeps the words of the block at hand, which costs time only.
 
 Defined results: null or empty text has no ids and decodes to ''; a null
 ``doc_id`` is carried through; repeated rows give repeated rows; special
@@ -18,6 +18,7 @@ token strings in a text become their special ids; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +43,9 @@ def vocabulary_path(name: str) -> str:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
-    """The vocabulary, loaded once per worker, without truncation or padding."""
+    """The vocabulary, loaded once per worker, without truncation or padding;
+    Spark's tasks are the parallelism, so it starts no threads of its own."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
@@ -69,8 +72,8 @@ class WordTable:
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.ids]
         if len(self.ids) + len(new) > self.limit:
-            self.ids.clear()
-            new = list(words)
+            # words that came up again stay
+            self.ids = {w: self.ids[w] for w in words if w in self.ids}
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):

@@ -2,23 +2,27 @@
 
 A segment (``pack``/``unpack``) is cut into blocks of ``BLOCK`` ids.  Every
 block starts from an empty model and has its own code stream, so blocks can be
-coded side by side: all arrays below have one row (lane) per block, and step
-``t`` codes the ``t``-th id of every block.
+coded side by side: all arrays below have one row per step and one column
+(lane) per block, and step ``t`` codes the ``t``-th id of every block.
 
-Model of one block.  Order 2 and order 1 each predict one id: the last one
-seen after the same two ids, or the same id, with a confidence that counts how
-often in a row the prediction held.  For each order and confidence an adaptive
-probability tells how often such a prediction is right.  Order 0 is an
-adaptive frequency table over bands of ids (power of two and one more bit),
-ids within a band being alike.  The three are mixed into one distribution:
-order 2 gets its probability ``p2``, order 1 ``(1 - p2) * p1`` (added to order
-2 where both predict the same id), order 0 the rest.
+Model of one block.  Order 1 and order 2 each predict one id: the last one
+seen after the same id, or the same two ids, with a class that tells how often
+in a row the prediction held.  For each order and class, hits among trials
+give the probability that such a prediction is right.  Order 0 is a frequency
+table over bands of ids (power of two and one more bit), ids within a band
+being alike.  The three are mixed into one distribution: order 2 gets its
+probability ``f2``, order 1 ``(1 - f2) * p1`` (nothing where both predict the
+same id), order 0 the rest.  Predicted ids follow every step; probabilities
+are worked out anew every few steps (``_chunks``).
 
-Coder: 64-bit carry-less range coder that puts out 16-bit words.
+Coder: range coder with 48-bit ranges that puts out 16-bit words; carries are
+added to the words before when all are known.  The low bits of an id within
+its band, which are all alike, follow as they are in a stream of bits.
 
 Segment layout, little-endian: magic ``TIDS``, uint32 version, number of ids,
-ids per block, number of blocks; then for each block uint32 number of words
-and uint32 CRC-32 of its ids as uint32; then the blocks' words.
+ids per block, number of blocks; then for each block uint32 number of words,
+of 16-bit units of plain bits, and CRC-32 of its ids as uint32; then the
+blocks' words; then their plain bits.
 """
 
 from __future__ import annotations
@@ -28,171 +32,219 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"TIDS", 1
+MAGIC, VERSION = b"TIDS", 2
 BLOCK = 1024
+#: Blocks that are coded side by side, about.
+LANES = 2048
 MAX_ID = (1 << 16) - 2
 
-_SLOTS = 10                       # bits of an order's table in a lane
-_TOP = np.uint64(48)
-_LOW48 = np.uint64((1 << 48) - 1)
-_U = np.uint64
+_SLOTS = 9                        # bits of an order's table in a lane
+_SCALE = 15                       # bits of a probability
+_ONE = 1 << _SCALE
+_FULL, _LEAST_RANGE = 1 << 48, 1 << 32
 
-_ids = np.arange(MAX_ID + 2, dtype=np.int64) + 1
+_ids = np.arange(MAX_ID + 2) + 1
 _exp = np.floor(np.log2(_ids)).astype(np.int64)
 _half = np.where(_exp > 0, (_ids >> np.maximum(_exp - 1, 0)) & 1, 0)
-_BAND = (2 * _exp + _half).astype(np.int64)
 _N_BANDS = 32
+_BAND = np.minimum(2 * _exp + _half, _N_BANDS - 1).astype(np.int32)
 _band = np.arange(_N_BANDS)
-#: raw bits below a band's two leading bits, and its first id + 1
-_BITS = np.maximum(_band // 2 - 1, 0).astype(np.uint64)
-_BASE = np.where(_band == 0, 1, (1 << (_band // 2)) + (_band % 2) * (1 << np.maximum(_band // 2 - 1, 0))).astype(np.int64)
-#: what seeing a band adds to the cumulative counts; the last row adds nothing
-_STEP = np.vstack([24 * (np.arange(_N_BANDS + 1)[None, :] > _band[:, None]), np.zeros((1, _N_BANDS + 1))]).astype(np.int32)
+#: plain bits below a band's two leading bits, and its first id
+_BITS = np.maximum(_band // 2 - 1, 0)
+_FIRST = np.where(_band == 0, 0, (1 << (_band // 2)) + (_band % 2) * (1 << np.maximum(_band // 2 - 1, 0)) - 1)
+#: first count of a band, what seeing it adds, and its least share
+_COUNT, _MORE, _LEAST = 2, 24, 32
+#: least and first probabilities of a prediction by class (0: none yet), in
+#: 64ths, and the largest ones; by order
+_GUESS = np.array([[0, 4, 20, 40], [0, 20, 45, 58]])
+_MOST = np.array([_ONE * 3 // 4, _ONE * 7 // 8])
+_RARE = 32
+
+
+def _chunks(steps: int) -> list[tuple[int, int]]:
+    """Runs of steps in which all probabilities stay as they are."""
+    at = [t for t in sorted({0, 4, 8, *range(16, steps, 16)}) if t < steps] + [steps]
+    return list(zip(at, at[1:]))
 
 
 class _Model:
+    """The tables of both orders lie side by side: order 1 in the first
+    ``lanes`` columns, order 2 in the others."""
+
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.seen = [np.zeros(lanes << _SLOTS, np.int32) for _ in (1, 2)]
-        self.right = [np.full(lanes * 8, 9000, np.int64), np.full(lanes * 8, 16000, np.int64)]
-        self.cum = np.tile(np.arange(_N_BANDS + 1, dtype=np.int32), (lanes, 1))
-        self.prev = np.zeros(lanes, np.int64)
-        self.prev2 = np.zeros(lanes, np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids that order 1 and 2 predict, and their shares of 1 << 16."""
-        base, mask = self.lane << _SLOTS, (1 << _SLOTS) - 1
-        self.at1 = base + ((self.prev * 40503 >> 4) & mask)
-        self.at2 = base + (((self.prev2 * 52711 + self.prev * 40503) >> 5) & mask)
-        s1, s2 = self.seen[0][self.at1], self.seen[1][self.at2]
-        self.id1, self.id2 = s1 & 0xFFFF, s2 & 0xFFFF
-        self.conf1, self.conf2 = s1 >> 16, s2 >> 16
-        self.r1, self.r2 = self.lane * 8 + self.conf1, self.lane * 8 + self.conf2
-        f2 = self.right[1][self.r2]
-        f1 = ((1 << 16) - f2) * self.right[0][self.r1] >> 16
-        same = self.id1 == self.id2
-        f2 = np.where(same, f2 + f1, f2)
-        f1 = np.where(same, 0, f1)
-        return self.id1, self.id2, f1, f2
-
-    def update(self, ids: np.ndarray, band: np.ndarray) -> None:
-        """``band``: of the ids that order 0 coded, else ``_N_BANDS``."""
-        hit1, hit2 = ids == self.id1, ids == self.id2
-        for k, (hit, at, conf, r) in enumerate(((hit1, self.at1, self.conf1, self.r1), (hit2, self.at2, self.conf2, self.r2))):
-            p = self.right[k][r]
-            self.right[k][r] = p + (np.where(hit, 64000, 200) - p >> 4)
-            self.seen[k][at] = ids | np.where(hit, np.minimum(conf + 1, 7), 0) << 16
-        self.cum += _STEP[band]
-        self.prev2, self.prev = self.prev, ids
-
-
-def _settle(low: np.ndarray, rng: np.ndarray, shift) -> tuple[np.ndarray, np.ndarray]:
-    """Shift settled leading words out (given to ``shift``), in place, until
-    every range is at least 1 << 48."""
-    while True:
-        open_ = (low ^ (low + rng)) >> _TOP != 0
-        small = rng <= _LOW48
-        todo = ~open_ | small
-        if not todo.any():
-            return low, rng
-        which = np.flatnonzero(todo)
-        cut = np.flatnonzero(open_ & small)
-        rng[cut] = (_U(0) - low[cut]) & _LOW48
-        shift(which, low)
-        low[which] <<= _U(16)
-        rng[which] <<= _U(16)
-
-
-def _encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``ids``: lanes x steps.  Words by lane, and how many of them count."""
+        self.lanes = lanes
+        self.lane, self.column = np.arange(lanes), np.arange(2 * lanes)
+        self.base = (self.column << _SLOTS).reshape(2, lanes)
+        self.seen = np.zeros(2 * lanes << _SLOTS, np.int32)
+        # hits and trials of each class: 16 bits each in one integer
+        self.trials, self.hits = np.zeros(2 * lanes, np.int64), np.zeros(2 * lanes, np.int64)
+        self.counts = np.full((_N_BANDS, lanes), _COUNT, np.int32)
+        self.cum = np.zeros((_N_BANDS + 1, lanes), np.uint16)
+        self.right = np.zeros((4, 2 * lanes), np.int32)
+
+    def refresh(self, t: int) -> None:
+        """Probabilities from all that was seen in the first ``t`` steps."""
+        scale, total = _ONE - _LEAST * _N_BANDS, _N_BANDS * _COUNT + _MORE * t
+        below = np.zeros(self.lanes, np.int32)
+        for k in range(_N_BANDS):
+            below += self.counts[k]
+            self.cum[k + 1] = below * scale // total + _LEAST * (k + 1)
+        most = np.repeat(_MOST, self.lanes)
+        for c in (1, 2, 3):
+            n, h = (x >> 16 * c & 0xFFFF for x in (self.trials, self.hits))
+            guess = np.repeat(_GUESS[:, c], self.lanes)
+            self.right[c] = np.clip((h * 16 + guess << _SCALE) // (n * 16 + 64), _RARE, most)
+
+    def slots(self, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
+        """Places in ``seen`` after the ids ``before`` and ``before2``."""
+        one = before * 40503
+        mask = (1 << _SLOTS) - 1
+        return np.concatenate([(one >> 4 & mask) + self.base[0], (before2 * 52711 + one >> 5 & mask) + self.base[1]], axis=-1)
+
+    def shares(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids that order 1 and 2 predict, the share of order 2, and both
+        orders' shares together."""
+        ids = found & 0xFFFF
+        p = self.right.reshape(-1).take((found >> 16) * (2 * self.lanes) + self.column)
+        id1, id2, f2 = ids[..., :self.lanes], ids[..., self.lanes:], p[..., self.lanes:]
+        f1 = ((_ONE - f2) * p[..., :self.lanes] >> _SCALE) * (id1 != id2)
+        return id1, id2, f2, f1 + f2
+
+    def renew(self, at: np.ndarray, found: np.ndarray, twice: np.ndarray) -> None:
+        """``twice``: the step's ids, once for each order."""
+        held = ((found & 0xFFFF) == twice) * np.minimum(found >> 16, 2)
+        self.seen[at] = twice + (held + 1 << 16)
+
+    def tally(self, found: np.ndarray, twice: np.ndarray) -> None:
+        one = np.left_shift(1, found >> 16 << 4, dtype=np.int64)
+        hit = one * ((found & 0xFFFF) == twice)
+        self.trials += one if one.ndim == 1 else one.sum(0)
+        self.hits += hit if hit.ndim == 1 else hit.sum(0)
+
+
+def _encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``ids``: lanes x steps.  Words of all lanes and how many each has; the
+    same of the units of plain bits."""
     lanes, steps = ids.shape
-    model, ids = _Model(lanes), np.ascontiguousarray(ids.T)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out, n = np.zeros((lanes, 2 * steps + 16), np.uint16), np.zeros(lanes, np.int64)
-
-    def shift(which, low):
-        nonlocal out
-        at = n[which]
-        if at.max() >= out.shape[1]:
-            out = np.pad(out, ((0, 0), (0, out.shape[1])))
-        out[which, at] = low[which] >> _TOP
-        n[which] = at + 1
-
-    for t in range(steps):
-        x = ids[t]
-        id1, id2, f1, f2 = model.predict()
-        two, one = x == id2, x == id1
-        start = np.where(two, 0, np.where(one, f2, f1 + f2))
-        share = np.where(two, f2, np.where(one, f1, (1 << 16) - f1 - f2))
-        rng >>= _U(16)
-        low = low + rng * start.astype(np.uint64)
-        rng = rng * share.astype(np.uint64)
-        rest = np.flatnonzero(~(two | one))
-        band = np.full(lanes, _N_BANDS)
-        if len(rest):
-            b = _BAND[x[rest]]
-            band[rest] = b
-            cum, bits = model.cum[rest, b], _BITS[b]
-            r = rng[rest] // model.cum[rest, _N_BANDS].astype(np.uint64)
-            lo = low[rest] + r * cum.astype(np.uint64)
-            r = r * (model.cum[rest, b + 1] - cum).astype(np.uint64) >> bits
-            low[rest] = lo + r * (x[rest] + 1 - _BASE[b]).astype(np.uint64)
-            rng[rest] = r
-        model.update(x, band)
-        low, rng = _settle(low, rng, shift)
-    every = np.arange(lanes)
-    for _ in range(4):
-        shift(every, low)
-        low = low << _U(16)
-    return out, n
-
-
-def _decode(words: np.ndarray, steps: int) -> np.ndarray:
-    """``words``: lanes x any, padded.  Ids as lanes x steps."""
-    lanes = len(words)
-    model, out = _Model(lanes), np.zeros((steps, lanes), np.int64)
-    words = np.pad(words, ((0, 0), (0, 8))).astype(np.uint64)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    code, at = np.zeros(lanes, np.uint64), np.full(lanes, 4, np.int64)
-    last = words.shape[1] - 1
-    for k in range(4):
-        code = code << _U(16) | words[:, k]
-
-    def shift(which, _):
-        code[which] = code[which] << _U(16) | words[which, np.minimum(at[which], last)]
-        at[which] += 1
-
-    for t in range(steps):
-        id1, id2, f1, f2 = model.predict()
-        rng >>= _U(16)
-        v = np.minimum((code - low) // np.maximum(rng, _U(1)), _U(0xFFFF)).astype(np.int64)
-        two, one = v < f2, (v >= f2) & (v < f1 + f2)
-        start = np.where(two, 0, np.where(one, f2, f1 + f2))
-        share = np.where(two, f2, np.where(one, f1, (1 << 16) - f1 - f2))
-        low = low + rng * start.astype(np.uint64)
-        rng = rng * share.astype(np.uint64)
-        x = np.where(two, id2, id1).astype(np.int64)
-        rest = np.flatnonzero(~(two | one))
-        band = np.full(lanes, _N_BANDS)
-        if len(rest):
-            table = model.cum[rest]
-            total = table[:, -1].astype(np.uint64)
-            r = rng[rest] // total
-            d = code[rest] - low[rest]
-            v = np.minimum(d // r, total - _U(1)).astype(np.int32)
-            b = (table[:, 1:] <= v[:, None]).sum(1)
-            band[rest] = b
-            k = np.arange(len(rest))
-            lo = r * table[k, b].astype(np.uint64)
-            r = r * (table[k, b + 1] - table[k, b]).astype(np.uint64) >> _BITS[b]
-            raw = np.minimum((d - lo) // r, (_U(1) << _BITS[b]) - _U(1))
-            low[rest] += lo + r * raw
-            rng[rest] = r
-            x[rest] = raw.astype(np.int64) + _BASE[b] - 1
-        out[t] = x
-        model.update(x, band)
-        low, rng = _settle(low, rng, shift)
-    return out.T
+    model = _Model(lanes)
+    padded = np.zeros((steps + 2, lanes), np.int32)
+    padded[2:] = ids.T
+    x, band = padded[2:], _BAND[padded[2:]]
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, _FULL)
+    top, out, plain = np.empty((steps, lanes), np.int32), np.empty((steps, lanes), bool), np.empty((steps, lanes), bool)
+    for a, b in _chunks(steps):
+        model.refresh(a)
+        at = model.slots(padded[a + 1:b + 1], padded[a:b])
+        twice = np.concatenate([x[a:b], x[a:b]], axis=1)
+        found = np.empty((b - a, 2 * lanes), np.int32)
+        for k in range(b - a):
+            found[k] = model.seen.take(at[k])
+            model.renew(at[k], found[k], twice[k])
+        id1, id2, f2, f12 = model.shares(found)
+        two = (x[a:b] == id2) & (f2 > 0)
+        one = (x[a:b] == id1) & (f12 > f2) & ~two
+        cell = band[a:b] * lanes + model.lane
+        rest, cum = _ONE - f12, model.cum.reshape(-1)
+        start = f12 + (cum.take(cell) * rest >> _SCALE)
+        end = f12 + (cum.take(cell + lanes) * rest >> _SCALE)
+        start = np.where(two, 0, np.where(one, f2, start)).astype(np.int64)
+        share = np.where(two, f2, np.where(one, f12, end)) - start
+        plain[a:b] = ~(two | one)
+        for k in range(b - a):
+            r = rng >> _SCALE
+            low += r * start[k]
+            rng = r * share[k]
+            small = np.less(rng, _LEAST_RANGE, out=out[a + k])
+            word = low >> 32
+            top[a + k] = word
+            shift = small * np.int64(16)
+            low = low - (word * small << 32) << shift
+            rng <<= shift
+        model.tally(found, twice)
+        model.counts += (_MORE * np.bincount(cell.reshape(-1), minlength=_N_BANDS * lanes)).astype(np.int32).reshape(_N_BANDS, lanes)
+    last = np.stack([low >> 32, low >> 16 & 0xFFFF, low & 0xFFFF]).astype(np.int32)
+    top, out = np.concatenate([top, last]).T, np.concatenate([out, np.ones((3, lanes), bool)]).T
+    words = top[out].astype(np.int64)
+    while (carry := words >> 16).any():
+        words &= 0xFFFF
+        words[:-1] += carry[1:]
+    return (words.astype("<u2"), out.sum(1), *_plain_bits(*(np.ascontiguousarray(v.T) for v in (x, band, plain))))
+
+
+def _plain_bits(x: np.ndarray, band: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The low bits of the ids that order 0 coded, lane after lane, a lane's
+    first at the start of a 16-bit unit."""
+    where = np.flatnonzero(plain)
+    band = band.reshape(-1).take(where)
+    width, value = _BITS.take(band), x.reshape(-1).take(where) - _FIRST.take(band)
+    coded = plain.sum(1)
+    ends = np.concatenate([[0], np.cumsum(width)])
+    last = np.cumsum(coded)
+    units = ends[last] - ends[last - coded] + 15 >> 4
+    # a lane's first bit moves to the start of a unit
+    moved = (np.cumsum(units) - units << 4) - ends[last - coded]
+    at = ends[:-1] + np.repeat(moved, coded)
+    field = value << 32 - (at & 15) - width
+    out = np.zeros(int(units.sum()) + 2, np.int64)
+    for part, k in ((field >> 16, at >> 4), (field & 0xFFFF, (at >> 4) + 1)):
+        out += np.bincount(k, part, len(out)).astype(np.int64)
+    return out[:-2].astype("<u2"), units
+
+
+def _decode(words: np.ndarray, n_words: np.ndarray, plain: np.ndarray, n_plain: np.ndarray, steps: int) -> np.ndarray:
+    """The four results of ``_encode``; ids as lanes x steps."""
+    lanes = len(n_words)
+    model, out = _Model(lanes), np.zeros((steps + 2, lanes), np.int32)
+    last = len(words) - 1
+    at = np.cumsum(n_words) - n_words + 3
+    code = sum(words.take(np.minimum(at - 3 + k, last)).astype(np.int64) << 32 - 16 * k for k in range(3))
+    rng = np.full(lanes, _FULL)
+    pairs = np.concatenate([plain, np.zeros(2, plain.dtype)]).astype(np.int64)
+    pairs = pairs[:-1] << 16 | pairs[1:]
+    bit = np.cumsum(n_plain) - n_plain << 4
+    below = np.empty((_N_BANDS - 1, lanes), bool)
+    flat, counts = model.cum.reshape(-1), model.counts.reshape(-1)
+    for a, b in _chunks(steps):
+        model.refresh(a)
+        for t in range(a, b):
+            slot = model.slots(out[t + 1], out[t])
+            found = model.seen.take(slot)
+            id1, id2, f2, f12 = model.shares(found)
+            rest = _ONE - f12
+            r = rng >> _SCALE
+            # both quotients are below 2 ** 48, so doubles give them exactly
+            v = np.minimum(np.true_divide(code, r), _ONE - 1).astype(np.int32)
+            two, hit = v < f2, v < f12
+            most = np.true_divide((v - f12 + 1 << _SCALE) - 1, rest).astype(np.int32).astype(np.uint16)
+            np.less_equal(model.cum[1:_N_BANDS], most, out=below)
+            band = np.add.reduce(below.view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+            cell = band * lanes + model.lane
+            start = np.where(hit, np.where(two, 0, f2), f12 + (flat.take(cell) * rest >> _SCALE))
+            end = np.where(hit, np.where(two, f2, f12), f12 + (flat.take(cell + lanes) * rest >> _SCALE))
+            code -= r * start
+            rng = r * (end - start)
+            small = rng < _LEAST_RANGE
+            shift = small * np.int64(16)
+            rng <<= shift
+            code = (code << shift) + words.take(np.minimum(at, last)) * small
+            at += small
+            width = _BITS.take(band)
+            low = (pairs.take(np.minimum(bit >> 4, len(pairs) - 1)) << (bit & 15) & 0xFFFFFFFF) >> 32 - width
+            bit += width * ~hit
+            x = np.where(hit, np.where(two, id2, id1), _FIRST.take(band) + low).astype(np.int32) & 0xFFFF
+            out[t + 2] = x
+            twice = np.concatenate([x, x])
+            model.renew(slot, found, twice)
+            model.tally(found, twice)
+            counts[_BAND.take(x) * lanes + model.lane] += _MORE
+    return out[2:].T
+
+
+def _groups(lanes: int) -> list[tuple[int, int]]:
+    """Lanes in equal groups of about ``LANES``."""
+    n = max(1, round(lanes / LANES))
+    edges = [lanes * k // n for k in range(n + 1)]
+    return list(zip(edges, edges[1:]))
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -205,12 +257,12 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     head = MAGIC + struct.pack("<IIII", VERSION, n, block, lanes)
     if not n:
         return head
-    rows = np.zeros(lanes * block, np.int64)
-    rows[:n] = ids
-    words, used = _encode(rows.reshape(lanes, block))
+    rows = np.zeros((lanes, block), np.int32)
+    rows.reshape(-1)[:n] = ids
+    words, n_words, plain, n_plain = zip(*(_encode(rows[a:b]) for a, b in _groups(lanes)))
     sums = [zlib.crc32(ids[k * block:(k + 1) * block].astype("<u4").tobytes()) for k in range(lanes)]
-    table = np.stack([used.astype("<u4"), np.array(sums, "<u4")], 1).tobytes()
-    return head + table + b"".join(words[k, :used[k]].astype("<u2").tobytes() for k in range(lanes))
+    table = np.stack([np.concatenate(n_words), np.concatenate(n_plain), sums], 1).astype("<u4")
+    return head + table.tobytes() + b"".join(x.tobytes() for x in words + plain)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -222,13 +274,16 @@ def unpack(data: bytes) -> np.ndarray:
         raise ValueError(f"version {version} is not known")
     if not n:
         return np.zeros(0, np.uint32)
-    table = np.frombuffer(data, "<u4", 2 * lanes, 20).reshape(lanes, 2)
-    used = table[:, 0].astype(np.int64)
-    flat = np.frombuffer(data, "<u2", int(used.sum()), 20 + 8 * lanes)
-    words = np.zeros((lanes, int(used.max())), np.uint16)
-    words[np.arange(words.shape[1])[None, :] < used[:, None]] = flat
-    ids = _decode(words, block).reshape(-1)[:n].astype("<u4")
+    table = np.frombuffer(data, "<u4", 3 * lanes, 20).reshape(lanes, 3)
+    sizes = table[:, :2].astype(np.int64)
+    flat = np.frombuffer(data, "<u2", int(sizes.sum()), 20 + 12 * lanes)
+    words, plain = flat[:int(sizes[:, 0].sum())], flat[int(sizes[:, 0].sum()):]
+    ends = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(sizes, axis=0)])
+    parts = []
+    for a, b in _groups(lanes):
+        parts.append(_decode(words[ends[a, 0]:ends[b, 0]], sizes[a:b, 0], plain[ends[a, 1]:ends[b, 1]], sizes[a:b, 1], block).reshape(-1))
+    ids = np.concatenate(parts)[:n].astype("<u4")
     for k in range(lanes):
-        if zlib.crc32(ids[k * block:(k + 1) * block].tobytes()) != table[k, 1]:
+        if zlib.crc32(ids[k * block:(k + 1) * block].tobytes()) != table[k, 2]:
             raise ValueError(f"checksum of block {k} differs")
     return ids

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from huddle.llm.common import blocks, id_and_text, written
 
 BYTE_VOCAB = "byte_bpe_50k.json"
 END = 0
-SEGMENT = 4 << 20
+SEGMENT = idcoder.LANES * idcoder.BLOCK
 
 SEGMENTS = "file int, segment int, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"
 DOCUMENTS = "file int, segment int, doc_id long, n_tokens long, before long, ids binary"
@@ -38,15 +39,30 @@ DOCUMENTS = "file int, segment int, doc_id long, n_tokens long, before long, ids
 #: Texts in which a cut before a space, comma, full stop or around a line
 #: break might not be a word boundary of the byte-level pre-tokenizer.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]|[\W_][.,]|\x00")
+_ASCII = bytes(range(128))
+#: The same by kinds of bytes: blank, full stop or comma, letter or digit or
+#: not ASCII (a), other (!), and what makes a text uneven by itself (zero).
+_KINDS = bytes(
+    ord("a") if b >= 128 or chr(b).isalnum() else ord(" ") if chr(b) in " \n" else ord(".") if chr(b) in ".,"
+    else 0 if b == 0 or chr(b).isspace() else ord("!") for b in range(256))
+_UNEVEN_KINDS = (b"  ", b" .", b"..", b"!.", b"\0")
+_LINE_EDGE = re.compile(r"(^|\s)\n|\n(\s|$)")
 
 
-_LINE_EDGE = re.compile(r"(^|\s)\n|\n(\s|$)")
+def even(text: str) -> bool:
+    """Whether ``_UNEVEN`` is nowhere in ``text``; fast unless it has characters
+    that are neither ASCII nor letters or digits."""
+    raw = text.encode()
+    if len(raw) != len(text) and not raw.translate(None, _ASCII).decode().isalnum():
+        return not _UNEVEN.search(text)
+    kinds = raw.translate(_KINDS)
+    return not any(k in kinds for k in _UNEVEN_KINDS)
 
 
 def cut(text: str) -> list[str]:
     """Pieces of ``text`` that the byte-level vocabulary encodes on their own:
     words where the text is even, else lines, else the whole."""
-    if not _UNEVEN.search(text):
+    if even(text):
         marked = text.replace(" ", "\x00 ").replace(",", "\x00,").replace(".", "\x00.").replace("\n", "\x00\n\x00")
         return marked.split("\x00")
     if "\n" not in text or _LINE_EDGE.search(text):
@@ -58,13 +74,9 @@ def cut(text: str) -> list[str]:
     return out[:-1]
 
 
-_tables: dict[str, WordTable] = {}
-
-
+@lru_cache(maxsize=4)
 def _table(path: str) -> WordTable:
-    if path not in _tables:
-        _tables[path] = WordTable(path)
-    return _tables[path]
+    return WordTable(path)
 
 
 def _write(path: str, segment: int):

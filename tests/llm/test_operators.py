@@ -123,6 +123,19 @@ def test_range_coder_notices_damage():
         idcoder.unpack(bytes(data))
 
 
+def test_even_texts_are_those_without_an_uneven_place():
+    rnd = random.Random(1)
+    for _ in range(20000):
+        x = "".join(rnd.choice("aB1 \n.,_-é“ ²\x1c\x00\t") for _ in range(rnd.randrange(7)))
+        assert token_files.even(x) == (not token_files._UNEVEN.search(x))
+
+
+def test_range_coder_codes_lanes_in_groups(monkeypatch):
+    ids = np.random.default_rng(2).zipf(1.3, 9000) % 65535
+    monkeypatch.setattr(idcoder, "LANES", 5)
+    assert idcoder.unpack(idcoder.pack(ids, 128)).tolist() == ids.tolist()
+
+
 def test_bpe_round_trip(docs, rows):
     path = bpe.vocabulary_path(bpe.WORD_VOCAB)
     tok, exp = bpe.tokenizer(path), []
