@@ -27,10 +27,6 @@ from pyspark.sql import functions as F
 
 from huddle.llm.common import written
 
-# White space of the word rule, symbols of the base rule.
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Documents shorter than this are not judged by their histograms.
 MIN_CHARS, MIN_JUDGED_WORDS = 500, 100
@@ -39,16 +35,18 @@ MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.36
 MAX_LANGS = 200
 
 CLASSES = ("upper", "digit", "space", "stop", "n_symbols", "rest")
-_UPPER, _DIGIT, _STOP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:!?'\"()-"
+# Insides of the classes of characters, as regular expressions.
+_UPPER, _DIGIT, _STOP = "A-Z", "0-9", ".,;:!?'\"()\\-"
+_SPACE, _SYMBOL = r"\x20\x09-\x0D", "#*$%&|<>"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[{_SPACE}]+"), lambda w: w != "")
 
 
 def _count_of(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are in ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """How many characters of ``text`` are of the class ``[chars]``."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
 def _let(value: Column, body) -> Column:
@@ -86,8 +84,8 @@ def character_counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(t.cast("string"), F.lit("")).alias("text"),
                        lang.alias("lang"), *([F.struct(*keep).alias("kept_columns")] if keep else []))
-    counts = {"upper": _count_of(t, _UPPER), "digit": _count_of(t, _DIGIT), "space": _count_of(t, SPACES),
-              "stop": _count_of(t, _STOP), "n_symbols": _count_of(t, SYMBOLS)}
+    counts = {"upper": _count_of(t, _UPPER), "digit": _count_of(t, _DIGIT), "space": _count_of(t, _SPACE),
+              "stop": _count_of(t, _STOP), "n_symbols": _count_of(t, _SYMBOL)}
     rows = rows.withColumns({"n_chars": F.length(t).cast("long")} | {k: c.cast("long") for k, c in counts.items()})
     # small letters of any alphabet, and whatever is in no other class
     return rows.withColumn("rest", F.col("n_chars") - sum((F.col(k) for k in counts), F.lit(0)))
@@ -97,7 +95,7 @@ def base_counts(docs: DataFrame, keep: tuple[str, ...] = (), reference_words: li
     """``character_counts`` with the base counts and the common words."""
     t = F.col("text")
     rows = character_counts(docs, keep).withColumn("words", words_of(t)).withColumn("lines", F.filter(
-        F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
+        F.split(t, "\n"), lambda x: x.rlike(f"[^{_SPACE}]")))
     return rows.select(
         "doc_id", "lang", *(["kept_columns"] if keep else []), "n_chars", *CLASSES, F.size("words").cast("long").alias("n_words"),
         (F.col("n_chars") - F.col("space")).alias("word_chars"),

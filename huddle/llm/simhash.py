@@ -224,6 +224,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ends when a round changes nothing.  Each round is a written table."""
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     pairs = written(pairs, "components-0")
+
+    def checked(x: DataFrame):
+        return x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    last = checked(pairs)
     for k in range(1, max_rounds + 1):
         both = pairs.union(pairs.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -231,10 +236,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         new = least.select("a", F.col("m").alias("b")).union(small).distinct()
-        new = written(new, f"components-{k}")
-        old_sum, new_sum = (x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (pairs, new))
-        pairs = new
-        if old_sum == new_sum:
+        pairs = written(new, f"components-{k}")
+        before, last = last, checked(pairs)
+        if before == last:
             break
     else:
         raise RuntimeError("components did not settle")
