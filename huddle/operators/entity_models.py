@@ -1,25 +1,27 @@
 """Many small models: one bagged-tree classifier per player (M6).
 
 Players are many, so fitting them one MLlib job at a time does not scale.
-Instead one ``applyInPandas`` job fits every player's model in the task
-that holds that player's rows (a compact numpy learner, below).  A player
-whose row count exceeds ``max_group_rows`` is not sent to one task: those
-(few, by construction at most total/max_group_rows) players are fitted with
-MLlib's distributed forest instead, so no group is ever collected whole
-into one task and no rows are dropped."""
+One grouped job fits every player's model with the same compact numpy learner
+(below), whatever the player's size: on the training rows, of which at most
+``max_fit_rows`` (those of the lowest key hash, chosen by a limited rank
+before the shuffle) are used.  Every test row is scored, in groups of about
+``score_rows`` rows that are cogrouped with their player's model, so no player
+is ever collected whole into one task."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from huddle.operators.models import SMALL_FOREST, fit_and_score, accuracy_of, forest, with_split
+from huddle.operators.models import SMALL_FOREST, with_split
 
-RESULT_DDL = "entity long, n long, n_test long, accuracy double"
+MODEL_DDL = "_entity long, model binary"
+SCORE_DDL = "_entity long, scored long, hits long"
 
 
 def _best_split(x: np.ndarray, y: np.ndarray, feats: np.ndarray):
@@ -60,57 +62,67 @@ def _grow(x, y, depth, max_depth, rng, n_feat):
 
 
 def _predict(tree, x):
-    out = np.empty(len(x))
-    for i, row in enumerate(x):
-        t = tree
-        while t[0] != "leaf":
-            t = t[2] if row[t[0]] <= t[1] else t[3]
-        out[i] = t[1]
+    if tree[0] == "leaf":
+        return np.full(len(x), tree[1])
+    feature, threshold, low, high = tree
+    out, m = np.empty(len(x)), x[:, feature] <= threshold
+    out[m], out[~m] = _predict(low, x[m]), _predict(high, x[~m])
     return out
 
 
-def bagged_trees_accuracy(x_tr, y_tr, x_te, y_te, n_trees=100, max_depth=5, seed=42) -> float:
+def fit_trees(x, y, n_trees=100, max_depth=5, seed=42) -> list:
     rng = np.random.default_rng(seed)
-    n_feat = max(1, int(np.sqrt(x_tr.shape[1])))
-    votes = np.zeros(len(x_te))
+    n_feat = max(1, int(np.sqrt(x.shape[1])))
+    trees = []
     for _ in range(n_trees):
-        idx = rng.integers(0, len(y_tr), len(y_tr))
-        votes += _predict(_grow(x_tr[idx], y_tr[idx], 0, max_depth, rng, n_feat), x_te)
-    pred = (votes / n_trees) > 0.5
-    return float((pred == (y_te > 0.5)).mean()) if len(y_te) else float("nan")
+        idx = rng.integers(0, len(y), len(y))
+        trees.append(_grow(x[idx], y[idx], 0, max_depth, rng, n_feat))
+    return trees
+
+
+def vote(trees: list, x) -> np.ndarray:
+    """Whether the trees' mean vote is for the positive label."""
+    return sum(_predict(t, x) for t in trees) / len(trees) > 0.5
+
+
+def bagged_trees_accuracy(x_tr, y_tr, x_te, y_te, n_trees=100, max_depth=5, seed=42) -> float:
+    if not len(y_te):
+        return float("nan")
+    return float((vote(fit_trees(x_tr, y_tr, n_trees, max_depth, seed), x_te) == (y_te > 0.5)).mean())
 
 
 def entity_models(spark: SparkSession, rows: DataFrame, entity: str, features: Sequence[str], label: str,
-                  row_keys: Sequence[str], min_rows: int = 50, max_group_rows: int = 200_000,
-                  positive: str = "right") -> DataFrame:
+                  row_keys: Sequence[str], min_rows: int = 50, max_fit_rows: int = 20_000,
+                  score_rows: int = 50_000, positive: str = "right") -> DataFrame:
     """Accuracy of a per-entity classifier for every entity with at least
-    ``min_rows`` rows.  Output: entity, n, n_test, accuracy."""
-    feats = list(features)
-    split = with_split(rows, row_keys)
-    sizes = split.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
-    sized = split.join(sizes.filter(F.col("_n") >= min_rows), entity, "inner")
-    small = sized.filter(F.col("_n") <= max_group_rows).select(
-        F.col(entity).cast("long").alias("_entity"), *[F.col(c).cast("double") for c in feats],
-        (F.col(label) == F.lit(positive)).cast("double").alias("_y"), (F.col("split") == "test").alias("_test"))
-
-    def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        test = pdf["_test"].to_numpy()
-        x = pdf[feats].to_numpy(dtype=float)
-        y = pdf["_y"].to_numpy(dtype=float)
-        acc = (bagged_trees_accuracy(x[~test], y[~test], x[test], y[test],
-                                     SMALL_FOREST["numTrees"], SMALL_FOREST["maxDepth"], SMALL_FOREST["seed"])
-               if (~test).sum() > 0 and test.sum() > 0 else float("nan"))
-        return pd.DataFrame({"entity": [int(pdf["_entity"].iloc[0])], "n": [len(pdf)],
-                             "n_test": [int(test.sum())], "accuracy": [acc]})
-
-    out = small.groupBy("_entity").applyInPandas(fit_group, RESULT_DDL)
-    big_ids = [r[0] for r in sizes.filter(F.col("_n") > max_group_rows).select(entity).collect()]
-    if big_ids:
-        rows_big = []
-        for e in big_ids:
-            part = sized.filter(F.col(entity) == F.lit(e))
-            tr, te = part.filter("split = 'train'"), part.filter("split = 'test'")
-            _, preds = fit_and_score(tr, te, feats, label, forest(**SMALL_FOREST, minInstancesPerNode=1, featureSubsetStrategy="sqrt"))
-            rows_big.append((int(e), int(part.count()), int(preds.count()), accuracy_of(preds)))
-        out = out.unionByName(spark.createDataFrame(rows_big, RESULT_DDL))
-    return out.withColumn("accuracy", F.when(F.isnan("accuracy"), None).otherwise(F.col("accuracy")))
+    ``min_rows`` rows.  Output: entity, n, n_test, accuracy (null where an
+    entity has no test or no training rows)."""
+    feats = [f"_x{k}" for k in range(len(features))]
+    data = with_split(rows, row_keys).select(
+        F.col(entity).cast("long").alias("_entity"), *[F.col(c).cast("double").alias(f) for c, f in zip(features, feats)],
+        (F.col(label) == F.lit(positive)).cast("double").alias("_y"), (F.col("split") == "test").alias("_test"),
+        F.xxhash64(*row_keys).alias("_hash"))
+    sizes = data.groupBy("_entity").agg(F.count(F.lit(1)).alias("n"), F.count_if("_test").alias("n_test"))
+    sizes = sizes.filter(F.col("n") >= min_rows).withColumn("_parts", F.ceil(F.col("n_test") / score_rows).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("_entity").orderBy("_hash", *feats, "_y"))
+    chosen = data.filter(~F.col("_test")).withColumn("_rank", rank).filter(F.col("_rank") <= max_fit_rows)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rank")
+        trees = fit_trees(pdf[feats].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float),
+                          SMALL_FOREST["numTrees"], SMALL_FOREST["maxDepth"], SMALL_FOREST["seed"])
+        return pd.DataFrame({"_entity": [int(pdf["_entity"].iloc[0])], "model": [pickle.dumps(trees)]})
+
+    def score(test: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        if not len(test) or not len(models):
+            return pd.DataFrame({"_entity": [], "scored": [], "hits": []})
+        right = vote(pickle.loads(models["model"].iloc[0]), test[feats].to_numpy(dtype=float)) == (test["_y"].to_numpy() > 0.5)
+        return pd.DataFrame({"_entity": [int(test["_entity"].iloc[0])], "scored": [len(right)], "hits": [int(right.sum())]})
+
+    models = chosen.join(sizes.select("_entity"), "_entity", "left_semi").groupBy("_entity").applyInPandas(fit, MODEL_DDL)
+    parts = sizes.filter("_parts > 0").select("_entity", "_parts")
+    models = models.join(parts, "_entity").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    test = data.filter("_test").join(parts, "_entity").withColumn("_part", F.pmod("_hash", "_parts").cast("int"))
+    scored = test.groupBy("_entity", "_part").cogroup(models.groupBy("_entity", "_part")).applyInPandas(score, SCORE_DDL)
+    hits = scored.groupBy("_entity").agg((F.sum("hits") / F.sum("scored")).alias("accuracy"))
+    return sizes.join(hits, "_entity", "left").select(F.col("_entity").alias("entity"), "n", "n_test", "accuracy")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from huddle.functions.expressions import direction_label
 from huddle.layout import FULL_SLOTS, Layout, Slot
-from huddle.operators.slots import INDEX, order_columns, rank_in_role
+from huddle.operators.slots import INDEX, rank_in_role, role_counts
 
 
 def wide_features(rows: DataFrame, layout: Layout, slots: Sequence[Slot] = FULL_SLOTS,
@@ -19,18 +19,17 @@ def wide_features(rows: DataFrame, layout: Layout, slots: Sequence[Slot] = FULL_
     center; the center keeps its absolute coordinate, B6), ``<slot>_dir``,
     ``<slot>_o``; plus label and play attributes and the role count.
 
-    ``rows`` are event-frame rows (see ``event_frame_filter``).  One scan,
-    one window, one aggregate:
-
-    * roles with a second slot (T, G) are ranked by a limited ``row_number``
-      (partial WindowGroupLimit before the shuffle, so a hot play never
-      reaches one task whole);
-    * roles with a single slot (C, TE) pass the window unranked, every row
-      kept; their slot is the first row by lateral order (``min`` over a
-      struct) and the role count is a plain count, both in the aggregate;
-    * the pivot is ONE conditional aggregate grouped by the play keys (the
-      pivot with explicit values, without a second aggregate); play
-      attributes are functions of the play and ride along with ``max``;
+    ``rows`` are event-frame rows (see ``event_frame_filter``):
+
+    * every role is ranked by a limited ``row_number`` (partial
+      WindowGroupLimit before the shuffle, so a hot play never reaches one
+      task whole);
+    * the pivot is ONE conditional aggregate grouped by the play keys and the
+      play attributes, which are functions of the play (the pivot with
+      explicit values, without a second aggregate); its cells are plain
+      maxima, so it is a hash aggregate;
+    * the role count, which the limit would spoil, is a partial aggregate of
+      its own, joined on the play keys;
     * ``complete``: drop plays with any null (B1: plays lacking a slot go).
     """
     keys = list(layout.keys)
@@ -41,36 +40,20 @@ def wide_features(rows: DataFrame, layout: Layout, slots: Sequence[Slot] = FULL_
     if label not in base.columns:
         base = base.withColumn(label, direction_label(layout.label_source, layout.left_tokens,
                                                       layout.right_tokens))
-    roles = sorted({s.role for s in slots} | ({count_role} if count_role else set()))
-    ranked_roles = sorted({s.role for s in slots if (s.index or 1) > 1})
-    first_roles = [r for r in roles if r not in ranked_roles]
-    if count_role in ranked_roles:
-        raise ValueError("the counted role must not need ranks above 1")
-    limit = max([s.index for s in slots if s.role in ranked_roles], default=1)
-    ranked = rank_in_role(base.filter(F.col(layout.role).isin(roles)), layout, limit, unranked_roles=first_roles)
-
-    role_c = f"`{layout.role}`"
-    order = order_columns(layout)
-    aggs = [F.max(a).alias(a) for a in attributes]
-    for r in first_roles:
-        fields = ", ".join([f"'k{i}', `{c}`" for i, c in enumerate(order)]
-                           + [f"'lat', `{layout.lateral}`", f"'dir', `{layout.heading}`", f"'o', `{layout.facing}`"])
-        aggs.append(F.expr(f"min(CASE WHEN {role_c} = '{r}' THEN named_struct({fields}) END)").alias(f"_first_{r}"))
-    if count_role is not None:
-        aggs.append(F.expr(f"count(CASE WHEN {role_c} = '{count_role}' THEN 1 END)").alias(count_name))
-
-    def cell(s: Slot, field: str, col: str):
-        if s.role in first_roles:
-            return F.col(f"_first_{s.role}.{field}")
-        return F.col(f"_{s.name}_{field}")
+    roles = sorted({s.role for s in slots})
+    limit = max([s.index or 1 for s in slots], default=1)
+    ranked = rank_in_role(base.filter(F.col(layout.role).isin(roles)), layout, limit)
 
+    aggs = []
     for s in slots:
-        if s.role in ranked_roles:
-            for field, col in (("lat", layout.lateral), ("dir", layout.heading), ("o", layout.facing)):
-                # one SQL expression per cell: a single call to the JVM instead of one per node
-                aggs.append(F.expr(f"max(CASE WHEN {role_c} = '{s.role}' AND `{INDEX}` = {s.index} "
-                                   f"THEN `{col}` END)").alias(f"_{s.name}_{field}"))
-    wide = ranked.groupBy(*keys).agg(*aggs)
+        for field, col in (("lat", layout.lateral), ("dir", layout.heading), ("o", layout.facing)):
+            # one SQL expression per cell: a single call to the JVM instead of one per node
+            aggs.append(F.expr(f"max(CASE WHEN `{layout.role}` = '{s.role}' AND `{INDEX}` = {s.index or 1} "
+                               f"THEN `{col}` END)").alias(f"_{s.name}_{field}"))
+    wide = ranked.groupBy(*keys, *attributes).agg(*aggs)
+    if count_role is not None:
+        counts = role_counts(base, layout, count_role, count_name)
+        wide = wide.join(counts, keys, "left").withColumn(count_name, F.coalesce(count_name, F.lit(0).cast("long")))
 
     # raw cells first, the any-null filter on them, then offsets from the center:
     # the filter sees plain columns (no alias chains for constraint inference)
@@ -79,9 +62,8 @@ def wide_features(rows: DataFrame, layout: Layout, slots: Sequence[Slot] = FULL_
     if count_role is not None:
         raw.append(F.col(count_name).cast("int").alias(count_name))
     for s in slots:
-        raw += [cell(s, "lat", layout.lateral).alias(f"_{s.name}_lat_v"),
-                cell(s, "dir", layout.heading).alias(f"{s.name}_dir"),
-                cell(s, "o", layout.facing).alias(f"{s.name}_o")]
+        raw += [F.col(f"_{s.name}_lat").alias(f"_{s.name}_lat_v"), F.col(f"_{s.name}_dir").alias(f"{s.name}_dir"),
+                F.col(f"_{s.name}_o").alias(f"{s.name}_o")]
     out = wide.select(*raw)
     if complete:
         out = out.dropna(how="any")

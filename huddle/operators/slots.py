@@ -20,46 +20,32 @@ def order_columns(layout: Layout) -> list[str]:
     return [layout.lateral, *layout.tiebreak]
 
 
-def rank_in_role(df: DataFrame, layout: Layout, limit: int | None = None,
-                 unranked_roles: Sequence[str] = ()) -> DataFrame:
+def rank_in_role(df: DataFrame, layout: Layout, limit: int | None = None) -> DataFrame:
     """``row_number`` within (play keys, role) by the lateral coordinate, ties
     broken by the layout's tie-break columns (B3).
 
     With ``limit`` only ranks <= limit are kept.  The filter sits directly on
     the rank, so Spark plans a partial WindowGroupLimit before the shuffle:
     each map task forwards at most ``limit`` rows per group, and a hot play
-    never reaches one task whole.
-
-    Rows of ``unranked_roles`` keep every row and get a null rank: each is its
-    own window group (keyed by a row id taken at the scan), so it passes the
-    limit untouched and is spread over partitions by that id.  One window
-    then serves ranked and unranked roles from a single scan."""
-    part = [F.col(k) for k in layout.keys] + [F.col(layout.role)]
-    src = df
-    if unranked_roles:
-        src = df.withColumn("_rid", F.monotonically_increasing_id())
-        part.append(F.when(F.col(layout.role).isin(list(unranked_roles)), F.col("_rid")))
-    w = Window.partitionBy(*part).orderBy(*order_columns(layout))
-    out = src.withColumn(INDEX, F.row_number().over(w))
-    if limit is not None:
-        out = out.filter(F.col(INDEX) <= F.lit(limit))
-    if unranked_roles:
-        out = out.withColumn(INDEX, F.when(F.col(layout.role).isin(list(unranked_roles)),
-                                           F.lit(None).cast("int")).otherwise(F.col(INDEX))).drop("_rid")
-    return out
+    never reaches one task whole."""
+    w = Window.partitionBy(*layout.keys, layout.role).orderBy(*order_columns(layout))
+    out = df.withColumn(INDEX, F.row_number().over(w))
+    return out if limit is None else out.filter(F.col(INDEX) <= F.lit(limit))
 
 
 def slot_assign(df: DataFrame, layout: Layout, slots: Sequence[Slot]) -> DataFrame:
     """Name each row's slot; rows without a slot are dropped.
 
-    Roles whose slots have indexes are ranked with a limited window; roles
-    whose slot takes every row (``index=None``) pass through the same window
-    unranked (one scan of the input)."""
+    Roles whose slots have indexes are ranked with a limited window; rows of
+    roles whose slot takes every row (``index=None``) need no rank and no
+    shuffle: the two are a union over the same input, read once for each."""
     ranked_roles = sorted({s.role for s in slots if s.index is not None})
     all_roles = sorted({s.role for s in slots if s.index is None})
     limit = max([s.index for s in slots if s.index is not None], default=1)
-    rows = df.filter(F.col(layout.role).isin(ranked_roles + all_roles))
-    out = rank_in_role(rows, layout, limit, unranked_roles=all_roles)
+    role = F.col(layout.role)
+    out = rank_in_role(df.filter(role.isin(ranked_roles)), layout, limit)
+    if all_roles:
+        out = out.unionByName(df.filter(role.isin(all_roles)).withColumn(INDEX, F.lit(None).cast("int")))
     out = out.withColumn(SLOT, slot_name(layout.role, INDEX, slots))
     return out.filter(F.col(SLOT).isNotNull())
 

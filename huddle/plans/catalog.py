@@ -138,7 +138,7 @@ SELECT * FROM o WHERE {not_null}""")
 @register("wide_features", _wide_sql(FULL_SLOTS, True))
 def q_wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from huddle.plans.features import snap_features
-    return snap_features(driver_frames(spark, sf_dir), DRIVER, event_value=None)
+    return snap_features(driver_frames(spark, sf_dir, "customer"), DRIVER, event_value=None)
 
 
 @register("wide_features_line_only", _wide_sql(LINE_SLOTS, False))
@@ -150,8 +150,8 @@ def q_wide_features_line_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 # projections and labels
 # --------------------------------------------------------------------------
-def _frames(spark, sf_dir):
-    return driver_frames(spark, sf_dir)
+def _frames(spark, sf_dir, *dimensions):
+    return driver_frames(spark, sf_dir, *dimensions)
 
 
 @register("classify_play", with_frames("""
@@ -296,7 +296,7 @@ WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL AND l_partkey IS NOT N
 def q_complete_rows(spark, sf_dir):
     """any-null drop; the side label is null on MEDIUM priority."""
     from huddle.operators.frames import complete_rows
-    return complete_rows(_frames(spark, sf_dir).select(*_ROW_ID, "run_dir", "c_mktsegment"))
+    return complete_rows(_frames(spark, sf_dir, "customer").select(*_ROW_ID, "run_dir", "c_mktsegment"))
 
 
 @register("complete_rows_subset", """
@@ -472,8 +472,15 @@ def q_join_left_dim(spark, sf_dir):
     "SELECT l_orderkey, l_linenumber, l_partkey, o_custkey, c_mktsegment, p_name, p_brand,"))
 def q_merge_frames(spark, sf_dir):
     """J1-J3 together: the stand-in of the tracking merge."""
-    return _frames(spark, sf_dir).select(*_ROW_ID, "o_custkey", "c_mktsegment", "p_name", "p_brand",
-                                         "pos", "run_dir")
+    from huddle.functions.expressions import direction_label
+    from huddle.operators.joins import merge_frames
+    from huddle.sources.readers import read_table
+    from huddle.sources.standin import role_code
+    tables = [read_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part")]
+    merged = merge_frames(*tables, play_on=[("l_orderkey", "o_orderkey")], game_on=[("o_custkey", "c_custkey")],
+                          player_on=[("l_partkey", "p_partkey")])
+    return merged.select(*_ROW_ID, "o_custkey", "c_mktsegment", "p_name", "p_brand", role_code().alias("pos"),
+                         direction_label("o_orderpriority", DRIVER.left_tokens, DRIVER.right_tokens).alias("run_dir"))
 
 
 @register("join_fanout_report", """
@@ -514,7 +521,7 @@ SELECT c_mktsegment, round(avg(o_totalprice), 6) AS avg_yards FROM frames
 WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY c_mktsegment"""))
 def q_avg_by_team(spark, sf_dir):
     from huddle.operators.tendencies import avg_by_team
-    return avg_by_team(_frames(spark, sf_dir), DRIVER).withColumn("avg_yards", rnd("avg_yards"))
+    return avg_by_team(_frames(spark, sf_dir, "customer"), DRIVER).withColumn("avg_yards", rnd("avg_yards"))
 
 
 @register("avg_by_team_per_play", with_frames(f"""
@@ -523,7 +530,7 @@ p AS (SELECT {KEYS_SQL}, max(c_mktsegment) AS c_mktsegment, max(o_totalprice) AS
 SELECT c_mktsegment, round(avg(o_totalprice), 6) AS avg_yards FROM p GROUP BY c_mktsegment"""))
 def q_avg_by_team_per_play(spark, sf_dir):
     from huddle.operators.tendencies import avg_by_team_per_play
-    return avg_by_team_per_play(_frames(spark, sf_dir), DRIVER).withColumn("avg_yards", rnd("avg_yards"))
+    return avg_by_team_per_play(_frames(spark, sf_dir, "customer"), DRIVER).withColumn("avg_yards", rnd("avg_yards"))
 
 
 @register("avg_by_formation", with_frames("""
@@ -571,7 +578,7 @@ def q_avg_by_entity(spark, sf_dir):
 SELECT DISTINCT c_mktsegment FROM frames"""))
 def q_distinct_segments(spark, sf_dir):
     from huddle.operators.tendencies import distinct_segments
-    return distinct_segments(_frames(spark, sf_dir), DRIVER.team)
+    return distinct_segments(_frames(spark, sf_dir, "customer"), DRIVER.team)
 
 
 @register("first_attribute", with_frames("""
@@ -581,7 +588,7 @@ FROM frames GROUP BY l_partkey"""))
 def q_first_attribute(spark, sf_dir):
     """Name and role of each player's first row (by play, then line)."""
     from huddle.operators.tendencies import first_attribute
-    return first_attribute(_frames(spark, sf_dir), [DRIVER.entity], [DRIVER.entity_name, "pos"],
+    return first_attribute(_frames(spark, sf_dir, "part"), [DRIVER.entity], [DRIVER.entity_name, "pos"],
                            ["l_orderkey", "l_linenumber"])
 
 
@@ -618,7 +625,7 @@ _DIFF_COLS = ["dir_diff", "o_diff", "yrel_diff", "total_diff"]
 
 def _study_diff(spark, sf_dir):
     from huddle.plans.study import side_tendencies, study_rows
-    return side_tendencies(study_rows(_frames(spark, sf_dir), DRIVER, None), DRIVER)
+    return side_tendencies(study_rows(_frames(spark, sf_dir, "part"), DRIVER, None), DRIVER)
 
 
 def _round_all(df, cols):
@@ -631,7 +638,7 @@ def q_pivot_sides(spark, sf_dir):
     """G7 + G10: per player and slot, mean measures on left and right runs."""
     from huddle.operators.pivot import pivot_sides
     from huddle.plans.study import study_rows
-    rows = study_rows(_frames(spark, sf_dir), DRIVER, None)
+    rows = study_rows(_frames(spark, sf_dir, "part"), DRIVER, None)
     piv = pivot_sides(rows, [DRIVER.entity, DRIVER.entity_name, "true_position"], DRIVER.label,
                       {"dir": DRIVER.heading, "o": DRIVER.facing, "yrel": "y_rel_C"})
     return _round_all(piv, _SIDE_COLS)
@@ -645,7 +652,7 @@ def q_avg_by_entity_side(spark, sf_dir):
     """G7 as its own table: one row per player, slot and side."""
     from huddle.operators.tendencies import avg_by
     from huddle.plans.study import study_rows
-    rows = study_rows(_frames(spark, sf_dir), DRIVER, None)
+    rows = study_rows(_frames(spark, sf_dir, "part"), DRIVER, None)
     g = [DRIVER.entity, DRIVER.entity_name, "true_position", DRIVER.label]
     out = rows.groupBy(*g).agg(F.avg(DRIVER.heading).alias("avg_dir"), F.avg(DRIVER.facing).alias("avg_o"),
                                F.avg("y_rel_C").alias("avg_yrel"))
@@ -775,9 +782,9 @@ sc AS (SELECT *, run_dir AS label, CASE WHEN l_quantity <= 25.0 THEN 'left' ELSE
        FROM frames WHERE run_dir IN ('left', 'right'))"""
 
 
-def _scored(spark, sf_dir):
+def _scored(spark, sf_dir, *dimensions):
     from huddle.plans.scored import scored_rows
-    return scored_rows(_frames(spark, sf_dir), DRIVER)
+    return scored_rows(_frames(spark, sf_dir, *dimensions), DRIVER)
 
 
 def _acc_sql(seg: str, min_rows: int = 0) -> str:
@@ -789,7 +796,7 @@ def _acc_sql(seg: str, min_rows: int = 0) -> str:
 @register("accuracy_by_segment", with_frames(_SCORED_SQL + "\n" + _acc_sql("c_mktsegment")))
 def q_accuracy_by_segment(spark, sf_dir):
     from huddle.operators.evaluate import accuracy_by_segment
-    return accuracy_by_segment(_scored(spark, sf_dir), DRIVER.team).withColumn("accuracy", rnd("accuracy"))
+    return accuracy_by_segment(_scored(spark, sf_dir, "customer"), DRIVER.team).withColumn("accuracy", rnd("accuracy"))
 
 
 @register("rank_segments", with_frames(_SCORED_SQL + "\n" + _acc_sql("o_orderstatus") + " ORDER BY accuracy DESC"))
@@ -857,7 +864,7 @@ def q_top_bottom_union(spark, sf_dir):
     """Top 3 and bottom 3 teams concatenated (5 teams: one repeats)."""
     from huddle.operators.evaluate import accuracy_by_segment
     from huddle.operators.tendencies import top_bottom
-    acc = accuracy_by_segment(_scored(spark, sf_dir), DRIVER.team)
+    acc = accuracy_by_segment(_scored(spark, sf_dir, "customer"), DRIVER.team)
     return top_bottom(acc, "accuracy", [DRIVER.team], 3).withColumn("accuracy", rnd("accuracy"))
 
 
@@ -924,7 +931,7 @@ def _team_metrics(spark, sf_dir):
     from huddle.operators.evaluate import accuracy_by_segment
     from huddle.operators.joins import join_metrics
     from huddle.operators.tendencies import avg_by_team
-    f = _frames(spark, sf_dir)
+    f = _frames(spark, sf_dir, "customer")
     from huddle.plans.scored import scored_rows
     acc = accuracy_by_segment(scored_rows(f, DRIVER), DRIVER.team)
     return join_metrics(avg_by_team(f, DRIVER), acc, DRIVER.team)
@@ -1107,7 +1114,7 @@ def q_entity_model(spark, sf_dir):
     grouped job."""
     from huddle.operators.entity_models import entity_models
     from huddle.plans.study import player_rows, study_rows
-    rows = player_rows(study_rows(_frames(spark, sf_dir), DRIVER, None), DRIVER)
+    rows = player_rows(study_rows(_frames(spark, sf_dir, "part"), DRIVER, None), DRIVER)
     return entity_models(spark, rows, DRIVER.entity, ["l_quantity", "l_discount", "y_rel_C", "dir_o"],
                          DRIVER.label, [*DRIVER.keys, *DRIVER.tiebreak], min_rows=STANDIN_MIN_PLAYER)
 

@@ -11,8 +11,8 @@ team / form.   c_mktsegment / o_orderstatus
 outcome        o_totalprice
 =============  =====================================================
 
-``driver_frames`` builds it with the same merge operator the tracking data
-uses (left joins on play, game and player keys); ``FRAMES_SQL`` is the same
+``driver_frames`` builds it with the same left joins as the merge of the
+tracking data (on play, game and player keys); ``FRAMES_SQL`` is the same
 view as SQL text for the DuckDB oracle.
 """
 
@@ -36,32 +36,31 @@ def role_code(flag: str = "l_returnflag", status: str = "l_linestatus"):
 _FRAMES: dict = {}
 
 
-def driver_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in frames as a lazy DataFrame.  The plan object is reused
+def driver_frames(spark: SparkSession, sf_dir: str, *dimensions: str) -> DataFrame:
+    """The stand-in frames as a lazy DataFrame: line items with their orders,
+    and the ``dimensions`` (customer, part) whose columns the query uses.
+    Spark cannot drop a left join to a side not known to be unique, so one
+    that nothing uses would shuffle every row.  The plan object is reused
     within a session (nothing is cached in memory; every query still reads
     the tables), which spares rebuilding and re-analysing the joins."""
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (id(spark), sf_dir.rstrip("/"), dimensions)
     hit = _FRAMES.get(key)
     if hit is not None and hit.sparkSession is spark:
         return hit
-    _FRAMES[key] = out = _build_frames(spark, sf_dir)
+    _FRAMES[key] = out = _build_frames(spark, sf_dir, dimensions)
     return out
 
 
-def _build_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from huddle.operators.joins import merge_frames
-
-    lineitem = read_table(spark, sf_dir, "lineitem")
-    orders = read_table(spark, sf_dir, "orders")
-    customer = read_table(spark, sf_dir, "customer")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    merged = merge_frames(
-        lineitem, orders, customer, part,
-        play_on=[("l_orderkey", "o_orderkey")],
-        game_on=[("o_custkey", "c_custkey")],
-        player_on=[("l_partkey", "p_partkey")],
-    )
-    return (merged
+def _build_frames(spark: SparkSession, sf_dir: str, dimensions: tuple[str, ...]) -> DataFrame:
+    from huddle.operators.joins import join_left
+
+    out = join_left(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders"), [("l_orderkey", "o_orderkey")])
+    if "customer" in dimensions:
+        out = join_left(out, read_table(spark, sf_dir, "customer"), [("o_custkey", "c_custkey")])
+    if "part" in dimensions:
+        part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+        out = join_left(out, part, [("l_partkey", "p_partkey")])
+    return (out
             .withColumn("pos", role_code())
             .withColumn("run_dir", direction_label("o_orderpriority", DRIVER.left_tokens,
                                                    DRIVER.right_tokens)))

@@ -150,3 +150,21 @@ def test_checkpoint_dir_is_read_not_replaced(spark):
     first = checkpoint_dir(spark)
     assert checkpoint_dir(spark) == first
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_players_of_any_size_get_the_same_learner(spark):
+    from huddle.operators.entity_models import entity_models
+    rnd = np.random.default_rng(3)
+    rows = [(int(i % 3) if i % 20 else None, i, float(a), float(b), "right" if a + 0.3 * c > 0.5 else "left")
+            for i, (a, b, c) in enumerate(rnd.random((400, 3)))]
+    rows += [(9, 1000 + i, 0.5, 0.5, "left") for i in range(5)]
+    df = spark.createDataFrame(rows, "player long, play long, a double, b double, side string")
+
+    def run(**kw):
+        out = entity_models(spark, df.filter("player is not null"), "player", ["a", "b"], "side", ["play"], min_rows=20, **kw)
+        return {r.entity: (r.n, r.n_test, r.accuracy) for r in out.collect()}
+    whole = run()
+    assert set(whole) == {0, 1, 2} and all(n > 100 and a > 0.6 for n, _, a in whole.values())
+    # small score groups give the same result; fewer fit rows leave the counts
+    assert run(score_rows=4) == whole
+    assert {k: v[:2] for k, v in run(max_fit_rows=30).items()} == {k: v[:2] for k, v in whole.items()}

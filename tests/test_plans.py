@@ -63,3 +63,16 @@ def test_dims_broadcast_only_under_limit(spark):
     assert estimated_size(part) > 0
     hinted = bounded_broadcast(part, limit=1)  # nothing fits one byte
     assert "broadcast" not in hinted._jdf.queryExecution().logical().toString().lower()
+
+
+def test_only_used_dimensions_are_joined(spark, qs):
+    for name in ("event_frame_filter", "wide_features", "avg_by_team", "accuracy_by_segment", "ols_by_group"):
+        p = plan_of(qs[name](spark, SF))
+        assert "part.parquet" not in p, name
+    assert "customer.parquet" not in plan_of(qs["event_frame_filter"](spark, SF))
+    assert "part.parquet" in plan_of(qs["merge_frames"](spark, SF))
+
+
+def test_wide_features_hash_aggregates_without_row_ids(spark, qs):
+    p = plan_of(qs["wide_features"](spark, SF))
+    assert "monotonically_increasing_id" not in p and "SortAggregate" not in p and "WindowGroupLimit" in p
