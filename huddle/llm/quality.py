@@ -41,7 +41,8 @@ _SPACE, _SYMBOL = r"\x20\x09-\x0D", "#*$%&|<>"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{_SPACE}]+"), lambda w: w != "")
+    inner = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"[{_SPACE}]+"))
 
 
 def _count_of(text: Column, chars: str) -> Column:
@@ -158,8 +159,8 @@ def references(counts: DataFrame, words: dict[str, list[tuple[str, float]]]) ->
 
 def common_words(refs_words: list[str], words: Column) -> Column:
     """(word, n) of the reference words that a document has."""
-    found = F.filter(F.transform(words, F.lower), lambda w: w.isin(refs_words)) if refs_words else F.array().cast("array<string>")
-    return _let(found, lambda all_: F.transform(
+    found = F.filter(words, lambda w: F.lower(w).isin(refs_words)) if refs_words else F.array().cast("array<string>")
+    return _let(F.transform(found, F.lower), lambda all_: F.transform(
         F.array_distinct(all_), lambda w: F.struct(w.alias("word"), F.size(F.filter(all_, lambda x: x == w)).alias("n"))))
 
 
