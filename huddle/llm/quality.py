@@ -3,10 +3,12 @@
 Built-in functions only.  For every document two histograms are compared with
 each language's reference by Jensen-Shannon distance (base 2, 0 to 1): its
 character classes (counts by class) and its common words (counts of each of
-the reference's most frequent words, the rest as one more bin).  A document is
-judged by the language whose references lie nearest; it is rejected when that
-distance is above the limit.  Short documents are not judged: below
-``min_chars`` characters or ``min_words`` words a histogram says little.
+the reference's most frequent words, the rest as one more bin).  Each distance
+is judged by its own unit, below which a histogram says little: classes from
+``MIN_CHARS`` characters on, words from ``MIN_JUDGED_WORDS`` words on, else it
+is null.  A document is judged by the language whose references lie nearest
+(by the judged distances); it is rejected when one is above its limit.  Texts
+mostly of a script without blanks are compared without the class of blanks.
 
 References are learned from the table itself, over all rows with a non-null
 ``lang``: class counts per language, and the ``top_words`` most frequent words
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from huddle.llm.common import written
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Documents shorter than this are not judged by their histograms.
+#: Shorter documents are not judged by the classes, or by the words.
 MIN_CHARS, MIN_JUDGED_WORDS = 500, 100
 TOP_WORDS = 30
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.36
@@ -38,6 +40,10 @@ CLASSES = ("upper", "digit", "space", "stop", "n_symbols", "rest")
 # Insides of the classes of characters, as regular expressions.
 _UPPER, _DIGIT, _STOP = "A-Z", "0-9", ".,;:!?'\"()\\-"
 _SPACE, _SYMBOL = r"\x20\x09-\x0D", "#*$%&|<>"
+# Thai, Lao, Tibetan, Myanmar, Khmer, kana and Han; with blanks in less than
+# one of LEAST_BLANKS characters a text is looked at for them
+_NO_BLANKS, LEAST_BLANKS = (r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3001}-\x{30FF}\x{3400}-\x{4DBF}"
+                            r"\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"), 20
 
 
 def words_of(text: Column) -> Column:
@@ -89,7 +95,9 @@ def character_counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
               "stop": _count_of(t, _STOP), "n_symbols": _count_of(t, _SYMBOL)}
     rows = rows.withColumns({"n_chars": F.length(t).cast("long")} | {k: c.cast("long") for k, c in counts.items()})
     # small letters of any alphabet, and whatever is in no other class
-    return rows.withColumn("rest", F.col("n_chars") - sum((F.col(k) for k in counts), F.lit(0)))
+    rows = rows.withColumn("rest", F.col("n_chars") - sum((F.col(k) for k in counts), F.lit(0)))
+    return rows.withColumn("no_blanks", F.when(LEAST_BLANKS * F.col("space") < F.col("n_chars"),
+                                               2 * _count_of(t, _NO_BLANKS) >= F.col("n_chars")).otherwise(F.lit(False)))
 
 
 def base_counts(docs: DataFrame, keep: tuple[str, ...] = (), reference_words: list[str] | None = None) -> DataFrame:
@@ -98,7 +106,7 @@ def base_counts(docs: DataFrame, keep: tuple[str, ...] = (), reference_words: li
     rows = character_counts(docs, keep).withColumn("words", words_of(t)).withColumn("lines", F.filter(
         F.split(t, "\n"), lambda x: x.rlike(f"[^{_SPACE}]")))
     return rows.select(
-        "doc_id", "lang", *(["kept_columns"] if keep else []), "n_chars", *CLASSES, F.size("words").cast("long").alias("n_words"),
+        "doc_id", "lang", *(["kept_columns"] if keep else []), "n_chars", *CLASSES, "no_blanks", F.size("words").cast("long").alias("n_words"),
         (F.col("n_chars") - F.col("space")).alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
@@ -165,12 +173,17 @@ def common_words(refs_words: list[str], words: Column) -> Column:
 
 
 def distances(refs: Column) -> Column:
-    """Nearest language as (sum, class_distance, word_distance, lang); reads
-    the class counts, ``n_chars``, ``n_words`` and ``common``."""
-    chars, n_words = F.greatest("n_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
+    """Nearest language as (sum, class_distance, word_distance, lang), a
+    distance that is not judged as null; reads the class counts, ``no_blanks``,
+    ``n_chars``, ``n_words`` and ``common``."""
+    chars = F.greatest(F.col("n_chars") - F.when(F.col("no_blanks"), F.col("space")).otherwise(F.lit(0)), F.lit(1))
+    n_words = F.greatest("n_words", F.lit(1))
 
     def one(r: Column) -> Column:
-        by_class = sum((_js_term(F.col(c) / chars, r["classes"][k]) for k, c in enumerate(CLASSES)), F.lit(0.0))
+        share = F.when(F.col("no_blanks"), F.greatest(1 - r["classes"][CLASSES.index("space")], F.lit(1e-9))).otherwise(F.lit(1.0))
+        terms = {c: _js_term(F.col(c) / chars, r["classes"][k] / share) for k, c in enumerate(CLASSES)}
+        terms["space"] = F.when(F.col("no_blanks"), F.lit(0.0)).otherwise(terms["space"])
+        by_class = sum(terms.values(), F.lit(0.0))
         seen = F.aggregate(
             "common", F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q")),
             lambda a, e: _let(r["q"][e["word"]], lambda q: F.when(q.isNull(), a).otherwise(F.struct(
@@ -178,8 +191,9 @@ def distances(refs: Column) -> Column:
                 (a["q"] + q).alias("q")))))
         by_word = _let(seen, lambda x: x["js"] + F.greatest(r["total"] - x["q"], F.lit(0.0)) / 2
                        + _js_term(F.greatest(1 - x["p"], F.lit(0.0)), F.greatest(1 - r["total"], F.lit(0.0))))
-        root = [F.sqrt(F.greatest(x, F.lit(0.0))) for x in (by_class, by_word)]
-        return F.struct((root[0] + root[1]).alias("sum"), root[0].alias("class_distance"), root[1].alias("word_distance"),
+        root = [F.when(enough, F.sqrt(F.greatest(x, F.lit(0.0)))) for enough, x in (
+            (F.col("n_chars") >= MIN_CHARS, by_class), (F.col("n_words") >= MIN_JUDGED_WORDS, by_word))]
+        return F.struct((F.coalesce(root[0], F.lit(0.0)) + F.coalesce(root[1], F.lit(0.0))).alias("sum"), root[0].alias("class_distance"), root[1].alias("word_distance"),
                         r["lang"].alias("nearest"))
 
     return F.array_min(F.transform(refs, one))
@@ -191,11 +205,12 @@ def judged(rows: DataFrame, refs: Column | None) -> DataFrame:
     if refs is None:
         near = F.lit(None).cast("struct<sum:double,class_distance:double,word_distance:double,nearest:string>")
     else:
-        near = F.when((F.col("n_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_JUDGED_WORDS), distances(refs))
+        near = F.when((F.col("n_chars") >= MIN_CHARS) | (F.col("n_words") >= MIN_JUDGED_WORDS), distances(refs))
     rows = rows.withColumn("near", near)
-    far = (F.col("near.class_distance") > MAX_CLASS_DISTANCE) | (F.col("near.word_distance") > MAX_WORD_DISTANCE)
+    far = F.coalesce(F.col("near.class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(
+        F.col("near.word_distance") > MAX_WORD_DISTANCE, F.lit(False))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return rows.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(far, F.lit(False))})
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & ~far})
 
 
 def _distinct_words(words: dict[str, list[tuple[str, float]]]) -> list[str]:
