@@ -23,8 +23,9 @@ than once is found without moving every window:
    windows, which Spark adds up in parts.
 5. Verdicts go back by class to the spots, and by document to the texts.
 
-Rows are documents by (doc_id, text): rows that repeat both are told apart by
-a number, rows with a null doc_id are documents of their own.
+Rows that repeat doc_id (null included) and text are one document here, with
+their number as ``copies``: every spot of it counts as often.  Callers give a
+document's verdict to each of its rows.
 """
 
 from __future__ import annotations
@@ -38,9 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huddle.llm.common import blocks, written
+from huddle.llm.common import blocks, small, written
 
 PIECE = 1 << 20
+#: Keys of repeated rows that are broadcast at most; beyond, joins shuffle.
+MAX_KEYS = 200_000
 _PLACE = np.uint64((1 << 24) - 1)
 _R = 0x9E3779B97F4A7C15 | 1
 _SPOT_BITS = 10
@@ -168,16 +171,18 @@ def _find_spots(spec: Spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
         for block in blocks(batches):
-            docs, cores, all_spots = [], [], []
-            for key, text in zip(block["doc"], block["text"]):
+            docs, cores, all_spots, all_copies = [], [], [], []
+            for key, text, copies in zip(block["doc"], block["text"], block["copies"]):
                 t = Text(text, spec)
                 at, lo, hi = spots(t)
                 docs.append(np.full(len(at), key, np.int64))
                 all_spots.append(pack_spot(at, lo, hi))
+                all_copies.append(np.full(len(at), copies, np.int64))
                 cores += [_signed(xxh3_64_intdigest(t.span(*core_bounds(spec, a, x)), x // spec.chunk))
                           for a, x in zip(at.tolist(), lo.tolist())]
             yield pa.record_batch([pa.array(cores, pa.int64()), pa.array(np.concatenate(docs)),
-                                   pa.array(np.concatenate(all_spots))], ["core", "doc", "spot"])
+                                   pa.array(np.concatenate(all_spots)), pa.array(np.concatenate(all_copies))],
+                                  ["core", "doc", "spot", "copies"])
     return run
 
 
@@ -185,8 +190,8 @@ def _classify(spec: Spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
         for block in blocks(batches):
-            out = {"core": [], "full": [], "doc": [], "doc_id": [], "spot": []}
-            for doc, doc_id, text, found in zip(block["doc"], block["doc_id"], block["text"], block["spots"]):
+            out = {"core": [], "full": [], "doc": [], "doc_id": [], "spot": [], "copies": []}
+            for doc, doc_id, text, copies, found in zip(*(block[c] for c in ("doc", "doc_id", "text", "copies", "spots"))):
                 t = Text(text, spec)
                 for s in found:
                     at, lo, hi = unpack_spot(s["spot"])
@@ -195,8 +200,9 @@ def _classify(spec: Spec):
                     out["doc"].append(doc)
                     out["doc_id"].append(doc_id)
                     out["spot"].append(s["spot"])
+                    out["copies"].append(copies)
             yield pa.record_batch([pa.array(out["core"], pa.int64()), pa.array(out["full"], pa.binary()),
-                                   *[pa.array(out[c], pa.int64()) for c in ("doc", "doc_id", "spot")]], list(out))
+                                   *[pa.array(out[c], pa.int64()) for c in ("doc", "doc_id", "spot", "copies")]], list(out))
     return run
 
 
@@ -285,22 +291,34 @@ def documents(docs: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """``documents`` without repeated rows, and the number of rows of each as
+    ``copies``.  Only rows that share their key are grouped, by counts that
+    Spark adds up in parts; the texts of all others stay where they are."""
+    rows = documents(docs)
+    keys = written(rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "window-keys")
+    keys = small(keys, MAX_KEYS)
+    again = written(rows.join(keys, "doc", "left_semi").groupBy("doc", "doc_id", "text").agg(F.count("*").alias("copies")), "window-copies")
+    once = rows.join(keys, "doc", "left_anti").select("doc", "doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    return once.union(again)
+
+
 def repeated(docs: DataFrame, spec: Spec, solve: Callable) -> tuple[DataFrame, DataFrame]:
-    """(suspects, verdicts).  ``suspects``: documents with shared cores, as
-    (doc, doc_id, text, spots).  ``verdicts``: (doc, doc_id, spot,
+    """(suspects, verdicts).  ``suspects``: distinct documents with shared
+    cores, as (doc, doc_id, text, copies, spots).  ``verdicts``: (doc, doc_id, spot,
     first, last, n, least): the spot's windows with the anchor at the places
     from first to last (null: all of the spot) occur ``n`` times or more,
     first in document ``least``; windows that occur once are left out."""
-    rows = documents(docs)
-    found = rows.select("doc", "text").mapInArrow(_find_spots(spec), "core long, doc long, spot long")
+    rows = distinct_documents(docs)
+    found = rows.select("doc", "text", "copies").mapInArrow(_find_spots(spec), "core long, doc long, spot long, copies long")
     found = written(found, "window-found")
-    shared = written(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "window-cores")
+    shared = written(found.groupBy("core").agg(F.sum("copies").alias("n")).where("n > 1").select("core"), "window-cores")
     by_doc = found.join(shared, "core", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("core", "spot")).alias("spots"))
     suspects = written(rows.join(by_doc, "doc"), "window-suspects")
 
-    seen = suspects.mapInArrow(_classify(spec), "core long, full binary, doc long, doc_id long, spot long")
+    seen = suspects.mapInArrow(_classify(spec), "core long, full binary, doc long, doc_id long, spot long, copies long")
     seen = written(seen, "window-spots")
-    classes = seen.groupBy("core", "full").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"),
+    classes = seen.groupBy("core", "full").agg(F.sum("copies").alias("n"), F.min("doc_id").alias("least"),
                                                F.min(F.struct("doc", "spot")).alias("one"))
     classes = written(classes, "window-classes")
     mixed = written(classes.groupBy("core").agg(F.count("*").alias("classes")).where("classes > 1"), "window-mixed")
