@@ -32,6 +32,60 @@ def join_left(left: DataFrame, right: DataFrame, on: Pairs, broadcast_limit: int
     return left.join(right, cond, "left")
 
 
+def hot_keys(left: DataFrame, keys: Sequence[str], shares: int = 1000) -> DataFrame:
+    """Keys that hold at least a ``shares``-th of all rows of ``left``, with
+    ``salts``, the number of such shares they hold.  There are at most
+    ``shares`` of them whatever the size of ``left``, so this side may be
+    broadcast.  Counted exactly, by partial aggregates; null keys are left out
+    (they match nothing)."""
+    total = left.count()
+    known = left
+    for k in keys:
+        known = known.filter(F.col(k).isNotNull())
+    counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") * shares >= max(total, 1))
+    return hot.select(*keys, F.ceil(F.col("_n") * shares / F.lit(max(total, 1))).cast("int").alias("salts"))
+
+
+def skewed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
+                spread_by: Sequence[str] = (), shares: int = 1000, hot: DataFrame | None = None) -> DataFrame:
+    """``left.join(right, on, how)`` (inner or left) that holds when one key
+    has a third of the rows of ``left`` and ``right`` cannot be broadcast.
+
+    The rows of a hot key (see :func:`hot_keys`) are dealt over as many salts
+    as it holds shares, by a hash of ``spread_by`` (default: all columns), and
+    the ``right`` rows of that key are repeated once a salt; all other keys
+    have one salt.  The repeats add at most 2 x ``shares`` times the largest
+    number of ``right`` rows of one key.  Rows of ``left`` with a null key
+    match nothing and are dealt over all salts.  The result has the rows of
+    the plain join, repeated rows and fan-out included."""
+    if how not in ("inner", "left"):
+        raise ValueError(how)
+    keys = list(on)
+    hot = F.broadcast(hot_keys(left, keys, shares) if hot is None else hot)
+    by = F.xxhash64(*(spread_by or left.columns))
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    salt = F.when(no_key, F.pmod(by, F.lit(shares))).otherwise(F.pmod(by, F.coalesce(F.col("salts"), F.lit(1))))
+    dealt = left.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("salts")
+    copies = right.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def join_on_name(facts: DataFrame, dim: DataFrame, name: str, spread_by: Sequence[str] = (),
+                 shares: int = 1000) -> DataFrame:
+    """facts LEFT dim on a name that both call ``name`` (J3): every row the
+    left join yields, so a fact row comes once per dimension row of its name
+    and unmatched facts stay.  A dimension that fits is broadcast; else hot
+    names are salted."""
+    small = bounded_broadcast(dim)
+    if small is not dim:
+        return facts.join(small, [name], "left")
+    return skewed_join(facts, dim, [name], "left", spread_by, shares)
+
+
 def merge_frames(tracking: DataFrame, plays: DataFrame, games: DataFrame, players: DataFrame,
                  play_on: Pairs = ("gameId", "playId"), game_on: Pairs = ("gameId",),
                  player_on: Pairs = ("displayName",), rename: dict[str, str] | None = None) -> DataFrame:

@@ -513,6 +513,25 @@ def q_join_left_name(spark, sf_dir):
     return fanout_join_summary(facts, p, "name", "p_name").drop("p_name")
 
 
+@register("join_left_name_rows", """
+WITH d AS (SELECT p_partkey AS player_id, p_name || ' ' || p_brand AS display_name, p_size FROM part),
+f AS (SELECT l_orderkey, l_linenumber, l_partkey, display_name FROM lineitem l LEFT JOIN d ON l_partkey = player_id)
+SELECT f.l_orderkey, f.l_linenumber, f.l_partkey, f.display_name, d.player_id, d.p_size
+FROM f LEFT JOIN d ON f.display_name = d.display_name""")
+def q_join_left_name_rows(spark, sf_dir):
+    """J3, the joined rows themselves: tracking rows carry a player's name
+    (of which there are several players) and match every player of that name;
+    hot names are salted, whatever the size of the player table."""
+    from huddle.operators.joins import skewed_join
+    from huddle.sources.readers import read_table
+    l = read_table(spark, sf_dir, "lineitem")
+    players = read_table(spark, sf_dir, "part").select(
+        F.concat("p_name", F.lit(" "), "p_brand").alias("display_name"), F.col("p_partkey").alias("player_id"), "p_size")
+    facts = l.join(players, l.l_partkey == players.player_id, "left").select(*_ROW_ID, "display_name")
+    return skewed_join(facts, players, ["display_name"], "left", _ROW_ID).select(
+        *_ROW_ID, "display_name", "player_id", "p_size")
+
+
 # --------------------------------------------------------------------------
 # aggregates
 # --------------------------------------------------------------------------

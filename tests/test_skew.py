@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from huddle.layout import TRACKING
 from huddle.operators.frames import frame_before_event
+from huddle.operators.joins import hot_keys, join_on_name, skewed_join
 from huddle.plans.features import snap_features
 from huddle.plans.study import side_tendencies, study_rows
 from tests.tracking import LINE, frame, player
@@ -51,3 +52,34 @@ def test_hot_play_frame_before_event(spark):
                              "ball_snap")
     got = {r.playId: r.n for r in out.groupBy("playId").agg(F.count("*").alias("n")).collect()}
     assert got[0] == 50 and all(got[p] == 1 for p in range(1, 20))
+
+
+def _named(spark):
+    # one name on a third of the rows, two players of that name, null names
+    facts = [(k, "hot" if k % 3 == 0 else None if k % 10 == 1 else f"n{k % 40}") for k in range(6000)]
+    facts += facts[:50]
+    dim = [("hot", 1), ("hot", 2), (None, 3), ("n1", 4), ("n1", 4), ("n2", 5), ("unused", 6)]
+    return (spark.createDataFrame(facts, "play long, name string").repartition(8),
+            spark.createDataFrame(dim, "name string, player long"))
+
+
+def test_skewed_name_join_has_the_rows_of_the_plain_join(spark):
+    facts, dim = _named(spark)
+    for how in ("left", "inner"):
+        want = sorted(map(str, facts.join(dim, ["name"], how).collect()))
+        assert sorted(map(str, skewed_join(facts, dim, ["name"], how, shares=20).collect())) == want
+        assert sorted(map(str, skewed_join(facts, dim, ["name"], how, ["play"], shares=7).collect())) == want
+    want = sorted(map(str, facts.join(dim, ["name"], "left").collect()))
+    assert sorted(map(str, join_on_name(facts, dim, "name").collect())) == want
+    empty = facts.where("false")
+    assert skewed_join(empty, dim, ["name"], "left").count() == 0
+    assert skewed_join(facts, dim.where("false"), ["name"], "left").count() == facts.count()
+
+
+def test_hot_names_are_few_and_their_rows_are_dealt(spark):
+    facts, dim = _named(spark)
+    hot = {r["name"]: r["salts"] for r in hot_keys(facts, ["name"], 20).collect()}
+    assert hot == {"hot": 7}
+    for shares in (3, 10, 100, 1000):
+        assert hot_keys(facts, ["name"], shares).count() <= shares
+    assert hot_keys(facts.where("false"), ["name"]).count() == 0
