@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huddle.llm import bpe, fill_middle, langid, licenses, phrase_index, quality, secrets, simhash, substring_dedup, suffix_dedup, token_files
+from huddle.llm import bpe, fill_middle, langid, licenses, phrase_index, quality, secrets, simhash, substring_dedup, suffix_dedup, token_align, token_files
 from huddle.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,12 @@ def op10(spark, sf_dir):
     return substring_dedup.report(documents(spark, sf_dir))
 
 
+@register("op12_cross_tokenizer_alignment")
+def op12(spark, sf_dir):
+    return token_align.align_documents(
+        documents(spark, sf_dir), bpe.vocabulary_path(token_align.BYTE_VOCAB), bpe.vocabulary_path(token_align.PIECE_VOCAB))
+
+
 @register("op13_fill_in_middle")
 def op13(spark, sf_dir):
     return fill_middle.digests(documents(spark, sf_dir), fill_middle.Spec(seed=7, rate=100, spm=50))
