@@ -97,13 +97,17 @@ class BoostedModel:
         return {f: float(v / s) if s else 0.0 for f, v in zip(self.features, total)}
 
 
-def candidate_thresholds(df: DataFrame, features: Sequence[str], bins: int = BINS) -> list[list[float]]:
-    """Up to ``bins`` - 1 thresholds a feature: its quantiles (exact order
-    statistics while a feature has few values), without the largest value.
-    One aggregate; bounded by features x bins."""
+def candidate_thresholds(df: DataFrame, features: Sequence[str], bins: int = BINS, exact: bool = False) -> list[list[float]]:
+    """Up to ``bins`` thresholds a feature: its quantiles, without the largest
+    value.  One aggregate; its result is bounded by features x bins.  The
+    quantiles are approximate (actual values of the feature); ``exact`` ones,
+    the same on every run, count all values and are for bounded tables."""
     shares = [(k + 1) / bins for k in range(bins)]
-    row = df.agg(*[F.percentile_approx(F.col(f).cast("double"), shares, 10_000).alias(f"q{k}")
-                   for k, f in enumerate(features)],
+
+    def quantiles(x: Column) -> Column:
+        return F.percentile(x, shares) if exact else F.percentile_approx(x, shares, 10_000)
+
+    row = df.agg(*[quantiles(F.col(f).cast("double")).alias(f"q{k}") for k, f in enumerate(features)],
                  *[F.max(F.col(f).cast("double")).alias(f"m{k}") for k, f in enumerate(features)]).first()
     out = []
     for k in range(len(features)):
@@ -115,14 +119,15 @@ def candidate_thresholds(df: DataFrame, features: Sequence[str], bins: int = BIN
 def binned(features: Sequence[str], thresholds: Sequence[Sequence[float]]) -> Column:
     """Array of bins: how many thresholds lie below each feature's value."""
     def bin_of(x: Column, t: Sequence[float]) -> Column:
-        return F.size(F.filter(_array(t, "double"), lambda v: v < x)) if t else F.lit(0)
+        return F.size(F.filter(F.expr(_constant(t, "double")), lambda v: v < x)) if t else F.lit(0)
 
     return F.array(*[bin_of(F.col(f).cast("double"), t) for f, t in zip(features, thresholds)])
 
 
-def _array(values, kind: str) -> Column:
-    """An array constant; one literal whatever its length."""
-    return F.split(F.lit(",".join(map(repr, (v.item() if hasattr(v, "item") else v for v in values)))), ",").cast(f"array<{kind}>")
+def _constant(values, kind: str) -> str:
+    """An array constant in SQL; one literal whatever its length."""
+    text = ",".join(repr(v.item() if hasattr(v, "item") else v) for v in values)
+    return f"cast(split('{text}', ',') AS array<{kind}>)"
 
 
 def _step(df: DataFrame, trees: dict[int, Tree], slots: int, models: int) -> DataFrame:
@@ -131,10 +136,10 @@ def _step(df: DataFrame, trees: dict[int, Tree], slots: int, models: int) -> Dat
     for m, t in trees.items():
         feature[m * slots:m * slots + len(t.feature)] = t.feature
         cut[m * slots:m * slots + len(t.bin)] = t.bin
-    df = df.withColumn("_at", F.col("model") * slots + F.col("node"))
-    df = df.withColumn("_f", F.get(_array(feature, "int"), F.col("_at"))).withColumn("_cut", F.get(_array(cut, "int"), F.col("_at")))
-    right = (F.get("bins", F.col("_f")) > F.col("_cut")).cast("int")
-    return df.withColumn("node", F.when(F.col("_f") >= 0, 2 * F.col("node") + right).otherwise(F.col("node"))).drop("_at", "_f", "_cut")
+    kept = [f"`{c}`" for c in df.columns if c != "node"]
+    df = df.selectExpr(*kept, "node", f"get({_constant(feature, 'int')}, model * {slots} + node) AS _f",
+                       f"get({_constant(cut, 'int')}, model * {slots} + node) AS _cut")
+    return df.selectExpr(*kept, "if(_f >= 0, 2 * node + cast(get(bins, _f) > _cut AS int), node) AS node")
 
 
 def _gains(g: np.ndarray, h: np.ndarray, spec: BoostSpec):
@@ -177,33 +182,34 @@ def _split_level(hist: dict, level: int, trees: dict[int, Tree], models: list[Bo
 
 
 def fit_boosted(rows: DataFrame, specs: Sequence[BoostSpec], features: Sequence[str],
-                thresholds: Sequence[Sequence[float]], at_round=None) -> list[BoostedModel]:
+                thresholds: Sequence[Sequence[float]], at_round=None, write_every: int = WRITE_EVERY) -> list[BoostedModel]:
     """Fits model k by ``specs[k]`` on the rows with ``model`` = k and ``fit``.
 
     ``rows``: model int, fit boolean, y double (0 or 1), bins (see ``binned``)
     and any other columns.  ``at_round(r, scored)`` is called after the rounds
-    in which some model ends with all rows and their ``margin``."""
+    in which some model ends with all rows and their ``margin``.
+    ``write_every``: rounds between two writings of the margins; few make
+    short plans, many spare writing a large table."""
     models = [BoostedModel(s, list(features), [list(t) for t in thresholds]) for s in specs]
     depth, last = max(s.depth for s in specs), max(s.rounds for s in specs)
     cells = len(specs) * (1 << (depth - 1)) * sum(len(t) + 1 for t in thresholds)
     if cells > MAX_CELLS:
         raise ValueError(f"{cells} histogram cells, at most {MAX_CELLS}: fewer models, bins or levels at once")
     slots, stops = 2 << depth, {s.rounds for s in specs}
+    columns = [f"`{c}`" for c in rows.columns]
     state = cut_lineage(rows.withColumn("margin", F.lit(0.0)), "boosting")
     for r in range(1, last + 1):
         active = [m for m, s in enumerate(specs) if s.rounds >= r]
         trees = {m: Tree.empty(specs[m].depth) for m in active}
-        p = 1 / (1 + F.exp(-F.col("margin")))
-        fixed = lambda c: F.round(c * STEPS).cast("long")
-        at = state.withColumns({"node": F.lit(1), "_p": p})
+        at = state.selectExpr(*columns, "margin", "1 / (1 + exp(-margin)) AS _p", "1 AS node")
         for level in range(depth):
-            growing = [m for m in active if specs[m].depth > level]
-            open_rows = at.filter(F.col("fit") & F.col("model").isin(growing) & (F.col("node") >= 1 << level))
+            growing = ", ".join(str(m) for m in active if specs[m].depth > level)
+            sums = at.where(f"fit AND model IN ({growing}) AND node >= {1 << level}").selectExpr(
+                "model", "node", f"cast(round((_p - y) * {STEPS}) AS long) AS g", f"cast(round(_p * (1 - _p) * {STEPS}) AS long) AS h",
+                "posexplode(bins) AS (f, b)").groupBy("model", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
             hist: dict = {}
-            for c in (open_rows.select("model", "node", fixed(F.col("_p") - F.col("y")).alias("g"),
-                                       fixed(F.col("_p") * (1 - F.col("_p"))).alias("h"), F.posexplode("bins").alias("f", "b"))
-                      .groupBy("model", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()):
-                hist.setdefault((c["model"], c["node"]), {}).setdefault(c["f"], []).append((c["b"], c["g"], c["h"]))
+            for m, node, f, b, g, h in sums.collect():
+                hist.setdefault((m, node), {}).setdefault(f, []).append((b, g, h))
             if not _split_level(hist, level, trees, models):
                 break
             at = _step(at, trees, slots, len(specs))
@@ -211,9 +217,8 @@ def fit_boosted(rows: DataFrame, specs: Sequence[BoostSpec], features: Sequence[
         for m, t in trees.items():
             weight[m * slots:m * slots + len(t.weight)] = t.weight
             models[m].trees.append(t)
-        step = F.get(_array(weight, "double"), F.col("model") * slots + F.col("node"))
-        state = at.withColumn("margin", F.col("margin") + step).drop("node", "_p")
-        if r % WRITE_EVERY == 0 or r in stops:
+        state = at.selectExpr(*columns, f"margin + get({_constant(weight, 'double')}, model * {slots} + node) AS margin")
+        if r % write_every == 0 or r in stops:
             state = cut_lineage(state, "boosting")
         if at_round is not None and r in stops:
             at_round(r, state)
