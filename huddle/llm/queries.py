@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huddle.llm import bpe, fill_middle, langid, licenses, phrase_index, quality, secrets, simhash, substring_dedup, suffix_dedup, token_align, token_files
+from huddle.llm import bpe, fill_middle, langid, licenses, phrase_index, quality, secrets, simhash, substring_dedup, suffix_dedup, token_align, token_files, url_filter
 from huddle.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,15 @@ def op10(spark, sf_dir):
     return substring_dedup.report(documents(spark, sf_dir))
 
 
+# The list that the query judges by.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+@register("op11_url_filters")
+def op11(spark, sf_dir):
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), [url_filter.rule(*r) for r in URL_RULES])
+
+
 @register("op12_cross_tokenizer_alignment")
 def op12(spark, sf_dir):
     return token_align.align_documents(
