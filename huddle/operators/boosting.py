@@ -8,10 +8,10 @@ and a leaf's weight -G / (H + lambda), times the learning rate.
 
 Several models (grid points x folds, say) grow in step over one long table of
 (model, row), so one job per level serves them all.  A level is one partial
-aggregate of (gradient, Hessian) by (model, node, feature, bin): its size is
-bounded by the models, nodes, features and bins, not by the rows, and checked
-before the first job (``MAX_CELLS``); only it reaches the driver, which picks
-the splits.  The trees go back as array constants of the plan, by which every
+aggregate of gradients and Hessians by (model, node, feature), a sum a bin:
+its size is bounded by the models, nodes, features and bins, not by the rows,
+and checked before the first job (``MAX_CELLS``); only it reaches the driver,
+which picks the splits.  The trees go back as array constants of the plan, by which every
 row finds its node; rows that are not fit on (validation, test) are routed the
 same way, so their margins need no second pass.  Margins are written every
 ``WRITE_EVERY`` rounds.
@@ -142,60 +142,71 @@ def _step(df: DataFrame, trees: dict[int, Tree], slots: int, models: int) -> Dat
     return df.selectExpr(*kept, "if(_f >= 0, 2 * node + cast(get(bins, _f) > _cut AS int), node) AS node")
 
 
+def _histograms(at: DataFrame, level: int, growing: Sequence[int], width: int) -> DataFrame:
+    """Per (model, node, feature) of a level the sums of gradients and Hessians
+    of each bin, as two arrays: one shuffle of partial sums."""
+    cells = at.where(f"fit AND model IN ({', '.join(map(str, growing))}) AND node >= {1 << level}").selectExpr(
+        "model", "node", f"cast(round((_p - y) * {STEPS}D) AS long) AS g", f"cast(round(_p * (1 - _p) * {STEPS}D) AS long) AS h",
+        "posexplode(bins) AS (f, b)")
+    sums = {x: ", ".join(f"sum(if(b = {k}, {x}, 0L))" for k in range(width)) for x in "gh"}
+    return cells.groupBy("model", "node", "f").agg(*[F.expr(f"array({sums[x]})").alias(x) for x in "gh"])
+
+
 def _gains(g: np.ndarray, h: np.ndarray, spec: BoostSpec):
-    """Gain of a cut after each bin of one feature; -inf where a side is too light."""
-    gl, hl = np.cumsum(g)[:-1], np.cumsum(h)[:-1]
-    gs, hs = g.sum(), h.sum()
+    """By feature and bin: gain of a cut after the bin (0 where it has none or
+    a side is too light) and the sums on its left; the sums of the whole node."""
+    gl, hl = np.cumsum(g, axis=1) / STEPS, np.cumsum(h, axis=1) / STEPS
+    gs, hs, lam = gl[0, -1], hl[0, -1], spec.reg_lambda
     gr, hr = gs - gl, hs - hl
-    lam = spec.reg_lambda
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = (gl ** 2 / (hl + lam) + gr ** 2 / (hr + lam) - gs ** 2 / (hs + lam)) / 2 - spec.gamma
-    return np.where((hl >= spec.min_child_weight) & (hr >= spec.min_child_weight), gain, -np.inf), gl, hl
+    light = (hl < spec.min_child_weight) | (hr < spec.min_child_weight) | (hl <= 0) | (hr <= 0)
+    return np.where(light | ~np.isfinite(gain), 0.0, gain), gl, hl, gs, hs
 
 
-def _split_level(hist: dict, level: int, trees: dict[int, Tree], models: list[BoostedModel]) -> bool:
-    """Enters the best split of every node of ``level``; whether there was one."""
+def _split_level(rows: list, trees: dict[int, Tree], models: list[BoostedModel]) -> bool:
+    """Enters the best cut of every node of a level; whether there was one."""
+    nodes: dict = {}
+    for m, node, f, g, h in sorted(rows, key=lambda r: r[:3]):
+        nodes.setdefault((m, node), []).append((f, g, h))
     grown = False
-    for (m, node), cells in hist.items():
+    for (m, node), cells in nodes.items():
         t, spec = trees[m], models[m].spec
-        best = None
-        for f in sorted(cells):
-            n_bins = len(models[m].thresholds[f]) + 1
-            g, h = np.zeros(n_bins, np.int64), np.zeros(n_bins, np.int64)
-            for b, gs, hs in cells[f]:
-                g[b], h[b] = gs, hs
-            gain, gl, hl = _gains(g / STEPS, h / STEPS, spec)
-            if node == 1 and f == min(cells):
-                total_g, total_h = g.sum() / STEPS, h.sum() / STEPS
-                t.cover[1] = total_h
-                t.weight[1] = -spec.rate * total_g / (total_h + spec.reg_lambda)
-            if len(gain) and (best is None or gain.max() > best[0] + 1e-12) and gain.max() > 1e-12:
-                k = int(np.flatnonzero(gain >= gain.max() - 1e-12)[0])
-                best = (float(gain[k]), f, k, gl[k], hl[k], (g.sum() / STEPS) - gl[k], (h.sum() / STEPS) - hl[k])
-        if best:
+
+        def weigh(n: int, gs: float, hs: float, t=t, spec=spec) -> None:
+            t.cover[n] = hs
+            t.weight[n] = -spec.rate * gs / (hs + spec.reg_lambda) if hs + spec.reg_lambda else 0.0
+
+        gain, gl, hl, gs, hs = _gains(np.array([c[1] for c in cells]), np.array([c[2] for c in cells]), spec)
+        if node == 1:
+            weigh(1, gs, hs)
+        if gain.max() > 1e-9:
             grown = True
-            t.gain[node], t.feature[node], t.bin[node] = best[0], best[1], best[2]
-            for child, gs, hs in ((2 * node, best[3], best[4]), (2 * node + 1, best[5], best[6])):
-                t.cover[child] = hs
-                t.weight[child] = -spec.rate * gs / (hs + spec.reg_lambda)
+            k, b = (int(v[0]) for v in np.nonzero(gain >= gain.max() - 1e-9))
+            t.gain[node], t.feature[node], t.bin[node] = gain[k, b], cells[k][0], b
+            weigh(2 * node, gl[k, b], hl[k, b])
+            weigh(2 * node + 1, gs - gl[k, b], hs - hl[k, b])
     return grown
 
 
 def fit_boosted(rows: DataFrame, specs: Sequence[BoostSpec], features: Sequence[str],
-                thresholds: Sequence[Sequence[float]], at_round=None, write_every: int = WRITE_EVERY) -> list[BoostedModel]:
+                thresholds: Sequence[Sequence[float]], at_round=None, write_every: int = WRITE_EVERY,
+                stops: Sequence[int] = ()) -> list[BoostedModel]:
     """Fits model k by ``specs[k]`` on the rows with ``model`` = k and ``fit``.
 
     ``rows``: model int, fit boolean, y double (0 or 1), bins (see ``binned``)
     and any other columns.  ``at_round(r, scored)`` is called after the rounds
-    in which some model ends with all rows and their ``margin``.
-    ``write_every``: rounds between two writings of the margins; few make
+    in which some model ends with all rows and their ``margin``,
+    and after the rounds ``stops``: the trees of fewer rounds are the first of
+    more.  ``write_every``: rounds between two writings of the margins; few make
     short plans, many spare writing a large table."""
     models = [BoostedModel(s, list(features), [list(t) for t in thresholds]) for s in specs]
     depth, last = max(s.depth for s in specs), max(s.rounds for s in specs)
     cells = len(specs) * (1 << (depth - 1)) * sum(len(t) + 1 for t in thresholds)
     if cells > MAX_CELLS:
         raise ValueError(f"{cells} histogram cells, at most {MAX_CELLS}: fewer models, bins or levels at once")
-    slots, stops = 2 << depth, {s.rounds for s in specs}
+    width = max(len(t) + 1 for t in thresholds)
+    slots, stops = 2 << depth, {s.rounds for s in specs} | set(stops)
     columns = [f"`{c}`" for c in rows.columns]
     state = cut_lineage(rows.withColumn("margin", F.lit(0.0)), "boosting")
     for r in range(1, last + 1):
@@ -203,14 +214,8 @@ def fit_boosted(rows: DataFrame, specs: Sequence[BoostSpec], features: Sequence[
         trees = {m: Tree.empty(specs[m].depth) for m in active}
         at = state.selectExpr(*columns, "margin", "1 / (1 + exp(-margin)) AS _p", "1 AS node")
         for level in range(depth):
-            growing = ", ".join(str(m) for m in active if specs[m].depth > level)
-            sums = at.where(f"fit AND model IN ({growing}) AND node >= {1 << level}").selectExpr(
-                "model", "node", f"cast(round((_p - y) * {STEPS}) AS long) AS g", f"cast(round(_p * (1 - _p) * {STEPS}) AS long) AS h",
-                "posexplode(bins) AS (f, b)").groupBy("model", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-            hist: dict = {}
-            for m, node, f, b, g, h in sums.collect():
-                hist.setdefault((m, node), {}).setdefault(f, []).append((b, g, h))
-            if not _split_level(hist, level, trees, models):
+            growing = [m for m in active if specs[m].depth > level]
+            if not _split_level(_histograms(at, level, growing, width).collect(), trees, models):
                 break
             at = _step(at, trees, slots, len(specs))
         weight = np.zeros(len(specs) * slots)
