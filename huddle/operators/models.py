@@ -1,9 +1,8 @@
-"""Learning operators on ``pyspark.ml``.
+"""Learning operators.
 
-Fits run as Spark jobs on executors.  Segment loops iterate over a small,
-bounded list of segment values (teams, formations, role counts): each fit
-is one distributed MLlib job, launched from a thread pool so several run at
-once.  Data never passes through the driver."""
+Fits run as Spark jobs on executors: ``pyspark.ml`` for single models and
+grids, ``forests`` for all segments or trials in one job, ``boosting`` for the
+second-order boosted family.  Data never passes through the driver."""
 
 from __future__ import annotations
 
@@ -19,15 +18,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from huddle.functions.expressions import split_bucket
+from huddle.operators.boosting import BoostSpec, binned, candidate_thresholds, fit_boosted
+from huddle.operators.folds import stratified_folds
+from huddle.operators.forests import Forests, ForestSpec, fit_forests
+from huddle.operators.tpe import Choice, Integers, ParzenSearch
+from huddle.session import cut_lineage
 
 LABEL_IDX = "label_idx"
 FEATURES = "features"
 
 # Fixed values of the reference's learners.
 FOREST = dict(numTrees=190, maxDepth=11, minInstancesPerNode=3, featureSubsetStrategy="log2", seed=42)
+SEGMENT_FOREST = ForestSpec(trees=190, depth=11, min_split=5, min_leaf=3, features="log2")
 SMALL_FOREST = dict(numTrees=100, maxDepth=5, seed=42)
 TEST_SHARE = 25  # percent held out
 SEED = 42
@@ -84,49 +88,46 @@ def accuracy_of(preds: DataFrame) -> float:
     return float(ev.evaluate(preds))
 
 
-_RESULT_SCHEMA = T.StructType([
-    T.StructField("segment_kind", T.StringType()),
-    T.StructField("segment", T.StringType()),
-    T.StructField("n", T.LongType()),
-    T.StructField("n_test", T.LongType()),
-    T.StructField("accuracy", T.DoubleType()),
-])
-
-
-def segment_models(spark: SparkSession, data: DataFrame, segment: str, features: Sequence[str], label: str,
-                   keys: Sequence[str], min_rows: int = 100, estimator_factory=None, parallelism: int = 4,
-                   segments: Sequence | None = None) -> DataFrame:
-    """One forest per segment value with at least ``min_rows`` rows (M3-M5):
-    split by key hash, fit on train, accuracy on test.
-
-    Segment sizes come from one aggregate; only the list of qualifying
-    segment values (a handful: teams, formations) reaches the driver."""
-    split = with_split(data, keys)
-    sizes = split.groupBy(segment).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows)
+def coded_rows(data: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], positive: str = "right",
+               bins: int = 64) -> tuple[DataFrame, list[list[float]]]:
+    """``row`` (the keys and a hash of the features), ``y`` (1 for the
+    positive label) and ``bins`` beside the columns, and the thresholds, which
+    come from the rows marked ``split`` = 'train'."""
+    thresholds = candidate_thresholds(data.filter("split = 'train'"), features, bins)
+    return data.withColumns({
+        "row": F.struct(*keys, F.xxhash64(*features).alias("_features")),
+        "y": (F.col(label) == F.lit(positive)).cast("int"), "bins": binned(features, thresholds)}), thresholds
+
+
+def segment_forests(data: DataFrame, segment: str, features: Sequence[str], label: str, keys: Sequence[str],
+                    min_rows: int = 100, segments: Sequence | None = None, spec: ForestSpec = SEGMENT_FOREST,
+                    seed: int = SEED) -> tuple[DataFrame, Forests]:
+    """The sizes of the segments with at least ``min_rows`` rows (model, n,
+    n_test, classes of the training rows) and their forests (M3-M5), all grown
+    in one job: split by key hash, fit on train, votes on test.  The forests'
+    node table is the model registry, written by the fitting job itself."""
+    split = with_split(data, keys, seed=seed).filter(F.col(segment).isNotNull())
     if segments is not None:
-        sizes = sizes.filter(F.col(segment).isin(list(segments)))
-    # one distributed fit per segment; many small segments (players) are
-    # cheaper in entity_models' single grouped job
+        split = split.filter(F.col(segment).isin(list(segments)))
+    split = split.withColumn("model", F.col(segment).cast("string"))
     in_train = F.col("split") == "train"
-    classes = split.groupBy(segment).agg(
-        F.countDistinct(F.when(in_train, F.col(label))).alias("classes"), F.count(F.when(~in_train, 1)).alias("n_test"))
-    seg_rows = sizes.join(classes, segment).collect()
-
-    def run(row):
-        value, n = row[segment], row["n"]
-        part = split.filter(F.col(segment) == F.lit(value))
-        train, test = part.filter("split = 'train'"), part.filter("split = 'test'")
-        n_test, acc = row["n_test"], None
-        # one class cannot be fit, and nothing held out cannot be scored
-        if row["classes"] > 1 and n_test:
-            est = estimator_factory() if estimator_factory else forest()
-            _, preds = fit_and_score(train, test, features, label, est)
-            acc = accuracy_of(preds)
-        return (segment, str(value), int(n), int(n_test), acc)
+    sizes = split.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~in_train).alias("n_test"),
+        F.countDistinct(F.when(in_train, F.col(label))).alias("classes")).filter(F.col("n") >= min_rows)
+    sizes = cut_lineage(sizes, "segment-sizes")
+    rows, thresholds = coded_rows(split.join(sizes.select("model"), "model", "left_semi"), features, label, keys)
+    rows = rows.select("model", "row", in_train.alias("fit"), "y", "bins")
+    return sizes, fit_forests(rows, spec, features, thresholds, seed)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(run, seg_rows))
-    return spark.createDataFrame(results, _RESULT_SCHEMA)
+
+def segment_models(data: DataFrame, segment: str, features: Sequence[str], label: str, keys: Sequence[str],
+                   min_rows: int = 100, segments: Sequence | None = None, spec: ForestSpec = SEGMENT_FOREST) -> DataFrame:
+    """Accuracy of each segment's forest on its test rows (M3-M5); null where
+    training rows have one class or nothing is held out."""
+    sizes, forests = segment_forests(data, segment, features, label, keys, min_rows, segments, spec)
+    scored = sizes.join(forests.accuracy().select("model", "accuracy"), "model", "left")
+    return scored.select(F.lit(segment).alias("segment_kind"), F.col("model").alias("segment"), "n", "n_test",
+                         F.when(F.col("classes") > 1, F.col("accuracy")).alias("accuracy"))
 
 
 def feature_importances(model: PipelineModel, features: Sequence[str], spark: SparkSession,
@@ -173,11 +174,13 @@ def grid_search(spark: SparkSession, data: DataFrame, features: Sequence[str], l
                 families: Sequence[str] = FAMILIES, folds: int = 3, parallelism: int = 8,
                 grids: dict | None = None) -> DataFrame:
     """3-fold grid search per model family on the training side, scored on
-    the held-out side (M11-M13).  Folds come from a key hash (``foldCol``)."""
-    split = with_folds(with_split(data, keys), keys, folds)
+    the held-out side (M11-M13).  The folds are stratified by label, exactly
+    (``stratified_folds``, given as ``foldCol``)."""
+    split = with_split(data, keys)
     enc = label_encoder(label).fit(split)
     coded = assembler(features).transform(enc.transform(split))
-    train = coded.filter("split = 'train'")
+    train = stratified_folds(coded.filter("split = 'train'").select(*keys, LABEL_IDX, FEATURES), LABEL_IDX, keys, folds)
+    train = cut_lineage(train, "grid-folds")
     test = coded.filter("split = 'test'")
     ev = MulticlassClassificationEvaluator(labelCol=LABEL_IDX, predictionCol="prediction", metricName="accuracy")
     rows = []
@@ -241,3 +244,95 @@ def random_search(spark: SparkSession, data: DataFrame, features: Sequence[str],
 
 def to_array(col: str = "probability") -> F.Column:
     return vector_to_array(F.col(col))
+
+
+#: The grid of the second-order boosted family.
+XGB_ROUNDS, XGB_DEPTHS, XGB_RATES = (100, 200), (3, 5), (0.1, 0.3)
+
+
+def boosted_grid_search(spark: SparkSession, data: DataFrame, features: Sequence[str], label: str, keys: Sequence[str],
+                        folds: int = 3, rounds: Sequence[int] = XGB_ROUNDS, depths: Sequence[int] = XGB_DEPTHS,
+                        rates: Sequence[float] = XGB_RATES, positive: str = "right") -> DataFrame:
+    """M12's second-order family: every (rounds, depth, rate) with its
+    cross-validated accuracy over exact stratified folds, the accuracy on the
+    held-out side of its refit on all training rows, and whether it is best
+    (by cross-validation; ties to the earlier).
+
+    All of them grow in step in one table: for each depth and rate one model
+    per fold and one on all training rows; fewer rounds are a prefix of more."""
+    rows, thresholds = coded_rows(with_split(data, keys), features, label, keys, positive, bins=32)
+    rows = rows.select(*keys, "row", "split", F.col("y").cast("double").alias("y"), "bins")
+    train = stratified_folds(rows.filter("split = 'train'"), "y", keys, folds)
+    rows = train.unionByName(rows.filter("split <> 'train'").withColumn("fold", F.lit(-1)))
+    points = [(d, r) for d in depths for r in rates]
+    # model = point x (folds + 1) + fold; the last of each point is the refit
+    size = folds + 1
+    specs = [BoostSpec(rounds=max(rounds), depth=d, rate=r) for d, r in points for _ in range(size)]
+    rows = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1))))
+    part = F.col("model") % size
+    rows = rows.withColumn("fit", (F.col("split") == "train") & (F.col("fold") != part))
+    # a fold's model is scored on its fold, the refit on the held-out side
+    scored = F.when(part == folds, F.col("split") != "train").otherwise(F.col("fold") == part)
+    rows = rows.filter(F.col("fit") | scored).select("model", "fit", "y", "bins")
+    found = []
+
+    def at_round(r: int, state: DataFrame) -> None:
+        hits = state.filter(~F.col("fit")).groupBy("model").agg(
+            F.avg(((F.col("margin") > 0) == (F.col("y") == 1.0)).cast("double")).alias("accuracy"))
+        acc = {x["model"]: x["accuracy"] for x in hits.collect()}
+        for k, (d, rate) in enumerate(points):
+            cv = [acc.get(k * size + f) for f in range(folds)]
+            cv = sum(cv) / folds if None not in cv else None
+            found.append((r, d, rate, cv, acc.get(k * size + folds)))
+
+    fit_boosted(rows, specs, features, thresholds, at_round, stops=rounds)
+    found.sort(key=lambda x: (rounds.index(x[0]), depths.index(x[1]), rates.index(x[2])))
+    best = max(range(len(found)), key=lambda i: (found[i][3] is not None, found[i][3] or 0.0, -i)) if found else None
+    return spark.createDataFrame([(*x, i == best) for i, x in enumerate(found)],
+                                 "rounds int, depth int, rate double, cv_accuracy double, accuracy double, best boolean")
+
+
+#: The space of the tuned forest.
+TUNED_SPACE = {
+    "n_estimators": Integers(50, 300), "max_depth": Integers(3, 20), "min_samples_split": Integers(2, 10),
+    "min_samples_leaf": Integers(1, 10), "max_features": Choice(("sqrt", "log2"))}
+
+
+def forest_spec(p: dict) -> ForestSpec:
+    return ForestSpec(p["n_estimators"], p["max_depth"], p["min_samples_split"], p["min_samples_leaf"], p["max_features"])
+
+
+def tuned_forest(spark: SparkSession, data: DataFrame, features: Sequence[str], label: str, keys: Sequence[str],
+                 trials: int = 50, per_round: int = 10, seed: int = SEED, space: dict | None = None) -> DataFrame:
+    """A forest tuned by tree-structured Parzen estimators.
+
+    The first round is random; each later one asks the sampler for
+    ``per_round`` settings given all scores so far, and fits them in one job
+    (``forests``).  Trials are scored on one of four stratified folds of the
+    training side, not on the test side; the best (ties to the earlier) is
+    refitted on all of it and scored on the test side.  Returns the trials."""
+    space = space or TUNED_SPACE
+    rows, thresholds = coded_rows(with_split(data, keys, seed=seed), features, label, keys)
+    rows = rows.select(*keys, "row", "split", "y", "bins")
+    train = stratified_folds(rows.filter("split = 'train'"), "y", keys, 4, seed)
+    rows = cut_lineage(train.unionByName(rows.filter("split <> 'train'").withColumn("fold", F.lit(-1))), "tuned-rows")
+    search, history = ParzenSearch(space, seed), []
+
+    def fit(settings: list[dict], part: DataFrame) -> list[float | None]:
+        specs = {str(k): forest_spec(p) for k, p in enumerate(settings)}
+        copies = part.withColumn("model", F.explode(F.array(*[F.lit(m) for m in specs])))
+        forests = fit_forests(copies.select("model", "row", "fit", "y", "bins"), specs, features, thresholds, seed)
+        acc = {r["model"]: r["accuracy"] for r in forests.accuracy().collect()}
+        return [acc.get(m) for m in specs]
+
+    tried = rows.filter("split = 'train'").withColumn("fit", F.col("fold") != 0)
+    while len(history) < trials:
+        asked = search.ask(history, min(per_round, trials - len(history)))
+        history += list(zip(asked, fit(asked, tried)))
+    best = max(range(len(history)), key=lambda i: (history[i][1] is not None, history[i][1] or 0.0, -i))
+    test = fit([history[best][0]], rows.withColumn("fit", F.col("split") == "train"))[0]
+    return spark.createDataFrame(
+        [(i, p["n_estimators"], p["max_depth"], p["min_samples_split"], p["min_samples_leaf"], p["max_features"],
+          score, i == best, test if i == best else None) for i, (p, score) in enumerate(history)],
+        "trial int, n_estimators int, max_depth int, min_samples_split int, min_samples_leaf int, max_features string, "
+        "val_accuracy double, best boolean, test_accuracy double")

@@ -1092,6 +1092,55 @@ def q_segment_model_formation(spark, sf_dir):
     return by_segment(spark, _model_table(spark, sf_dir), DRIVER, DRIVER.formation, STANDIN_MIN_SEGMENT)
 
 
+@register("segment_confusion")
+def q_segment_confusion(spark, sf_dir):
+    """M8 of every fitted team model: held-out rows by true and predicted side."""
+    from huddle.plans.modeling import segment_reports
+    return segment_reports(_model_table(spark, sf_dir), DRIVER, DRIVER.team, STANDIN_MIN_SEGMENT)[0]
+
+
+@register("segment_importances")
+def q_segment_importances(spark, sf_dir):
+    """M10 of every fitted team model: its ten most important features."""
+    from huddle.plans.modeling import segment_reports
+    return segment_reports(_model_table(spark, sf_dir), DRIVER, DRIVER.team, STANDIN_MIN_SEGMENT)[1]
+
+
+@register("stratified_folds", """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '%URGENT%' OR o_orderpriority LIKE '%HIGH%' THEN 'left'
+                                   WHEN o_orderpriority LIKE '%LOW%' OR o_orderpriority LIKE '%NOT%' THEN 'right' END AS run_dir
+           FROM orders),
+h AS (SELECT *, CAST('0x' || substr(md5('43:' || o_orderkey), 1, 8) AS UBIGINT) AS hash FROM o)
+SELECT o_orderkey, run_dir,
+       CAST((row_number() OVER (PARTITION BY run_dir ORDER BY hash, o_orderkey) - 1) % 3 AS INTEGER) AS fold FROM h""")
+def q_stratified_folds(spark, sf_dir):
+    """Three exact stratified folds of all plays by side (plays
+    without a side are a class of their own)."""
+    from huddle.operators.folds import stratified_folds
+    return stratified_folds(q_direction_label(spark, sf_dir), "run_dir", ["o_orderkey"], 3)
+
+
+def _line_model_table(spark, sf_dir):
+    from huddle.plans.modeling import model_table
+    return model_table(q_wide_features_line_only(spark, sf_dir), DRIVER, LINE_SLOTS)
+
+
+@register("grid_search_xgboost")
+def q_grid_search_xgboost(spark, sf_dir):
+    """The second-order boosted family, 3 stratified folds over rounds x
+    depth x rate, on the five-slot table."""
+    from huddle.plans.modeling import compare_boosted
+    return compare_boosted(spark, _line_model_table(spark, sf_dir), DRIVER)
+
+
+@register("tuned_forest")
+def q_tuned_forest(spark, sf_dir):
+    """50 trials of a model-based sampler over the forest's five
+    parameters, on the five-slot table."""
+    from huddle.plans.modeling import tune_by_model
+    return tune_by_model(spark, _line_model_table(spark, sf_dir), DRIVER, 50)
+
+
 @register("grid_search_forest")
 def q_grid_search_forest(spark, sf_dir):
     """3-fold grid over trees x depth."""
