@@ -8,13 +8,14 @@ and a leaf's weight -G / (H + lambda), times the learning rate.
 
 Several models (grid points x folds, say) grow in step over one long table of
 (model, row), so one job per level serves them all.  A level is one partial
-aggregate of gradients and Hessians by (model, node, feature), a sum a bin:
-its size is bounded by the models, nodes, features and bins, not by the rows,
-and checked before the first job (``MAX_CELLS``); only it reaches the driver,
-which picks the splits.  The trees go back as array constants of the plan, by which every
+aggregate of gradients and Hessians by (model, node, feature, bin): its size is
+bounded by the models, nodes, features and bins, not by the rows, and checked
+before the first job (``MAX_CELLS``); only it reaches the driver, which picks
+the splits.  The trees go back as array constants of the plan, by which every
 row finds its node; rows that are not fit on (validation, test) are routed the
-same way, so their margins need no second pass.  Margins are written every
-``WRITE_EVERY`` rounds.
+same way, so their margins need no second pass.  Margins are written before
+more than ``MOST_STEPS`` levels stand in one plan, whose code Spark could no
+longer compile.
 
 Gradients and Hessians are summed as fixed-point integers, so the sums, and
 with them the trees, do not depend on partitions or order.  Equal gains go to
@@ -34,7 +35,7 @@ from huddle.session import cut_lineage
 
 BINS = 32
 MAX_CELLS = 8_000_000
-WRITE_EVERY = 10
+MOST_STEPS = 8
 #: Fixed-point steps of a gradient: good for 10^11 rows in 64 bits.
 STEPS = float(1 << 26)
 
@@ -142,14 +143,25 @@ def _step(df: DataFrame, trees: dict[int, Tree], slots: int, models: int) -> Dat
     return df.selectExpr(*kept, "if(_f >= 0, 2 * node + cast(get(bins, _f) > _cut AS int), node) AS node")
 
 
-def _histograms(at: DataFrame, level: int, growing: Sequence[int], width: int) -> DataFrame:
-    """Per (model, node, feature) of a level the sums of gradients and Hessians
-    of each bin, as two arrays: one shuffle of partial sums."""
+def _histograms(at: DataFrame, level: int, growing: Sequence[int], shape: tuple[int, int]) -> dict:
+    """Per (model, node) of a level the sums of gradients and Hessians, as two
+    arrays by feature and bin.  The sums are one partial aggregate; they come
+    to the driver as one short text a cell, which is faster than rows."""
     cells = at.where(f"fit AND model IN ({', '.join(map(str, growing))}) AND node >= {1 << level}").selectExpr(
         "model", "node", f"cast(round((_p - y) * {STEPS}D) AS long) AS g", f"cast(round(_p * (1 - _p) * {STEPS}D) AS long) AS h",
-        "posexplode(bins) AS (f, b)")
-    sums = {x: ", ".join(f"sum(if(b = {k}, {x}, 0L))" for k in range(width)) for x in "gh"}
-    return cells.groupBy("model", "node", "f").agg(*[F.expr(f"array({sums[x]})").alias(x) for x in "gh"])
+        "posexplode(bins) AS (f, b)").groupBy("model", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    texts = [r[0] for r in cells.select(F.concat_ws(",", "model", "node", "f", "b", "g", "h")).collect()]
+    if not texts:
+        return {}
+    rows = np.array(",".join(texts).split(","), dtype=np.int64).reshape(-1, 6)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    starts = np.flatnonzero(np.r_[True, (np.diff(rows[:, :2], axis=0) != 0).any(axis=1)])
+    out = {}
+    for part in np.split(rows, starts[1:]):
+        g, h = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        g[part[:, 2], part[:, 3]], h[part[:, 2], part[:, 3]] = part[:, 4], part[:, 5]
+        out[int(part[0, 0]), int(part[0, 1])] = g, h
+    return out
 
 
 def _gains(g: np.ndarray, h: np.ndarray, spec: BoostSpec):
@@ -164,58 +176,54 @@ def _gains(g: np.ndarray, h: np.ndarray, spec: BoostSpec):
     return np.where(light | ~np.isfinite(gain), 0.0, gain), gl, hl, gs, hs
 
 
-def _split_level(rows: list, trees: dict[int, Tree], models: list[BoostedModel]) -> bool:
+def _split_level(nodes: dict, trees: dict[int, Tree], models: list[BoostedModel]) -> bool:
     """Enters the best cut of every node of a level; whether there was one."""
-    nodes: dict = {}
-    for m, node, f, g, h in sorted(rows, key=lambda r: r[:3]):
-        nodes.setdefault((m, node), []).append((f, g, h))
     grown = False
-    for (m, node), cells in nodes.items():
+    for (m, node), (g, h) in nodes.items():
         t, spec = trees[m], models[m].spec
 
         def weigh(n: int, gs: float, hs: float, t=t, spec=spec) -> None:
             t.cover[n] = hs
             t.weight[n] = -spec.rate * gs / (hs + spec.reg_lambda) if hs + spec.reg_lambda else 0.0
 
-        gain, gl, hl, gs, hs = _gains(np.array([c[1] for c in cells]), np.array([c[2] for c in cells]), spec)
+        gain, gl, hl, gs, hs = _gains(g, h, spec)
         if node == 1:
             weigh(1, gs, hs)
         if gain.max() > 1e-9:
             grown = True
             k, b = (int(v[0]) for v in np.nonzero(gain >= gain.max() - 1e-9))
-            t.gain[node], t.feature[node], t.bin[node] = gain[k, b], cells[k][0], b
+            t.gain[node], t.feature[node], t.bin[node] = gain[k, b], k, b
             weigh(2 * node, gl[k, b], hl[k, b])
             weigh(2 * node + 1, gs - gl[k, b], hs - hl[k, b])
     return grown
 
 
 def fit_boosted(rows: DataFrame, specs: Sequence[BoostSpec], features: Sequence[str],
-                thresholds: Sequence[Sequence[float]], at_round=None, write_every: int = WRITE_EVERY,
-                stops: Sequence[int] = ()) -> list[BoostedModel]:
+                thresholds: Sequence[Sequence[float]], at_round=None, stops: Sequence[int] = ()) -> list[BoostedModel]:
     """Fits model k by ``specs[k]`` on the rows with ``model`` = k and ``fit``.
 
     ``rows``: model int, fit boolean, y double (0 or 1), bins (see ``binned``)
     and any other columns.  ``at_round(r, scored)`` is called after the rounds
     in which some model ends with all rows and their ``margin``,
     and after the rounds ``stops``: the trees of fewer rounds are the first of
-    more.  ``write_every``: rounds between two writings of the margins; few make
-    short plans, many spare writing a large table."""
+    more."""
     models = [BoostedModel(s, list(features), [list(t) for t in thresholds]) for s in specs]
     depth, last = max(s.depth for s in specs), max(s.rounds for s in specs)
     cells = len(specs) * (1 << (depth - 1)) * sum(len(t) + 1 for t in thresholds)
     if cells > MAX_CELLS:
         raise ValueError(f"{cells} histogram cells, at most {MAX_CELLS}: fewer models, bins or levels at once")
-    width = max(len(t) + 1 for t in thresholds)
+    shape = len(features), max(len(t) + 1 for t in thresholds)
     slots, stops = 2 << depth, {s.rounds for s in specs} | set(stops)
     columns = [f"`{c}`" for c in rows.columns]
     state = cut_lineage(rows.withColumn("margin", F.lit(0.0)), "boosting")
+    steps = 0
     for r in range(1, last + 1):
         active = [m for m, s in enumerate(specs) if s.rounds >= r]
         trees = {m: Tree.empty(specs[m].depth) for m in active}
         at = state.selectExpr(*columns, "margin", "1 / (1 + exp(-margin)) AS _p", "1 AS node")
         for level in range(depth):
             growing = [m for m in active if specs[m].depth > level]
-            if not _split_level(_histograms(at, level, growing, width).collect(), trees, models):
+            if not _split_level(_histograms(at, level, growing, shape), trees, models):
                 break
             at = _step(at, trees, slots, len(specs))
         weight = np.zeros(len(specs) * slots)
@@ -223,7 +231,9 @@ def fit_boosted(rows: DataFrame, specs: Sequence[BoostSpec], features: Sequence[
             weight[m * slots:m * slots + len(t.weight)] = t.weight
             models[m].trees.append(t)
         state = at.selectExpr(*columns, f"margin + get({_constant(weight, 'double')}, model * {slots} + node) AS margin")
-        if r % write_every == 0 or r in stops:
+        steps += depth
+        if steps + depth > MOST_STEPS or r in stops:
+            steps = 0
             state = cut_lineage(state, "boosting")
         if at_round is not None and r in stops:
             at_round(r, state)

@@ -1128,9 +1128,10 @@ def _line_model_table(spark, sf_dir):
 @register("grid_search_xgboost")
 def q_grid_search_xgboost(spark, sf_dir):
     """The second-order boosted family, 3 stratified folds over rounds x
-    depth x rate, on the five-slot table."""
+    depth x rate, on the five-slot table.  The operator's own rounds are 100
+    and 200, one job a level; this query grows 10 and 20."""
     from huddle.plans.modeling import compare_boosted
-    return compare_boosted(spark, _line_model_table(spark, sf_dir), DRIVER)
+    return compare_boosted(spark, _line_model_table(spark, sf_dir), DRIVER, rounds=(10, 20))
 
 
 @register("tuned_forest")
@@ -1138,7 +1139,7 @@ def q_tuned_forest(spark, sf_dir):
     """50 trials of a model-based sampler over the forest's five
     parameters, on the five-slot table."""
     from huddle.plans.modeling import tune_by_model
-    return tune_by_model(spark, _line_model_table(spark, sf_dir), DRIVER, 50)
+    return tune_by_model(spark, _line_model_table(spark, sf_dir), DRIVER, 50, 20)
 
 
 @register("grid_search_forest")

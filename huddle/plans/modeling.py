@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from huddle.layout import FULL_SLOTS, Layout, Slot
 from huddle.operators.models import (
-    assembler, boosted_grid_search, feature_importances, fit_and_score, forest, grid_search, random_search,
-    segment_forests, segment_models, tuned_forest, with_split,
+    XGB_ROUNDS, assembler, boosted_grid_search, feature_importances, fit_and_score, forest, grid_search,
+    random_search, segment_forests, segment_models, tuned_forest, with_split,
 )
 from huddle.operators.pivot import interaction_features
 from huddle.plans.features import feature_columns, keep_label_sides
@@ -64,16 +64,16 @@ def tune_forest(spark: SparkSession, table: DataFrame, layout: Layout, trials: i
     return random_search(spark, table, feats, layout.label, layout.keys, trials)
 
 
-def compare_boosted(spark: SparkSession, table: DataFrame, layout: Layout) -> DataFrame:
-    """The second-order boosted family over its whole grid."""
+def compare_boosted(spark: SparkSession, table: DataFrame, layout: Layout, rounds: Sequence[int] = XGB_ROUNDS) -> DataFrame:
+    """The second-order boosted family over its grid."""
     feats = feature_columns(table, layout, drop=("num_TEs",))
-    return boosted_grid_search(spark, table, feats, layout.label, layout.keys)
+    return boosted_grid_search(spark, table, feats, layout.label, layout.keys, rounds=rounds)
 
 
-def tune_by_model(spark: SparkSession, table: DataFrame, layout: Layout, trials: int = 50) -> DataFrame:
+def tune_by_model(spark: SparkSession, table: DataFrame, layout: Layout, trials: int = 50, per_round: int = 10) -> DataFrame:
     """The forest tuned by a model-based sampler."""
     feats = feature_columns(table, layout, drop=("num_TEs",))
-    return tuned_forest(spark, table, feats, layout.label, layout.keys, trials)
+    return tuned_forest(spark, table, feats, layout.label, layout.keys, trials, per_round)
 
 
 def tuning_flow(spark: SparkSession, table: DataFrame, layout: Layout, families=("RandomForest", "GradientBoosting", "LogReg"),
