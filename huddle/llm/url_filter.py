@@ -43,8 +43,6 @@ SAMPLE = 50_000
 #: Weight of the overall share in a suffix's share of blocked URLs.
 PRIOR = 20.0
 FEW_SUFFIXES = 100_000
-#: The sample is small: its margins are written often, which keeps plans short.
-WRITE_EVERY = 2
 TREES = BoostSpec(rounds=20, depth=4, rate=0.3)
 
 LEXICAL = ("n_url", "n_host", "n_path", "depth", "n_labels", "digit_ratio", "entropy", "n_params", "n_hyphens")
@@ -164,7 +162,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, spec: BoostSpec = TREES) -> F
     thresholds = candidate_thresholds(rows, FEATURES, exact=True)
     rows = rows.select(F.lit(0).alias("model"), F.lit(True).alias("fit"), F.col("blocked").cast("double").alias("y"),
                        binned(FEATURES, thresholds).alias("bins"))
-    return Filter(fit_boosted(rows, [spec], FEATURES, thresholds, write_every=WRITE_EVERY)[0], statistics)
+    return Filter(fit_boosted(rows, [spec], FEATURES, thresholds)[0], statistics)
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame | None = None, sample: int = SAMPLE,
