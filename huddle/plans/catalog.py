@@ -1005,10 +1005,46 @@ def q_ols_by_group(spark, sf_dir):
 
 @register("ols_summary")
 def q_ols_summary(spark, sf_dir):
-    """The OLS table with two-sided p-values (no SQL twin: SQL has no
-    Student-t distribution)."""
+    """The whole OLS summary per role, with p-values and intervals (no
+    SQL twin: SQL has no Student-t distribution; see ``ols_diagnostics``)."""
     from huddle.operators.regress import ols_summary
-    return ols_summary(_entity_table(spark, sf_dir), "accuracy", "avg_yards", ["pos"], min_rows=10)
+    return ols_summary(_entity_table(spark, sf_dir), "accuracy", "avg_yards", ["pos"], min_rows=10, order=["l_partkey"])
+
+
+_DIAGNOSTICS = ("log_likelihood", "aic", "bic", "skew", "kurtosis", "omnibus", "prob_omnibus", "jarque_bera", "prob_jb",
+                "durbin_watson", "cond_no")
+
+
+@register("ols_diagnostics", with_frames(_ENTITY_TABLE_SQL + """,
+agg AS (SELECT pos, count(*) AS n, regr_slope(avg_yards, accuracy) AS slope, regr_intercept(avg_yards, accuracy) AS intercept
+        FROM et WHERE accuracy IS NOT NULL AND avg_yards IS NOT NULL GROUP BY pos HAVING count(*) >= 10),
+r AS (SELECT et.pos, l_partkey, accuracy AS x, avg_yards - intercept - slope * accuracy AS e
+      FROM et JOIN agg ON et.pos = agg.pos WHERE accuracy IS NOT NULL AND avg_yards IS NOT NULL),
+l AS (SELECT *, e - lag(e) OVER (PARTITION BY pos ORDER BY l_partkey) AS d, e - avg(e) OVER (PARTITION BY pos) AS c FROM r),
+m AS (SELECT pos, CAST(count(*) AS DOUBLE) AS n, avg(e * e) AS m2, avg(c * c) AS c2, avg(c * c * c) AS c3, avg(c * c * c * c) AS c4,
+             sum(d * d) / sum(e * e) AS durbin_watson, avg(x) AS x1, avg(x * x) AS x2 FROM l GROUP BY pos),
+s AS (SELECT *, c3 / pow(c2, 1.5) AS skew, c4 / (c2 * c2) AS kurtosis, -n / 2 * (ln(2 * pi()) + ln(m2) + 1) AS ll,
+             sqrt(pow((1 - x2) / 2, 2) + x1 * x1) AS root, (1 + x2) / 2 AS half,
+             sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2,
+             6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b1
+      FROM m),
+z AS (SELECT *, skew * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / sqrt(2 / (w2 - 1)) AS u,
+             6 + 8 / b1 * (2 / b1 + sqrt(1 + 4 / (b1 * b1))) AS a,
+             (kurtosis - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS kx
+      FROM s),
+o AS (SELECT *, pow(asinh(u) / sqrt(0.5 * ln(w2)), 2)
+               + pow((1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + kx * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)), 2) AS omnibus FROM z)
+SELECT pos, CAST(n - 2 AS BIGINT) AS df_resid, round(ll, 4) AS log_likelihood, round(4 - 2 * ll, 4) AS aic,
+  round(2 * ln(n) - 2 * ll, 4) AS bic, round(skew, 4) AS skew, round(kurtosis, 4) AS kurtosis, round(omnibus, 4) AS omnibus,
+  round(exp(-omnibus / 2), 4) AS prob_omnibus, round(n / 6 * (skew * skew + pow(kurtosis - 3, 2) / 4), 4) AS jarque_bera,
+  round(exp(-n / 12 * (skew * skew + pow(kurtosis - 3, 2) / 4)), 4) AS prob_jb, round(durbin_watson, 4) AS durbin_watson,
+  round(sqrt((half + root) / ((x2 - x1 * x1) / (half + root))), 4) AS cond_no FROM o"""))
+def q_ols_diagnostics(spark, sf_dir):
+    """Residual tests, likelihood, criteria and condition number per role,
+    the residuals in order of the player."""
+    from huddle.operators.regress import ols_diagnostics
+    out = ols_diagnostics(_entity_table(spark, sf_dir), "accuracy", "avg_yards", ["l_partkey"], ["pos"], min_rows=10)
+    return out.select("pos", "df_resid", *[rnd(c, 4).alias(c) for c in _DIAGNOSTICS])
 
 
 @register("fitted_values", with_frames(_TEAM_METRICS_SQL + """,
