@@ -10,8 +10,19 @@ Each report table is written as Parquet under --out/<name>.
 from __future__ import annotations
 
 import argparse
-import glob
-import os
+import sys
+
+
+def _there(spark, path: str) -> bool:
+    """Whether Spark finds ``path``, in whatever store it is."""
+    from pyspark.errors import AnalysisException
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def main(argv=None) -> None:
@@ -42,9 +53,14 @@ def main(argv=None) -> None:
     if a.cmd == "load":
         from huddle.plans.load import load_csv_tables
         d = a.csv_dir.rstrip("/")
-        tables = {n: f"{d}/{n}.csv" for n in ("games", "plays", "players", "player_play")
-                  if os.path.exists(f"{d}/{n}.csv")}
-        tables["tracking"] = sorted(glob.glob(f"{d}/tracking_week_*.csv"))
+        # Spark lists the files itself (any store); a missing one is an error,
+        # but for player_play, which no later step reads
+        tables = {n: f"{d}/{n}.csv" for n in ("games", "plays", "players")}
+        tables["tracking"] = [f"{d}/tracking_week_*.csv"]
+        if _there(spark, f"{d}/player_play.csv"):
+            tables["player_play"] = f"{d}/player_play.csv"
+        else:
+            print(f"no {d}/player_play.csv: not loaded", file=sys.stderr)
         load_csv_tables(spark, tables, a.out)
     elif a.cmd == "merge":
         from huddle.plans.load import merge_tables

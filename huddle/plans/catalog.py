@@ -270,6 +270,56 @@ def q_event_frame_filter_alt(spark, sf_dir):
     return event_frame_filter(_frames(spark, sf_dir), DRIVER, None, roles=["T", "G", "C"]).select(*_ROW_ID, "pos")
 
 
+# An event tag for the stand-in: every third frame of a play is a snap, the
+# one after it a line set, the rest have none.
+_EVENT_SQL = """
+ev AS (SELECT *, CASE WHEN l_linenumber % 3 = 1 THEN 'ball_snap' WHEN l_linenumber % 3 = 2 THEN 'line_set' END AS event FROM frames)"""
+
+
+def _event_frames(spark, sf_dir):
+    """The stand-in with an event column, and its layout."""
+    from dataclasses import replace
+    at = F.col("l_linenumber") % 3
+    tagged = _frames(spark, sf_dir).withColumn("event", F.when(at == 1, "ball_snap").when(at == 2, "line_set"))
+    return tagged, replace(DRIVER, frame="l_linenumber", event="event")
+
+
+_AT_EVENT_SQL = _EVENT_SQL + """
+SELECT l_orderkey, l_linenumber, l_partkey, pos, run_dir, event FROM ev
+WHERE event = '{event}' AND o_orderpriority IS NOT NULL AND pos IN ('T','G','C','TE')
+  AND l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL"""
+
+
+@register("event_frame_filter_snap", with_frames(_AT_EVENT_SQL.format(event="ball_snap")))
+def q_event_frame_filter_snap(spark, sf_dir):
+    """F1 whole: run plays at the snap, in the line roles, measures present."""
+    from huddle.operators.frames import event_frame_filter
+    f, layout = _event_frames(spark, sf_dir)
+    return event_frame_filter(f, layout, "ball_snap").select(*_ROW_ID, "pos", "run_dir", "event")
+
+
+@register("event_frame_filter_line_set", with_frames(_AT_EVENT_SQL.format(event="line_set")))
+def q_event_frame_filter_line_set(spark, sf_dir):
+    """the same filter at the line set."""
+    from huddle.operators.frames import event_frame_filter
+    f, layout = _event_frames(spark, sf_dir)
+    return event_frame_filter(f, layout, "line_set").select(*_ROW_ID, "pos", "run_dir", "event")
+
+
+@register("event_frame_filter_before_snap", with_frames(_EVENT_SQL + """,
+w AS (SELECT o_custkey AS k1, l_orderkey AS k2, max(l_linenumber) - 1 AS wanted FROM ev WHERE event = 'ball_snap'
+      GROUP BY o_custkey, l_orderkey)
+SELECT l_orderkey, l_linenumber, l_partkey, pos, run_dir, l_tax - l_discount AS x_rel_los
+FROM ev JOIN w ON o_custkey = k1 AND l_orderkey = k2 AND l_linenumber = wanted
+WHERE o_orderpriority IS NOT NULL AND pos IN ('T','G','C','TE')
+  AND l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL"""))
+def q_event_frame_filter_before_snap(spark, sf_dir):
+    """F3 whole: the same rows on the frame before the last snap of a play."""
+    from huddle.plans.features import event_rows
+    f, layout = _event_frames(spark, sf_dir)
+    return event_rows(f, layout, "ball_snap", before_event=True).select(*_ROW_ID, "pos", "run_dir", "x_rel_los")
+
+
 @register("regex_filter", with_frames(f"""
 SELECT l_orderkey, l_linenumber, l_partkey, pos FROM frames
 WHERE o_orderpriority IS NOT NULL AND regexp_matches(o_orderpriority, 'URGENT|HIGH|LOW|NOT')

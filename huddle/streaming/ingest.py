@@ -60,23 +60,37 @@ def stream_event_rows(spark: SparkSession, merged_folder: str, schema: T.StructT
 
 def stream_wide_features(spark: SparkSession, folder: str, schema: T.StructType, layout, out_path: str,
                          name: str = "wide_features", event_value: str | None = "ball_snap",
-                         available_now: bool = True):
-    """Wide feature rows for every new part of the merged table.
-
-    Assumes a play's rows at the event frame arrive within one micro-batch
-    (parts are whole weeks of plays and no ``maxFilesPerTrigger`` split), so
-    each micro-batch is run through the same batch plan (``snap_features``)
-    in ``foreachBatch``.  Each batch writes its own
-    folder named by the batch id with overwrite, so a batch replayed after a
-    failure replaces its own output instead of duplicating it."""
+                         available_now: bool = True, max_files_per_trigger: int | None = None):
+    """Wide feature rows as parts of the merged table arrive.
+
+    Each micro-batch keeps its rows at the event under ``<out>_rows`` and
+    recomputes, with the batch plan (``snap_features``), the plays it touched
+    from all rows kept so far, so a play whose rows span several batches ends
+    up whole.  A play may so be written by several batches: read the result
+    with :func:`read_wide_features`, where the last one counts.  Each batch
+    writes its own folders, named by the batch id, with overwrite, so a batch
+    replayed after a failure replaces its own output."""
     from huddle.plans.features import snap_features
+    out, kept = out_path.rstrip("/"), out_path.rstrip("/") + "_rows"
 
     def write_batch(batch_df: DataFrame, batch_id: int) -> None:
-        wide = snap_features(batch_df, layout, event_value)
-        wide.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
-
-    stream = read_parts_stream(spark, folder, schema)
+        at_event = batch_df if event_value is None else batch_df.filter(F.col(layout.event) == F.lit(event_value))
+        at_event.write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
+        rows = spark.read.option("basePath", kept).schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(
+            f"{kept}/batch=*").filter(F.col("batch") <= batch_id)
+        touched = rows.filter(F.col("batch") == batch_id).select(*layout.keys).distinct()
+        wide = snap_features(rows.drop("batch").join(touched, list(layout.keys), "left_semi"), layout, event_value)
+        wide.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream = read_parts_stream(spark, folder, schema, max_files_per_trigger=max_files_per_trigger)
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def read_wide_features(spark: SparkSession, out_path: str, layout) -> DataFrame:
+    """The rows of each play's last batch."""
+    rows = spark.read.parquet(out_path)
+    last = rows.groupBy(*layout.keys).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [*layout.keys, "batch"], "left_semi").drop("batch")

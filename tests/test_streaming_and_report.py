@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from huddle.layout import TRACKING
@@ -129,3 +131,66 @@ def test_stream_wide_features_equals_batch(spark, tmp_path):
     want = snap_features(merged, TRACKING)
     cols = sorted(want.columns)
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_stream_recomputes_plays_split_over_batches(spark, tmp_path):
+    from huddle.plans.features import snap_features
+    from huddle.streaming.ingest import read_wide_features, stream_wide_features
+    merged = frame(spark, _season(12))
+    src = tmp_path / "merged"
+    # rows of every play land in three files, one file a micro-batch
+    for k, part in enumerate(("pmod(hash(nflId), 3) = 0", "pmod(hash(nflId), 3) = 1", "pmod(hash(nflId), 3) = 2")):
+        merged.filter(part).coalesce(1).write.parquet(str(src / f"p{k}"))
+    out = str(tmp_path / "wide")
+    q = stream_wide_features(spark, str(src / "*"), merged.schema, TRACKING, out, name=f"s{os.getpid()}", max_files_per_trigger=1)
+    q.awaitTermination()
+    assert spark.read.parquet(out + "_rows").select("batch").distinct().count() == 3
+    got, want = read_wide_features(spark, out, TRACKING), snap_features(merged, TRACKING)
+    cols = sorted(want.columns)
+    assert want.count() > 0
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_load_fails_on_a_missing_table(tmp_path):
+    from huddle.__main__ import main
+    (tmp_path / "games.csv").write_text("gameId\n1\n")
+    with pytest.raises(Exception, match="(?i)path"):
+        main(["load", "--csv-dir", str(tmp_path), "--out", str(tmp_path / "out")])
+
+
+WEEKS = (
+    "whole,once,num,text,flag,gap,big,mixed,none,sci\n1,1,1.5,a,True,1,99999999999999999999,1,,1e3\n2,2,2,b,False,,2,2,NA,2\n",
+    "whole,once,num,text,flag,gap,big,mixed,none,sci\n3,0.5,3,1,True,4,5,x,,.5\n4,7,4,2,True,5,6,y,,-1.\n",
+    "whole,once,num,text,flag,gap,big,mixed,none,sci\n5,8,inf,3,False,6,7,True,,3\n",
+)
+
+
+def test_inferred_types_of_parts_that_disagree_equal_the_frame_reader(spark, tmp_path):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from huddle.sources.readers import merged_types, normalize_nulls, part_types, read_parts
+    paths = []
+    for k, body in enumerate(WEEKS):
+        (tmp_path / f"tracking_week_{k}.csv").write_text(body)
+        paths.append(str(tmp_path / f"tracking_week_{k}.csv"))
+    frames = [pd.read_csv(p) for p in paths]
+    name = {"int64": "bigint", "float64": "double", "bool": "boolean", "object": "string", "str": "string", "uint64": "double"}
+    text = normalize_nulls(spark.read.option("header", True).csv(paths)).withColumn("part", F.input_file_name())
+    columns = [c for c in text.columns if c != "part"]
+    types = part_types(text, "part", columns)
+    by_part = {(r["part"].rsplit("_", 1)[1], r["column"]): r["type"] for r in types.collect()}
+    for k, f in enumerate(frames):
+        for c in columns:
+            if c != "big":  # above 64 bits: pandas keeps objects, here a double
+                assert by_part[f"{k}.csv", c] == name[str(f[c].dtype)], (k, c)
+    whole = pd.concat(frames, ignore_index=True)
+    merged = {r["column"]: r["type"] for r in merged_types(types).collect()}
+    assert {c: t for c, t in merged.items() if c != "big"} == {c: name[str(whole[c].dtype)] for c in columns if c != "big"}
+    # whole numbers in one week only
+    assert merged["once"] == "double" and by_part["2.csv", "once"] == "bigint" and merged["whole"] == "bigint"
+    df = read_parts(spark, paths, fmt="csv")
+    assert dict(df.dtypes) == merged
+    got = {r["whole"]: r for r in df.collect()}
+    assert got[4]["once"] == 7.0 and got[2]["gap"] is None and got[3]["sci"] == 0.5 and got[5]["mixed"] == "True"
+    assert got[5]["num"] == float("inf") and got[1]["big"] == 1e20
