@@ -504,6 +504,29 @@ def q_join_left_composite(spark, sf_dir):
     return join_left(l, o, [("l_orderkey", "o_orderkey")]).select(*_ROW_ID, "o_custkey", "o_orderstatus")
 
 
+@register("bucketed_ranks", """
+WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice,
+                  CASE WHEN l_returnflag = 'A' THEN 'T' WHEN l_returnflag = 'N' THEN 'G'
+                       WHEN l_linestatus = 'F' THEN 'C' ELSE 'TE' END AS pos FROM lineitem),
+c AS (SELECT l_orderkey AS k, count(*) AS n FROM t WHERE pos = 'TE' GROUP BY l_orderkey)
+SELECT l_orderkey, l_linenumber, l_partkey, pos,
+       row_number() OVER (PARTITION BY l_orderkey, pos ORDER BY l_extendedprice, l_linenumber, l_partkey) AS slot,
+       o_orderstatus, o_totalprice, CAST(coalesce(n, 0) AS BIGINT) AS num_TEs
+FROM t LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN c ON l_orderkey = k""")
+def q_bucketed_ranks(spark, sf_dir):
+    """J1, J5 and W1 on tables bucketed by the play: no exchange."""
+    from huddle.sources.bucketed import with_play_and_ranks, write_bucketed
+    from huddle.sources.readers import read_table
+    from huddle.sources.standin import role_code
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    t = read_table(spark, sf_dir, "lineitem").select(*_ROW_ID, "l_extendedprice", role_code().alias("pos"))
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", "o_totalprice")
+    t = write_bucketed(t, ["l_orderkey"], buckets, ["pos"])
+    o = write_bucketed(o, ["l_orderkey"], buckets)
+    out = with_play_and_ranks(t, o, ["l_orderkey"], "pos", ["l_extendedprice", "l_linenumber", "l_partkey"], "TE")
+    return out.drop("l_extendedprice")
+
+
 @register("join_left_dim", """
 SELECT o_orderkey, o_custkey, c_mktsegment, c_nationkey
 FROM orders o LEFT JOIN customer c ON o_custkey = c_custkey""")
