@@ -234,7 +234,7 @@ def fit_boosted(rows: DataFrame, specs: Sequence[BoostSpec], features: Sequence[
         steps += depth
         if steps + depth > MOST_STEPS or r in stops:
             steps = 0
-            state = cut_lineage(state, "boosting")
+            state = cut_lineage(state, "boosting", state.schema)
         if at_round is not None and r in stops:
             at_round(r, state)
     return models

@@ -225,9 +225,11 @@ def fit_forests(rows: DataFrame, specs: ForestSpec | Mapping[str, ForestSpec], f
     state = cut_lineage(state, "forest-rows")
     model_rows, votes = [], []
     while True:
-        nodes = cut_lineage(_best_cuts(state, settings, p, seed), "forest-nodes")
+        nodes = _best_cuts(state, settings, p, seed)
+        nodes = cut_lineage(nodes, "forest-nodes", nodes.schema)
         model_rows.append(_model_rows(nodes, features, thresholds))
-        moved = cut_lineage(_routed(state, nodes), "forest-rows")
+        moved = _routed(state, nodes)
+        moved = cut_lineage(moved, "forest-rows", moved.schema)
         votes.append(moved.where("done").select("model", "row", "y", "p"))
         state = moved.where("not done").drop("done", "p")
         if state.where("fit").isEmpty():

@@ -96,7 +96,7 @@ def coded_rows(data: DataFrame, features: Sequence[str], label: str, keys: Seque
     thresholds = candidate_thresholds(data.filter("split = 'train'"), features, bins)
     return data.withColumns({
         "row": F.struct(*keys, F.xxhash64(*features).alias("_features")),
-        "y": (F.col(label) == F.lit(positive)).cast("int"), "bins": binned(features, thresholds)}), thresholds
+        "y": (F.col(label) == F.lit(positive)).cast("int"), "bins": binned(features, thresholds).cast("array<tinyint>" if bins < 128 else "array<int>")}), thresholds
 
 
 def segment_forests(data: DataFrame, segment: str, features: Sequence[str], label: str, keys: Sequence[str],

@@ -70,10 +70,11 @@ def compare_boosted(spark: SparkSession, table: DataFrame, layout: Layout, round
     return boosted_grid_search(spark, table, feats, layout.label, layout.keys, rounds=rounds)
 
 
-def tune_by_model(spark: SparkSession, table: DataFrame, layout: Layout, trials: int = 50, per_round: int = 10) -> DataFrame:
+def tune_by_model(spark: SparkSession, table: DataFrame, layout: Layout, trials: int = 50, per_round: int = 10,
+                  space: dict | None = None) -> DataFrame:
     """The forest tuned by a model-based sampler."""
     feats = feature_columns(table, layout, drop=("num_TEs",))
-    return tuned_forest(spark, table, feats, layout.label, layout.keys, trials, per_round)
+    return tuned_forest(spark, table, feats, layout.label, layout.keys, trials, per_round, space=space)
 
 
 def tuning_flow(spark: SparkSession, table: DataFrame, layout: Layout, families=("RandomForest", "GradientBoosting", "LogReg"),

@@ -52,16 +52,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "table", schema=None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: later jobs start from files every executor can reach (survives the
     loss of executors; never a local checkpoint), and the plan they see is a
-    plain scan, with column pruning and filter pushdown."""
+    plain scan, with column pruning and filter pushdown.  With the ``schema``
+    given, no job reads it from the files."""
     import uuid
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/huddle-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
 
 
 def _broadcast_limit(spark: SparkSession) -> int:

@@ -38,7 +38,8 @@ def test_query_equals_oracle(spark, con, name):
 def test_every_query_has_twin_or_is_a_model():
     models = {"assemble_features", "segment_model_role_count", "segment_model_team", "segment_model_formation",
               "grid_search_forest", "grid_search_boosted", "grid_search_logistic", "random_search",
-              "top_importances", "entity_model", "ols_summary"}
+              "top_importances", "entity_model", "ols_summary", "segment_confusion", "segment_importances",
+              "grid_search_xgboost", "tuned_forest"}
     assert set(catalog.QUERIES) - set(catalog.ORACLE) == models
 
 

@@ -44,7 +44,7 @@ def test_event_filter_pushed(spark):
 
 def test_no_cartesian_products(spark, qs):
     for name, fn in qs.items():
-        if name.startswith(("segment_model", "grid_search", "random_search", "top_importances", "entity_model",
+        if name.startswith(("segment_model", "segment_confusion", "segment_importances", "tuned_forest", "grid_search", "random_search", "top_importances", "entity_model",
                             "assemble_features", "label_encode")):
             continue
         p = plan_of(fn(spark, SF))
