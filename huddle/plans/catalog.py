@@ -510,7 +510,7 @@ WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice,
                        WHEN l_linestatus = 'F' THEN 'C' ELSE 'TE' END AS pos FROM lineitem),
 c AS (SELECT l_orderkey AS k, count(*) AS n FROM t WHERE pos = 'TE' GROUP BY l_orderkey)
 SELECT l_orderkey, l_linenumber, l_partkey, pos,
-       row_number() OVER (PARTITION BY l_orderkey, pos ORDER BY l_extendedprice, l_linenumber, l_partkey) AS slot,
+       CAST(row_number() OVER (PARTITION BY l_orderkey, pos ORDER BY l_extendedprice, l_linenumber, l_partkey) AS INTEGER) AS slot,
        o_orderstatus, o_totalprice, CAST(coalesce(n, 0) AS BIGINT) AS num_TEs
 FROM t LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN c ON l_orderkey = k""")
 def q_bucketed_ranks(spark, sf_dir):
