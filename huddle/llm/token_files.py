@@ -1,7 +1,9 @@
 """Token-id files: encode documents, write ids in doc_id order, read them back.
 
-``write_token_files`` range-partitions the documents by ``doc_id`` (a text is
-shuffled once), encodes them in order, ends each document with id 0 and packs
+``write_token_files`` range-partitions the documents by ``doc_id`` and, for rows
+that repeat one, the first characters of the text (the borders of the ranges
+go through the driver, so whole texts are no part of them; a text is shuffled
+once), sorts within the tasks, encodes them in order, ends each document with id 0 and packs
 the ids in segments of about ``SEGMENT`` ids that never split a document
 (``idcoder``: independently reset, checksummed blocks).  A file is one Spark
 partition: a Parquet file in the shared folder whose rows are the segments,
@@ -32,6 +34,9 @@ from huddle.llm.common import blocks, id_and_text, written
 BYTE_VOCAB = "byte_bpe_50k.json"
 END = 0
 SEGMENT = idcoder.LANES * idcoder.BLOCK
+#: Characters of a text that the borders of the ranges hold; a text's place
+#: among others follows from its head first, so whole texts are in order.
+HEAD = 32
 
 SEGMENTS = "file int, segment int, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"
 DOCUMENTS = "file int, segment int, doc_id long, n_tokens long, before long, ids binary"
@@ -133,7 +138,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_token_files(docs: DataFrame, path: str, segment: int = SEGMENT) -> DataFrame:
     """Writes the files and returns their rows, as read from the folder."""
-    ordered = id_and_text(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = id_and_text(docs).repartitionByRange("doc_id", F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(_write(path, segment), SEGMENTS), "token-files")
 
 

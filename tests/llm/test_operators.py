@@ -10,6 +10,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from huddle.llm import bpe, idcoder, langid, phrase_index, quality, secrets, simhash, substring_dedup, suffix_dedup, token_files, windows
 
@@ -123,6 +124,34 @@ def test_range_coder_notices_damage():
         idcoder.unpack(bytes(data))
 
 
+def test_range_coder_needs_fewer_bits_than_order_0():
+    rnd = np.random.default_rng(3)
+    phrases = [rnd.zipf(1.3, 12) % 2000 for _ in range(40)]
+    ids = np.concatenate([x for k in rnd.integers(0, 40, 4000) for x in (rnd.zipf(1.3, 12) % 2000, phrases[k])])
+    share = np.bincount(ids)[ids] / len(ids)
+    data = idcoder.pack(ids)
+    assert idcoder.unpack(data).tolist() == ids.tolist()
+    assert 8 * len(data) < -np.log2(share).sum()
+
+
+def test_range_coder_codes_a_whole_vocabulary():
+    ids = np.random.default_rng(4).permutation(np.repeat(np.arange(idcoder.MAX_ID + 1), 2))
+    assert idcoder.unpack(idcoder.pack(ids)).tolist() == ids.tolist()
+
+
+def test_token_files_keep_the_order_of_long_equal_heads(spark):
+    path = bpe.vocabulary_path(token_files.BYTE_VOCAB)
+    texts = ["same head " * 10 + str(k % 7) for k in range(60)] + ["é" * k for k in range(60)]
+    rows = [(k % 3, x) for k, x in enumerate(texts)]
+    files = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), path)
+    found = token_files.read_token_files(files, crc=F.crc32("ids")).orderBy("start", "n_tokens").collect()
+    tok, start = bpe.tokenizer(path), 0
+    for r, (i, x) in zip(found, sorted(rows), strict=True):
+        ids = tok.encode(x, add_special_tokens=False).ids + [0]
+        assert (r.doc_id, r.start, r.n_tokens, r.crc) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_even_texts_are_those_without_an_uneven_place():
     rnd = random.Random(1)
     for _ in range(20000):
