@@ -155,7 +155,7 @@ def _remove(spec: Spec):
 def removed(docs: DataFrame, spec: Spec = WORDS_50) -> DataFrame:
     """The documents that lose words: doc, doc_id, n_words, n_removed, kept
     (the remaining words, joined by one blank)."""
-    suspects, verdicts = repeated(docs, spec, solve(spec))
+    suspects, verdicts = repeated(docs, spec, solve)
     later = (F.col("least") < F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("least").isNotNull())
     marks = verdicts.where(later).groupBy("doc").agg(F.collect_list(F.struct("spot", "first", "last")).alias("marks"))
     return suspects.select("doc", "doc_id", "text").join(marks, "doc").mapInArrow(_remove(spec), RESULT)

@@ -197,7 +197,7 @@ def _remove(spec: Spec):
 def removed(docs: DataFrame, spec: Spec = BYTES_400) -> DataFrame:
     """The documents that lose bytes: doc, doc_id, n_bytes, n_removed,
     n_spans (maximal removed runs), kept (the remaining bytes)."""
-    suspects, verdicts = repeated(docs, spec, solve(spec))
+    suspects, verdicts = repeated(docs, spec, solve)
     marks = verdicts.groupBy("doc").agg(F.collect_list(F.struct("spot", "first", "last")).alias("marks"))
     return suspects.select("doc", "doc_id", "text").join(marks, "doc").mapInArrow(_remove(spec), RESULT)
 

@@ -18,10 +18,13 @@ than once is found without moving every window:
    copies is one class.
 4. Cores with one class are decided by its count.  For cores with several
    classes, one text of each is sent to the core's group, where the operator's
-   own method compares the windows (``solve``).  A core with more than
-   ``Spec.group`` classes is dealt out window by window instead, as counts of equal
-   windows, which Spark adds up in parts.
-5. Verdicts go back by class to the spots, and by document to the texts.
+   own method compares the windows (``solve``).  Where a core has more than
+   ``Spec.group`` classes, its chunk of places is split in the next finer chunks
+   (``Spec.finer``): windows of fewer places have more units in common, so the
+   parts have longer cores, equal parts are one class again, and step 4 starts
+   anew with them, down to parts of one place, which are their own cores.
+5. Verdicts go back from parts to classes, by class to the spots, and by
+   document to the texts.
 
 Rows that repeat doc_id (null included) and text are one document here, with
 their number as ``copies``: every spot of it counts as often.  Callers give a
@@ -31,7 +34,7 @@ document's verdict to each of its rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -57,10 +60,13 @@ class Spec:
     chunk: int
     #: classes of one core that one task compares at most
     group: int
+    #: chunks that larger cores are split in, level by level; each divides the
+    #: one before, the last is one place
+    finer: tuple[int, ...]
 
 
-BYTES_400 = Spec(False, 400, 64, 169, 2_000)
-WORDS_50 = Spec(True, 50, 8, 22, 500)
+BYTES_400 = Spec(False, 400, 64, 169, 2_000, (13, 1))
+WORDS_50 = Spec(True, 50, 8, 22, 500, (11, 1))
 
 
 @lru_cache(maxsize=2)
@@ -158,6 +164,7 @@ def unpack_spot(spot):
 
 
 def core_bounds(spec: Spec, at: int, lo: int) -> tuple[int, int]:
+    """The units that all windows of a chunk have whose anchor is at ``at``."""
     c = lo // spec.chunk
     last = min((c + 1) * spec.chunk - 1, spec.width - spec.gram)
     return at - c * spec.chunk, at - last + spec.width
@@ -228,21 +235,31 @@ def _fetch(spec: Spec):
     return run
 
 
-def _single_windows(spec: Spec):
-    """Every window of the classes of a large core: its hash, n and least."""
+PART = CLASS.replace("core long, full binary", "core long, full binary, part_core long, part_full binary")
+
+
+def _split(spec: Spec):
+    """Every class of a large core in parts by the chunks of ``spec``, which
+    are finer than the class's; each part with its own core."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_64_intdigest, xxh3_128_digest
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        names = [c.split()[0] for c in PART.split(", ")]
         for block in blocks(batches, "units", 1 << 19):
             out: list[tuple] = []
             for core, full, lo, hi, n, least, units in zip(*(block[c] for c in ("core", "full", "lo", "hi", "n", "least", "units"))):
                 t = units.split(b" ") if spec.words else units
-                for d in range(lo, hi + 1):
-                    part = t[hi - d:hi - d + spec.width]
-                    out.append((core, full, d, xxh3_128_digest(b" ".join(part) if spec.words else part, d), n, least))
+                for c in range(lo // spec.chunk, hi // spec.chunk + 1):
+                    a, b = max(lo, c * spec.chunk), min(hi, (c + 1) * spec.chunk - 1)
+                    # the class's units start where the anchor has the place hi
+                    start, end = core_bounds(spec, hi, a)
+                    common, own = t[start:end], t[hi - b:hi - a + spec.width]
+                    if spec.words:
+                        common, own = b" ".join(common), b" ".join(own)
+                    part = _signed(xxh3_64_intdigest(core.to_bytes(8, "little", signed=True) + common, c))
+                    out.append((core, full, part, xxh3_128_digest(own, a << _SPOT_BITS | b), a, b, n, least, own))
             if out:
-                cols = list(zip(*out))
-                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["core", "full", "place", "window", "n", "least"])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
     return run
 
 
@@ -329,19 +346,37 @@ def repeated(docs: DataFrame, spec: Spec, solve: Callable) -> tuple[DataFrame, D
     wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("core", "full", "spot", "n", "least")).alias("wanted"))
     texts = suspects.select("doc", "text").dropDuplicates(["doc"]).join(wanted, "doc").mapInArrow(_fetch(spec), CLASS)
     texts = written(texts, "window-texts")
-    large = mixed.where(F.col("classes") > spec.group).select("core")
-    normal = texts.join(large, "core", "left_anti").repartition("core").sortWithinPartitions("core", "full")
-    compared = normal.mapInArrow(_solve_groups(solve), VERDICT)
-    single = texts.join(large, "core", "left_semi").mapInArrow(
-        _single_windows(spec), "core long, full binary, place int, window binary, n long, least long")
-    sums = single.groupBy("core", "window", "place").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n > 1")
-    dealt = single.select("core", "full", "place", "window").join(sums, ["core", "window", "place"]).select(
-        "core", "full", F.col("place").alias("first"), F.col("place").alias("last"), "n", "least")
-
-    verdicts = whole.union(compared).union(dealt)
+    verdicts = whole.union(_compare(texts, spec, solve, spec.finer))
     return suspects, seen.join(verdicts, ["core", "full"]).select("doc", "doc_id", "spot", "first", "last", "n", "least")
 
 
+def _compare(classes: DataFrame, spec: Spec, solve: Callable, finer: tuple[int, ...]) -> DataFrame:
+    """Verdicts on the classes (``CLASS``, written) of cores with several."""
+    large = classes.groupBy("core").agg(F.count("*").alias("classes")).where(F.col("classes") > spec.group).select("core")
+    large = written(large, "window-large") if finer else None
+    split = large is not None and not large.isEmpty()
+    normal = classes.join(large, "core", "left_anti") if split else classes
+    normal = normal.repartition("core").sortWithinPartitions("core", "full")
+    verdicts = normal.mapInArrow(_solve_groups(solve(spec)), VERDICT)
+    if not split:
+        return verdicts
+
+    spec, finer = replace(spec, chunk=finer[0]), finer[1:]
+    parts = classes.join(large, "core", "left_semi").mapInArrow(_split(spec), PART)
+    parts = written(parts, "window-parts")
+    equal = parts.groupBy(F.col("part_core").alias("core"), F.col("part_full").alias("full")).agg(
+        F.any_value("lo").alias("lo"), F.any_value("hi").alias("hi"), F.sum("n").alias("n"), F.min("least").alias("least"),
+        F.any_value("units").alias("units"))
+    equal = written(equal, "window-part-classes")
+    mixed = written(equal.groupBy("core").agg(F.count("*").alias("classes")).where("classes > 1").select("core"), "window-part-mixed")
+    whole = equal.join(mixed, "core", "left_anti").where("n > 1").select(
+        "core", "full", F.col("lo").alias("first"), F.col("hi").alias("last"), "n", "least")
+    several = written(equal.join(mixed, "core", "left_semi"), "window-part-texts")
+    found = whole.union(_compare(several, spec, solve, finer)).withColumnsRenamed({"core": "part_core", "full": "part_full"})
+    back = parts.select("core", "full", "part_core", "part_full").join(found, ["part_core", "part_full"])
+    return verdicts.union(back.select("core", "full", "first", "last", "n", "least"))
+
+
 def covered(spec: Spec, n_units: int, marks: list) -> np.ndarray:
     """Which units lie in a window of ``marks`` (spot, first, last)."""
     edge = np.zeros(n_units + 1, np.int64)

@@ -80,12 +80,12 @@ def brute_words(rows, w=50):
         yield i, len(t), sum(gone), hashlib.sha256(" ".join(c for c, g in zip(t, gone) if not g).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("group", [2000, 1])
+@pytest.mark.parametrize("group", [2000, 4, 1])
 def test_suffix_dedup(docs, rows, group):
     assert got(suffix_dedup.report(docs, replace(windows.BYTES_400, group=group))) == want(brute_bytes(rows))
 
 
-@pytest.mark.parametrize("group", [500, 1])
+@pytest.mark.parametrize("group", [500, 4, 1])
 def test_substring_dedup(docs, rows, group):
     assert got(substring_dedup.report(docs, replace(windows.WORDS_50, group=group))) == want(brute_words(rows))
 
