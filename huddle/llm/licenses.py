@@ -7,15 +7,22 @@ idf, so foreign words cost similarity):
 
 * the whole text with whole licence texts (``license_texts/``; tf as 1 + ln n,
   so that common words do not decide), a match from ``LEAST_TEXT`` on;
-* every sentence and every paragraph with notices, SPDX lines and heads of
-  licence texts (``TEMPLATES``), a match from ``LEAST`` on.
+* every sentence and every paragraph with notices, SPDX lines, heads of
+  licence texts, short names and choices (``TEMPLATES``, ``MORE_TEMPLATES``), a match from ``LEAST`` on.
+
+Before notices go SPDX expressions: all their identifiers and operators stay
+(``MIT OR Apache-2.0``, ``LGPL-3.0-or-later``); several different ones of a
+text are joined by AND.  A notice that offers a choice gives all licences it
+names, joined by OR; "or any later version" is kept; a unit that denies a
+licence ("is not released under") names none.
 
 A template stands for a family (GNU, Creative Commons, BSD ...).  Members of a
 family share most terms, so the distinguishing terms of the matched unit name
 the licence: the version, Affero or Lesser, NC, SA, ND, the number of clauses.
 A family whose own terms are not in the unit is no match; a notice without a
 version gives the family's name without one ("GPL", "CC-BY").  A match of the
-whole text decides; else the best notice (ties by name), one without a version only
+whole text decides; else SPDX expressions (score 1), else a choice, else the best
+notice (ties by name), one without a version only
 where none has one, "All rights reserved" only where nothing else is named.  The templates are constants of the plan, so
 this is one pass over the texts without a shuffle.  A document is a licence
 file when its whole text is a licence text, or when its best notice holds at
@@ -96,6 +103,18 @@ TEMPLATES = (
         "ISC", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0")),
     ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
 )
+#: Short names and choices; compared like the others, but the idf is that of
+#: the notices of one licence above.
+MORE_TEMPLATES = (
+    *((f"CC-{k}-4.0", f"Creative Commons {k} 4.0") for k, _ in _CC),
+    ("Apache-2.0 OR MIT", "You may choose either the MIT license or the Apache License, Version 2.0."),
+    ("Apache-2.0 OR MIT", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
+    ("Apache-2.0 OR MIT", "Dual-licensed under the MIT License and the Apache License, Version 2.0."),
+    ("GPL OR MIT", "Dual licensed under the MIT or GPL licenses."),
+    ("BSD-3-Clause OR MIT", "Available under either the MIT or the BSD license."),
+    ("GPL-2.0 OR MIT", "This file is dual-licensed: you can choose either the GNU General Public License version 2 or the MIT license."),
+    ("GPL-2.0-or-later OR MIT", "Dual licensed under the GNU General Public License version 2 or any later version, or the MIT license."),
+)
 #: Licence texts by file name in ``license_texts``.
 TEXTS = ("Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-SA-4.0", "CC0-1.0", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0",
          "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0")
@@ -107,14 +126,22 @@ PARAGRAPH, SENTENCE, NO_TERM = r"\n[\x20\t\r]*\n", r"\n|(?<=[.;!?])[\x20\t\r]+",
 MAX_DIRECTORIES = 200_000
 #: Families that a notice names without the version.
 NO_VERSION = "^([AL]?GPL|Apache|MPL|CC-BY[A-Z-]*)$"
+#: Words of a choice, of a denied licence and of later versions.
+CHOICE = r"\b(either|dual|dually|triple|tri|choose|choice|option|alternatively)\b"
+DENIED = (r"\b(not|never|neither|nor|no longer|isn t|aren t|wasn t)( [a-z0-9]+){0,3} "
+          r"(licen[sc]ed|released|distributed|available|provided|published|covered|offered|under)\b")
+LATER = r"\bor (?:at your option )?(?:any )?later(?: versions?)?\b"
+_SPDX_PART = r"\(*[a-z0-9.-]+\+?\)*"
+SPDX = rf"(?i)SPDX-License-Identifier:[\x20\t]*({_SPDX_PART}(?:[\x20\t]+(?:AND|OR|WITH)[\x20\t]+{_SPDX_PART})*)"
 _BUCKETS = 4096
 
 
-def _weights(texts: list[str], damped: bool) -> tuple[dict[str, float], list[dict[str, float]]]:
-    """idf by term and the unit TF-IDF vector of each template."""
+def _weights(texts: list[str], damped: bool, counted: int) -> tuple[dict[str, float], list[dict[str, float]]]:
+    """idf by term, of the first ``counted`` templates, and the unit TF-IDF
+    vector of each template."""
     tf = [Counter(re.findall("[a-z0-9]+", text.lower())) for text in texts]
-    df = Counter(w for c in tf for w in c)
-    idf = {w: 1 + math.log(len(tf) / n) for w, n in sorted(df.items())}
+    df = Counter(w for c in tf[:counted] for w in c)
+    idf = {w: 1 + math.log(counted / max(df[w], 1)) for w in sorted(set().union(*tf))}
     vectors = []
     for counts in tf:
         v = {w: (1 + math.log(n) if damped else n) * idf[w] for w, n in sorted(counts.items())}
@@ -124,18 +151,19 @@ def _weights(texts: list[str], damped: bool) -> tuple[dict[str, float], list[dic
 
 
 @lru_cache(maxsize=2)
-def _table(whole: bool) -> tuple[str, int]:
+def _table(whole: bool) -> tuple[str, int, float]:
     """idf and the value in each template by term, in buckets by the term's
-    hash (a look-up in one map goes through its keys), and the number of
-    templates."""
+    hash (a look-up in one map goes through its keys), the number of templates
+    and the idf of other terms."""
     from xxhash import xxh64_intdigest
     folder = resources.files("huddle.llm") / "license_texts"
-    texts = [(folder / f"{k}.txt").read_text("utf-8") for k in TEXTS] if whole else [text for _, text in TEMPLATES]
-    idf, vectors = _weights(texts, whole)
+    texts = [(folder / f"{k}.txt").read_text("utf-8") for k in TEXTS] if whole else [text for _, text in TEMPLATES + MORE_TEMPLATES]
+    counted = len(TEXTS if whole else TEMPLATES)
+    idf, vectors = _weights(texts, whole, counted)
     buckets: list[dict] = [{} for _ in range(_BUCKETS)]
     for w, x in idf.items():
         buckets[xxh64_intdigest(w.encode(), 42) % _BUCKETS][w] = {"i": x, "v": [v.get(w, 0.0) for v in vectors]}
-    return json.dumps(buckets), len(texts)
+    return json.dumps(buckets), len(texts), 1 + math.log(counted)
 
 
 def terms_of(text: Column) -> Column:
@@ -152,9 +180,9 @@ def _counted(terms: Column) -> Column:
 
 def _cosines(terms: Column, whole: bool) -> Column:
     """The cosine of ``terms`` (sorted, not empty) to every template."""
-    table, n_templates = _table(whole)
+    table, n_templates, other = _table(whole)
     buckets = F.from_json(F.lit(table), "array<map<string,struct<i:double,v:array<double>>>>")
-    other = F.lit(1 + math.log(n_templates))
+    other = F.lit(other)
 
     def weighted(e: Column) -> Column:
         hit = F.try_element_at(F.get(buckets, F.pmod(F.xxhash64(e["term"]), F.lit(_BUCKETS)).cast("int")), e["term"])
@@ -189,7 +217,7 @@ def _members(words: Column, text: Column) -> dict[str, Column]:
         has(r"\bgeneral public licen|\bgpl|\bgnu licen"), F.lit("GPL"))
     creative = F.concat(F.lit("CC-BY"), part(r"\bnc\b|\bnon ?commercial\b", "-NC"), part(r"\bsa\b|\bshare ?alike\b", "-SA"),
                         part(r"\bnd\b|\bno ?deriv", "-ND"),
-                        _version(words, r"(?:\bcc by|\battribution|\blicenses by)(?: (?!v?[0-9])[a-z]+){0,6}", "[1-4]"))
+                        _version(words, r"(?:\bcc by|\battribution|\bcommons by|\blicenses by)(?: (?!v?[0-9])[a-z]+){0,6}", "[1-4]"))
     no_endorsement = has("redistributions in binary form must reproduce", text) & ~has("endorse or promote", text)
     bsd = F.when(has(r"\b(2|two) clause\b|\bsimplified bsd\b"), F.lit("BSD-2-Clause")).when(
         has(r"\b(3|three) clause\b|\bnew bsd\b"), F.lit("BSD-3-Clause")).when(has(r"\b(4|four) clause\b"), F.lit("BSD-4-Clause")).when(
@@ -198,40 +226,70 @@ def _members(words: Column, text: Column) -> dict[str, Column]:
     return {
         "MIT": F.when(has(r"\bmit\b|\bpermission is hereby granted free of charge"), F.lit("MIT")),
         "Apache": F.when(has(r"\bapache\b"), F.concat(F.lit("Apache"), _version(words, r"\bversion|\bv|\blicen[sc]e|\bapache", "[12]"))),
-        "GNU": F.concat(gnu, _version(words, r"\bversion|\bv|\blicen[sc]e|gpl", "[123]")),
+        "GNU": let(_version(words, r"\bversion|\bv|\blicen[sc]e|gpl", "[123]"), lambda v: F.concat(
+            gnu, v, F.when((v != "") & has(r"\borlater\b"), F.lit("-or-later")).otherwise(F.lit("")))),
         "BSD": F.when(has(r"\bbsd\b|\bredistribution and use in source and binary"), bsd),
         "ISC": F.when(has(r"\bisc\b"), F.lit("ISC")).when(
             has(isc) & has("provided that the above copyright notice", text), F.lit("ISC")).when(has(isc), F.lit("0BSD")),
         "MPL": F.when(has(r"\bmozilla public|\bmpl\b"), F.concat(F.lit("MPL"), _version(words, r"\bversion|\bv|\blicen[sc]e|\bmpl", "[12]"))),
         "CC": F.when(has(r"\bcc ?0\b|\bcreative commons zero\b"), F.lit("CC0-1.0")).when(
-            has(r"\bcc by\b|\bcommons attribution\b|^attribution|\blicenses by\b"), creative),
+            has(r"\bcc by\b|\bcommons (attribution|by)\b|^attribution|\blicenses by\b"), creative),
         "LicenseRef": F.when(has(r"\brights reserved\b"), F.lit("LicenseRef-All-Rights-Reserved")),
     }
 
 
+def _choice(words: Column) -> Column:
+    """All licences that the parts of a choice name, joined by OR; null of
+    fewer than two."""
+    def name(part: Column) -> Column:
+        return F.coalesce(*[m for family, m in _members(part, part).items() if family != "LicenseRef"])
+    names = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(words, r"\b(?:or|and)\b"), name), lambda n: n.isNotNull())))
+    return let(names, lambda n: F.when(F.size(n) > 1, F.array_join(n, " OR ")))
+
+
+def _spdx(text: Column) -> Column:
+    """(license, number of terms) of the SPDX expressions of a text."""
+    def plain(e: Column) -> Column:
+        for word in ("AND", "OR", "WITH"):
+            e = F.regexp_replace(e, rf"(?i)[\x20\t]+{word}[\x20\t]+", f" {word} ")
+        e = F.regexp_replace(F.regexp_replace(e, r"[.-]+(?=[\x20)]|$)", ""), r"(?i)-only\b", "")
+        e = F.regexp_replace(F.regexp_replace(e, r"\+", "-or-later"), r"^\(([^()]*)\)$", "$1")
+        return F.when(F.instr(e, "(") == 0, F.replace(e, F.lit(")"), F.lit(""))).otherwise(e)
+
+    def joined(names: Column) -> Column:
+        several = F.transform(names, lambda e: F.when(e.contains(" OR "), F.concat(F.lit("("), e, F.lit(")"))).otherwise(e))
+        return F.when(F.size(names) == 1, F.get(names, 0)).otherwise(F.array_join(several, " AND "))
+    names = F.array_sort(F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), plain), lambda e: e != "")))
+    n_terms = F.size(terms_of(F.array_join(F.regexp_extract_all(text, F.lit(SPDX), F.lit(0)), " ")))
+    return let(names, lambda n: F.when(F.size(n) > 0, F.struct(joined(n).alias("license"), n_terms.alias("n_terms"))))
+
+
 def _family(name: str) -> str:
+    if " OR " in name:
+        return "choice"
     head = re.split("[-0-9]", name)[0]
     return "GNU" if head in ("GPL", "LGPL", "AGPL") else head
 
 
 def _best(terms: Column, text: Column) -> Column:
     """(rank, -cosine, licence, number of terms) of the notice nearest to
-    ``terms`` of those that name a licence, of all when none does.  Rank 0 is
-    a name, 1 a family without its version, 2 "All rights reserved", 3 none."""
+    ``terms`` of those that name a licence, of all when none does.  Rank -1 is
+    a choice, 0 a name, 1 a family without its version, 2 "All rights reserved", 3 none."""
     def nearest(cosines: Column) -> Column:
         def none() -> Column:
             return F.struct(F.lit(3).alias("rank"), (-F.array_max(cosines)).alias("s"), F.lit(None).cast("string").alias("license"), F.size(terms).alias("n_terms"))
 
         def named(words: Column) -> Column:
-            members = _members(words, text)
+            members = _members(words, text) | {"choice": F.when(words.rlike(CHOICE), _choice(words))}
             found = F.array(*[
                 F.struct(F.when(member.isNull() | (s < LEAST), F.lit(3)).when(member.rlike(NO_VERSION), F.lit(1)).otherwise(
-                    F.lit(2 if family == "LicenseRef" else 0)).alias("rank"),
+                    F.lit({"LicenseRef": 2, "choice": -1}.get(family, 0))).alias("rank"),
                          (-s).alias("s"), member.alias("license"), F.size(terms).alias("n_terms"))
                 for family, member in members.items()
-                for s in [F.array_max(F.array(*[F.get(cosines, F.lit(k)) for k, (n, _) in enumerate(TEMPLATES) if _family(n) == family]))]])
-            return F.array_min(found)
-        return F.when(F.array_max(cosines) < LEAST, none()).otherwise(let(F.array_join(terms, " "), named))
+                for s in [F.array_max(F.array(*[F.get(cosines, F.lit(k)) for k, (n, _) in enumerate(TEMPLATES + MORE_TEMPLATES) if _family(n) == family]))]])
+            return F.when(words.rlike(DENIED), none()).otherwise(F.array_min(found))
+        words = F.regexp_replace(F.array_join(terms, " "), LATER, "orlater")
+        return F.when(F.array_max(cosines) < LEAST, none()).otherwise(let(words, named))
     return let(F.array_sort(terms), lambda t: let(_cosines(t, False), nearest))
 
 
@@ -265,12 +323,14 @@ def scan(docs: DataFrame, path: Column | None = None) -> DataFrame:
     units = F.filter(F.array_distinct(F.concat(F.split(text, PARAGRAPH), F.split(text, SENTENCE))), lambda u: u.rlike(HINT))
     words = F.regexp_replace(F.lower(text), NO_TERM, " ")
     near = F.array_min(F.transform(units, lambda u: let(terms_of(u), lambda t: _best(t, words))))
-    rows = rows.withColumns({"near": F.when(text.rlike(HINT), near), "whole": F.when(text.rlike(HINT), let(terms_of(text), _whole))})
+    rows = rows.withColumns({"near": F.when(text.rlike(HINT), near), "whole": F.when(text.rlike(HINT), let(terms_of(text), _whole)),
+                              "spdx": F.when(text.rlike(SPDX), _spdx(text))})
     named = F.col("near.rank") < 3
     return rows.select(
-        "doc_id", "path", F.coalesce("whole.license", F.when(named, F.col("near.license"))).alias("license"),
-        F.coalesce(-F.col("whole.s"), -F.col("near.s"), F.lit(0.0)).alias("score"),
-        F.when(F.col("whole.license").isNotNull(), F.lit(True)).when(named, 2 * F.col("near.n_terms") >= F.size(terms_of(text))).otherwise(F.lit(False)).alias("is_file"))
+        "doc_id", "path", F.coalesce("whole.license", "spdx.license", F.when(named, F.col("near.license"))).alias("license"),
+        F.coalesce(-F.col("whole.s"), F.when(F.col("spdx.license").isNotNull(), F.lit(1.0)), -F.col("near.s"), F.lit(0.0)).alias("score"),
+        F.when(F.col("whole.license").isNotNull(), F.lit(True)).when(
+            F.col("spdx.license").isNotNull(), 2 * F.col("spdx.n_terms") >= F.size(terms_of(text))).when(named, 2 * F.col("near.n_terms") >= F.size(terms_of(text))).otherwise(F.lit(False)).alias("is_file"))
 
 
 def parent(path: Column) -> Column:

@@ -49,7 +49,8 @@ def op3(spark, sf_dir):
 def op4(spark, sf_dir):
     # the table has no file paths: a source stands for a directory of documents
     docs = documents(spark, sf_dir)
-    return licenses.report(docs, F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
+    found = licenses.report(docs, F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
+    return found.withColumn("path_made_of", F.lit("source/doc_id"))
 
 
 @register("op5_token_files")

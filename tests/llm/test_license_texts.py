@@ -12,16 +12,16 @@ NOTICES = [
     ("Creative Commons Attribution 4.0 International License", "CC-BY-4.0"),
     ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
     ("This work is licensed under a Creative Commons Attribution-Non-Commercial 3.0 Unported License.", "CC-BY-NC-3.0"),
-    (GNU.format("General Public License") + "either version 2 of the License, or (at your option) any later version.", "GPL-2.0"),
-    (GNU.format("General Public License").replace(";", ",") + "either version 2\nof the License, or (at your option) any later version.", "GPL-2.0"),
+    (GNU.format("General Public License") + "either version 2 of the License, or (at your option) any later version.", "GPL-2.0-or-later"),
+    (GNU.format("General Public License").replace(";", ",") + "either version 2\nof the License, or (at your option) any later version.", "GPL-2.0-or-later"),
     (GNU.format("General Public License").replace(";", ",") + "either version 3 of the License.", "GPL-3.0"),
     (GNU.format("Affero General Public License").replace(";", ",") + "either version 3 of the License.", "AGPL-3.0"),
     ("Licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
     ("Licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
     ("This work is licensed under the GNU General Public License.", "GPL"),
-    ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("# SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"), ("# SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
     ("/* SPDX-License-Identifier: BSD-2-Clause */", "BSD-2-Clause"), ("SPDX-License-Identifier: ISC", "ISC"), ("SPDX-License-Identifier: Zlib", None),
-    ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), ("SPDX-License-Identifier: CC-BY-SA-4.0", "CC-BY-SA-4.0"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"), ("SPDX-License-Identifier: CC-BY-SA-4.0", "CC-BY-SA-4.0"),
     ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"), ("Licensed under the Example License, Version 2.0.", None),
     ("This library is released under the MIT License.", "MIT"), ("Released under the ISC License.", "ISC"),
     ("\tApache License\n\tVersion 2.0, January 2004\n\thttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS", "Apache-2.0"),

@@ -36,17 +36,19 @@ def cosine(a, b):
 
 
 def brute(text):
-    count = [Counter(re.findall("[a-z0-9]+", t.lower())) for _, t in licenses.TEMPLATES]
-    idf = {w: 1 + math.log(len(count) / sum(w in c for c in count)) for c in count for w in c}
+    templates = licenses.TEMPLATES + licenses.MORE_TEMPLATES
+    count = [Counter(re.findall("[a-z0-9]+", t.lower())) for _, t in templates]
+    ours = count[:len(licenses.TEMPLATES)]
+    idf = {w: 1 + math.log(len(ours) / sum(w in c for c in ours)) for c in ours for w in c}
 
     def vector(c):
-        return {w: n * idf.get(w, 1 + math.log(len(count))) for w, n in c.items()}
+        return {w: n * idf.get(w, 1 + math.log(len(ours))) for w, n in c.items()}
     units = re.split(r"\n[ \t\r]*\n", text) + re.split(r"\n|(?<=[.;!?])[ \t\r]+", text)
     found = []
     for u in units:
         if re.search(licenses.HINT, u):
             terms = re.findall("[a-z0-9]+", u.lower())
-            found += [(-cosine(vector(Counter(terms)), vector(c)), name, len(terms)) for (name, _), c in zip(licenses.TEMPLATES, count)]
+            found += [(-cosine(vector(Counter(terms)), vector(c)), name, len(terms)) for (name, _), c in zip(templates, count)]
     s, name, n = min(found, default=(0.0, None, 0))
     named = -s >= licenses.LEAST
     return name if named else None, -s, named and 2 * n >= len(re.findall("[a-z0-9]+", text.lower()))
@@ -63,10 +65,30 @@ def test_scan(docs):
         "MIT", "Apache-2.0", "CC-BY-NC-4.0", "GPL-3.0", "MIT", None, None]
 
 
+@pytest.mark.parametrize("text, name", [
+    ("This software is not released under the MIT License.", None),
+    ("It is no longer distributed under the GNU General Public License, version 3.", None),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"),
+    ("// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note)\nint x;", "GPL-2.0 WITH Linux-syscall-note"),
+    ("/* SPDX-License-Identifier: LGPL-3.0-or-later */ int x;", "LGPL-3.0-or-later"),
+    ("SPDX-License-Identifier: GPL-2.0+.", "GPL-2.0-or-later"),
+    ("# SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: MIT\n# spdx-license-identifier:\tISC or 0BSD\n", "(ISC OR 0BSD) AND MIT"),
+    ("SPDX-License-Identifier:", None),
+    ("You may choose either the MIT license or the Apache License, Version 2.0", "Apache-2.0 OR MIT"),
+    ("Dual licensed under the GNU General Public License version 2 or any later version, or the MIT license.", "GPL-2.0-or-later OR MIT"),
+    ("Licensed under the Apache License, Version 2.0 or any later version.", "Apache-2.0"),
+    ("Creative Commons BY-SA 3.0", "CC-BY-SA-3.0"),
+    (licenses._GNU_HEADER.format("General Public License", 3) + ", or (at your option) any later version.", "GPL-3.0-or-later"),
+])
+def test_expressions_choices_and_denials(spark, text, name):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r.license for r in licenses.scan(df).collect()] == [name]
+
+
 def test_every_template_is_named_and_has_a_hint(spark):
-    rows = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(licenses.TEMPLATES)], "doc_id long, text string")
+    rows = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(licenses.TEMPLATES + licenses.MORE_TEMPLATES)], "doc_id long, text string")
     got = {r.doc_id: (r.license, round(r.score, 9), r.is_file) for r in licenses.scan(rows).collect()}
-    assert got == {k: (n, 1.0, True) for k, (n, _) in enumerate(licenses.TEMPLATES)}
+    assert got == {k: (n, 1.0, True) for k, (n, _) in enumerate(licenses.TEMPLATES + licenses.MORE_TEMPLATES)}
 
 
 def test_report_inherits_from_the_source(docs):
