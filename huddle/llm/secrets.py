@@ -10,10 +10,13 @@ character, the sum of ``c * log2(c)`` and the numbers of characters of each
 kind are kept up by adding the new and taking out the old character.  Every
 window is judged, by the entropy limit of its class: digits, small or capital
 hexadecimal, letters (one digit at most) of one case, of one case with
-symbols, or of both cases, and all else as mixed.  Windows above the limit
-that touch form one span.  Windows on the allow-list (published placeholders,
-UUIDs, counting-up runs) are left out: those that hold a whole match, or half
-of whose characters lie in one.  Base spans always stay.
+symbols, or of both cases, and all else as mixed.  Letters of both cases of
+which one case is rare are words written together, so their limit is higher.
+Windows above the limit that touch form one span, which is extended on both
+sides to the token it lies in: up to the next ``/`` or ``=`` (``=`` after it
+included) or place on the allow-list.  Windows on the allow-list (published
+placeholders, UUIDs, counting-up runs) are left out: those that hold a whole
+match, or half of whose characters lie in one.  Base spans always stay.
 
 Defined results: null or empty text has no spans; text may be of any length;
 repeated rows give repeated rows; other columns are ignored by ``scan`` and
@@ -43,6 +46,8 @@ HEX_LIMIT, MIXED_LIMIT = 2.95, 3.55
 # (0.02 %) of both cases and 41.5 % (3.0 %) of one case stay below: words of
 # one case are as even as short random strings
 DIGIT_LIMIT, ONE_CASE_LIMIT, SYMBOL_LIMIT, TWO_CASE_LIMIT = 2.65, 3.65, 3.9, 3.75
+#: Letters of both cases with at most so many of the rarer case: identifiers.
+RARE_CASE, WORDS_LIMIT = 6, 4.1
 #: What is no secret: UUIDs, placeholders, runs that count up.
 ALLOW = (r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])",
          r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
@@ -100,15 +105,21 @@ def _f(c: Column) -> Column:
 
 
 def entropy_spans(candidate: Column) -> Column:
-    """Spans (start, end within the candidate) of the windows above the limit."""
+    """Spans (start, end within the candidate) of the windows above the limit,
+    each with its whole token."""
     n = F.length(candidate)
     # code 0 has no kind
     places = F.array(F.lit(0), *[F.lit(32 ** next(k for k, chars in enumerate(KIND_SETS) if ch in chars)) for ch in ALPHABET])
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("kinds"), F.lit(-1).alias("start"), F.lit(-1).alias("end"),
+        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("kinds"), F.lit(0).alias("token"), F.lit(-1).alias("start"), F.lit(-1).alias("end"),
         F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
+    slash, equals = (ALPHABET.index(ch) + 1 for ch in "/=")
+
     def step(codes: Column, listed: Column):
+        def on_list(i: Column) -> Column:
+            return F.exists(listed, lambda r: (r["start"] <= i) & (i < r["end"]))
+
         def one(a: Column, i: Column) -> Column:
             new = F.get(codes, i)
             old = F.when(i >= WIDTH, F.get(codes, i - WIDTH)).otherwise(F.lit(0))
@@ -123,7 +134,11 @@ def entropy_spans(candidate: Column) -> Column:
                 counts = F.when(same, a["counts"]).otherwise(F.transform(
                     a["counts"], lambda c, k: c + (k == m["new"]).cast("int") - ((k == m["old"]) & (k > 0)).cast("int")))
                 kinds = a["kinds"] + F.get(places, m["new"]) - F.get(places, m["old"])
-                return F.struct(counts.alias("counts"), s.alias("s"), kinds.alias("kinds"))
+                # start of the token that the window's first character is in
+                token = F.when((m["old"] == slash) | (m["old"] == equals) | ((i >= WIDTH) & on_list(i - WIDTH)), i - (WIDTH - 1)).otherwise(a["token"])
+                # whether the character belongs to the token before it
+                goes_on = (m["new"] == equals) | (m["new"] != slash) & (F.get(codes, i - 1) != equals)
+                return F.struct(counts.alias("counts"), s.alias("s"), kinds.alias("kinds"), token.alias("token"), goes_on.alias("goes_on"))
 
             def judged(x: Column) -> Column:
                 entropy = F.lit(F.log2(F.lit(float(WIDTH)))) - x["s"] / WIDTH
@@ -133,10 +148,11 @@ def entropy_spans(candidate: Column) -> Column:
                 joins = a["end"] >= first
                 closed = F.when(high & ~joins & (a["end"] >= 0), F.array_append(
                     a["spans"], F.struct(a["start"].alias("start"), a["end"].alias("end")))).otherwise(a["spans"])
+                longer = (a["end"] == i) & x["goes_on"] & ~on_list(i)
                 return F.struct(
-                    x["counts"].alias("counts"), x["s"].alias("s"), x["kinds"].alias("kinds"),
-                    F.when(high & ~joins, first).otherwise(a["start"]).alias("start"),
-                    F.when(high, i + 1).otherwise(a["end"]).alias("end"), closed.alias("spans"))
+                    x["counts"].alias("counts"), x["s"].alias("s"), x["kinds"].alias("kinds"), x["token"].alias("token"),
+                    F.when(high & ~joins, F.greatest(x["token"], a["end"])).otherwise(a["start"]).alias("start"),
+                    F.when(high | longer, i + 1).otherwise(a["end"]).alias("end"), closed.alias("spans"))
             return _let(_let(moved, counted), judged)
         return one
 
@@ -150,10 +166,10 @@ def entropy_spans(candidate: Column) -> Column:
 def limit(kinds: Column) -> Column:
     """The entropy limit of a window's class, by its counts of each kind."""
     digits, hex_small, small, hex_capital, capital, symbols = (F.shiftright(kinds, 5 * k).bitwiseAND(F.lit(31)) for k in range(len(KIND_SETS)))
-    both = (hex_small + small > 0) & (hex_capital + capital > 0)
+    rare = F.least(hex_small + small, hex_capital + capital)
     return F.when(digits == WIDTH, F.lit(DIGIT_LIMIT)).when(
         (digits > 0) & ((digits + hex_small == WIDTH) | (digits + hex_capital == WIDTH)), F.lit(HEX_LIMIT)).when(
-        digits > 1, F.lit(MIXED_LIMIT)).when(both, F.lit(TWO_CASE_LIMIT)).when(symbols > 0, F.lit(SYMBOL_LIMIT)).otherwise(F.lit(ONE_CASE_LIMIT))
+        digits > 1, F.lit(MIXED_LIMIT)).when(rare > RARE_CASE, F.lit(TWO_CASE_LIMIT)).when(rare > 0, F.lit(WORDS_LIMIT)).when(symbols > 0, F.lit(SYMBOL_LIMIT)).otherwise(F.lit(ONE_CASE_LIMIT))
 
 
 def allowed(candidate: Column) -> Column:

@@ -240,6 +240,80 @@ def test_secrets(docs, rows):
     assert masked[8].text.count(secrets.MASK) == 3 and masked[8].n_chars == len(masked[8].text) and masked[2].n_chars == 3
 
 
+def brute_entropy(x):
+    """Every window of every candidate counted anew; spans with their tokens."""
+    spans = []
+    for m in re.finditer(secrets.CANDIDATE, x):
+        t, taken, listed = m[0], set(), set()
+        places = [(a.start(), a.end()) for p in secrets.ALLOW for a in re.finditer(p, t)]
+        for a, b in places:
+            listed.update(range(a, b))
+        for k in range(len(t) - 19):
+            w = t[k:k + 20]
+            c = Counter(w)
+            entropy = np.log2(20) - sum(n * np.log2(n) for n in c.values()) / 20
+            digits, symbols = sum(ch.isdigit() for ch in w), sum(ch in "+/_=-" for ch in w)
+            rare = min(sum(ch.islower() for ch in w), sum(ch.isupper() for ch in w))
+            if digits == 20:
+                limit = secrets.DIGIT_LIMIT
+            elif digits and (re.fullmatch("[0-9a-f]+", w) or re.fullmatch("[0-9A-F]+", w)):
+                limit = secrets.HEX_LIMIT
+            elif digits > 1:
+                limit = secrets.MIXED_LIMIT
+            elif rare:
+                limit = secrets.TWO_CASE_LIMIT if rare > secrets.RARE_CASE else secrets.WORDS_LIMIT
+            else:
+                limit = secrets.SYMBOL_LIMIT if symbols else secrets.ONE_CASE_LIMIT
+            assert abs(entropy - limit) > 1e-9
+            if entropy >= limit and not any(min(b, k + 20) - max(a, k) >= min(b - a, 10) for a, b in places):
+                taken.add((k, k + 20))
+        cover = set()
+        for a, b in taken:
+            while a and t[a - 1] not in "/=" and a - 1 not in listed:
+                a -= 1
+            while b < len(t) and b not in listed and (t[b] == "=" or t[b] != "/" and t[b - 1] != "="):
+                b += 1
+            cover.update(range(a, b))
+        edges = [k for k in sorted(cover) if k - 1 not in cover]
+        for a in edges:
+            b = a
+            while b in cover:
+                b += 1
+            spans.append((m.start() + a, m.start() + b))
+    return spans
+
+
+def test_entropy_spans_against_every_window(spark):
+    rnd = random.Random(11)
+    chars = [secrets.ALPHABET, secrets.ALPHABET[:62], secrets.ALPHABET[:36], secrets.ALPHABET[:16], secrets.ALPHABET[:10],
+             secrets.ALPHABET[10:62], secrets.ALPHABET[10:36]]
+    texts = [None, "", "x" * 5000, "12345678-90ab-cdef-1234-567890abcdef", "😀 " + "aB3/" * 40,
+             "key=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "a1B2" * 2000]
+    for k in range(250):
+        parts = ["".join(rnd.choice(rnd.choice(chars)) for _ in range(rnd.randrange(30))) if rnd.random() < .2 else
+                 "".join(rnd.choices(rnd.choice(chars), k=rnd.randrange(60))) for _ in range(rnd.randrange(1, 6))]
+        texts.append(rnd.choice(["/", "=", " ", "-", "example", "==", "é"]).join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kind = secrets.KINDS.index("entropy")
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == kind] for r in secrets.scan(df).collect()}
+    assert found == {k: brute_entropy(x or "") for k, x in enumerate(texts)}
+    assert sum(map(len, found.values())) > 100
+
+
+@pytest.mark.parametrize("text, spans", [
+    ("ghp_16C7e42F292c6912E7710c838347Ae178B4a", [(0, 40)]),
+    ("eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.x", [(0, 36)]),
+    ("getElementsByClassNameAndTagNameFromDocumentRoot", []),
+    ("src/main/java/org/apache/commons/lang/StringUtils", []),
+    # the windows themselves reach over the first "=" and "/"
+    ("usr/bin=ghp_16C7e42F292c6912E7710c838347Ae178B4a==/next", "brute"),
+])
+def test_entropy_spans_are_whole_tokens(spark, text, spans):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = secrets.scan(df).collect()[0]
+    assert [(s.start, s.end) for s in r.spans if s.kind == secrets.KINDS.index("entropy")] == (brute_entropy(text) if spans == "brute" else spans)
+
+
 def test_phrase_index(spark, docs, rows):
     text = dict((i, x) for i, x in rows if i)[2]
     items = [(0, " ".join(text.split()[20:45])), (1, "X"), (2, ""), (3, None), (4, "Token, ABCDEF123"), (5, "not there at all")]
