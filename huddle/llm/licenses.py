@@ -131,6 +131,8 @@ CHOICE = r"\b(either|dual|dually|triple|tri|choose|choice|option|alternatively)\
 DENIED = (r"\b(not|never|neither|nor|no longer|isn t|aren t|wasn t)( [a-z0-9]+){0,3} "
           r"(licen[sc]ed|released|distributed|available|provided|published|covered|offered|under)\b")
 LATER = r"\bor (?:at your option )?(?:any )?later(?: versions?)?\b"
+#: A header that goes on with this in its next line.
+HEADER_LATER = r"\bversion [123]( [0-9])? of the licen[sc]e or at your option any later version\b"
 _SPDX_PART = r"\(*[a-z0-9.-]+\+?\)*"
 SPDX = rf"(?i)SPDX-License-Identifier:[\x20\t]*({_SPDX_PART}(?:[\x20\t]+(?:AND|OR|WITH)[\x20\t]+{_SPDX_PART})*)"
 _BUCKETS = 4096
@@ -227,7 +229,7 @@ def _members(words: Column, text: Column) -> dict[str, Column]:
         "MIT": F.when(has(r"\bmit\b|\bpermission is hereby granted free of charge"), F.lit("MIT")),
         "Apache": F.when(has(r"\bapache\b"), F.concat(F.lit("Apache"), _version(words, r"\bversion|\bv|\blicen[sc]e|\bapache", "[12]"))),
         "GNU": let(_version(words, r"\bversion|\bv|\blicen[sc]e|gpl", "[123]"), lambda v: F.concat(
-            gnu, v, F.when((v != "") & has(r"\borlater\b"), F.lit("-or-later")).otherwise(F.lit("")))),
+            gnu, v, F.when((v != "") & (has(r"\borlater\b") | has(HEADER_LATER, text)), F.lit("-or-later")).otherwise(F.lit("")))),
         "BSD": F.when(has(r"\bbsd\b|\bredistribution and use in source and binary"), bsd),
         "ISC": F.when(has(r"\bisc\b"), F.lit("ISC")).when(
             has(isc) & has("provided that the above copyright notice", text), F.lit("ISC")).when(has(isc), F.lit("0BSD")),

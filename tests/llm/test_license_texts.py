@@ -20,7 +20,7 @@ NOTICES = [
     ("Licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
     ("This work is licensed under the GNU General Public License.", "GPL"),
     ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"), ("# SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
-    ("/* SPDX-License-Identifier: BSD-2-Clause */", "BSD-2-Clause"), ("SPDX-License-Identifier: ISC", "ISC"), ("SPDX-License-Identifier: Zlib", None),
+    ("/* SPDX-License-Identifier: BSD-2-Clause */", "BSD-2-Clause"), ("SPDX-License-Identifier: ISC", "ISC"), ("SPDX-License-Identifier: Zlib", "Zlib"),
     ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"), ("SPDX-License-Identifier: CC-BY-SA-4.0", "CC-BY-SA-4.0"),
     ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"), ("Licensed under the Example License, Version 2.0.", None),
     ("This library is released under the MIT License.", "MIT"), ("Released under the ISC License.", "ISC"),
