@@ -1,12 +1,14 @@
 """Random forests of all segments (or all trial settings) in one job.
 
-Every model's every tree grows in step, one level at a time, over a long table
-of (model, tree, row): the counts by (model, tree, node, feature, bin) are one
-partial aggregate, the best cut of every node is found by running sums over
-its bins, and the rows join their node's cut to reach its children.  Nothing
-passes through the driver but the end of the loop, and no task holds a model:
-a segment with a third of all rows is spread over its trees and, by partial
-aggregates and skew joins, within them.
+Every model's every tree grows in step, one level at a time, over a table of
+(model, row) that holds each row's open node in every tree as one array: the
+counts by (model, tree, node, feature, bin) are made in the tasks by numpy and
+added up by one aggregate, the best cut of every node is found by running sums
+over its bins, and the level's cuts (``MAX_NODES`` at most) go to every task,
+which sends its rows to the children.  A level with more nodes goes on, as do
+all below, with a long table of (model, tree, row) whose rows join their node's
+cut.  Rows are spread over tasks whatever their model or tree, so a segment
+with a third of all rows is no task of its own.
 
 As in the reference's learner: bootstrap rows a tree (here Poisson(1) weights
 from a hash of row and tree), a random subset of features a node (further
@@ -21,15 +23,24 @@ a forest's is the mean over its trees.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from huddle.session import cut_lineage
 
 MAX_DEPTH = 60
+#: Nodes of a level whose cuts are sent to every task (about 100 bytes each).
+MAX_NODES = 1_000_000
+#: Cells that a task holds as dense arrays; beyond, it counts slice by slice.
+MAX_DENSE = 2_000_000
+#: (row, tree) pairs that a task looks at together.
+SLICE = 1_000_000
 KEY = ("model", "tree", "node")
 
 
@@ -83,14 +94,18 @@ class Forests:
         return share.join(trees, "model").select("model", "feature", (F.col("s") / F.col("trees")).alias("importance"))
 
 
-def poisson_weight(row: str, seed: int) -> Column:
-    """How often a bootstrap of its tree takes a row: Poisson(1) by a hash."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), F.col(row)), F.lit(1 << 52)) / float(1 << 52)
-    out, below = F.lit(9), 0.0
-    bounds = []
+def _poisson_bounds() -> list[float]:
+    below, bounds = 0.0, []
     for k in range(9):
         below += math.exp(-1) / math.factorial(k)
         bounds.append(below)
+    return bounds
+
+
+def poisson_weight(row: str, seed: int) -> Column:
+    """How often a bootstrap of its tree takes a row: Poisson(1) by a hash."""
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), F.col(row)), F.lit(1 << 52)) / float(1 << 52)
+    out, bounds = F.lit(9), _poisson_bounds()
     for k in range(8, -1, -1):
         out = F.when(u < bounds[k], k).otherwise(out)
     return out
@@ -116,12 +131,16 @@ def _may_split(node: Column, c: Column, n: Column, s: Column) -> Column:
     return (c >= F.col("min_split")) & (c >= 2 * F.col("min_leaf")) & (s > 0) & (s < n) & (_level(node) < F.col("depth"))
 
 
-def _best_cuts(state: DataFrame, specs: DataFrame, n_features: int, seed: int) -> DataFrame:
-    """One row per node of ``state``: its totals, its best cut if it has one,
-    and what its children (or its next try) need."""
+def _cells(state: DataFrame) -> DataFrame:
+    """Of a long table: distinct rows, weight and positive weight by cell."""
     cells = state.where("fit").select(*KEY, "tried", "w", "y", "bins", F.explode("feats").alias("f"))
     cells = cells.select(*KEY, "tried", "f", F.get("bins", F.col("f")).alias("b"), "w", (F.col("w") * F.col("y")).alias("wy"))
-    hist = cells.groupBy(*KEY, "tried", "f", "b").agg(F.count(F.lit(1)).alias("c"), F.sum("w").alias("n"), F.sum("wy").alias("s"))
+    return cells.groupBy(*KEY, "tried", "f", "b").agg(F.count(F.lit(1)).alias("c"), F.sum("w").alias("n"), F.sum("wy").alias("s"))
+
+
+def _best_cuts(hist: DataFrame, specs: DataFrame | dict[str, int], n_features: int, seed: int) -> DataFrame:
+    """One row per node of ``hist``: its totals, its best cut if it has one,
+    and what its children (or its next try) need."""
     whole = Window.partitionBy(*KEY, "tried", "f")
     run = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     cuts = hist.select(*KEY, "tried", "f", "b", *[F.sum(x).over(run).alias(x + "l") for x in "cns"],
@@ -152,12 +171,11 @@ def _best_cuts(state: DataFrame, specs: DataFrame, n_features: int, seed: int) -
         "feats_again": F.when(F.col("action") == "again", subset(F.col("node"), F.col("next_tried")))})
 
 
-def _with_specs(df: DataFrame, specs: DataFrame) -> DataFrame:
-    """One row of settings per model, or a single one (without ``model``) for all."""
-    if "model" in specs.columns:
+def _with_specs(df: DataFrame, specs: DataFrame | dict[str, int]) -> DataFrame:
+    """One row of settings per model, or single ones for all as constants of the plan."""
+    if isinstance(specs, DataFrame):
         return df.join(F.broadcast(specs.drop("trees")), "model")
-    only = specs.first()  # constants of the plan
-    return df.withColumns({c: F.lit(only[c]) for c in ("depth", "min_split", "min_leaf", "n_try")})
+    return df.withColumns({c: F.lit(v) for c, v in specs.items()})
 
 
 def _routed(state: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -177,6 +195,205 @@ def _routed(state: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.where(~(F.col("done") & F.col("fit")))
 
 
+@dataclass
+class _Open:
+    """A model's open nodes of a level, by the number that rows hold."""
+    tree: np.ndarray
+    node: np.ndarray
+    tried: np.ndarray
+    feats: np.ndarray  # by node, -1 where fewer are left to try
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of any lengths by row, filled up with -1."""
+    n = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    out = np.full((len(n), int(n.max(initial=0))), -1, np.int64)
+    out[np.arange(out.shape[1]) < n[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """One binary value a row of the flat ``values``; row k ends at ``ends[k]``."""
+    offsets = np.r_[0, ends * values.itemsize].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights and root numbers of each row's trees from their hashes."""
+    bounds = np.array(_poisson_bounds())
+    for batch in batches:
+        hashes = batch.column("h")
+        n = np.asarray(hashes.value_lengths(), np.int64)
+        fit = np.repeat(np.asarray(batch.column("fit"), bool), n)
+        u = hashes.flatten().to_numpy(zero_copy_only=False) % (1 << 52) / float(1 << 52)
+        w = np.where(fit, np.searchsorted(bounds, u, "right"), 0).astype(np.uint8)
+        tree = np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n)
+        at = np.where(fit & (w == 0), -1, tree).astype(np.int32)
+        kept = [c for c in batch.schema.names if c != "h"]
+        yield pa.record_batch([*[batch.column(c) for c in kept], _binary(w, np.cumsum(n)), _binary(at, np.cumsum(n))], [*kept, "w", "at"])
+
+
+def _slices(batch: pa.RecordBatch, pairs: int) -> Iterator[tuple]:
+    """(model, rows, fit, w, at, bins) of up to ``pairs`` pairs of one model."""
+    coded = batch.column("model").dictionary_encode()
+    codes = coded.indices.to_numpy()
+    for k, model in enumerate(coded.dictionary.to_pylist()):
+        of = np.flatnonzero(codes == k)
+        trees = len(batch.column("w")[int(of[0])].as_py())
+        step = max(1, pairs // max(trees, 1))
+        for start in range(0, len(of), step):
+            part = batch.take(pa.array(of[start:start + step]))
+            w, at = (np.frombuffer(b"".join(part.column(c).to_pylist()), kind).reshape(len(part), trees)
+                     for c, kind in (("w", np.uint8), ("at", np.int32)))
+            bins = part.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+            yield model, part, np.asarray(part.column("fit"), bool), w, at, bins
+
+
+CELLS = "model string, tree int, node long, tried int, f int, b int, c long, n long, s long"
+
+
+def _count(level: Mapping[str | None, _Open], width: int):
+    """``CELLS`` of the fit rows, to be added up; ``width``: bins a feature."""
+    names = [c.split()[0] for c in CELLS.split(", ")]
+
+    def cells(model, code, sums):
+        nodes = level.get(model) or level[None]
+        i, f = code // width // nodes.feats.shape[1], nodes.feats.ravel()[code // width]
+        cols = [nodes.tree[i].astype(np.int32), nodes.node[i], nodes.tried[i].astype(np.int32), f.astype(np.int32), (code % width).astype(np.int32),
+                *[x.astype(np.int64) for x in sums]]
+        return pa.record_batch([pa.array([model] * len(code), pa.string()), *map(pa.array, cols)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+        for batch in batches:
+            for model, part, fit, w, at, bins in _slices(batch, SLICE):
+                nodes = level.get(model) or level.get(None)
+                if nodes is None:
+                    continue
+                y = np.asarray(part.column("y").fill_null(0), np.int64)
+                r, t = np.nonzero((at >= 0) & fit[:, None])
+                i, weight = at[r, t].astype(np.int64), w[r, t].astype(np.int64)
+                tries = nodes.feats.shape[1]
+                f = nodes.feats[i]
+                ok = f >= 0
+                code = ((i[:, None] * tries + np.arange(tries)) * width + bins[r[:, None], f])[ok]
+                weight = np.broadcast_to(weight[:, None], ok.shape)[ok]
+                positive = weight * np.broadcast_to(y[r][:, None], ok.shape)[ok]
+                size = nodes.feats.size * width
+                dense = size <= MAX_DENSE
+                if not dense:
+                    seen, code = np.unique(code, return_inverse=True)
+                    size = len(seen)
+                sums = [np.bincount(code, x, size) for x in (None, weight, positive)]
+                if not dense:
+                    yield cells(model, seen, sums)
+                elif model in held:
+                    for total, x in zip(held[model], sums):
+                        total += x
+                else:
+                    held[model] = [x.astype(np.float64) for x in sums]
+                    if sum(len(x[0]) for x in held.values()) > MAX_DENSE:
+                        for m, x in held.items():
+                            seen = np.flatnonzero(x[0])
+                            yield cells(m, seen, [v[seen] for v in x])
+                        held = {}
+        for m, x in held.items():
+            seen = np.flatnonzero(x[0])
+            yield cells(m, seen, [v[seen] for v in x])
+    return run
+
+
+def _sent(nodes: DataFrame) -> pa.Table:
+    """What rows need of a level's nodes."""
+    n, s, nl, sl = (F.col(x).cast("double") for x in ("n", "s", "nl", "sl"))
+    split = F.col("action") == "split"
+    return nodes.select(
+        *KEY, F.when(split, F.col("f")).otherwise(-1).cast("int").alias("f"), F.coalesce("b", F.lit(0)).cast("int").alias("b"), "next_tried",
+        F.when(split, sl / nl).otherwise(s / n).alias("p"), F.when(split, (s - sl) / (n - nl)).alias("pr"),
+        "feats_l", "feats_r", "feats_again").toArrow()
+
+
+def _below(level: Mapping[str | None, _Open], found: pa.Table) -> tuple[dict[str, dict], dict[str, _Open]]:
+    """By model: the cuts of ``found`` in the order of the level's nodes, with
+    the numbers of the children that stay open, and those children."""
+    cuts, opened = {}, {}
+    coded = found.column("model").combine_chunks().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    for k, model in enumerate(coded.dictionary.to_pylist()):
+        mine = found.take(pa.array(np.flatnonzero(codes == k))).combine_chunks()
+        col = {c: mine.column(c).to_numpy() for c in ("tree", "node", "f", "b", "next_tried", "p", "pr")}
+        nodes = level.get(model) or level[None]
+        # both sides in the order of (tree, node)
+        own, its = np.lexsort((nodes.node, nodes.tree)), np.lexsort((col["node"], col["tree"]))
+        place = dict(zip(zip(nodes.tree[own].tolist(), nodes.node[own].tolist()), own.tolist()))
+        at = np.array([place[x] for x in zip(col["tree"][its].tolist(), col["node"][its].tolist())], np.int64)
+        cut = {"f": np.full(len(own), -1), "b": np.zeros(len(own), np.int64), "known": np.zeros(len(own), bool),
+               **{c: np.full(len(own), np.nan) for c in ("p", "pr")}, **{c: np.full(len(own), -1) for c in ("low", "high")}}
+        for c in ("f", "b", "p", "pr"):
+            cut[c][at] = col[c][its]
+        cut["known"][at] = True
+        parts, feats, first = [], [], 0
+        for name, side, node, tried in (("feats_l", "low", 2 * col["node"], None), ("feats_r", "high", 2 * col["node"] + 1, None),
+                                        ("feats_again", "low", col["node"], col["next_tried"])):
+            lists = mine.column(name).combine_chunks()
+            # a node that is tried again has no sides: its rows go to the low one
+            on = its[np.asarray(lists.is_valid())[its]]
+            cut[side][at[np.asarray(lists.is_valid())[its]]] = first + np.arange(len(on))
+            first += len(on)
+            parts.append((col["tree"][on], node[on], np.zeros(len(on), np.int64) if tried is None else tried[on]))
+            feats.append(_matrix(lists.take(pa.array(on))))
+        cuts[model] = cut
+        if first:
+            wide = max(x.shape[1] for x in feats)
+            feats = [np.pad(x, ((0, 0), (0, wide - x.shape[1])), constant_values=-1) for x in feats]
+            opened[model] = _Open(*(np.concatenate(x).astype(np.int64) for x in zip(*parts)), np.concatenate(feats))
+    return cuts, opened
+
+
+def _route(cuts: Mapping[str, dict]):
+    """Rows one level down, and ``said``: the probabilities of the leaves that
+    a held-out row has come to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for model, part, fit, w, at, bins in _slices(batch, SLICE):
+                cut = cuts.get(model)
+                if cut is None:
+                    continue
+                r, t = np.nonzero(at >= 0)
+                i = at[r, t]
+                f = cut["f"][i]
+                right = (f >= 0) & (bins[r, f] > cut["b"][i])
+                to = np.where(right, cut["high"][i], cut["low"][i])
+                moved = np.full(at.shape, -1, np.int32)
+                moved[r, t] = to
+                done = (to < 0) & cut["known"][i] & ~fit[r]
+                p = np.where(right, cut["pr"][i], cut["p"][i])[done]
+                ends = np.cumsum(np.bincount(r[done], minlength=len(part)))
+                said = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(p, pa.float64()))
+                ends = np.arange(1, len(part) + 1) * at.shape[1]
+                cols = {c: part.column(c) for c in part.schema.names} | {
+                    "at": _binary(moved.ravel(), ends), "live": pa.array((moved >= 0).any(axis=1)), "said": said}
+                yield pa.record_batch(list(cols.values()), list(cols))
+    return run
+
+
+def _unpack(level: Mapping[str | None, _Open]):
+    """The long table of (model, tree, row) at open nodes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for model, part, fit, w, at, bins in _slices(batch, SLICE):
+                nodes = level.get(model) or level.get(None)
+                if nodes is None:
+                    continue
+                r, t = np.nonzero(at >= 0)
+                i, rows = at[r, t], part.take(pa.array(r))
+                cols = {"model": rows.column("model"), "tree": pa.array(nodes.tree[i].astype(np.int32)), "node": pa.array(nodes.node[i]),
+                        "tried": pa.array(nodes.tried[i].astype(np.int32)), **{c: rows.column(c) for c in ("row", "fit")},
+                        "w": pa.array(w[r, t].astype(np.int32)), **{c: rows.column(c) for c in ("y", "bins")}}
+                yield pa.record_batch(list(cols.values()), list(cols))
+    return run
+
+
 def _model_rows(nodes: DataFrame, features: Sequence[str], thresholds: Sequence[Sequence[float]]) -> DataFrame:
     """Nodes of one level as rows of the model table, closed children included."""
     names = F.array(*[F.lit(f) for f in features])
@@ -196,6 +413,21 @@ def _model_rows(nodes: DataFrame, features: Sequence[str], thresholds: Sequence[
     return nodes.where("action <> 'again'").select("model", "tree", F.inline(rows))
 
 
+def _grow_long(state: DataFrame, nodes: DataFrame, settings: DataFrame | dict[str, int], features: Sequence[str],
+               thresholds: Sequence[Sequence[float]], seed: int, model_rows: list, votes: list) -> None:
+    """The levels from ``nodes`` on over a long table, by joins."""
+    while True:
+        moved = _routed(state, nodes)
+        moved = cut_lineage(moved, "forest-rows", moved.schema)
+        votes.append(moved.where("done").select("model", "row", "y", "p"))
+        state = moved.where("not done").drop("done", "p")
+        if state.where("fit").isEmpty():
+            return
+        nodes = _best_cuts(_cells(state), settings, len(features), seed)
+        nodes = cut_lineage(nodes, "forest-nodes", nodes.schema)
+        model_rows.append(_model_rows(nodes, features, thresholds))
+
+
 def fit_forests(rows: DataFrame, specs: ForestSpec | Mapping[str, ForestSpec], features: Sequence[str],
                 thresholds: Sequence[Sequence[float]], seed: int = 42) -> Forests:
     """Grows a forest per ``model`` of ``rows`` on the rows marked ``fit`` and
@@ -213,27 +445,35 @@ def fit_forests(rows: DataFrame, specs: ForestSpec | Mapping[str, ForestSpec], f
     if isinstance(specs, Mapping):
         rows = rows.join(F.broadcast(settings.select("model", "trees", "n_try")), "model")
     else:
-        settings = settings.drop("model")
+        settings = dict(zip(("depth", "min_split", "min_leaf", "n_try"), table[0][2:]))
         rows = rows.withColumns({"trees": F.lit(specs.trees), "n_try": F.lit(specs.tried(p))})
     roots = spark.range(1, max(s.trees for s in by_model.values()) + 1).select(F.col("id").cast("int").alias("tree"))
-    roots = roots.withColumn("order", feature_order(F.lit(1).cast("long"), p, seed))
-    state = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("trees"))).alias("tree")).join(F.broadcast(roots), "tree")
-    state = state.withColumn("w", F.when(F.col("fit"), poisson_weight("row", seed)).otherwise(0))
-    state = state.where(~F.col("fit") | (F.col("w") > 0)).select(
-        "model", "tree", F.lit(1).cast("long").alias("node"), F.lit(0).alias("tried"), "row", "fit", "w", "y", "bins",
-        F.slice("order", F.lit(1), F.col("n_try")).alias("feats"))
-    state = cut_lineage(state, "forest-rows")
+    order = np.array([r["o"] for r in roots.select("tree", feature_order(F.lit(1).cast("long"), p, seed).alias("o")).orderBy("tree").collect()])
+    level = {m: _Open(np.arange(1, s.trees + 1), np.ones(s.trees, np.int64), np.zeros(s.trees, np.int64), order[:s.trees, :s.tried(p)])
+             for m, s in by_model.items()}
+    width = max((len(t) for t in thresholds), default=0) + 1
+    hashes = F.transform(F.sequence(F.lit(1), F.col("trees")), lambda t: F.xxhash64(F.lit(seed), t, F.col("row")))
+    rows = rows.where("model is not null and fit is not null").repartition(spark.sparkContext.defaultParallelism, "row")
+    state = rows.select("model", "row", "fit", "y", "bins", hashes.alias("h"))
+    kinds = T.StructType([*state.drop("h").schema, T.StructField("w", T.BinaryType()), T.StructField("at", T.BinaryType())])
+    state = cut_lineage(state.mapInArrow(_pack, kinds), "forest-rows", kinds)
+    moved_kinds = T.StructType([*kinds, T.StructField("live", T.BooleanType()), T.StructField("said", T.ArrayType(T.DoubleType()))])
     model_rows, votes = [], []
-    while True:
-        nodes = _best_cuts(state, settings, p, seed)
+    while level:
+        nodes = state.mapInArrow(_count(level, width), CELLS).groupBy(*KEY, "tried", "f", "b").agg(*[F.sum(x).alias(x) for x in "cns"])
+        nodes = _best_cuts(nodes, settings, p, seed)
         nodes = cut_lineage(nodes, "forest-nodes", nodes.schema)
         model_rows.append(_model_rows(nodes, features, thresholds))
-        moved = _routed(state, nodes)
-        moved = cut_lineage(moved, "forest-rows", moved.schema)
-        votes.append(moved.where("done").select("model", "row", "y", "p"))
-        state = moved.where("not done").drop("done", "p")
-        if state.where("fit").isEmpty():
+        # below the roots, whose models are not known before, every open node has rows
+        if (nodes.count() if not votes else sum(len(x.node) for x in level.values())) > MAX_NODES:
+            long = state.select("model", F.lit(0).alias("tree"), F.lit(0).cast("long").alias("node"), F.lit(0).alias("tried"), "row", "fit",
+                                F.lit(0).alias("w"), "y", "bins").schema
+            _grow_long(state.mapInArrow(_unpack(level), long), nodes, settings, features, thresholds, seed, model_rows, votes)
             break
+        cuts, level = _below(level, _sent(nodes))
+        moved = cut_lineage(state.mapInArrow(_route(cuts), moved_kinds), "forest-rows", moved_kinds)
+        votes.append(moved.select("model", "row", "y", F.explode("said").alias("p")))
+        state = moved.where("live").select(*state.columns)
     whole = model_rows[0]
     for more in model_rows[1:]:
         whole = whole.unionByName(more)

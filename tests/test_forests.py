@@ -146,3 +146,35 @@ def test_stratified_folds_differ_by_one_at_most(spark, bits):
         assert max(n) - min(n) <= 1 and min(n) > 0
     again = stratified_folds(df.repartition(2), "side", ["play"], 3, bucket_bits=12)
     assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+
+
+def test_wide_levels_go_on_in_a_long_table(spark, monkeypatch):
+    """Few and many nodes a level, dense and sparse counts: the same forests."""
+    df, thresholds = table(spark, rows())
+    spec = fo.ForestSpec(3, 4, 2, 1, "log2")
+
+    def grown():
+        got = fo.fit_forests(df, spec, FEATURES, thresholds)
+        return sorted(map(str, got.nodes.collect())), sorted(map(str, got.votes.collect()))
+
+    want = grown()
+    for name, value in (("MAX_NODES", 10), ("MAX_NODES", 0), ("MAX_DENSE", 0), ("SLICE", 7)):
+        with monkeypatch.context() as m:
+            m.setattr(fo, name, value)
+            assert grown() == want
+
+
+def test_rows_are_kept_once_for_all_trees(spark, monkeypatch):
+    """What a level writes has a row per row of the table, not one per tree."""
+    df, thresholds = table(spark, rows())
+    sizes, write = [], fo.cut_lineage
+
+    def counted(out, name, *args):
+        out = write(out, name, *args)
+        if name == "forest-rows":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(fo, "cut_lineage", counted)
+    fo.fit_forests(df, fo.ForestSpec(4, 2, 2, 1, "log2"), FEATURES, thresholds)
+    assert sizes and max(sizes) <= df.count()
