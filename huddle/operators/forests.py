@@ -10,6 +10,10 @@ all below, with a long table of (model, tree, row) whose rows join their node's
 cut.  Rows are spread over tasks whatever their model or tree, so a segment
 with a third of all rows is no task of its own.
 
+Models of up to ``LOCAL_ROWS`` rows need no job a level: their trees are dealt
+over tasks in blocks, and a task, which holds the model's rows once, grows its
+block's trees to the end.  Both ways make the same trees.
+
 As in the reference's learner: bootstrap rows a tree (here Poisson(1) weights
 from a hash of row and tree), a random subset of features a node (further
 subsets are tried while none has a valid cut), weighted Gini, ``min_split`` and
@@ -41,6 +45,10 @@ MAX_NODES = 1_000_000
 MAX_DENSE = 2_000_000
 #: (row, tree) pairs that a task looks at together.
 SLICE = 1_000_000
+#: Rows of a model (about 100 bytes each) that a task may hold for a block of trees.
+LOCAL_ROWS = 1 << 18
+#: Trees of a block at most.
+BLOCK = 64
 KEY = ("model", "tree", "node")
 
 
@@ -62,14 +70,20 @@ class Forests:
     """``nodes``: the models, one row per node: model, tree, node (heap
     number), feature and threshold (null at leaves: a row goes left if its
     value is at most the threshold), gain, rows (distinct), weight, share (of
-    the positive label).  ``votes``: model, row, y, p, one row per held-out row
-    and tree."""
+    the positive label).  ``said``: model, row, y, said, the probabilities by
+    some of the model's trees; every tree is in one of a held-out row's lists."""
     nodes: DataFrame
-    votes: DataFrame
+    said: DataFrame
+
+    @property
+    def votes(self) -> DataFrame:
+        """model, row, y, p, one row per held-out row and tree."""
+        return self.said.select("model", "row", "y", F.explode("said").alias("p"))
 
     def predictions(self) -> DataFrame:
         """model, row, y, p (mean over the trees), hit."""
-        out = self.votes.groupBy("model", "row").agg(F.max("y").alias("y"), F.avg("p").alias("p"))
+        total = F.aggregate("said", F.lit(0.0), lambda a, p: a + p)
+        out = self.said.groupBy("model", "row").agg(F.max("y").alias("y"), (F.sum(total) / F.sum(F.size("said"))).alias("p"))
         return out.withColumn("hit", (F.col("p") > 0.5) == (F.col("y") == 1))
 
     def accuracy(self) -> DataFrame:
@@ -396,8 +410,7 @@ def _unpack(level: Mapping[str | None, _Open]):
 
 def _model_rows(nodes: DataFrame, features: Sequence[str], thresholds: Sequence[Sequence[float]]) -> DataFrame:
     """Nodes of one level as rows of the model table, closed children included."""
-    names = F.array(*[F.lit(f) for f in features])
-    bounds = F.array(*[F.array(*[F.lit(float(v)) for v in t]).cast("array<double>") for t in thresholds])
+    name, threshold = _named(features, thresholds)
     split = F.col("action") == "split"
 
     def row(node, feature, threshold, gain, c, n, s):
@@ -406,7 +419,7 @@ def _model_rows(nodes: DataFrame, features: Sequence[str], thresholds: Sequence[
 
     c, n, s, cl, nl, sl = (F.col(x) for x in ("c", "n", "s", "cl", "nl", "sl"))
     no_name, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
-    own = row(F.col("node"), F.get(names, F.col("f")), F.get(F.get(bounds, F.col("f")), F.col("b")), F.col("gain"), c, n, s)
+    own = row(F.col("node"), name, threshold, F.col("gain"), c, n, s)
     left = row(2 * F.col("node"), no_name, no_number, no_number, cl, nl, sl)
     right = row(2 * F.col("node") + 1, no_name, no_number, no_number, c - cl, n - nl, s - sl)
     rows = F.array_compact(F.array(own, F.when(split & ~F.col("open_l"), left), F.when(split & ~F.col("open_r"), right)))
@@ -419,7 +432,7 @@ def _grow_long(state: DataFrame, nodes: DataFrame, settings: DataFrame | dict[st
     while True:
         moved = _routed(state, nodes)
         moved = cut_lineage(moved, "forest-rows", moved.schema)
-        votes.append(moved.where("done").select("model", "row", "y", "p"))
+        votes.append(moved.where("done").select("model", "row", "y", F.array("p").alias("said")))
         state = moved.where("not done").drop("done", "p")
         if state.where("fit").isEmpty():
             return
@@ -428,6 +441,192 @@ def _grow_long(state: DataFrame, nodes: DataFrame, settings: DataFrame | dict[st
         model_rows.append(_model_rows(nodes, features, thresholds))
 
 
+def _named(features: Sequence[str], thresholds: Sequence[Sequence[float]]) -> tuple[Column, Column]:
+    """The name of feature ``f`` and its threshold ``b``."""
+    names = F.array(*[F.lit(f) for f in features])
+    bounds = F.array(*[F.array(*[F.lit(float(v)) for v in t]).cast("array<double>") for t in thresholds])
+    return F.get(names, F.col("f")), F.get(F.get(bounds, F.col("f")), F.col("b"))
+
+
+_PRIME = [np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _rotl(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def _xxhash64(value: np.ndarray, seed: np.ndarray, is_long: bool) -> np.ndarray:
+    """``F.xxhash64`` of an int or long after ``seed``, the hash so far."""
+    p1, p2, p3, p4, p5 = _PRIME
+    v = value.astype(np.int64).view(np.uint64)
+    if is_long:
+        h = seed + p5 + np.uint64(8) ^ _rotl(v * p2, 31) * p1
+        h = _rotl(h, 27) * p1 + p4
+    else:
+        h = seed + p5 + np.uint64(4) ^ (v & np.uint64(0xFFFFFFFF)) * p1
+        h = _rotl(h, 23) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def feature_orders(tree: np.ndarray, node: np.ndarray, n_features: int, seed: int) -> np.ndarray:
+    """``feature_order`` of many nodes, one a line."""
+    with np.errstate(over="ignore"):
+        h = _xxhash64(np.full(len(tree), seed), np.full(len(tree), 42, np.uint64), False)
+        h = _xxhash64(node, _xxhash64(tree, h, False), True)
+        h = _xxhash64(np.tile(np.arange(n_features), (len(tree), 1)), h[:, None], False)
+    return np.argsort(h.view(np.int64), axis=1, kind="stable")
+
+
+def _impurity(n: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """``_gini`` of arrays."""
+    return np.divide(2.0 * s * (n - s), n, out=np.zeros(len(n)), where=n > 0)
+
+
+def _grow_here(bins: np.ndarray, y: np.ndarray, fit: np.ndarray, w: np.ndarray, trees: np.ndarray,
+               spec: tuple[int, int, int, int], width: int, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The trees of a block on all rows of their model: the node table as
+    columns (tree, node, f, b, gain, c, n, s; f -1 at leaves), and each row's
+    probability by tree (NaN for rows that are fit on)."""
+    depth, min_split, min_leaf, n_try = spec
+    p, said, found = bins.shape[1], np.full(w.shape, np.nan), []
+    r, t = np.nonzero(~fit[:, None] | (w > 0))
+    held, code_of_row = ~fit[r], w[r, t].astype(np.int64) << 1 | y[r]
+    at, tree, node = t, trees.astype(np.int64), np.ones(len(trees), np.int64)
+    tried, level = np.zeros(len(trees), np.int64), np.zeros(len(trees), np.int64)
+
+    def may(level, c, n, s):
+        return (c >= min_split) & (c >= 2 * min_leaf) & (s > 0) & (s < n) & (level < depth)
+
+    while len(tree) and not held.all():
+        place = tried[:, None] + np.arange(n_try)
+        feats = np.take_along_axis(feature_orders(tree, node, p, seed), np.minimum(place, p - 1), axis=1)
+        feats[place >= p] = -1
+        # (cell, weight, label) of every fit row and tried feature in one number, sorted
+        i, f = at[~held], feats[at[~held]]
+        cells = (i[:, None] * n_try + np.arange(n_try)) * width + bins[r[~held][:, None], f]
+        cells = (cells << 5 | code_of_row[~held][:, None])[f >= 0]
+        cells.sort()
+        code, weight = cells >> 5, cells >> 1 & 15
+        ends = np.flatnonzero(np.r_[code[1:] != code[:-1], True])
+        cell = code[ends]
+        sums = [ends + 1, np.cumsum(weight)[ends], np.cumsum(weight * (cells & 1))[ends]]
+        group = cell // width
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        of = np.cumsum(np.r_[False, group[1:] != group[:-1]])
+        last = np.r_[starts[1:], len(cell)] - 1
+        before = [np.r_[0, x][starts] for x in sums]
+        cl, nl, sl = (x - b[of] for x, b in zip(sums, before))
+        c, n, s = ((x[last] - b)[of] for x, b in zip(sums, before))
+        slot = group // n_try
+        gain = np.round(_impurity(n, s) - _impurity(nl, sl) - _impurity(n - nl, s - sl), 9)
+        valid = may(level[slot], c, n, s) & (cl >= min_leaf) & (c - cl >= min_leaf)
+        # the largest gain, then the first feature, then the lowest cut
+        gain = np.where(valid, gain, -np.inf)
+        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        mine = np.cumsum(np.r_[False, slot[1:] != slot[:-1]])
+        rank = np.where(valid & (gain == np.maximum.reduceat(gain, first)[mine]), feats[slot, group % n_try] * width + cell % width, p * width)
+        best = np.flatnonzero(valid & (rank == np.minimum.reduceat(rank, first)[mine]))
+        own, cut = slot[first], slot[best]
+        known, split = np.zeros(len(tree), bool), np.zeros(len(tree), bool)
+        known[own], split[cut] = True, True
+        col = {k: np.zeros(len(tree), np.int64) for k in ("c", "n", "s", "cl", "nl", "sl", "b")}
+        for k, v in zip("cns", (c, n, s)):
+            col[k][own] = v[first]
+        for k, v in zip(("cl", "nl", "sl", "b"), (cl, nl, sl, cell % width)):
+            col[k][cut] = v[best]
+        f, g = np.full(len(tree), -1), np.full(len(tree), np.nan)
+        f[cut], g[cut] = rank[best] // width, gain[best]
+        c, n, s, cl, nl, sl, b = col.values()
+        again = known & ~split & may(level, c, n, s) & (tried + n_try < p)
+        opens = split & may(level + 1, cl, nl, sl), split & may(level + 1, c - cl, n - nl, s - sl)
+        out = known & ~again
+        found.append([x[out] for x in (tree, node, f, b, g, c, n, s)])
+        for side, (kept, sums) in enumerate(zip(opens, ((cl, nl, sl), (c - cl, n - nl, s - sl)))):
+            leaf = split & ~kept
+            none = np.full(leaf.sum(), -1)
+            found.append([tree[leaf], 2 * node[leaf] + side, none, none, np.full(len(none), np.nan), *[x[leaf] for x in sums]])
+        on = [np.flatnonzero(x) for x in (*opens, again)]
+        to = np.full((2, len(tree)), -1)
+        to[0, on[0]] = np.arange(len(on[0]))
+        to[1, on[1]] = len(on[0]) + np.arange(len(on[1]))
+        to[:, on[2]] = len(on[0]) + len(on[1]) + np.arange(len(on[2]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.where(split, sl / nl, s / n), np.where(split, (s - sl) / (n - nl), s / n)
+        right = (split[at] & (bins[r, f[at]] > b[at])).astype(np.int64)
+        moved = to[right, at]
+        done = held & (moved < 0) & known[at]
+        said[r[done], t[done]] = np.where(right[done] == 1, share[1][at[done]], share[0][at[done]])
+        live = moved >= 0
+        r, t, held, code_of_row, at = r[live], t[live], held[live], code_of_row[live], moved[live]
+        tree, tried = np.concatenate([tree[x] for x in on]), np.r_[np.zeros(len(on[0]) + len(on[1]), np.int64), tried[on[2]] + n_try]
+        node, level = (np.concatenate([a[on[0]], b[on[1]], c[on[2]]]) for a, b, c in
+                       ((2 * node, 2 * node + 1, node), (level + 1, level + 1, level)))
+    table = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 8
+    return table, said
+
+
+BLOCK_NODES = "tree int, node long, f int, b int, gain double, rows long, weight long, share double"
+
+
+def _grow_blocks(specs: Mapping[str | None, tuple[int, int, int, int]], width: int, seed: int):
+    """Grows the block of trees that is all of a partition: its nodes, and the
+    held-out rows with their probabilities by its trees."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := [b for b in batches if b.num_rows]) else None
+        if rows is None:
+            return
+        model, fit = rows.column("model")[0].as_py(), np.asarray(rows.column("fit").combine_chunks(), bool)
+        y = np.asarray(rows.column("y").combine_chunks().fill_null(0), np.int64)
+        bins = rows.column("bins").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        w = np.frombuffer(b"".join(rows.column("w").to_pylist()), np.uint8).reshape(len(rows), -1)
+        trees = rows.column("first")[0].as_py() + 1 + np.arange(w.shape[1])
+        said = np.empty(w.shape)
+        kinds = pa.schema([("model", pa.string()), ("tree", pa.int32()), ("node", pa.int64()), ("f", pa.int32()), ("b", pa.int32()), ("gain", pa.float64()),
+                           ("rows", pa.int64()), ("weight", pa.int64()), ("share", pa.float64()),
+                           *[rows.schema.field(c) for c in ("row", "y")], ("said", pa.list_(pa.float64()))])
+
+        def batch(n: int, **cols) -> pa.RecordBatch:
+            cols["model"] = pa.array([model] * n, pa.string())
+            return pa.record_batch([cols.get(k.name, pa.nulls(n, k.type)) for k in kinds], schema=kinds)
+
+        step = max(1, SLICE // len(rows))
+        for k in range(0, len(trees), step):
+            (tree, node, f, b, gain, c, n, s), said[:, k:k + step] = _grow_here(
+                bins, y, fit, w[:, k:k + step], trees[k:k + step], specs.get(model) or specs[None], width, seed)
+            leaf = f < 0
+            yield batch(len(tree), tree=pa.array(tree, pa.int32()), node=pa.array(node), f=pa.array(f, pa.int32(), mask=leaf),
+                        b=pa.array(b, pa.int32(), mask=leaf), gain=pa.array(gain, mask=leaf), rows=pa.array(c), weight=pa.array(n), share=pa.array(s / n))
+        held = np.flatnonzero(~fit)
+        known = ~np.isnan(said[held])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(known.sum(axis=1))].astype(np.int32)), pa.array(said[held][known]))
+        out = rows.take(pa.array(held)).combine_chunks()
+        yield batch(len(held), **{c: out.column(c).combine_chunks() for c in ("row", "y")}, said=lists)
+    return run
+
+
+def _grow_local(state: DataFrame, sizes: Sequence[str], by_model: Mapping[str | None, ForestSpec], settings: Mapping[str | None, tuple],
+                features: Sequence[str], thresholds: Sequence[Sequence[float]], seed: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes and ``said`` of the models ``sizes`` from the packed rows."""
+    spark = state.sparkSession
+    trees = {m: (by_model.get(m) or by_model[None]).trees for m in sizes}
+    most = max(1, min(BLOCK, -(-sum(trees.values()) // (3 * spark.sparkContext.defaultParallelism))))
+    blocks = [(m, k, min(most, n - k)) for m, n in trees.items() for k in range(0, n, most)]
+    table = spark.createDataFrame([(m, i, k, n) for i, (m, k, n) in enumerate(blocks)], "model string, block int, first int, n int")
+    rows = state.join(F.broadcast(table), "model").select(
+        "block", "model", F.when(~F.col("fit"), F.col("row")).alias("row"), "fit", "y", "bins", "first", F.expr("substring(w, first + 1, n)").alias("w"))
+    out = T.StructType([T.StructField("model", T.StringType()), *T.StructType.fromDDL(BLOCK_NODES),
+                        *[T.StructField(c, state.schema[c].dataType) for c in ("row", "y")], T.StructField("said", T.ArrayType(T.DoubleType()))])
+    width = max((len(t) for t in thresholds), default=0) + 1
+    grown = rows.repartitionById(len(blocks), F.col("block")).drop("block").mapInArrow(
+        _grow_blocks(settings, width, seed), out)
+    grown = cut_lineage(grown, "forest-blocks", out)
+    name, threshold = _named(features, thresholds)
+    nodes = grown.where("node is not null").select("model", "tree", "node", name.alias("feature"), threshold.alias("threshold"), "gain", "rows", "weight", "share")
+    return nodes, grown.where("node is null and size(said) > 0").select("model", "row", "y", "said")
+
+
 def fit_forests(rows: DataFrame, specs: ForestSpec | Mapping[str, ForestSpec], features: Sequence[str],
                 thresholds: Sequence[Sequence[float]], seed: int = 42) -> Forests:
     """Grows a forest per ``model`` of ``rows`` on the rows marked ``fit`` and
@@ -447,32 +646,41 @@ def fit_forests(rows: DataFrame, specs: ForestSpec | Mapping[str, ForestSpec], f
     else:
         settings = dict(zip(("depth", "min_split", "min_leaf", "n_try"), table[0][2:]))
         rows = rows.withColumns({"trees": F.lit(specs.trees), "n_try": F.lit(specs.tried(p))})
-    roots = spark.range(1, max(s.trees for s in by_model.values()) + 1).select(F.col("id").cast("int").alias("tree"))
-    order = np.array([r["o"] for r in roots.select("tree", feature_order(F.lit(1).cast("long"), p, seed).alias("o")).orderBy("tree").collect()])
-    level = {m: _Open(np.arange(1, s.trees + 1), np.ones(s.trees, np.int64), np.zeros(s.trees, np.int64), order[:s.trees, :s.tried(p)])
-             for m, s in by_model.items()}
     width = max((len(t) for t in thresholds), default=0) + 1
     hashes = F.transform(F.sequence(F.lit(1), F.col("trees")), lambda t: F.xxhash64(F.lit(seed), t, F.col("row")))
     rows = rows.where("model is not null and fit is not null").repartition(spark.sparkContext.defaultParallelism, "row")
     state = rows.select("model", "row", "fit", "y", "bins", hashes.alias("h"))
     kinds = T.StructType([*state.drop("h").schema, T.StructField("w", T.BinaryType()), T.StructField("at", T.BinaryType())])
     state = cut_lineage(state.mapInArrow(_pack, kinds), "forest-rows", kinds)
+    sizes = {r["model"]: r["n"] for r in state.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
+    local, model_rows, votes = [m for m, n in sizes.items() if n <= LOCAL_ROWS], [], []
+    if local:
+        nodes, said = _grow_local(state, local, by_model, {t[0]: t[2:] for t in table}, features, thresholds, seed)
+        if len(local) == len(sizes):
+            return Forests(nodes, said)
+        model_rows, votes = [nodes], [said]
+        state = state.where(~F.col("model").isin(local))
+    roots = spark.range(1, max(s.trees for s in by_model.values()) + 1).select(F.col("id").cast("int").alias("tree"))
+    order = np.array([r["o"] for r in roots.select("tree", feature_order(F.lit(1).cast("long"), p, seed).alias("o")).orderBy("tree").collect()])
+    level = {m: _Open(np.arange(1, s.trees + 1), np.ones(s.trees, np.int64), np.zeros(s.trees, np.int64), order[:s.trees, :s.tried(p)])
+             for m, s in by_model.items() if m not in local}
     moved_kinds = T.StructType([*kinds, T.StructField("live", T.BooleanType()), T.StructField("said", T.ArrayType(T.DoubleType()))])
-    model_rows, votes = [], []
+    at_roots = True
     while level:
         nodes = state.mapInArrow(_count(level, width), CELLS).groupBy(*KEY, "tried", "f", "b").agg(*[F.sum(x).alias(x) for x in "cns"])
         nodes = _best_cuts(nodes, settings, p, seed)
         nodes = cut_lineage(nodes, "forest-nodes", nodes.schema)
         model_rows.append(_model_rows(nodes, features, thresholds))
         # below the roots, whose models are not known before, every open node has rows
-        if (nodes.count() if not votes else sum(len(x.node) for x in level.values())) > MAX_NODES:
+        if (nodes.count() if at_roots else sum(len(x.node) for x in level.values())) > MAX_NODES:
             long = state.select("model", F.lit(0).alias("tree"), F.lit(0).cast("long").alias("node"), F.lit(0).alias("tried"), "row", "fit",
                                 F.lit(0).alias("w"), "y", "bins").schema
             _grow_long(state.mapInArrow(_unpack(level), long), nodes, settings, features, thresholds, seed, model_rows, votes)
             break
         cuts, level = _below(level, _sent(nodes))
+        at_roots = False
         moved = cut_lineage(state.mapInArrow(_route(cuts), moved_kinds), "forest-rows", moved_kinds)
-        votes.append(moved.select("model", "row", "y", F.explode("said").alias("p")))
+        votes.append(moved.select("model", "row", "y", "said").where("size(said) > 0"))
         state = moved.where("live").select(*state.columns)
     whole = model_rows[0]
     for more in model_rows[1:]:

@@ -178,3 +178,30 @@ def test_rows_are_kept_once_for_all_trees(spark, monkeypatch):
     monkeypatch.setattr(fo, "cut_lineage", counted)
     fo.fit_forests(df, fo.ForestSpec(4, 2, 2, 1, "log2"), FEATURES, thresholds)
     assert sizes and max(sizes) <= df.count()
+
+
+@pytest.mark.parametrize("spec", [fo.ForestSpec(5, 5, 2, 1, "sqrt"), fo.ForestSpec(4, 3, 6, 3, "log2")])
+def test_blocks_of_trees_grow_as_levels_do(spark, monkeypatch, spec):
+    """Models that a task can hold, too large ones and both at once: the same forests."""
+    df, thresholds = table(spark, rows() + [("hot", *r[1:]) for r in rows(40, 5)] + [("none", k, False, k % 2, 1.0, 0.5, 2.0, 1.0) for k in range(5)])
+
+    def grown():
+        got = fo.fit_forests(df.where("model <> 'hot' or row % 3 > 0"), spec, FEATURES, thresholds, 9)
+        return sorted(map(str, got.nodes.collect())), sorted(map(str, got.votes.collect())), got.nodes.schema, got.votes.schema
+
+    want = grown()
+    assert len(want[0]) > 50 and want[1]
+    for changed in ({"BLOCK": 1, "SLICE": 7}, {"LOCAL_ROWS": 60}, {"LOCAL_ROWS": 0, "MAX_NODES": 10}):
+        with monkeypatch.context() as m:
+            for name, value in changed.items():
+                m.setattr(fo, name, value)
+            assert grown() == want
+
+
+def test_no_job_a_level(spark, monkeypatch):
+    """Deep forests of small models write their rows, then their blocks; nothing a level."""
+    df, thresholds = table(spark, rows())
+    written, write = [], fo.cut_lineage
+    monkeypatch.setattr(fo, "cut_lineage", lambda out, name, *args: written.append(name) or write(out, name, *args))
+    fo.fit_forests(df, fo.ForestSpec(4, None, 2, 1, "sqrt"), FEATURES, thresholds)
+    assert written == ["forest-rows", "forest-blocks"]
