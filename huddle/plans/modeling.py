@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from huddle.layout import FULL_SLOTS, Layout, Slot
 from huddle.operators.models import (
-    XGB_ROUNDS, assembler, boosted_grid_search, feature_importances, fit_and_score, forest, grid_search,
-    random_search, segment_forests, segment_models, tuned_forest, with_split,
+    XGB_ROUNDS, assembler, boosted_grid_search, forest_importances, grid_search, random_search, segment_forests,
+    segment_models, tuned_forest,
 )
 from huddle.operators.pivot import interaction_features
 from huddle.plans.features import feature_columns, keep_label_sides
@@ -99,10 +99,8 @@ def tuning_flow(spark: SparkSession, table: DataFrame, layout: Layout, families=
 
 def importances(spark: SparkSession, table: DataFrame, layout: Layout, top: int = 10) -> DataFrame:
     feats = feature_columns(table, layout, drop=("num_TEs",))
-    split = with_split(table, layout.keys)
-    model, _ = fit_and_score(split.filter("split = 'train'"), split.filter("split = 'test'"), feats,
-                             layout.label, forest())
-    return feature_importances(model, feats, spark, top)
+    found = forest_importances(table, feats, layout.label, layout.keys)
+    return found.orderBy(F.col("importance").desc(), "feature").limit(top)
 
 
 def assembled(table: DataFrame, layout: Layout) -> DataFrame:

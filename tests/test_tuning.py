@@ -111,3 +111,38 @@ def test_segment_forests_leave_out_small_and_null_segments(spark):
     assert [(r["segment_kind"], r["segment"], r["n"]) for r in acc] == [("seg", "q", 80)] and 0 <= acc[0]["accuracy"] <= 1
     one = wide(spark).withColumn("run_dir", F.lit("left"))
     assert models.segment_models(one, "seg", FEATURES, "run_dir", DRIVER.keys, 10, ["q"], models.ForestSpec(2, 2)).first()["accuracy"] is None
+
+
+def test_forest_grid_grows_in_one_job(spark, monkeypatch):
+    """All points and folds are one call of the forests, the refit another; each point's accuracy is that of its own folds."""
+    calls, fit = [], models.fit_forests
+    monkeypatch.setattr(models, "fit_forests", lambda rows, specs, *a: calls.append(specs) or fit(rows, specs, *a))
+    monkeypatch.setattr(models, "grid", lambda *a: [{p: v for p, v in zip((est.numTrees, est.maxDepth), at)} for at in ((3, 1), (5, 4))])
+    est = models.family_estimator("RandomForest")
+    out, = models.grid_search(spark, wide(spark), FEATURES, "run_dir", DRIVER.keys, ["RandomForest"]).collect()
+    assert [len(c) if isinstance(c, dict) else 1 for c in calls] == [6, 1]
+    assert calls[0]["1:2"] == models.ForestSpec(5, 4, 2, 1, "sqrt")
+    assert out["family"] == "RandomForest" and out["cv_accuracy"] > 0.6 and out["accuracy"] > 0.6
+    assert out["best_params"] in ("[('maxDepth', 1), ('numTrees', 3)]", "[('maxDepth', 4), ('numTrees', 5)]")
+
+
+def test_random_search_grows_in_one_job(spark, monkeypatch):
+    calls, fit = [], models.fit_forests
+    monkeypatch.setattr(models, "fit_forests", lambda rows, specs, *a: calls.append(specs) or fit(rows, specs, *a))
+    out = models.random_search(spark, wide(spark), FEATURES, "run_dir", DRIVER.keys, 4).collect()
+    assert [len(c) if isinstance(c, dict) else 1 for c in calls] == [4, 1] and [r["trial"] for r in out] == [0, 1, 2, 3]
+    best = max(out, key=lambda r: (r["val_accuracy"], -r["trial"]))
+    assert best["val_accuracy"] > 0.6 and best["test_accuracy"] > 0.6
+    assert all((r["test_accuracy"] is None) == (r is not best) for r in out)
+
+
+def test_repeated_rows_are_rows_of_their_own(spark):
+    rows, _ = models.single_rows(models.with_split(wide(spark).union(wide(spark)), DRIVER.keys), FEATURES, "run_dir", DRIVER.keys)
+    assert rows.select("row").distinct().count() == 480
+
+
+def test_importances_of_all_features(spark):
+    data = wide(spark).withColumn("same", F.lit(1.0))
+    got = {r["feature"]: r["importance"] for r in models.forest_importances(data, [*FEATURES, "same"], "run_dir", DRIVER.keys, models.ForestSpec(9, 4)).collect()}
+    assert set(got) == {*FEATURES, "same"} and got["same"] == 0.0
+    assert sum(got.values()) == pytest.approx(1) and min(got["a"], got["b"]) > got["c"]
