@@ -17,6 +17,10 @@ same way, so their margins need no second pass.  Margins are written before
 more than ``MOST_STEPS`` levels stand in one plan, whose code Spark could no
 longer compile.
 
+Where the caller allows it (``local_rows``) and no model has more rows, each
+model grows whole in one task by the same histograms and the same choice of
+splits, without a job a level; the models are spread over the tasks.
+
 Gradients and Hessians are summed as fixed-point integers, so the sums, and
 with them the trees, do not depend on partitions or order.  Equal gains go to
 the first feature, then to the lowest threshold.
@@ -24,12 +28,15 @@ the first feature, then to the lowest threshold.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from huddle.session import cut_lineage
 
@@ -198,15 +205,90 @@ def _split_level(nodes: dict, trees: dict[int, Tree], models: list[BoostedModel]
     return grown
 
 
+def _fixed(x: np.ndarray) -> np.ndarray:
+    """Fixed-point steps, halves away from zero as in SQL."""
+    return np.copysign(np.floor(np.abs(x) * STEPS + 0.5), x)
+
+
+def _boost_here(spec: BoostSpec, bins: np.ndarray, y: np.ndarray, fit: np.ndarray, shape: tuple[int, int],
+                stops: Sequence[int]) -> tuple[list[Tree], list[np.ndarray]]:
+    """One model on all its rows (``bins`` by feature): its trees, and the
+    margins of all rows after the rounds ``stops``."""
+    (p, width), model = shape, BoostedModel(spec, [], [])
+    margin, margins, every = np.zeros(len(y)), [], np.arange(len(y))
+    for r in range(1, max(stops) + 1):
+        if r <= spec.rounds:
+            tree, node = Tree.empty(spec.depth), np.ones(len(y), np.int64)
+            with np.errstate(over="ignore"):
+                prob = 1 / (1 + np.exp(-margin))
+            g, h = _fixed(prob - y), _fixed(prob * (1 - prob))
+            for level in range(spec.depth):
+                first = 1 << level
+                on = np.flatnonzero(fit & (node >= first))
+                at = node[on] - first
+                sums = np.empty((2, p, first, width), np.int64)
+                for f in range(p):
+                    code = at * width + bins[f, on]
+                    for k, x in enumerate((g, h)):
+                        sums[k, f] = np.bincount(code, x[on], first * width).reshape(first, width)
+                nodes = {(0, first + k): (sums[0, :, k], sums[1, :, k]) for k in np.unique(at).tolist()}
+                if not _split_level(nodes, {0: tree}, [model]):
+                    break
+                f = tree.feature[node]
+                node = np.where(f >= 0, 2 * node + (bins[np.maximum(f, 0), every] > tree.bin[node]), node)
+            margin = margin + tree.weight[node]
+            model.trees.append(tree)
+        if r in stops:
+            margins.append(margin)
+    return model.trees, margins
+
+
+def _boost_models(specs: Sequence[BoostSpec], shape: tuple[int, int], stops: Sequence[int]):
+    """Grows the model whose rows are all of a partition: its rows with their
+    margins by stop, and one row with its trees."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        m = rows.column("model")[0].as_py()
+        bins = np.ascontiguousarray(rows.column("bins").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).T)
+        trees, margins = _boost_here(specs[m], bins, rows.column("y").to_numpy(), np.asarray(rows.column("fit").combine_chunks(), bool), shape, stops)
+        flat, ends = np.stack(margins, axis=1).ravel(), np.arange(len(rows) + 1, dtype=np.int32) * len(margins)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        for batch in rows.append_column("margins", lists).append_column("trees", pa.nulls(len(rows), pa.binary())).to_batches(max_chunksize=50_000):
+            yield batch
+        own = {"model": pa.array([m], rows.schema.field("model").type), "trees": pa.array([pickle.dumps(trees)], pa.binary())}
+        kinds = [*rows.schema, pa.field("margins", lists.type), pa.field("trees", pa.binary())]
+        yield pa.record_batch([own.get(k.name, pa.nulls(1, k.type)) for k in kinds], schema=pa.schema([k.with_nullable(True) for k in kinds]))
+    return run
+
+
+def _fit_whole(table: DataFrame, specs: Sequence[BoostSpec], models: list[BoostedModel], shape: tuple[int, int], at_round,
+               stops: Sequence[int]) -> None:
+    kinds = T.StructType([*[T.StructField(c.name, c.dataType) for c in table.schema], T.StructField("margins", T.ArrayType(T.DoubleType())),
+                          T.StructField("trees", T.BinaryType())])
+    done = table.repartitionById(len(specs), F.col("model")).mapInArrow(_boost_models(specs, shape, stops), kinds)
+    done = cut_lineage(done, "boosting", kinds)
+    found = {r["model"]: pickle.loads(r["trees"]) for r in done.where("trees is not null").select("model", "trees").collect()}
+    for m, model in enumerate(models):
+        # a model without rows has empty trees, as it has by levels
+        model.trees += found.get(m) or [Tree.empty(model.spec.depth) for _ in range(model.spec.rounds)]
+    for k, r in enumerate(stops):
+        if at_round is not None:
+            at_round(r, done.where("trees is null").select(*table.columns, F.get("margins", F.lit(k)).alias("margin")))
+
+
 def fit_boosted(rows: DataFrame, specs: Sequence[BoostSpec], features: Sequence[str],
-                thresholds: Sequence[Sequence[float]], at_round=None, stops: Sequence[int] = ()) -> list[BoostedModel]:
+                thresholds: Sequence[Sequence[float]], at_round=None, stops: Sequence[int] = (),
+                local_rows: int = 0) -> list[BoostedModel]:
     """Fits model k by ``specs[k]`` on the rows with ``model`` = k and ``fit``.
 
     ``rows``: model int, fit boolean, y double (0 or 1), bins (see ``binned``)
     and any other columns.  ``at_round(r, scored)`` is called after the rounds
     in which some model ends with all rows and their ``margin``,
     and after the rounds ``stops``: the trees of fewer rounds are the first of
-    more."""
+    more.  ``local_rows``: rows of a model that a task may hold."""
     models = [BoostedModel(s, list(features), [list(t) for t in thresholds]) for s in specs]
     depth, last = max(s.depth for s in specs), max(s.rounds for s in specs)
     cells = len(specs) * (1 << (depth - 1)) * sum(len(t) + 1 for t in thresholds)
@@ -215,6 +297,11 @@ def fit_boosted(rows: DataFrame, specs: Sequence[BoostSpec], features: Sequence[
     shape = len(features), max(len(t) + 1 for t in thresholds)
     slots, stops = 2 << depth, {s.rounds for s in specs} | set(stops)
     columns = [f"`{c}`" for c in rows.columns]
+    if local_rows:
+        rows = cut_lineage(rows, "boosting")
+        if (rows.groupBy("model").count().agg(F.max("count")).first()[0] or 0) <= local_rows:
+            _fit_whole(rows, specs, models, shape, at_round, sorted(stops))
+            return models
     state = cut_lineage(rows.withColumn("margin", F.lit(0.0)), "boosting")
     steps = 0
     for r in range(1, last + 1):

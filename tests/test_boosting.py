@@ -120,3 +120,31 @@ def test_one_class_no_rows_and_constant_features(spark):
 def test_too_many_cells_are_refused(spark):
     with pytest.raises(ValueError):
         bo.fit_boosted(None, [bo.BoostSpec(1, 20)], FEATURES, [[0.0] * 31] * 3)
+
+
+def test_models_in_one_task_grow_as_levels_do(spark):
+    """The same trees and margins at every stop, models without rows included."""
+    rows, specs = data(), [bo.BoostSpec(5, 3, 0.3), bo.BoostSpec(2, 1, 1.0), bo.BoostSpec(5, 4, 0.5, gamma=0.5, min_child_weight=4.0), bo.BoostSpec(3, 2)]
+    thresholds, table = long_table(spark, rows, specs, F.col("id") % 3 != 0)
+    table = table.where("model < 3")
+
+    def grown(local_rows):
+        scored = {}
+        models = bo.fit_boosted(table, specs, FEATURES, thresholds, lambda r, s: scored.update({r: s}), [4], local_rows)
+        return models, {r: {(x["model"], x["id"]): x["margin"] for x in s.collect()} for r, s in scored.items()}
+
+    (want, at), (got, here) = grown(0), grown(len(rows))
+    assert sorted(here) == sorted(at) == [2, 3, 4, 5]
+    for r in at:
+        assert len(here[r]) == 3 * len(rows) and here[r] == pytest.approx(at[r], abs=1e-9)
+    for a, b in zip(want, got):
+        assert len(a.trees) == len(b.trees)
+        for s, t in zip(a.trees, b.trees):
+            assert (s.feature == t.feature).all() and (s.bin == t.bin).all() and abs(s.weight - t.weight).max() < 1e-9
+
+
+def test_no_job_a_level_for_small_models(spark, monkeypatch):
+    specs = [bo.BoostSpec(6, 3)] * 2
+    thresholds, table = long_table(spark, data(), specs, F.lit(True))
+    monkeypatch.setattr(bo, "_histograms", lambda *a: pytest.fail("a job a level"))
+    assert [len(m.trees) for m in bo.fit_boosted(table, specs, FEATURES, thresholds, local_rows=300)] == [6, 6]
