@@ -36,25 +36,42 @@ def role_code(flag: str = "l_returnflag", status: str = "l_linestatus"):
 _FRAMES: dict = {}
 
 
-def driver_frames(spark: SparkSession, sf_dir: str, *dimensions: str) -> DataFrame:
+def driver_frames(spark: SparkSession, sf_dir: str, *dimensions: str, tasks: int | None = None) -> DataFrame:
     """The stand-in frames as a lazy DataFrame: line items with their orders,
     and the ``dimensions`` (customer, part) whose columns the query uses.
     Spark cannot drop a left join to a side not known to be unique, so one
     that nothing uses would shuffle every row.  The plan object is reused
     within a session (nothing is cached in memory; every query still reads
-    the tables), which spares rebuilding and re-analysing the joins."""
-    key = (id(spark), sf_dir.rstrip("/"), dimensions)
+    the tables), which spares rebuilding and re-analysing the joins.
+
+    ``tasks``: dealt by order over so many tasks, which serves the join and any
+    window by play, instead of as many as the session says."""
+    key = (id(spark), sf_dir.rstrip("/"), dimensions, tasks)
     hit = _FRAMES.get(key)
     if hit is not None and hit.sparkSession is spark:
         return hit
-    _FRAMES[key] = out = _build_frames(spark, sf_dir, dimensions)
+    _FRAMES[key] = out = _build_frames(spark, sf_dir, dimensions, tasks)
     return out
 
 
-def _build_frames(spark: SparkSession, sf_dir: str, dimensions: tuple[str, ...]) -> DataFrame:
+#: Rows of a task of a whole sort.
+TASK_ROWS = 500_000
+
+
+def sort_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks for a window over all line items, so that what one sorts does not
+    grow with the table; None while there are no more than the session's cores."""
+    n = -(-read_table(spark, sf_dir, "lineitem").count() // TASK_ROWS)
+    return n if n > spark.sparkContext.defaultParallelism else None
+
+
+def _build_frames(spark: SparkSession, sf_dir: str, dimensions: tuple[str, ...], tasks: int | None = None) -> DataFrame:
     from huddle.operators.joins import join_left
 
-    out = join_left(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders"), [("l_orderkey", "o_orderkey")])
+    lines, orders = read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders")
+    if tasks:
+        lines, orders = lines.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
+    out = join_left(lines, orders, [("l_orderkey", "o_orderkey")])
     if "customer" in dimensions:
         out = join_left(out, read_table(spark, sf_dir, "customer"), [("o_custkey", "c_custkey")])
     if "part" in dimensions:

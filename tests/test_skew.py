@@ -83,3 +83,22 @@ def test_hot_names_are_few_and_their_rows_are_dealt(spark):
     for shares in (3, 10, 100, 1000):
         assert hot_keys(facts, ["name"], shares).count() <= shares
     assert hot_keys(facts.where("false"), ["name"]).count() == 0
+
+
+def test_whole_ranks_are_dealt_over_more_tasks_as_the_table_grows(spark, tmp_path, monkeypatch):
+    """Tasks follow from the rows, not from the session; the ranks are the same, null and repeated rows included."""
+    from huddle.plans import catalog
+    from huddle.sources import standin
+    orders = [(k, k % 7 if k % 5 else None, ["1-URGENT", "5-LOW", None][k % 3], "O", 10.0 * k) for k in range(40)]
+    lines = [(k % 41 if k % 11 else None, k % 13, k % 6, float(k % 9) if k % 8 else None, 1.0, 0.1, 0.2, "ANR"[k % 3], "FO"[k % 2]) for k in range(600)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_totalprice double").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines + lines[:50], "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_discount double, "
+                          "l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert standin.sort_tasks(spark, str(tmp_path)) is None
+    want = sorted(map(str, catalog.q_rank_in_role(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(standin, "TASK_ROWS", 50)
+    assert standin.sort_tasks(spark, str(tmp_path)) == 13
+    got = catalog.q_rank_in_role(spark, str(tmp_path))
+    assert sorted(map(str, got.collect())) == want and len(want) > 300
+    assert "hashpartitioning(l_orderkey" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 13), REPARTITION_BY_NUM" in plan
