@@ -21,6 +21,10 @@ Where the caller allows it (``local_rows``) and no model has more rows, each
 model grows whole in one task by the same histograms and the same choice of
 splits, without a job a level; the models are spread over the tasks.
 
+First-order boosting (``first_order_accuracies``, below) is MLlib's: log loss
+of labels -1 and 1, regression trees by variance on the gradients, the first
+tree with weight 1.  A model's rows are held by one task, its trees need no job.
+
 Gradients and Hessians are summed as fixed-point integers, so the sums, and
 with them the trees, do not depend on partitions or order.  Equal gains go to
 the first feature, then to the lowest threshold.
@@ -325,3 +329,116 @@ def fit_boosted(rows: DataFrame, specs: Sequence[BoostSpec], features: Sequence[
         if at_round is not None and r in stops:
             at_round(r, state)
     return models
+
+
+def variance_splits(x: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Up to ``bins`` - 1 cuts of a feature, as MLlib takes them from a sample
+    that is the whole: midpoints of all neighbours, or of those next to the
+    multiples of an equal share of the rows."""
+    values, counts = np.unique(x, return_counts=True)
+    middle = (values[:-1] + values[1:]) / 2.0
+    if len(middle) < bins:
+        return middle
+    stride, out, target = len(x) / bins, [], len(x) / bins
+    before = np.cumsum(counts)
+    for k in range(1, len(values)):
+        if abs(before[k - 1] - target) < abs(before[k] - target):
+            out.append(middle[k - 1])
+            target += stride
+    return np.array(out)
+
+
+def _variance_tree(spec: BoostSpec, bins: np.ndarray, g: np.ndarray, n_fit: int, width: int) -> np.ndarray:
+    """Every row's leaf value of one regression tree on the first ``n_fit``
+    rows.  Of two children the smaller is counted, the other is the rest."""
+    (p, n), size = bins.shape, 2 << spec.depth
+    flat, node, value = bins.reshape(-1), np.ones(n, np.int64), np.zeros(size)
+    feature, cut, slot = np.full(size, -1), np.zeros(size, np.int64), np.full(size, -1)
+    places = np.arange(n)
+
+    def counted(on: np.ndarray | slice, at: np.ndarray | int, slots: int) -> tuple[np.ndarray, np.ndarray]:
+        c, s = (np.empty((slots, p, width)) for _ in range(2))
+        for f in range(p):
+            code = at + bins[f, on].astype(np.int64)
+            c[:, f] = np.bincount(code, minlength=slots * width).reshape(slots, width)
+            s[:, f] = np.bincount(code, g[on], slots * width).reshape(slots, width)
+        return c, s
+
+    heap, (c, s) = np.array([1]), counted(slice(n_fit), 0, 1)
+    value[1] = s[0, 0].sum() / c[0, 0].sum()
+    for level in range(spec.depth):
+        cl, sl = np.cumsum(c, axis=2), np.cumsum(s, axis=2)
+        whole, total = cl[:, :1, -1:], sl[:, :1, -1:]
+        cr, sr = whole - cl, total - sl
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = (sl ** 2 / cl + sr ** 2 / cr - total ** 2 / whole) / whole / STEPS ** 2
+        gain[(cl < 1) | (cr < 1)] = 0.0
+        gain = gain.reshape(len(heap), -1)
+        best = gain.argmax(1)
+        split = np.flatnonzero(gain[np.arange(len(heap)), best] > 1e-12)
+        if not len(split):
+            break
+        k, (f, b) = heap[split], np.divmod(best[split], width)
+        feature[k], cut[k] = f, b
+        n_l, s_l, n_r, s_r = (v[split, f, b] for v in (cl, sl, cr, sr))
+        value[2 * k], value[2 * k + 1] = s_l / n_l, s_r / n_r
+        f_row = feature[node]
+        node = np.where(f_row >= 0, 2 * node + (flat.take(np.maximum(f_row, 0) * n + places) > cut[node]), node)
+        if level + 1 == spec.depth:
+            break
+        right = n_r < n_l
+        slot[:] = -1
+        slot[2 * k + right] = np.arange(len(k))
+        at = slot[node[:n_fit]]
+        on = np.flatnonzero(at >= 0)
+        c1, s1 = counted(on, at[on] * width, len(k))
+        c2, s2 = c[split] - c1, s[split] - s1
+        heap, c, s = np.r_[2 * k + right, 2 * k + 1 - right], np.r_[c1, c2], np.r_[s1, s2]
+    return value[node] / STEPS
+
+
+def _first_order_hits(spec: BoostSpec, x: list[np.ndarray], y: np.ndarray, n_fit: int, stops: Sequence[int]) -> list[int]:
+    """How many of the rows after the first ``n_fit``, on which one model
+    grows, it gets right after the rounds ``stops``."""
+    if any(np.isnan(v).any() for v in x):
+        raise ValueError("features with null or NaN")
+    bins = np.empty((len(x), len(y)), np.uint8)
+    for k in range(len(x)):
+        bins[k] = np.searchsorted(variance_splits(x[k][:n_fit]), x[k])
+        x[k] = None
+    width, sign, margin, out = int(bins.max(initial=0)) + 1, 2.0 * y - 1.0, np.zeros(len(y)), {}
+    for r in range(1, max(stops) + 1):
+        with np.errstate(over="ignore"):
+            pull = sign if r == 1 else 4.0 * sign / (1.0 + np.exp(2.0 * sign * margin))
+        margin = margin + (1.0 if r == 1 else spec.rate) * _variance_tree(spec, bins, np.rint(pull * STEPS), n_fit, width)
+        if r in stops:
+            out[r] = int(((margin[n_fit:] > 0) == (y[n_fit:] > 0.5)).sum())
+    return [out[r] for r in stops]
+
+
+def first_order_accuracies(rows: DataFrame, specs: Sequence[BoostSpec], features: Sequence[str], stops: Sequence[int]) -> dict[tuple[int, int], float]:
+    """Accuracy on its rows without ``fit`` of every model and number of
+    rounds of ``stops``; 0 where it has no such rows.  ``rows``: model int,
+    fit boolean, y double (0 or 1) and the features; a task holds a model's."""
+    names = [f"_x{k}" for k in range(len(features))]
+    rows = rows.select("model", "fit", "y", *[F.col(f).cast("double").alias(n) for f, n in zip(features, names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        held.clear()
+        m, fit = table.column("model")[0].as_py(), table.column("fit").to_numpy()
+        order = np.argsort(~fit.astype(bool), kind="stable")
+        x, n_fit = [], int(fit.sum())
+        y = table.column("y").to_numpy()[order]
+        for n in names:
+            x.append(table.column(n).to_numpy().astype(float)[order])
+            table = table.drop_columns([n])
+        hits = _first_order_hits(specs[m], x, y, n_fit, stops)
+        yield pa.record_batch([pa.array([m] * len(stops), pa.int32()), pa.array(stops, pa.int32()), pa.array(hits, pa.int64()),
+                               pa.array([len(y) - n_fit] * len(stops), pa.int64())], ["model", "rounds", "hits", "n"])
+
+    found = rows.repartitionById(len(specs), F.col("model")).mapInArrow(run, "model int, rounds int, hits long, n long").collect()
+    return {(r["model"], r["rounds"]): r["hits"] / r["n"] if r["n"] else 0.0 for r in found}

@@ -4,7 +4,9 @@ import math
 import random
 from statistics import NormalDist
 
+import numpy as np
 import pytest
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from huddle.layout import DRIVER
@@ -146,3 +148,31 @@ def test_importances_of_all_features(spark):
     got = {r["feature"]: r["importance"] for r in models.forest_importances(data, [*FEATURES, "same"], "run_dir", DRIVER.keys, models.ForestSpec(9, 4)).collect()}
     assert set(got) == {*FEATURES, "same"} and got["same"] == 0.0
     assert sum(got.values()) == pytest.approx(1) and min(got["a"], got["b"]) > got["c"]
+
+
+def test_gradient_grid_is_that_of_mllib_without_its_jobs(spark, monkeypatch):
+    """Same folds, cuts, trees and accuracies as MLlib's fits; one job for all points and folds and one for the refit."""
+    rnd = random.Random(9)
+    rows = []
+    for k in range(300):
+        a, b, c = rnd.random(), rnd.random(), float(rnd.randrange(5))
+        rows.append((k, k % 7, "right" if a * b + rnd.random() / 5 > 0.35 else "left", a, b, c))
+    data = spark.createDataFrame(rows, "o_custkey long, l_orderkey long, run_dir string, a double, b double, c double")
+    monkeypatch.setattr(models, "grid", lambda fam, est, n=1: ParamGridBuilder().addGrid(
+        est.maxIter, [1, 3]).addGrid(est.stepSize, [0.3]).addGrid(est.maxDepth, [1, 2]).build())
+    calls, grow, found = [], models.first_order_accuracies, {}
+    monkeypatch.setattr(models, "first_order_accuracies", lambda rows, specs, *a: calls.append(len(specs)) or grow(rows, specs, *a))
+    for limit in (models.GRADIENT_ROWS, 0):
+        monkeypatch.setattr(models, "GRADIENT_ROWS", limit)
+        found[limit], = models.grid_search(spark, data, FEATURES, "run_dir", DRIVER.keys, ["GradientBoosting"]).collect()
+    assert calls == [6, 1]
+    new, old = found.values()
+    assert new == old and new["cv_accuracy"] > 0.7
+
+
+def test_variance_splits_are_between_values():
+    from huddle.operators.boosting import variance_splits
+    assert variance_splits(np.array([3.0, 1.0, 1.0, 2.0])).tolist() == [1.5, 2.5]
+    assert variance_splits(np.array([4.0, 4.0])).tolist() == []
+    many = variance_splits(np.arange(6400.0))
+    assert len(many) == 31 and many[0] == 199.5 and many[-1] == 6199.5
