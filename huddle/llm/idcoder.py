@@ -11,12 +11,13 @@ order 2 each predict one id: the last one seen in the block after the same id,
 or the same two ids, with a class that tells how often in a row the prediction
 held.  For each order and class, hits among trials give the probability that
 such a prediction is right.  The three are mixed into one distribution: order
-2 gets its probability ``f2``, order 1 ``(1 - f2) * p1`` (nothing where both
-predict the same id), order 0 the rest.  Predicted ids follow every step;
-probabilities are worked out anew every few steps (``_chunks``).
+2 gets its probability of a range, order 1 its own of what is left (nothing
+where both predict the same id), order 0 the rest.  Predicted ids follow every
+step; probabilities are worked out anew every few steps (``_chunks``).
 
-Coder: range coder with 48-bit ranges that puts out 24-bit words; carries are
-added to the words before when all are known.
+Coder: range coder with ranges up to 52 bits that puts out 24-bit words;
+carries are added to the words before when all are known.  Ranges and codes
+are whole numbers in doubles, which hold them exactly.
 
 Segment layout, little-endian: magic ``TIDS``, uint32 version, number of ids,
 ids per block, number of blocks, length of the table of frequencies; that
@@ -32,25 +33,26 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"TIDS", 3
+MAGIC, VERSION = b"TIDS", 4
 BLOCK = 2048
 #: Blocks that are coded side by side, about.
-LANES = 1024
+LANES = 3072
+MAX_LANES = (1 << 12) - 1         # an entry of ``_Model.seen`` tells so many apart
 MAX_ID = (1 << 16) - 2
 
-_SLOTS = 10                       # bits of an order's table in a lane
-_SCALE = 22                       # bits of a probability
+_SLOTS = 1 << 10                  # places of an order's table in a lane
+_SCALE = 22                       # bits of an order 0 share
 _ONE = 1 << _SCALE
-_WORD = 24                        # bits of a word; a range holds two
-_FULL, _LEAST_RANGE, _LOW = 1 << 2 * _WORD, 1 << _WORD, (1 << _WORD) - 1
+_WORD = 24                        # bits of a word; the first range holds two
+_LEAST_RANGE, _LOW = float(1 << 28), (1 << _WORD) - 1
 #: least share of an id in order 0; with the largest share that the others
-#: take (see ``_MOST``), every id keeps a share of one at least
+#: take (see ``_MOST``), every range goes back over the least with one word
 _LEAST = 16
 #: least and first probabilities of a prediction by class (0: none yet), in
 #: 64ths, and the largest ones; by order
 _GUESS = np.array([[0, 4, 20, 40], [0, 20, 45, 58]])
-_MOST = np.array([_ONE // 2, _ONE * 7 // 8])
-_RARE = _ONE >> 10
+_MOST = np.array([1 / 2, 7 / 8])
+_RARE = 1 / 1024
 
 
 def _chunks(steps: int) -> list[tuple[int, int]]:
@@ -61,50 +63,44 @@ def _chunks(steps: int) -> list[tuple[int, int]]:
 
 class _Model:
     """The tables of both orders lie side by side: order 1 in the first
-    ``lanes`` columns, order 2 in the others."""
+    ``lanes`` columns, order 2 in the others.  An entry of ``seen`` is an id
+    and, above its 16 bits, the cell of the prediction's class and column."""
 
     def __init__(self, lanes: int):
         self.lanes = lanes
-        self.column = np.arange(2 * lanes)
-        self.base = (self.column << _SLOTS).reshape(2, lanes)
-        self.seen = np.zeros(2 * lanes << _SLOTS, np.int32)
-        # hits and trials of each class: 16 bits each in one integer
-        self.trials, self.hits = np.zeros(2 * lanes, np.int64), np.zeros(2 * lanes, np.int64)
-        self.right = np.zeros((4, 2 * lanes), np.int64)
+        column = np.arange(2 * lanes, dtype=np.int32)
+        self.base = np.arange(2 * lanes) * _SLOTS
+        self.seen = np.repeat(column << 16, _SLOTS)
+        self.next = np.int32(2 * lanes << 16)
+        self.first, self.last = (np.int32(c) * self.next + (column << 16) for c in (1, 3))
+        self.trials, self.hits = np.zeros(8 * lanes, np.int64), np.zeros(8 * lanes, np.int64)
+        self.right = np.zeros((4, 2 * lanes))
 
     def refresh(self) -> None:
         """Probabilities from all that was seen so far."""
-        most = np.repeat(_MOST, self.lanes)
-        for c in (1, 2, 3):
-            n, h = (x >> 16 * c & 0xFFFF for x in (self.trials, self.hits))
-            guess = np.repeat(_GUESS[:, c], self.lanes)
-            self.right[c] = np.clip((h * 16 + guess << _SCALE) // (n * 16 + 64), _RARE, most)
+        n, h = (x.reshape(4, -1)[1:] for x in (self.trials, self.hits))
+        guess = np.repeat(_GUESS[:, 1:].T, self.lanes, axis=1)
+        self.right[1:] = np.clip((h * 16 + guess) / (n * 16 + 64), _RARE, np.repeat(_MOST, self.lanes))
 
     def slots(self, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
         """Places in ``seen`` after the ids ``before`` and ``before2``."""
-        one = before * 40503
-        mask = (1 << _SLOTS) - 1
-        return np.concatenate([(one >> 4 & mask) + self.base[0], (before2 * 52711 + one >> 5 & mask) + self.base[1]], axis=-1)
+        at = np.empty((*before.shape[:-1], 2 * self.lanes), np.int64)
+        one, two = at[..., :self.lanes], at[..., self.lanes:]
+        one[:] = before
+        np.multiply(before2, 421, out=two)
+        two += before
+        at &= _SLOTS - 1
+        at += self.base
+        return at
 
-    def shares(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids that order 1 and 2 predict, the share of order 2, and both
-        orders' shares together."""
-        ids = found & 0xFFFF
-        p = self.right.reshape(-1).take((found >> 16) * (2 * self.lanes) + self.column)
-        id1, id2, f2 = ids[..., :self.lanes], ids[..., self.lanes:], p[..., self.lanes:]
-        f1 = ((_ONE - f2) * p[..., :self.lanes] >> _SCALE) * (id1 != id2)
-        return id1, id2, f2, f1 + f2
-
-    def renew(self, at: np.ndarray, found: np.ndarray, twice: np.ndarray) -> None:
+    def renew(self, at: np.ndarray, found: np.ndarray, hit: np.ndarray, twice: np.ndarray) -> None:
         """``twice``: the step's ids, once for each order."""
-        held = ((found & 0xFFFF) == twice) * np.minimum(found >> 16, 2)
-        self.seen[at] = twice + (held + 1 << 16)
+        held = np.minimum(found + self.next, twice + self.last)
+        self.seen[at] = np.where(hit, held, twice + self.first)
 
-    def tally(self, found: np.ndarray, twice: np.ndarray) -> None:
-        one = np.left_shift(1, found >> 16 << 4, dtype=np.int64)
-        hit = one * ((found & 0xFFFF) == twice)
-        self.trials += one if one.ndim == 1 else one.sum(0)
-        self.hits += hit if hit.ndim == 1 else hit.sum(0)
+    def tally(self, cells: np.ndarray, hit: np.ndarray) -> None:
+        self.trials += np.bincount(cells.reshape(-1), minlength=len(self.trials))
+        self.hits += np.bincount(cells[hit], minlength=len(self.hits))
 
 
 def _cumulated(counts: np.ndarray) -> np.ndarray:
@@ -121,37 +117,49 @@ def _encode(ids: np.ndarray, cum: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     model = _Model(lanes)
     padded = np.zeros((steps + 2, lanes), np.int32)
     padded[2:] = ids.T
-    x = padded[2:]
-    low, rng = np.zeros(lanes, np.int64), np.full(lanes, _FULL)
+    below, share = cum[:-1].astype(float), np.diff(cum).astype(float)
+    low, rng = np.zeros(lanes), np.full(lanes, float(1 << 2 * _WORD))
     top, out = np.empty((steps, lanes), np.int32), np.empty((steps, lanes), bool)
     for a, b in _chunks(steps):
         model.refresh()
+        x = padded[a + 2:b + 2].astype(np.int64)
         at = model.slots(padded[a + 1:b + 1], padded[a:b])
-        twice = np.concatenate([x[a:b], x[a:b]], axis=1)
+        twice = np.concatenate([x, x], axis=1).astype(np.int32)
         found = np.empty((b - a, 2 * lanes), np.int32)
+        hit = np.empty((b - a, 2 * lanes), bool)
         for k in range(b - a):
             found[k] = model.seen.take(at[k])
-            model.renew(at[k], found[k], twice[k])
-        id1, id2, f2, f12 = model.shares(found)
-        two = (x[a:b] == id2) & (f2 > 0)
-        one = (x[a:b] == id1) & (f12 > f2) & ~two
-        rest = _ONE - f12
-        start = f12 + (cum.take(x[a:b]) * rest >> _SCALE)
-        end = f12 + (cum.take(x[a:b] + 1) * rest >> _SCALE)
-        start = np.where(two, 0, np.where(one, f2, start))
-        share = np.where(two, f2, np.where(one, f12, end)) - start
+            np.equal(found[k] & 0xFFFF, twice[k], out=hit[k])
+            model.renew(at[k], found[k], hit[k], twice[k])
+        cells = found >> 16
+        p = model.right.reshape(-1).take(cells)
+        p1, p2 = p[:, :lanes], p[:, lanes:]
+        p1 *= (found[:, :lanes] ^ found[:, lanes:]) & 0xFFFF != 0
+        two = hit[:, lanes:] & (p2 > 0)
+        one = hit[:, :lanes] & (p1 > 0) & ~two
+        rest = ~(two | one)
+        start, width = below.take(x) * rest, share.take(x) * rest
+        # parts of the ranges of order 2 and 1 that lie below the id's own, or are it
+        under2, in2, under1, in1 = (m.astype(float) for m in (~two, two, rest, one))
         for k in range(b - a):
-            r = rng >> _SCALE
-            low += r * start[k]
-            rng = r * share[k]
+            w2 = np.floor(rng * p2[k])
+            rng -= w2
+            w1 = np.floor(rng * p1[k])
+            rng -= w1
+            r = np.floor(rng * (1 / _ONE))
+            low += w2 * under2[k] + w1 * under1[k] + r * start[k]
+            rng = w2 * in2[k] + w1 * in1[k] + r * width[k]
             small = np.less(rng, _LEAST_RANGE, out=out[a + k])
-            word = low >> _WORD
+            word = np.floor(low * (1 / (1 << _WORD)))
             top[a + k] = word
-            shift = small * np.int64(_WORD)
-            low = low - (word * small << _WORD) << shift
-            rng <<= shift
-        model.tally(found, twice)
-    last = np.stack([low >> _WORD, low & _LOW]).astype(np.int32)
+            word *= small
+            low -= word * (1 << _WORD)
+            shift = small * float(_LOW) + 1
+            low *= shift
+            rng *= shift
+        model.tally(cells, hit)
+    word = np.floor(low * (1 / (1 << _WORD)))
+    last = np.stack([word, low - word * (1 << _WORD)]).astype(np.int32)
     top, out = np.concatenate([top, last]).T, np.concatenate([out, np.ones((2, lanes), bool)]).T
     words = top[out]
     while (carry := words >> _WORD).any():
@@ -164,44 +172,56 @@ def _decode(words: np.ndarray, n_words: np.ndarray, cum: np.ndarray, steps: int)
     """The ids of ``_encode``, lanes x steps."""
     lanes = len(n_words)
     model, out = _Model(lanes), np.zeros((steps + 2, lanes), np.int32)
-    last, words = len(words) - 1, words.astype(np.int64)
+    words = words.astype(float)
     at = np.cumsum(n_words) - n_words + 2
-    code = words.take(at - 2) << _WORD | words.take(at - 1)
-    rng = np.full(lanes, _FULL)
-    ends = cum[1:]
+    code = words.take(at - 2) * (1 << _WORD) + words.take(at - 1, mode="clip")
+    rng = np.full(lanes, float(1 << 2 * _WORD))
+    below, share = cum[:-1].astype(float), np.diff(cum)
+    place, share = np.repeat(np.arange(len(share), dtype=np.uint16), share), share.astype(float)
+    twice, right = np.empty(2 * lanes, np.int32), model.right.reshape(-1)
+    kept, hits = np.empty((16, 2 * lanes), np.int32), np.empty((16, 2 * lanes), bool)
     for a, b in _chunks(steps):
         model.refresh()
         for t in range(a, b):
             slot = model.slots(out[t + 1], out[t])
             found = model.seen.take(slot)
-            id1, id2, f2, f12 = model.shares(found)
-            rest = _ONE - f12
-            r = rng >> _SCALE
-            # all quotients are of numbers below 2 ** 48, so doubles give them exactly
-            v = np.minimum(np.true_divide(code, r), _ONE - 1).astype(np.int64)
-            two, hit = v < f2, v < f12
-            most = np.true_divide((np.maximum(v - f12, 0) + 1 << _SCALE) - 1, rest).astype(np.int64)
-            x = ends.searchsorted(most, "right")
-            start = np.where(hit, np.where(two, 0, f2), f12 + (cum.take(x) * rest >> _SCALE))
-            end = np.where(hit, np.where(two, f2, f12), f12 + (ends.take(x) * rest >> _SCALE))
-            code -= r * start
-            rng = r * (end - start)
-            small = rng < _LEAST_RANGE
-            shift = small * np.int64(_WORD)
-            rng <<= shift
-            code = (code << shift) + words.take(np.minimum(at, last)) * small
+            ids, cells, hit = found & 0xFFFF, kept[t - a], hits[t - a]
+            np.right_shift(found, 16, out=cells)
+            p = right.take(cells)
+            p1, p2, id1, id2 = p[:lanes], p[lanes:], ids[:lanes], ids[lanes:]
+            p1 *= id1 != id2
+            w2 = np.floor(rng * p2)
+            rng -= w2
+            w1 = np.floor(rng * p1)
+            rng -= w1
+            r = np.floor(rng * (1 / _ONE))
+            after2 = code - w2
+            after1 = after2 - w1
+            # all quotients are of numbers up to 2 ** 52, so doubles give their whole part exactly
+            x = place.take(np.true_divide(after1, r).astype(np.int64), mode="clip").astype(np.int64)
+            rest = after1 - r * below.take(x)
+            width = r * share.take(x)
+            for mask, i, c, w in ((after1 < 0, id1, after2, w1), (after2 < 0, id2, code, w2)):
+                np.copyto(x, i, where=mask)
+                np.copyto(rest, c, where=mask)
+                np.copyto(width, w, where=mask)
+            small = width < _LEAST_RANGE
+            shift = small * float(_LOW) + 1
+            rng = width * shift
+            code = rest * shift + words.take(at, mode="clip") * small
             at += small
-            x = np.where(hit, np.where(two, id2, id1), x).astype(np.int32)
             out[t + 2] = x
-            twice = np.concatenate([x, x])
-            model.renew(slot, found, twice)
-            model.tally(found, twice)
+            twice[:lanes] = x
+            twice[lanes:] = x
+            np.equal(ids, twice, out=hit)
+            model.renew(slot, found, hit, twice)
+        model.tally(kept[:b - a], hits[:b - a])
     return out[2:].T
 
 
 def _groups(lanes: int) -> list[tuple[int, int]]:
     """Lanes in equal groups of about ``LANES``."""
-    n = max(1, round(lanes / LANES))
+    n = max(1, round(lanes / LANES), -(-lanes // MAX_LANES))
     edges = [lanes * k // n for k in range(n + 1)]
     return list(zip(edges, edges[1:]))
 

@@ -159,6 +159,26 @@ def test_even_texts_are_those_without_an_uneven_place():
         assert token_files.even(x) == (not token_files._UNEVEN.search(x))
 
 
+def test_piece_table_is_the_tokenizer(monkeypatch):
+    path, rnd = bpe.vocabulary_path(token_files.BYTE_VOCAB), random.Random(8)
+    tok, table = bpe.tokenizer(path), token_files.PieceTable(path, 300)
+    assert table.direct
+    signs = ["a", "B", "he", "é", "ß", "×", "÷", "ō", "ª", "Ã", "1", "42", "²", "$$$", "&&&", "'s", "'", "_", "-", "“", "漢", "\x00", "\x7f", "\u0130",
+             "<|endoftext|>", "<|", " ", " ", " ", "  ", "\n", "\t", ".", ",", "\u00a0", "ÿ", "Ġ", "😀", "thing", " the"]
+    for _ in range(60):
+        texts = ["".join(rnd.choices(signs, k=rnd.randrange(14))) for _ in range(40)]
+        ids, n = token_files.encoded(texts, table)
+        want = [tok.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+        assert n.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
+        assert len(table.ids) <= 300 + 40 * 14
+    words = {"".join(rnd.choices("abcdefghéü", k=8)).encode() for _ in range(500)}
+    each = token_files.PieceTable(path)
+    monkeypatch.setattr(each, "_learn_each", None)  # invented words need no Encoding each
+    each.learn([b" " + w for w in words] + [b" " + w + b"$$$" for w in words])
+    assert all(each.ids[b" " + w] == np.array(tok.encode(" " + w.decode()).ids, "<u4").tobytes() for w in words)
+
+
 def test_range_coder_codes_lanes_in_groups(monkeypatch):
     ids = np.random.default_rng(2).zipf(1.3, 9000) % 65535
     monkeypatch.setattr(idcoder, "LANES", 5)
