@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -84,6 +84,8 @@ def cut(text: str) -> bytes:
 #: Distinct pieces that a task keeps; the fewer, the more often they are
 #: encoded again.
 TABLE_PIECES = 500_000
+#: Bytes of text whose pieces are numbered together, about.
+BLOCK = 4 << 20
 #: What the byte-level pre-tokenizer's pattern finds in UTF-8 of these
 #: characters alone, which are letters (A-Z, a-z, U+00C0 to U+00FF: byte C3 and
 #: another), digits and symbols in any Unicode version; without the apostrophe,
@@ -125,13 +127,19 @@ class PieceTable(WordTable):
             self.model, self.end = Tokenizer(self.tok.model), vocab[self.between]
             self.code_points = np.array([ord(c) for c in letters], "<u4")
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        lacking = [w for w in words if w not in self.ids]
+    def codes(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of the distinct ``words``."""
+        found = list(map(self.ids.get, words))
+        lacking = [w for w, x in zip(words, found) if x is None]
         if not lacking:
-            return
+            return found
         if len(self.ids) + len(lacking) > self.limit:
             # words that came up again stay
-            self.ids = {w: self.ids[w] for w in words if w in self.ids}
+            self.ids = {w: x for w, x in zip(words, found) if x is not None}
+        self.learn(lacking)
+        return [self.ids[w] if x is None else x for w, x in zip(words, found)]
+
+    def learn(self, lacking: list[bytes]) -> None:
         if not self.direct:
             return self._learn_each(lacking)
         # each of these is a pre-token, alone or in a piece
@@ -183,8 +191,7 @@ def encoded(texts: list[str], table: PieceTable) -> tuple[np.ndarray, np.ndarray
     lists = pc.split_pattern(pa.array(list(map(cut, texts)), pa.large_binary()), CUT)
     pieces = lists.flatten().dictionary_encode()
     which, words = pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-    table.learn(words)
-    codes = list(map(table.ids.__getitem__, words))
+    codes = table.codes(words)
     n = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
     known, start = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(n) - n
     sizes = n[which]
@@ -210,7 +217,7 @@ def _write(path: str, segment: int):
             state.update(n=state["n"] + 1, doc_ids=[], ids=[], held=0)
             return row
 
-        for block in blocks(batches):
+        for block in blocks(batches, size=BLOCK):
             all_ids, lengths = encoded(block["text"], table)
             for doc_id, ids in zip(block["doc_id"], np.split(all_ids, np.cumsum(lengths)[:-1])):
                 state["doc_ids"].append(doc_id)
