@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,12 @@ MAX_NODES = 1_000_000
 MAX_DENSE = 2_000_000
 #: (row, tree) pairs that a task looks at together.
 SLICE = 1_000_000
-#: Rows of a model (about 100 bytes each) that a task may hold for a block of trees.
-LOCAL_ROWS = 1 << 18
+#: Rows of a model (about 250 bytes each) that a task may hold for a block of trees.
+LOCAL_ROWS = 1 << 21
 #: Trees of a block at most.
-BLOCK = 64
+BLOCK = 256
+#: A count of rows and their weight in one number, exact in a double: weights are 9 at most.
+UNIT = 1 << 26
 KEY = ("model", "tree", "node")
 
 
@@ -71,8 +74,10 @@ class Forests:
     number), feature and threshold (null at leaves: a row goes left if its
     value is at most the threshold), gain, rows (distinct), weight, share (of
     the positive label).  ``said``: model, row, y, said, the probabilities by
-    some of the model's trees; every tree is in one of a held-out row's lists."""
-    nodes: DataFrame
+    some of the model's trees, and their number; every tree is in one of a
+    held-out row's lists.  Where only the scores were asked for, there are no
+    nodes, and ``said`` may hold the sum of its trees' probabilities instead."""
+    nodes: DataFrame | None
     said: DataFrame
 
     @property
@@ -83,7 +88,7 @@ class Forests:
     def predictions(self) -> DataFrame:
         """model, row, y, p (mean over the trees), hit."""
         total = F.aggregate("said", F.lit(0.0), lambda a, p: a + p)
-        out = self.said.groupBy("model", "row").agg(F.max("y").alias("y"), (F.sum(total) / F.sum(F.size("said"))).alias("p"))
+        out = self.said.groupBy("model", "row").agg(F.max("y").alias("y"), (F.sum(total) / F.sum("number")).alias("p"))
         return out.withColumn("hit", (F.col("p") > 0.5) == (F.col("y") == 1))
 
     def accuracy(self) -> DataFrame:
@@ -432,7 +437,7 @@ def _grow_long(state: DataFrame, nodes: DataFrame, settings: DataFrame | dict[st
     while True:
         moved = _routed(state, nodes)
         moved = cut_lineage(moved, "forest-rows", moved.schema)
-        votes.append(moved.where("done").select("model", "row", "y", F.array("p").alias("said")))
+        votes.append(moved.where("done").select("model", "row", "y", F.array("p").alias("said"), F.lit(1).alias("number")))
         state = moved.where("not done").drop("done", "p")
         if state.where("fit").isEmpty():
             return
@@ -475,191 +480,360 @@ def feature_orders(tree: np.ndarray, node: np.ndarray, n_features: int, seed: in
     with np.errstate(over="ignore"):
         h = _xxhash64(np.full(len(tree), seed), np.full(len(tree), 42, np.uint64), False)
         h = _xxhash64(node, _xxhash64(tree, h, False), True)
-        h = _xxhash64(np.tile(np.arange(n_features), (len(tree), 1)), h[:, None], False)
-    return np.argsort(h.view(np.int64), axis=1, kind="stable")
+        h = _xxhash64(np.tile(np.arange(n_features), (len(tree), 1)), h[:, None], False).view(np.int64)
+    low = (1 << n_features.bit_length()) - 1
+    keys = np.sort(h & ~low | np.arange(n_features), axis=1)
+    if (keys[:, 1:] & ~low == keys[:, :-1] & ~low).any():
+        return np.argsort(h, axis=1, kind="stable")
+    return keys & low
 
 
 def _impurity(n: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """``_gini`` of arrays."""
-    return np.divide(2.0 * s * (n - s), n, out=np.zeros(len(n)), where=n > 0)
-
-
-def _grow_here(bins: np.ndarray, y: np.ndarray, fit: np.ndarray, w: np.ndarray, trees: np.ndarray,
-               spec: tuple[int, int, int, int], width: int, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The trees of a block on all rows of their model: the node table as
-    columns (tree, node, f, b, gain, c, n, s; f -1 at leaves), and each row's
-    probability by tree (NaN for rows that are fit on)."""
-    depth, min_split, min_leaf, n_try = spec
-    p, said, found = bins.shape[1], np.full(w.shape, np.nan), []
-    r, t = np.nonzero(~fit[:, None] | (w > 0))
-    held, code_of_row = ~fit[r], w[r, t].astype(np.int64) << 1 | y[r]
-    at, tree, node = t, trees.astype(np.int64), np.ones(len(trees), np.int64)
-    tried, level = np.zeros(len(trees), np.int64), np.zeros(len(trees), np.int64)
-
-    def may(level, c, n, s):
+    """``_gini`` of arrays, n above 0."""
+    return 2.0 * s * (n - s) / n
+
+
+def _cells_of(code: np.ndarray, held: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells that occur in ``code`` (cell and label as 2 * cell + y), in
+    order, their rows and weight (``held``, in units) and positive weight."""
+    if 2 * size <= max(4 * len(code), 1 << 16):
+        sums = np.bincount(code, held, 2 * size).astype(np.int64).reshape(size, 2)
+        both = sums[:, 0] + sums[:, 1]
+        cell = np.flatnonzero(both)
+        return cell, both[cell], sums[cell, 1] & (UNIT - 1)
+    order = np.argsort(code)
+    code, held = code[order], held[order].astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, code[1:] >> 1 != code[:-1] >> 1])
+    return code[starts] >> 1, np.add.reduceat(held, starts), np.add.reduceat((held & (UNIT - 1)) * (code & 1), starts)
+
+
+def _look(values: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``values[at]`` in the first places of ``out``; faster than indexing."""
+    return values.take(at, out=out[:len(at)], mode="clip")
+
+
+class _Trees:
+    """Trees of one model, their open nodes and the rows at them; ``bins``,
+    twice each row's bins, row by row, so that code 2 * cell + y is a sum.
+    ``w``: by tree the weights of the rows ``own``; ``held``: those that vote."""
+
+    def __init__(self, bins: np.ndarray, y: np.ndarray, own: np.ndarray, w: Sequence[np.ndarray], held: np.ndarray, trees: np.ndarray,
+                 spec: tuple[int, int, int, int], widths: np.ndarray, seed: int):
+        self.flat, self.p, self.spec, self.widths, self.seed = bins.reshape(-1), bins.shape[1], spec, widths, seed
+        taken = [np.flatnonzero(x) for x in w]
+        on, c = np.concatenate([own[x] for x in taken]), np.array([len(x) for x in taken])
+        self.at, self.pos, self.y = np.repeat(np.arange(len(w)), c), on * self.p, y[on].astype(np.int64)
+        self.w = np.concatenate([v[x] for v, x in zip(w, taken)]) + float(UNIT)
+        self.held_at, self.held_pos = np.repeat(np.arange(len(w)), len(held)), np.tile(held * self.p, len(w))
+        self.held = np.arange(len(self.held_at))
+        self.said = np.full(len(self.held), np.nan)
+        most = max(len(on), len(self.held))
+        self.codes, self.places, self.found = (np.empty(most, kind) for kind in (np.int64, np.int64, bins.dtype))
+        n, s = (np.bincount(self.at, x, len(w)).astype(np.int64) for x in (self.w - UNIT, (self.w - UNIT) * self.y))
+        self.tree, self.node, self.tried, self.level = trees.astype(np.int64), *(np.full(len(w), v) for v in (1, 0, 0))
+        opens = self.may(self.level, c, n, s)
+        leaf = np.flatnonzero((c > 0) & ~opens)
+        none = np.full(len(leaf), -1)
+        self.roots = [self.tree[leaf], self.node[leaf], none, none, np.full(len(leaf), np.nan), c[leaf], n[leaf], s[leaf]]
+        share = np.full(len(w), np.nan)
+        share[leaf] = s[leaf] / n[leaf]
+        kept = np.flatnonzero(opens)
+        to = np.full(len(w), -1)
+        to[kept] = np.arange(len(kept))
+        self._move(np.repeat(to, 2), np.repeat(share, 2), 2 * self.at, 2 * self.held_at)
+        self.tree, self.node, self.tried, self.level = (x[kept] for x in (self.tree, self.node, self.tried, self.level))
+        self.sums = [x[kept] for x in (c, n, s)]
+
+    def _move(self, to: np.ndarray, share: np.ndarray, own: np.ndarray, held: np.ndarray) -> None:
+        """Rows to the nodes ``to`` by the sides ``own`` and ``held`` (2 * node + right); of those that end the
+        held-out ones take their ``share``."""
+        for name, i in (("", own), ("held_", held)):
+            at = to.take(i, mode="clip")
+            live = at >= 0
+            if live.all():
+                setattr(self, name + "at", at)
+                continue
+            if name:
+                self.said[self.held[~live]] = share[i[~live]]
+            live = np.flatnonzero(live)
+            for kept, x in ((name + "at", at), (name + "pos", getattr(self, name + "pos")), *([("held", self.held)] if name else [("y", self.y), ("w", self.w)])):
+                setattr(self, kept, x.take(live, mode="clip"))
+
+    def _bins(self, f: np.ndarray, at: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Twice the bin of each row in its node's feature."""
+        place = _look(f, at, self.places)
+        place += pos
+        return _look(self.flat, place, self.found)
+
+    def may(self, level, c, n, s):
+        depth, min_split, min_leaf, _ = self.spec
         return (c >= min_split) & (c >= 2 * min_leaf) & (s > 0) & (s < n) & (level < depth)
 
-    while len(tree) and not held.all():
-        place = tried[:, None] + np.arange(n_try)
-        feats = np.take_along_axis(feature_orders(tree, node, p, seed), np.minimum(place, p - 1), axis=1)
-        feats[place >= p] = -1
-        # (cell, weight, label) of every fit row and tried feature in one number, sorted
-        i, f = at[~held], feats[at[~held]]
-        cells = (i[:, None] * n_try + np.arange(n_try)) * width + bins[r[~held][:, None], f]
-        cells = (cells << 5 | code_of_row[~held][:, None])[f >= 0]
-        cells.sort()
-        code, weight = cells >> 5, cells >> 1 & 15
-        ends = np.flatnonzero(np.r_[code[1:] != code[:-1], True])
-        cell = code[ends]
-        sums = [ends + 1, np.cumsum(weight)[ends], np.cumsum(weight * (cells & 1))[ends]]
-        group = cell // width
-        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        of = np.cumsum(np.r_[False, group[1:] != group[:-1]])
-        last = np.r_[starts[1:], len(cell)] - 1
-        before = [np.r_[0, x][starts] for x in sums]
-        cl, nl, sl = (x - b[of] for x, b in zip(sums, before))
-        c, n, s = ((x[last] - b)[of] for x, b in zip(sums, before))
-        slot = group // n_try
-        gain = np.round(_impurity(n, s) - _impurity(nl, sl) - _impurity(n - nl, s - sl), 9)
-        valid = may(level[slot], c, n, s) & (cl >= min_leaf) & (c - cl >= min_leaf)
-        # the largest gain, then the first feature, then the lowest cut
-        gain = np.where(valid, gain, -np.inf)
-        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-        mine = np.cumsum(np.r_[False, slot[1:] != slot[:-1]])
-        rank = np.where(valid & (gain == np.maximum.reduceat(gain, first)[mine]), feats[slot, group % n_try] * width + cell % width, p * width)
-        best = np.flatnonzero(valid & (rank == np.minimum.reduceat(rank, first)[mine]))
-        own, cut = slot[first], slot[best]
-        known, split = np.zeros(len(tree), bool), np.zeros(len(tree), bool)
-        known[own], split[cut] = True, True
-        col = {k: np.zeros(len(tree), np.int64) for k in ("c", "n", "s", "cl", "nl", "sl", "b")}
-        for k, v in zip("cns", (c, n, s)):
-            col[k][own] = v[first]
-        for k, v in zip(("cl", "nl", "sl", "b"), (cl, nl, sl, cell % width)):
-            col[k][cut] = v[best]
-        f, g = np.full(len(tree), -1), np.full(len(tree), np.nan)
-        f[cut], g[cut] = rank[best] // width, gain[best]
-        c, n, s, cl, nl, sl, b = col.values()
-        again = known & ~split & may(level, c, n, s) & (tried + n_try < p)
-        opens = split & may(level + 1, cl, nl, sl), split & may(level + 1, c - cl, n - nl, s - sl)
-        out = known & ~again
-        found.append([x[out] for x in (tree, node, f, b, g, c, n, s)])
-        for side, (kept, sums) in enumerate(zip(opens, ((cl, nl, sl), (c - cl, n - nl, s - sl)))):
-            leaf = split & ~kept
-            none = np.full(leaf.sum(), -1)
-            found.append([tree[leaf], 2 * node[leaf] + side, none, none, np.full(len(none), np.nan), *[x[leaf] for x in sums]])
+    def cuts(self, feats: np.ndarray) -> tuple[np.ndarray, ...]:
+        """By open node the best cut of its features: gain (-inf where it has
+        none), feature, bin, and rows, weight and positive weight on its left.
+        The largest gain, then the first feature, then the lowest bin."""
+        k, min_leaf, (c, n, s) = len(feats), self.spec[2], self.sums
+        gain, whole = np.full(k, -np.inf), _impurity(n, s)
+        f_best, b_best, cl, nl, sl = (np.zeros(k, np.int64) for _ in range(5))
+        for f in feats.T:
+            tried, f = f >= 0, np.maximum(f, 0)
+            ends = np.cumsum(self.widths[f])
+            first = ends - self.widths[f]
+            code = _look(2 * first, self.at, self.codes)
+            code += self.y
+            code += self._bins(f, self.at, self.pos)
+            cell, both, positive = _cells_of(code, self.w, int(ends[-1]))
+            starts = np.searchsorted(cell, first)
+            at = np.repeat(np.arange(k), np.diff(np.r_[starts, len(cell)]))
+            run, up = np.cumsum(both), np.cumsum(positive)
+            run -= (run[starts] - both[starts])[at]
+            up -= (up[starts] - positive[starts])[at]
+            rows = run >> 26
+            on = np.flatnonzero((rows >= min_leaf) & (c[at] - rows >= min_leaf) & tried[at])
+            if not len(on):
+                continue
+            at, rows, w, up = at[on], rows[on], run[on] & (UNIT - 1), up[on]
+            g = np.round(whole[at] - _impurity(w, up) - _impurity(n[at] - w, s[at] - up), 9)
+            new = np.r_[True, at[1:] != at[:-1]]
+            most = np.maximum.reduceat(g, np.flatnonzero(new))
+            top = np.flatnonzero(g == most[np.cumsum(new) - 1])
+            top = top[np.r_[True, at[top[1:]] != at[top[:-1]]]]
+            i = at[top]
+            better = (most > gain[i]) | ((most == gain[i]) & (f[i] < f_best[i]))
+            top, i = top[better], i[better]
+            gain[i], f_best[i], b_best[i] = g[top], f[i], cell[on[top]] - first[i]
+            cl[i], nl[i], sl[i] = rows[top], w[top], up[top]
+        return gain, f_best, b_best, cl, nl, sl
+
+    def step(self) -> list[np.ndarray]:
+        """One level down; the nodes that are done as columns (tree, node, f,
+        b, gain, c, n, s; f -1 at leaves)."""
+        n_try, k, (c, n, s) = self.spec[3], len(self.node), self.sums
+        place = self.tried[:, None] + np.arange(n_try)
+        feats = np.take_along_axis(feature_orders(self.tree, self.node, self.p, self.seed), np.minimum(place, self.p - 1), axis=1)
+        feats[place >= self.p] = -1
+        gain, f, b, cl, nl, sl = self.cuts(feats)
+        split = gain > -np.inf
+        again = ~split & (self.tried + n_try < self.p)
+        sides = (cl, nl, sl), (c - cl, n - nl, s - sl)
+        opens = [split & self.may(self.level + 1, *x) for x in sides]
         on = [np.flatnonzero(x) for x in (*opens, again)]
-        to = np.full((2, len(tree)), -1)
-        to[0, on[0]] = np.arange(len(on[0]))
-        to[1, on[1]] = len(on[0]) + np.arange(len(on[1]))
-        to[:, on[2]] = len(on[0]) + len(on[1]) + np.arange(len(on[2]))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.where(split, sl / nl, s / n), np.where(split, (s - sl) / (n - nl), s / n)
-        right = (split[at] & (bins[r, f[at]] > b[at])).astype(np.int64)
-        moved = to[right, at]
-        done = held & (moved < 0) & known[at]
-        said[r[done], t[done]] = np.where(right[done] == 1, share[1][at[done]], share[0][at[done]])
-        live = moved >= 0
-        r, t, held, code_of_row, at = r[live], t[live], held[live], code_of_row[live], moved[live]
-        tree, tried = np.concatenate([tree[x] for x in on]), np.r_[np.zeros(len(on[0]) + len(on[1]), np.int64), tried[on[2]] + n_try]
-        node, level = (np.concatenate([a[on[0]], b[on[1]], c[on[2]]]) for a, b, c in
-                       ((2 * node, 2 * node + 1, node), (level + 1, level + 1, level)))
-    table = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 8
-    return table, said
+        to, share = np.full((k, 2), -1), np.empty((k, 2))
+        to[on[0], 0] = np.arange(len(on[0]))
+        to[on[1], 1] = len(on[0]) + np.arange(len(on[1]))
+        to[on[2]] = (len(on[0]) + len(on[1]) + np.arange(len(on[2])))[:, None]
+        done = np.flatnonzero(~again)
+        out = [[x[done] for x in (self.tree, self.node, np.where(split, f, -1), b, np.where(split, gain, np.nan), c, n, s)]]
+        for side, (kept, sums) in enumerate(zip(opens, sides)):
+            leaf = np.flatnonzero(split & ~kept)
+            none = np.full(len(leaf), -1)
+            out.append([self.tree[leaf], 2 * self.node[leaf] + side, none, none, np.full(len(leaf), np.nan), *[x[leaf] for x in sums]])
+            share[:, side] = np.where(split, sums[2], s) / np.where(split, sums[1], n)
+        ways = []
+        for at, pos in ((self.at, self.pos), (self.held_at, self.held_pos)):
+            right = self._bins(f, at, pos) > _look(2 * b, at, self.codes)
+            ways.append(2 * at)
+            ways[-1] += right
+        self._move(to.ravel(), share.ravel(), *ways)
+        own, level, tried = self.node, self.level, self.tried
+        self.tree = np.concatenate([self.tree[x] for x in on])
+        self.node = np.r_[2 * own[on[0]], 2 * own[on[1]] + 1, own[on[2]]]
+        self.level = np.r_[level[on[0]] + 1, level[on[1]] + 1, level[on[2]]]
+        self.tried = np.r_[np.zeros(len(on[0]) + len(on[1]), np.int64), tried[on[2]] + n_try]
+        self.sums = [np.r_[low[on[0]], high[on[1]], x[on[2]]] for low, high, x in zip(*sides, (c, n, s))]
+        return [np.concatenate(x) for x in zip(*out)]
+
+    def grow(self, kept: bool) -> list[np.ndarray]:
+        """Grows to the end; the node table if it is ``kept``."""
+        found = [self.roots]
+        while len(self.node):
+            table = self.step()
+            if kept:
+                found.append(table)
+        return [np.concatenate(x) for x in zip(*found)]
+
+
+def _hashed_here(kind: T.DataType) -> list[bool] | None:
+    """Whether a row's fields are long (else int), where they are no other."""
+    kinds = [f.dataType for f in kind] if isinstance(kind, T.StructType) else [kind]
+    known = {T.LongType: True, T.IntegerType: False}
+    return [known[type(k)] for k in kinds] if all(type(k) in known for k in kinds) else None
+
+
+def _weights(fields: Sequence[tuple[np.ndarray, np.ndarray | None, bool]], tree: int, seed: int) -> np.ndarray:
+    """``poisson_weight`` of rows by their fields (values, nulls, is long)."""
+    with np.errstate(over="ignore"):
+        h = _xxhash64(np.array([seed]), np.array([42], np.uint64), False)
+        h = _xxhash64(np.array([tree]), h, False)
+        for values, nulls, is_long in fields:
+            more = _xxhash64(values, h, is_long)
+            h = more if nulls is None else np.where(nulls, h, more)
+    return _poisson(h.view(np.int64))
+
+
+def _poisson(hashes: np.ndarray) -> np.ndarray:
+    u, w = (hashes & ((1 << 52) - 1)) / float(1 << 52), np.zeros(len(hashes), np.uint8)
+    for bound in _poisson_bounds():
+        w += u >= bound
+    return w
 
 
 BLOCK_NODES = "tree int, node long, f int, b int, gain double, rows long, weight long, share double"
 
 
-def _grow_blocks(specs: Mapping[str | None, tuple[int, int, int, int]], width: int, seed: int):
+def _grow_blocks(specs: Mapping[str | None, tuple[int, int, int, int]], widths: Sequence[int], seed: int, longs: list[bool] | None,
+                 scores_only: bool):
     """Grows the block of trees that is all of a partition: its nodes, and the
     held-out rows with their probabilities by its trees."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := [b for b in batches if b.num_rows]) else None
-        if rows is None:
+        bins, y, fit, fields, drawn, rows = [], [], [], [], [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            model, first, n = (batch.column(c)[0].as_py() for c in ("model", "first", "n"))
+            now = np.asarray(batch.column("fit"), bool)
+            bins.append(batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(len(now), -1).astype(np.uint8 if max(widths) <= 128 else np.int32) * 2)
+            y.append(np.asarray(batch.column("y").fill_null(0), np.int8))
+            fit.append(now)
+            row = batch.column("row").filter(pa.array(now))
+            if longs is None:
+                hashes = batch.column("h").filter(pa.array(now)).flatten().to_numpy(zero_copy_only=False)
+                drawn.append(_poisson(hashes).reshape(-1, n))
+            else:
+                parts = row.flatten() if pa.types.is_struct(row.type) else [row]
+                fields.append([(x.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(x.is_null())) for x in parts])
+            rows.append(batch.select(["row", "y"]).filter(pa.array(~now)))
+        if not fit:
             return
-        model, fit = rows.column("model")[0].as_py(), np.asarray(rows.column("fit").combine_chunks(), bool)
-        y = np.asarray(rows.column("y").combine_chunks().fill_null(0), np.int64)
-        bins = rows.column("bins").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-        w = np.frombuffer(b"".join(rows.column("w").to_pylist()), np.uint8).reshape(len(rows), -1)
-        trees = rows.column("first")[0].as_py() + 1 + np.arange(w.shape[1])
-        said = np.empty(w.shape)
-        kinds = pa.schema([("model", pa.string()), ("tree", pa.int32()), ("node", pa.int64()), ("f", pa.int32()), ("b", pa.int32()), ("gain", pa.float64()),
-                           ("rows", pa.int64()), ("weight", pa.int64()), ("share", pa.float64()),
-                           *[rows.schema.field(c) for c in ("row", "y")], ("said", pa.list_(pa.float64()))])
-
-        def batch(n: int, **cols) -> pa.RecordBatch:
-            cols["model"] = pa.array([model] * n, pa.string())
-            return pa.record_batch([cols.get(k.name, pa.nulls(n, k.type)) for k in kinds], schema=kinds)
-
-        step = max(1, SLICE // len(rows))
-        for k in range(0, len(trees), step):
-            (tree, node, f, b, gain, c, n, s), said[:, k:k + step] = _grow_here(
-                bins, y, fit, w[:, k:k + step], trees[k:k + step], specs.get(model) or specs[None], width, seed)
+        bins, y, fit = (np.concatenate(x) for x in (bins, y, fit))
+        own, held = np.flatnonzero(fit), np.flatnonzero(~fit)
+        if longs is not None:
+            joined = [[np.concatenate(x) for x in zip(*parts)] for parts in zip(*fields)]
+            joined = [(v, nulls if nulls.any() else None, is_long) for (v, nulls), is_long in zip(joined, longs)]
+            fields.clear()
+        kinds = pa.schema([("model", pa.string()), *([] if scores_only else [
+            ("tree", pa.int32()), ("node", pa.int64()), ("f", pa.int32()), ("b", pa.int32()), ("gain", pa.float64()),
+            ("rows", pa.int64()), ("weight", pa.int64()), ("share", pa.float64())]),
+            *[rows[0].schema.field(c) for c in ("row", "y")], ("said", pa.list_(pa.float64())), ("number", pa.int32())])
+        spec, out = specs.get(model) or specs[None], pa.Table.from_batches(rows).combine_chunks()
+
+        def batch_of(size: int, **cols) -> pa.RecordBatch:
+            cols["model"] = pa.array([model] * size, pa.string())
+            return pa.record_batch([cols.get(k.name, pa.nulls(size, k.type)) for k in kinds], schema=kinds)
+
+        def said_by(values: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """``values``: the probabilities, row by row, ``number`` of each row's trees."""
+            size = (~np.isnan(values)).sum(axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(values[~np.isnan(values)]))
+            if len(held):
+                yield batch_of(len(held), **{c: out.column(c).combine_chunks() for c in ("row", "y")}, said=lists, number=pa.array(number, pa.int32()))
+
+        total, number = np.zeros(len(held)), np.zeros(len(held), np.int32)
+        most, together = max(1, 16 * SLICE // max(len(held), 1)), max(1, SLICE // 8 // len(fit))
+        votes: list[np.ndarray] = []
+        for k in range(0, n, together):
+            some = range(k, min(k + together, n))
+            w = [_weights(joined, first + 1 + i, seed) if longs is not None else np.concatenate([x[:, i] for x in drawn]) for i in some]
+            trees = _Trees(bins, y, own, w, held, first + 1 + np.array(some), spec, np.asarray(widths), seed)
+            tree, node, f, b, gain, c, weight, s = trees.grow(not scores_only)
+            said = trees.said.reshape(len(some), len(held))
+            if scores_only:
+                known = ~np.isnan(said)
+                total += np.where(known, said, 0.0).sum(axis=0)
+                number += known.sum(axis=0, dtype=np.int32)
+                continue
             leaf = f < 0
-            yield batch(len(tree), tree=pa.array(tree, pa.int32()), node=pa.array(node), f=pa.array(f, pa.int32(), mask=leaf),
-                        b=pa.array(b, pa.int32(), mask=leaf), gain=pa.array(gain, mask=leaf), rows=pa.array(c), weight=pa.array(n), share=pa.array(s / n))
-        held = np.flatnonzero(~fit)
-        known = ~np.isnan(said[held])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(known.sum(axis=1))].astype(np.int32)), pa.array(said[held][known]))
-        out = rows.take(pa.array(held)).combine_chunks()
-        yield batch(len(held), **{c: out.column(c).combine_chunks() for c in ("row", "y")}, said=lists)
+            yield batch_of(len(node), tree=pa.array(tree, pa.int32()), node=pa.array(node), f=pa.array(f, pa.int32(), mask=leaf),
+                           b=pa.array(b, pa.int32(), mask=leaf), gain=pa.array(gain, mask=leaf), rows=pa.array(c), weight=pa.array(weight), share=pa.array(s / weight))
+            votes += list(said)
+            if len(votes) >= most or some[-1] == n - 1:
+                by_row = np.stack(votes, axis=1)
+                votes = []
+                yield from said_by(by_row, (~np.isnan(by_row)).sum(axis=1))
+        if scores_only:
+            yield from said_by(np.where(number > 0, total, np.nan)[:, None], number)
     return run
 
 
-def _grow_local(state: DataFrame, sizes: Sequence[str], by_model: Mapping[str | None, ForestSpec], settings: Mapping[str | None, tuple],
-                features: Sequence[str], thresholds: Sequence[Sequence[float]], seed: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes and ``said`` of the models ``sizes`` from the packed rows."""
-    spark = state.sparkSession
-    trees = {m: (by_model.get(m) or by_model[None]).trees for m in sizes}
-    most = max(1, min(BLOCK, -(-sum(trees.values()) // (3 * spark.sparkContext.defaultParallelism))))
-    blocks = [(m, k, min(most, n - k)) for m, n in trees.items() for k in range(0, n, most)]
-    table = spark.createDataFrame([(m, i, k, n) for i, (m, k, n) in enumerate(blocks)], "model string, block int, first int, n int")
-    rows = state.join(F.broadcast(table), "model").select(
-        "block", "model", F.when(~F.col("fit"), F.col("row")).alias("row"), "fit", "y", "bins", "first", F.expr("substring(w, first + 1, n)").alias("w"))
-    out = T.StructType([T.StructField("model", T.StringType()), *T.StructType.fromDDL(BLOCK_NODES),
-                        *[T.StructField(c, state.schema[c].dataType) for c in ("row", "y")], T.StructField("said", T.ArrayType(T.DoubleType()))])
-    width = max((len(t) for t in thresholds), default=0) + 1
-    grown = rows.repartitionById(len(blocks), F.col("block")).drop("block").mapInArrow(
-        _grow_blocks(settings, width, seed), out)
+def _grow_local(rows: DataFrame, sizes: Mapping[str, int], by_model: Mapping[str, ForestSpec], settings: Mapping[str | None, tuple],
+                features: Sequence[str], thresholds: Sequence[Sequence[float]], seed: int, scores_only: bool) -> tuple[DataFrame, DataFrame]:
+    """Nodes and ``said`` of the models ``sizes`` (their rows), which are of
+    ``rows`` or, where those have no model, have all of them.  Blocks that
+    take long come first."""
+    spark = rows.sparkSession
+    cost = {m: n * by_model[m].trees * min(by_model[m].depth or MAX_DEPTH, 20) for m, n in sizes.items()}
+    share, blocks = max(1, sum(cost.values()) // (4 * spark.sparkContext.defaultParallelism)), []
+    for m in sorted(sizes, key=lambda m: (-cost[m], m)):
+        trees = by_model[m].trees
+        parts = max(1, -(-trees // BLOCK), min(trees, -(-cost[m] // share)))
+        most = -(-trees // parts)
+        blocks += [(m, k, min(most, trees - k)) for k in range(0, trees, most)]
+    blocks.sort(key=lambda x: -cost[x[0]] * x[2] // by_model[x[0]].trees)
+    table = F.broadcast(spark.createDataFrame([(m, i, k, n) for i, (m, k, n) in enumerate(blocks)], "model string, block int, first int, n int"))
+    dealt = rows.join(table, "model") if "model" in rows.columns else rows.crossJoin(table)
+    longs = _hashed_here(rows.schema["row"].dataType)
+    dealt = dealt.select("block", "model", "row", "fit", "y", "bins", "first", "n").repartitionById(len(blocks), F.col("block")).drop("block")
+    if longs is None:
+        dealt = dealt.withColumn("h", F.transform(F.sequence("first", F.col("first") + F.col("n") - 1), lambda t: F.xxhash64(F.lit(seed), t + 1, F.col("row"))))
+    out = T.StructType([T.StructField("model", T.StringType()), *([] if scores_only else T.StructType.fromDDL(BLOCK_NODES)),
+                        *[T.StructField(c, rows.schema[c].dataType) for c in ("row", "y")], T.StructField("said", T.ArrayType(T.DoubleType())),
+                        T.StructField("number", T.IntegerType())])
+    grown = dealt.mapInArrow(_grow_blocks(settings, [len(t) + 1 for t in thresholds], seed, longs, scores_only), out)
     grown = cut_lineage(grown, "forest-blocks", out)
+    said = grown.where("number > 0").select("model", "row", "y", "said", "number")
+    if scores_only:
+        return None, said
     name, threshold = _named(features, thresholds)
-    nodes = grown.where("node is not null").select("model", "tree", "node", name.alias("feature"), threshold.alias("threshold"), "gain", "rows", "weight", "share")
-    return nodes, grown.where("node is null and size(said) > 0").select("model", "row", "y", "said")
+    return grown.where("node is not null").select("model", "tree", "node", name.alias("feature"), threshold.alias("threshold"), "gain", "rows", "weight", "share"), said
 
 
 def fit_forests(rows: DataFrame, specs: ForestSpec | Mapping[str, ForestSpec], features: Sequence[str],
-                thresholds: Sequence[Sequence[float]], seed: int = 42) -> Forests:
+                thresholds: Sequence[Sequence[float]], seed: int = 42, scores_only: bool = False) -> Forests:
     """Grows a forest per ``model`` of ``rows`` on the rows marked ``fit`` and
     lets all others vote.
 
     ``rows``: model (string), row (unique within the model), fit (boolean),
-    y (0 or 1) and bins (``boosting.binned``).  ``specs``: one for all models,
-    or one per model (the models of a dict are few: it is broadcast).  Models
-    without a row to fit on have no nodes and no votes."""
-    spark, p = rows.sparkSession, len(features)
+    y (0 or 1) and bins (``boosting.binned``); without model, the rows are
+    those of every model of ``specs``, and should be a plain scan.  ``specs``:
+    one for all models, or one per model (the models of a dict are few: it is
+    broadcast).  Models without a row to fit on have no nodes and no votes.
+    ``scores_only``: the nodes are not kept, and probabilities are added up."""
+    spark, p, shared = rows.sparkSession, len(features), "model" not in rows.columns
     by_model = specs if isinstance(specs, Mapping) else {None: specs}
     table = [(m, s.trees, min(s.depth or MAX_DEPTH, MAX_DEPTH), s.min_split, s.min_leaf, s.tried(p)) for m, s in by_model.items()]
     settings = spark.createDataFrame(table, "model string, trees int, depth int, min_split int, min_leaf int, n_try int")
-    rows = rows.select("model", "row", "fit", F.col("y").cast("int").alias("y"), "bins")
+    rows = rows.select(*([] if shared else ["model"]), "row", "fit", F.col("y").cast("int").alias("y"), "bins").where("fit is not null")
+    if shared:
+        n = rows.count()
+        sizes = dict.fromkeys(by_model, n) if n else {}
+    else:
+        if isinstance(specs, Mapping):
+            rows = rows.join(F.broadcast(settings.select("model")), "model", "left_semi")
+        rows = rows.where("model is not null").repartition(spark.sparkContext.defaultParallelism, "row")
+        rows = cut_lineage(rows, "forest-rows", rows.schema)
+        sizes = {r["model"]: r["n"] for r in rows.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
+    local, model_rows, votes = [m for m, n in sizes.items() if n <= LOCAL_ROWS], [], []
+    if local:
+        of = {m: by_model.get(m) or by_model[None] for m in local}
+        nodes, said = _grow_local(rows, {m: sizes[m] for m in local}, of, {t[0]: t[2:] for t in table}, features, thresholds, seed, scores_only)
+        if len(local) == len(sizes):
+            return Forests(None if scores_only else nodes, said)
+        model_rows, votes = [] if scores_only else [nodes], [said]
+    if shared:
+        rows = rows.crossJoin(F.broadcast(settings.select("model").where(~F.col("model").isin(local))))
+        rows = rows.repartition(spark.sparkContext.defaultParallelism, "row")
+    rows = rows.where(~F.col("model").isin(local)) if local else rows
     if isinstance(specs, Mapping):
-        rows = rows.join(F.broadcast(settings.select("model", "trees", "n_try")), "model")
+        rows = rows.join(F.broadcast(settings.select("model", "trees")), "model")
     else:
         settings = dict(zip(("depth", "min_split", "min_leaf", "n_try"), table[0][2:]))
-        rows = rows.withColumns({"trees": F.lit(specs.trees), "n_try": F.lit(specs.tried(p))})
+        rows = rows.withColumn("trees", F.lit(specs.trees))
     width = max((len(t) for t in thresholds), default=0) + 1
     hashes = F.transform(F.sequence(F.lit(1), F.col("trees")), lambda t: F.xxhash64(F.lit(seed), t, F.col("row")))
-    rows = rows.where("model is not null and fit is not null").repartition(spark.sparkContext.defaultParallelism, "row")
     state = rows.select("model", "row", "fit", "y", "bins", hashes.alias("h"))
     kinds = T.StructType([*state.drop("h").schema, T.StructField("w", T.BinaryType()), T.StructField("at", T.BinaryType())])
     state = cut_lineage(state.mapInArrow(_pack, kinds), "forest-rows", kinds)
-    sizes = {r["model"]: r["n"] for r in state.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
-    local, model_rows, votes = [m for m, n in sizes.items() if n <= LOCAL_ROWS], [], []
-    if local:
-        nodes, said = _grow_local(state, local, by_model, {t[0]: t[2:] for t in table}, features, thresholds, seed)
-        if len(local) == len(sizes):
-            return Forests(nodes, said)
-        model_rows, votes = [nodes], [said]
-        state = state.where(~F.col("model").isin(local))
     roots = spark.range(1, max(s.trees for s in by_model.values()) + 1).select(F.col("id").cast("int").alias("tree"))
     order = np.array([r["o"] for r in roots.select("tree", feature_order(F.lit(1).cast("long"), p, seed).alias("o")).orderBy("tree").collect()])
     level = {m: _Open(np.arange(1, s.trees + 1), np.ones(s.trees, np.int64), np.zeros(s.trees, np.int64), order[:s.trees, :s.tried(p)])
@@ -670,7 +844,8 @@ def fit_forests(rows: DataFrame, specs: ForestSpec | Mapping[str, ForestSpec], f
         nodes = state.mapInArrow(_count(level, width), CELLS).groupBy(*KEY, "tried", "f", "b").agg(*[F.sum(x).alias(x) for x in "cns"])
         nodes = _best_cuts(nodes, settings, p, seed)
         nodes = cut_lineage(nodes, "forest-nodes", nodes.schema)
-        model_rows.append(_model_rows(nodes, features, thresholds))
+        if not scores_only:
+            model_rows.append(_model_rows(nodes, features, thresholds))
         # below the roots, whose models are not known before, every open node has rows
         if (nodes.count() if at_roots else sum(len(x.node) for x in level.values())) > MAX_NODES:
             long = state.select("model", F.lit(0).alias("tree"), F.lit(0).cast("long").alias("node"), F.lit(0).alias("tried"), "row", "fit",
@@ -680,12 +855,8 @@ def fit_forests(rows: DataFrame, specs: ForestSpec | Mapping[str, ForestSpec], f
         cuts, level = _below(level, _sent(nodes))
         at_roots = False
         moved = cut_lineage(state.mapInArrow(_route(cuts), moved_kinds), "forest-rows", moved_kinds)
-        votes.append(moved.select("model", "row", "y", "said").where("size(said) > 0"))
+        votes.append(moved.select("model", "row", "y", "said", F.size("said").alias("number")).where("number > 0"))
         state = moved.where("live").select(*state.columns)
-    whole = model_rows[0]
-    for more in model_rows[1:]:
-        whole = whole.unionByName(more)
-    said = votes[0]
-    for more in votes[1:]:
-        said = said.unionByName(more)
-    return Forests(cut_lineage(whole, "forest-models"), cut_lineage(said, "forest-votes"))
+    said = reduce(DataFrame.unionByName, votes)
+    said = cut_lineage(said, "forest-votes")
+    return Forests(None if scores_only else cut_lineage(reduce(DataFrame.unionByName, model_rows), "forest-models"), said)

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,32 @@ def test_no_job_a_level(spark, monkeypatch):
     monkeypatch.setattr(fo, "cut_lineage", lambda out, name, *args: written.append(name) or write(out, name, *args))
     fo.fit_forests(df, fo.ForestSpec(4, None, 2, 1, "sqrt"), FEATURES, thresholds)
     assert written == ["forest-rows", "forest-blocks"]
+
+
+def test_scores_of_shared_rows_are_those_of_rows_by_model(spark):
+    """Rows that all models share, hashed in the tasks (whole numbers, some null) or by Spark (text): the same votes, added up."""
+    df, thresholds = table(spark, rows())
+    specs = {"x": fo.ForestSpec(5, None, 2, 1, "sqrt"), "y": fo.ForestSpec(3, 4, 6, 2, "log2")}
+    whole = F.col("row")
+    for row in (F.struct(whole, F.when(whole % 3 > 0, (whole % 7).cast("int")).alias("k")), F.concat(F.lit("r"), whole.cast("string"))):
+        base = df.withColumn("row", row)
+        by_model = base.drop("model").crossJoin(spark.createDataFrame([("x",), ("y",)], "model string"))
+        want = {(r["model"], str(r["row"])): r["p"] for r in fo.fit_forests(by_model, specs, FEATURES, thresholds, 9).predictions().collect()}
+        got = fo.fit_forests(base.drop("model"), specs, FEATURES, thresholds, 9, True)
+        assert got.nodes is None and {(r["model"], str(r["row"])): r["p"] for r in got.predictions().collect()} == pytest.approx(want)
+        assert len(want) == 2 * df.where("not fit").count() and got.said.count() <= 12 * len(want)
+
+
+def test_weights_of_tasks_are_those_of_spark(spark):
+    data = [(k, None if k % 5 == 0 else k % 11) for k in range(500)]
+    df = spark.createDataFrame(data, "a long, b int").select(F.struct("a", "b").alias("row")).withColumn("tree", F.lit(7))
+    want = [r["w"] for r in df.select("row", fo.poisson_weight("row", 42).alias("w")).orderBy("row.a").collect()]
+    b, nulls = np.array([v or 0 for _, v in data]), np.array([v is None for _, v in data])
+    assert fo._weights([(np.arange(500), None, True), (b, nulls, False)], 7, 42).tolist() == want and max(want) > 2
+
+
+def test_cells_by_sorting_are_those_by_counting():
+    rng = np.random.default_rng(4)
+    code, w = rng.integers(0, 4000, 3000), rng.integers(1, 9, 3000) + float(fo.UNIT)
+    for a, b in zip(fo._cells_of(code, w, 2000), fo._cells_of(code, w, 1 << 40)):
+        assert (a == b).all()
