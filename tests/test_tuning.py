@@ -176,3 +176,28 @@ def test_variance_splits_are_between_values():
     assert variance_splits(np.array([4.0, 4.0])).tolist() == []
     many = variance_splits(np.arange(6400.0))
     assert len(many) == 31 and many[0] == 199.5 and many[-1] == 6199.5
+
+
+def test_registered_searches_are_whole(spark, monkeypatch):
+    """The queries pass on no smaller search than the operators' own: all trials, trees and rounds."""
+    from huddle.plans import catalog, modeling
+    asked = {}
+    monkeypatch.setattr(catalog, "_line_model_table", lambda *a: wide(spark))
+    monkeypatch.setattr(modeling, "feature_columns", lambda *a, **kw: FEATURES)
+    monkeypatch.setattr(modeling, "tuned_forest", lambda s, t, f, l, k, trials=50, per_round=10, seed=42, space=None: asked.update(
+        trials=trials, space=space or models.TUNED_SPACE))
+    monkeypatch.setattr(modeling, "boosted_grid_search", lambda s, t, f, l, k, rounds=models.XGB_ROUNDS, **kw: asked.update(rounds=tuple(rounds), **kw))
+    catalog.QUERIES["tuned_forest"](spark, "")
+    assert asked == {"trials": 50, "space": models.TUNED_SPACE} and asked["space"]["n_estimators"] == Integers(50, 300)
+    asked.clear()
+    catalog.QUERIES["grid_search_xgboost"](spark, "")
+    assert asked == {"rounds": (100, 200)}
+
+
+def test_searches_do_not_repeat_their_rows_by_model(spark, monkeypatch):
+    given, fit = [], models.fit_forests
+    monkeypatch.setattr(models, "fit_forests", lambda rows, specs, *a: given.append((rows.count(), a[-1])) or fit(rows, specs, *a))
+    models.random_search(spark, wide(spark), FEATURES, "run_dir", DRIVER.keys, 3)
+    space = {**models.TUNED_SPACE, "n_estimators": Integers(2, 4)}
+    models.tuned_forest(spark, wide(spark), FEATURES, "run_dir", DRIVER.keys, 3, 3, space=space)
+    assert len(given) == 4 and all(n <= 240 and scores_only is True for n, scores_only in given)
