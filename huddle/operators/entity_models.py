@@ -1,17 +1,18 @@
 """Many small models: one bagged-tree classifier per player (M6).
 
 Players are many, so fitting them one MLlib job at a time does not scale.
-One grouped job fits every player's model with the same compact numpy learner
-(below), whatever the player's size: on the training rows, of which at most
-``max_fit_rows`` (those of the lowest key hash, chosen by a limited rank
-before the shuffle) are used.
+Every player's model is fitted on all of the player's training rows.
 
 Players of up to ``SMALL`` rows, which are most, come to a task many at a
 time and grow in step (``votes_in_step``): the same draws, cuts and votes as
-one by one, with arrays over all of them instead of a call a node.  The test
-rows of larger players are scored in groups of about ``score_rows`` rows that
-are cogrouped with their player's model, so no player beyond ``SMALL`` rows
-is ever collected whole into one task."""
+one by one, with arrays over all of them instead of a call a node.  Larger ones
+are fitted by one task each, with the same learner, which counts by distinct
+values instead of sorting at every node.  Players of more than
+``max_fit_rows`` training rows, which a task should not hold, grow over all
+tasks (``forests``): Poisson weights instead of drawn rows, and cuts at up to
+64 quantiles of all the player's rows.  The test rows of players one by one
+are scored in groups of about ``score_rows`` rows that are cogrouped with their
+player's model, so no player's test rows are collected whole into one task."""
 
 from __future__ import annotations
 
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from huddle.operators.forests import ForestSpec, fit_forests
 from huddle.operators.models import SMALL_FOREST, with_split
 from huddle.session import cut_lineage
 
@@ -34,6 +36,10 @@ SCORE_DDL = "_entity long, scored long, hits long"
 SMALL = 511
 #: Rows that a task looks at together.
 STEP_ROWS = 60_000
+#: Training rows of a player (about 300 bytes each) that one task fits.
+FIT_ROWS = 1 << 20
+#: Cuts of a feature where a player grows over all tasks, one more than these.
+BINS = 64
 
 
 def _best_split(x: np.ndarray, y: np.ndarray, feats: np.ndarray):
@@ -73,6 +79,54 @@ def _grow(x, y, depth, max_depth, rng, n_feat):
             _grow(x[~m], y[~m], depth + 1, max_depth, rng, n_feat))
 
 
+class _Counted:
+    """``_best_split`` and ``_grow`` by counts of distinct values: the same
+    draws, cuts and shares without a sort a node."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.y, found = y.astype(np.int64), [np.unique(v, return_inverse=True) for v in x.T]
+        self.values, self.codes = [v for v, _ in found], [c.reshape(-1) for _, c in found]
+
+    def grow(self, drawn: np.ndarray, max_depth: int, rng, n_feat: int):
+        w = np.bincount(drawn, minlength=len(self.y))
+        return self._grow(np.flatnonzero(w), w, 0, max_depth, rng, n_feat)
+
+    def _grow(self, at, w, depth, max_depth, rng, n_feat):
+        held = w[at]
+        n, s = int(held.sum()), int((held * self.y[at]).sum())
+        if depth >= max_depth or n < 2 or s in (0, n):
+            return ("leaf", s / n if n else 0.5)
+        feats = rng.choice(len(self.values), size=n_feat, replace=False)
+        # rows and positives in one number
+        packed = held + (held * self.y[at]) * float(1 << 26)
+        parent, best, f_best, threshold = 1.0 - (s / n) ** 2 - (1 - s / n) ** 2, 0.0, None, None
+        for f in feats:
+            code = self.codes[f][at]
+            if len(self.values[f]) <= 4 * len(at):
+                sums = np.bincount(code, packed)
+                cells = np.flatnonzero(sums)
+            else:
+                cells, code = np.unique(code, return_inverse=True)
+                sums = np.bincount(code, packed, len(cells))
+            sums = np.cumsum((sums if len(sums) == len(cells) else sums[cells]).astype(np.int64))[:-1]
+            values = self.values[f][cells]
+            valid = values[1:] > values[:-1]
+            if not valid.any():
+                continue
+            nl, c1 = sums & ((1 << 26) - 1), sums >> 26
+            pl, pr = c1 / nl, (s - c1) / (n - nl)
+            gini = (nl * (1 - pl ** 2 - (1 - pl) ** 2) + (n - nl) * (1 - pr ** 2 - (1 - pr) ** 2)) / n
+            gini = np.where(valid, gini, np.inf)
+            i = int(np.argmin(gini))
+            if parent - gini[i] > best + 1e-12:
+                best, f_best, threshold = parent - gini[i], int(f), (values[i] + values[i + 1]) / 2.0
+        if f_best is None:
+            return ("leaf", s / n)
+        low = (self.values[f_best] <= threshold)[self.codes[f_best][at]]
+        return (f_best, threshold, self._grow(at[low], w, depth + 1, max_depth, rng, n_feat),
+                self._grow(at[~low], w, depth + 1, max_depth, rng, n_feat))
+
+
 def _predict(tree, x):
     if tree[0] == "leaf":
         return np.full(len(x), tree[1])
@@ -85,10 +139,11 @@ def _predict(tree, x):
 def fit_trees(x, y, n_trees=100, max_depth=5, seed=42) -> list:
     rng = np.random.default_rng(seed)
     n_feat = max(1, int(np.sqrt(x.shape[1])))
+    counted = _Counted(x, y) if len(y) > SMALL and not np.isnan(y).any() else None
     trees = []
     for _ in range(n_trees):
         idx = rng.integers(0, len(y), len(y))
-        trees.append(_grow(x[idx], y[idx], 0, max_depth, rng, n_feat))
+        trees.append(counted.grow(idx, max_depth, rng, n_feat) if counted else _grow(x[idx], y[idx], 0, max_depth, rng, n_feat))
     return trees
 
 
@@ -290,12 +345,14 @@ def _in_step(feats: Sequence[str], params: dict):
 
 
 def entity_models(spark: SparkSession, rows: DataFrame, entity: str, features: Sequence[str], label: str,
-                  row_keys: Sequence[str], min_rows: int = 50, max_fit_rows: int = 20_000,
+                  row_keys: Sequence[str], min_rows: int = 50, max_fit_rows: int = FIT_ROWS,
                   score_rows: int = 50_000, positive: str = "right", small: int = SMALL) -> DataFrame:
     """Accuracy of a per-entity classifier for every entity with at least
     ``min_rows`` rows.  Output: entity, n, n_test, accuracy (null where an
-    entity has no test or no training rows).  ``small``: rows of an entity
-    that grows in step with others (``SMALL`` at most; 0: none)."""
+    entity has no test or no training rows).  ``max_fit_rows``: training rows
+    of an entity that one task fits; with more it grows over all tasks, on all
+    of them too.  ``small``: rows of an entity that grows in step with others
+    (``SMALL`` at most; 0: none)."""
     feats = [f"_x{k}" for k in range(len(features))]
     data = with_split(rows, row_keys).select(
         F.col(entity).cast("long").alias("_entity"), *[F.col(c).cast("double").alias(f) for c, f in zip(features, feats)],
@@ -304,23 +361,26 @@ def entity_models(spark: SparkSession, rows: DataFrame, entity: str, features: S
     data = cut_lineage(data, "entity-rows")
     sizes = data.groupBy("_entity").agg(F.count(F.lit(1)).alias("n"), F.count_if("_test").alias("n_test")).filter(F.col("n") >= min_rows)
     sizes = cut_lineage(sizes.withColumn("_parts", F.ceil(F.col("n_test") / score_rows).cast("int")), "entity-sizes")
-    # the players in step use all their training rows
     is_small = F.col("n") <= min(small, SMALL, max_fit_rows)
     few = data.join(sizes.filter(is_small).select("_entity"), "_entity", "left_semi").repartition("_entity")
     few = few.sortWithinPartitions("_entity", "_test", "_hash", *feats, "_y").select("_entity", "_test", *feats, "_y")
     scored = few.mapInArrow(_in_step(feats, SMALL_FOREST), SCORE_DDL)
     sizes_many = sizes.filter(~is_small)
     if not sizes_many.isEmpty():
-        scored = scored.unionByName(_one_by_one(data, sizes_many, feats, max_fit_rows))
+        is_large = F.col("n") - F.col("n_test") > max_fit_rows
+        scored = scored.unionByName(_one_by_one(data, sizes_many.filter(~is_large), feats))
+        large = sizes_many.filter(is_large & F.col("_entity").isNotNull())
+        if not large.isEmpty():
+            scored = scored.unionByName(_over_tasks(data.join(large.select("_entity"), "_entity", "left_semi"), feats))
     hits = scored.groupBy("_entity").agg((F.sum("hits") / F.sum("scored")).alias("accuracy"))
     return sizes.join(hits, "_entity", "left").select(F.col("_entity").alias("entity"), "n", "n_test", "accuracy")
 
 
-def _one_by_one(data: DataFrame, sizes: DataFrame, feats: Sequence[str], max_fit_rows: int) -> DataFrame:
+def _one_by_one(data: DataFrame, sizes: DataFrame, feats: Sequence[str]) -> DataFrame:
     """(player, scored, hits) by parts of the test rows of the players of ``sizes``."""
     data = data.join(sizes.select("_entity"), "_entity", "left_semi")
     rank = F.row_number().over(Window.partitionBy("_entity").orderBy("_hash", *feats, "_y"))
-    chosen = data.filter(~F.col("_test")).withColumn("_rank", rank).filter(F.col("_rank") <= max_fit_rows)
+    chosen = data.filter(~F.col("_test")).withColumn("_rank", rank)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rank")
@@ -339,3 +399,24 @@ def _one_by_one(data: DataFrame, sizes: DataFrame, feats: Sequence[str], max_fit
     models = models.join(parts, "_entity").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     test = data.filter("_test").join(parts, "_entity").withColumn("_part", F.pmod("_hash", "_parts").cast("int"))
     return test.groupBy("_entity", "_part").cogroup(models.groupBy("_entity", "_part")).applyInPandas(score, SCORE_DDL)
+
+
+def _over_tasks(data: DataFrame, feats: Sequence[str]) -> DataFrame:
+    """(player, scored, hits) of players whose rows no task holds."""
+    shares = [k / BINS for k in range(1, BINS)]
+    known = data.filter(~F.col("_test")).groupBy("_entity").agg(*[
+        F.array_distinct(F.percentile_approx(f, shares, 10_000)).alias(f"_cuts{f}") for f in feats], *[F.max(f).alias(f"_most{f}") for f in feats])
+
+    def bin_of(f: str):
+        return F.size(F.filter(f"_cuts{f}", lambda v: (v < F.col(f)) & (v < F.col(f"_most{f}"))))
+
+    # rows that repeat are rows of their own
+    same = ["_entity", "_hash", "_test", *feats, "_y"]
+    copy = F.row_number().over(Window.partitionBy(*same).orderBy(*same))
+    rows = data.withColumn("_copy", copy).join(known, "_entity").select(
+        F.col("_entity").cast("string").alias("model"), F.struct("_hash", F.xxhash64(*feats, "_y").alias("_values"), "_copy").alias("row"),
+        (~F.col("_test")).alias("fit"), F.coalesce(F.col("_y"), F.lit(0.0)).cast("int").alias("y"), F.array(*[bin_of(f) for f in feats]).cast("array<tinyint>").alias("bins"))
+    spec = ForestSpec(SMALL_FOREST["numTrees"], SMALL_FOREST["maxDepth"], 2, 1, "sqrt")
+    forests = fit_forests(rows, spec, feats, [[0.0] * BINS] * len(feats), SMALL_FOREST["seed"], True)
+    return forests.predictions().groupBy(F.col("model").cast("long").alias("_entity")).agg(
+        F.count(F.lit(1)).alias("scored"), F.count_if("hit").alias("hits"))
