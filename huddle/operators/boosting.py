@@ -226,16 +226,26 @@ def _boost_here(spec: BoostSpec, bins: np.ndarray, y: np.ndarray, fit: np.ndarra
             with np.errstate(over="ignore"):
                 prob = 1 / (1 + np.exp(-margin))
             g, h = _fixed(prob - y), _fixed(prob * (1 - prob))
+            sums = None
             for level in range(spec.depth):
                 first = 1 << level
                 on = np.flatnonzero(fit & (node >= first))
-                at = node[on] - first
-                sums = np.empty((2, p, first, width), np.int64)
+                rows = np.bincount(node[on] - first, minlength=first)
+                above, counted = sums, np.ones(first, bool)
+                if level:
+                    # of two children the smaller is counted, the other is the rest
+                    counted[::2] = rows[::2] <= rows[1::2]
+                    counted[1::2] = ~counted[::2]
+                    on = on[counted[node[on] - first]]
+                sums, at, held = np.empty((2, p, first, width), np.int64), (node[on] - first) * width, (g[on], h[on])
                 for f in range(p):
-                    code = at * width + bins[f, on]
-                    for k, x in enumerate((g, h)):
-                        sums[k, f] = np.bincount(code, x[on], first * width).reshape(first, width)
-                nodes = {(0, first + k): (sums[0, :, k], sums[1, :, k]) for k in np.unique(at).tolist()}
+                    code = at + bins[f].take(on, mode="clip")
+                    for k, x in enumerate(held):
+                        sums[k, f] = np.bincount(code, x, first * width).reshape(first, width)
+                if level:
+                    rest = np.flatnonzero(~counted)
+                    sums[:, :, rest] = above[:, :, rest >> 1] - sums[:, :, rest ^ 1]
+                nodes = {(0, first + k): (sums[0, :, k], sums[1, :, k]) for k in np.flatnonzero(rows).tolist()}
                 if not _split_level(nodes, {0: tree}, [model]):
                     break
                 f = tree.feature[node]
