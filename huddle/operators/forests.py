@@ -12,7 +12,8 @@ with a third of all rows is no task of its own.
 
 Models of up to ``LOCAL_ROWS`` rows need no job a level: their trees are dealt
 over tasks in blocks, and a task, which holds the model's rows once, grows its
-block's trees to the end.  Both ways make the same trees.
+block's trees to the end, a few together (``_Trees``).  Both ways make the same
+trees.  Models that share all their rows give them once.
 
 As in the reference's learner: bootstrap rows a tree (here Poisson(1) weights
 from a hash of row and tree), a random subset of features a node (further
